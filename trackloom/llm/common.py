@@ -44,3 +44,38 @@ def cut(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def map_texts(docs: DataFrame, rate, schema: str, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 4_000_000) -> DataFrame:
+    """Arrow batches of (id, text) through rate, a function of a list of ids and a list of texts that
+    returns one Python list per column of schema. The id column is called doc_id and keeps its type.
+
+    Rows reach rate in slices of about slice_chars characters, so that memory follows the longest
+    text rather than the batch. Null text is the empty text, unless rate tells them apart itself:
+    it gets None for null. An empty table gives an empty result.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    kind = docs.schema[id_col].dataType
+    out = StructType([*StructType().add("doc_id", kind).fields, *_parse_datatype_string(schema).fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            chars = [0]
+            for n in batch.column(2).to_pylist():
+                chars.append(chars[-1] + (n or 0))
+            lo = 0
+            while lo < len(ids):
+                hi = lo + 1
+                while hi < len(ids) and chars[hi + 1] - chars[lo] <= slice_chars:
+                    hi += 1
+                columns = rate(ids.slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                lo = hi
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.length(text).alias("n")).mapInArrow(run, out)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import exactdedup, mixing, rules
+from trackloom.llm import bpe, exactdedup, mixing, rules, tokencounts
 from trackloom.llm.common import documents
 
 
@@ -26,12 +27,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), VOCABULARY, public_tokenizers.PATTERN)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_sections(documents(spark, sf_dir), VOCABULARY, public_tokenizers.PATTERN)
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_rules, op4_exact_dedup, op9_mix)}
+    return {f.__name__: f for f in (op3_rules, op4_exact_dedup, op5_bpe, op6_token_counts, op9_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
