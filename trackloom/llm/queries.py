@@ -5,13 +5,21 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, exactdedup, mixing, rules, tokencounts
+from trackloom.llm import bpe, exactdedup, langid, licenses, mixing, quality, rules, secrets, tokencounts
 from trackloom.llm.common import documents
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = rules.apply_policy(rules.ledger(documents(spark, sf_dir)), "v1")
     base = F.col("fail_bits").bitwiseAND(F.lit(rules.mask("base")).cast("bigint")) != 0
@@ -38,12 +46,31 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_sections(documents(spark, sf_dir), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def _fold(folds: int) -> Column:
+    """crc32 of doc_id as text, modulo folds; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.learn(docs.where(_fold(3) != 1))
+    return langid.predict(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.learn(docs, labels.where(_fold(5) != 0))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_rules, op4_exact_dedup, op5_bpe, op6_token_counts, op9_mix)}
+    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_rules, op4_exact_dedup, op5_bpe, op6_token_counts, op7_language, op9_mix, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
