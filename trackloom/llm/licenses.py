@@ -16,6 +16,7 @@ import re
 from pyspark.sql import DataFrame
 
 from trackloom.llm.common import map_texts
+from trackloom.llm.shingles import shingle_hashes, word_hashes
 
 SHINGLE = 5
 BANDS = 48
@@ -45,40 +46,6 @@ TEMPLATES = [
     ("all-rights-reserved", "All rights reserved."),
 ]
 
-_seen_words: dict[str, int] = {}
-
-
-def _hashes(words: list[str]):
-    import numpy as np
-    import xxhash
-
-    if len(_seen_words) > 500_000:
-        _seen_words.clear()
-    for w in set(words).difference(_seen_words):
-        _seen_words[w] = xxhash.xxh3_64_intdigest(w.lower())
-    return np.fromiter(map(_seen_words.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def _mix(x):
-    import numpy as np
-
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(words, k: int):
-    import numpy as np
-
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
-    for i in range(k):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
-    return h
-
-
 class Templates:
     """The index: per shingle length and window class, the templates' least hash in each band."""
 
@@ -90,7 +57,7 @@ class Templates:
         self.b = rng.integers(0, 2**63, bands, dtype=np.uint64)
         self.names, self.sets, self.classes = [], [], {}
         for name, text in templates:
-            words = _hashes(TOKEN.findall(text))
+            words = word_hashes(TOKEN.findall(text), fold=True)
             if not len(words):
                 continue
             k = min(SHINGLE, len(words))
@@ -173,11 +140,15 @@ def _least_stretches(places, hashes, docs, size) -> list[tuple[int, int, float]]
 
 def _best(found, index: Templates) -> list:
     """Of matches of one document that overlap, the one contained most, then the longest template, then the first."""
+    from bisect import bisect_left
+
     taken: dict[int, list[tuple[int, int]]] = {}
     out = []
     for m in sorted(found, key=lambda m: (-m[4], -len(index.sets[m[1]]), m[1], m[0], m[2])):
-        if all(m[3] <= a or b <= m[2] for a, b in taken.get(m[0], ())):
-            taken.setdefault(m[0], []).append((m[2], m[3]))
+        spans = taken.setdefault(m[0], [])  # disjoint and in order
+        i = bisect_left(spans, (m[2], m[3]))
+        if (not i or spans[i - 1][1] <= m[2]) and (i == len(spans) or m[3] <= spans[i][0]):
+            spans.insert(i, (m[2], m[3]))
             out.append(m)
     return sorted(out)
 
@@ -201,7 +172,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col:
         index = _built.get(key) or _built.setdefault(key, Templates(templates))
         words = [TOKEN.findall(t or "") for t in texts]
         starts = np.cumsum([0, *map(len, words)])
-        stream = np.concatenate([_hashes(w) for w in words] or [np.empty(0, dtype=np.uint64)])
+        stream = np.concatenate([word_hashes(w, fold=True) for w in words] or [np.empty(0, dtype=np.uint64)])
         doc_of = np.repeat(np.arange(len(words)), [len(w) for w in words])
         found = []
         for k in index.classes:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, exactdedup, langid, licenses, mixing, quality, rules, secrets, tokencounts
+from trackloom.llm import bpe, exactdedup, langid, licenses, mixing, ngramjoin, quality, rules, secrets, tokencounts
 from trackloom.llm.common import documents
 
 
@@ -65,12 +65,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(documents(spark, sf_dir)).drop("node")
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_rules, op4_exact_dedup, op5_bpe, op6_token_counts, op7_language, op9_mix, op10_quality)}
+    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_rules, op4_exact_dedup, op5_bpe, op6_token_counts, op7_language, op8_ngram_join, op9_mix, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
