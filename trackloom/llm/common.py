@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,42 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows up to which decisions are broadcast (about 100 bytes each); beyond, they are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def keep_rows(docs: DataFrame, key: Column, decisions: DataFrame) -> DataFrame:
+    """The rows of docs that decisions (doc_id, key, kept) keeps, with docs' own columns.
+
+    Rows are told by doc_id and key, an expression over docs; where several are the same in both and
+    one is kept, one stays. Only keys that lose rows are looked up: broadcast if they are few, else
+    in a shuffled join.
+    """
+    losing = cut(
+        decisions.groupBy("doc_id", "key")
+        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+        .where(~F.col("_kept") | (F.col("_n") > 1))
+        .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_kept")
+    )
+    n, n_repeated = losing.agg(F.count(F.lit(1)), F.count_if("_kept")).first()
+    keyed = docs.withColumn("_k", key)
+    met = keyed.join(
+        F.broadcast(losing) if n <= BROADCAST_ROWS else losing.hint("merge"),
+        F.col("_k").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")),
+        "left",
+    )
+    kept = met.where(F.col("_kept").isNull()).select(*docs.columns)
+    if n_repeated:
+        kept = kept.unionByName(met.where("_kept").dropDuplicates(["_id", "_key"]).select(*docs.columns))
+    return kept
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def map_texts(docs: DataFrame, rate, schema: str, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 4_000_000) -> DataFrame:
     """Arrow batches of (id, text) through rate, a function of a list of ids and a list of texts that
     returns one Python list per column of schema. The id column is called doc_id and keeps its type.

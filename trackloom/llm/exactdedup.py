@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, text_digest
+from trackloom.llm.common import cut, keep_rows, text_digest
 
 SCHEMA = "digest string, keep_id bigint, batch string"
 
@@ -81,14 +81,6 @@ def dedup(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id
     ).select("doc_id", "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs that decisions keeps, with docs' own columns; one row where rows repeat."""
-    key = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_digest": text_digest(F.col("text"))})
-    stays = decisions.where("kept").select(
-        F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_kdigest"), (F.col("group_size") > 1).alias("_shared")
-    )
-    # the digest is unique among the kept, so no key is hot on this side and AQE splits the other
-    rows = key.join(stays, F.col("_digest").eqNullSafe(F.col("_kdigest")) & F.col("_id").eqNullSafe(F.col("_kid")))
-    single = rows.where(~F.col("_shared")).select(*docs.columns)
-    several = rows.where("_shared").dropDuplicates(["_id", "_digest"]).select(*docs.columns)
-    return single.unionByName(several)
+def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs that decisions keeps, with docs' own columns."""
+    return keep_rows(docs, text_digest(F.col("text")), decisions.select("doc_id", F.col("text_sha256").alias("key"), "kept"))

@@ -158,27 +158,31 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int
     """The mix itself, in docs' columns: a row for each round in which a document is used, with its words taken then.
 
     A round that takes all blocks of a document keeps its text as it is; otherwise the text is the
-    taken words with the white space after them. n_chars, where there is one, is the new length. Of
-    rows equal in id and text one stands for all, with the uses of all.
+    taken words with the white space after them. n_chars, where there is one, is the new length. Rows
+    equal in id and text must have been brought to one before, as deduplication does.
     """
     keyed = docs.withColumn("_d", text_digest(F.col("text")))
     _, spans, uses = plan(docs, {"_d": text_digest(F.col("text"))}, block_words, shards, seed)
     taken = uses.groupBy("sk", "block").agg(F.sum("n").alias("n"))
-    rounds = (
-        spans.join(taken, ["sk", "block"])
-        .withColumn("_round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-        .groupBy("doc_id", "_d", "sk", "chunk", "place", "size", "_round")
-        .agg(F.sum(F.col("span_to") - F.col("span_from")).alias("_words"), F.collect_list(F.struct("span_from", "span_to")).alias("_spans"))
+    used = (
+        spans.where("size > 0")
+        .join(taken.hint("merge"), ["sk", "block"], "left")
+        .groupBy("doc_id", "_d", "sk", "chunk", "place", "start")
+        .agg(F.sort_array(F.collect_list(F.struct("block", F.coalesce("n", F.lit(0)).alias("n")))).alias("_blocks"))
+        .select("doc_id", "_d", (F.col("start") % block_words).alias("_into"), F.transform("_blocks", lambda b: b["n"]).alias("_uses"))
+        .where(F.array_max("_uses") > 0)
         .groupBy("doc_id", "_d")
-        .agg(F.collect_list(F.struct((F.col("_words") == F.col("size")).alias("whole"), F.col("_spans").alias("spans"))).alias("_rounds"))
+        .agg(F.collect_list(F.struct("_into", "_uses")).alias("_rows"))
         .withColumnsRenamed({"doc_id": "_id", "_d": "_dk"})
     )
-    joined = keyed.join(rounds, F.col("_d").eqNullSafe(F.col("_dk")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    pieces = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    cutout = F.array_join(
-        F.flatten(F.transform(F.sort_array("_r.spans"), lambda s: F.slice(pieces, s["span_from"].cast("int") + 1, (s["span_to"] - s["span_from"]).cast("int")))), ""
+    rounds = (
+        keyed.join(used.hint("merge"), F.col("_d").eqNullSafe(F.col("_dk")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        .withColumn("_r", F.explode("_rows"))
+        .withColumn("_round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max("_r._uses"))))
     )
-    text = F.when(F.col("_r.whole"), F.col("text")).otherwise(cutout)
-    one = joined.withColumn("_r", F.explode("_rounds")).withColumn("_text", text)
+    pieces = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    block_of = lambda i: F.floor((i + F.col("_r._into")) / block_words).cast("int")
+    taken_words = F.array_join(F.filter(pieces, lambda _, i: F.get(F.col("_r._uses"), block_of(i)) >= F.col("_round")), "")
+    one = rounds.withColumn("_text", F.when(F.array_min("_r._uses") >= F.col("_round"), F.col("text")).otherwise(taken_words))
     out = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return one.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])

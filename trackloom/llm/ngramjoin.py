@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, map_texts, normalised
+from trackloom.llm.common import cut, keep_rows, map_texts, normalised
 from trackloom.llm.components import components
 from trackloom.llm.shingles import WORDS, shingle_set
 
@@ -295,10 +295,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs that decisions keeps, with docs' own columns; one row where rows repeat."""
-    keyed = docs.withColumn("_node", node_column(F.col("text")))
-    stays = decisions.where("kept").select(F.col("doc_id").alias("_kid"), F.col("node").alias("_knode"), (F.col("group_size") > 1).alias("_shared"))
-    rows = keyed.join(stays, (F.col("_node") == F.col("_knode")) & F.col("doc_id").eqNullSafe(F.col("_kid")))
-    several = rows.where("_shared").dropDuplicates(["doc_id", "_node"]).select(*docs.columns)
-    return rows.where(~F.col("_shared")).select(*docs.columns).unionByName(several)
+def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs that decisions keeps, with docs' own columns."""
+    return keep_rows(docs, node_column(F.col("text")), decisions.select("doc_id", F.col("node").alias("key"), "kept"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,3 +217,14 @@ def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: st
         return [ids, model.score(x).tolist()]
 
     return map_texts(docs, rate, "score double", id_col, text_col)
+
+
+def score_column(model: Additive, text_col: str = "text"):
+    """The score as a column expression, for filters that keep a table's own columns; null counts as empty."""
+    @F.pandas_udf("double")
+    def rate(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series(model.score(np.array([features(t or "") for t in texts], dtype=float).reshape(-1, len(FEATURES))))
+
+    return rate(F.col(text_col).cast("string"))

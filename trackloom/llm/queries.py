@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,7 +75,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_rules, op4_exact_dedup, op5_bpe, op6_token_counts, op7_language, op8_ngram_join, op9_mix, op10_quality)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_secrets, op2_licenses, op3_rules, op4_exact_dedup, op5_bpe, op6_token_counts, op7_language, op8_ngram_join, op9_mix, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

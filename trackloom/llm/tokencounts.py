@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,8 +137,6 @@ def count_sections(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "
 def count_fields(docs: DataFrame, fields: list[str], vocabulary: str, pattern: str, rule: str = "start", separator: str = "\n\n") -> DataFrame:
     """doc_id, doc_tokens and field_tokens (array<double>, in the order of fields): the fields joined
     by separator are encoded as one text. Tokens of the separator alone go to no field."""
-    import pandas as pd
-
     with open(vocabulary, "rb") as f:
         ranks = f.read()
 
