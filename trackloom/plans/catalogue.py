@@ -1,11 +1,640 @@
-"""Registry of the tracking queries."""
+"""The tracking queries: each operator over the fixture tables, and its SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trackloom.functions.rounding import r6
+from trackloom.operators import assign, cluster, corr, crops, evaluate, frames, graph, sync, trials
+from trackloom.operators.checkpoints import cut
+from trackloom.plans import oracle
+from trackloom.plans.tracker import Tracker
+from trackloom.sources import fixtures as fx
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+SHAPE, TARGET = (16, 128, 128), (8, 64, 64)
+WINDOW, STRIDE, SAMPLED = 20, 10, 12
+GRID = {"lr": [0.1, 0.01], "dim": [32, 64], "z": [4, 8]}
+
+
+def query(f):
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
+
+
+def _aligned(spark, d):
+    return evaluate.align(fx.gt(spark, d), fx.pred(spark, d), fx.mapping(spark, d))
+
+
+def _labelled(spark, d):
+    return fx.det(spark, d).withColumnRenamed("gt_label", "label")
+
+
+def _candidates(spark, d):
+    return fx.det(spark, d).select(F.col("gt_label").alias("cand"), "t", "linear_ind", (F.col("linear_ind") % 5 == 0).alias("assigned"), F.col("likelihood").alias("score"))
+
+
+def _unrotated(spark, d):
+    return fx.labelings(spark, d).withColumn("label", fx.unrotated(F.col("label"), F.col("run")))
+
+
+def _entries(spark, d):
+    return assign.greedy_top1(fx.labelings(spark, d)).select("run", "linear_ind", "label", F.col("prob").alias("val"))
+
+
+def _perms(spark, d):
+    return fx.labelings(spark, d).select("run", "label").distinct().withColumn("mapped", fx.unrotated(F.col("label"), F.col("run")))
+
+
+def _state(spark, d, steps):
+    seeds = graph.seed_labels(fx.det(spark, d), [0])
+    return graph.propagate(graph.knn(fx.vectors(spark, d), 10), seeds, steps)
+
+
+# evaluate
+
+
+@query
+def align_reindex(spark, d):
+    return _aligned(spark, d)
+
+
+@query
+def track_contingency(spark, d):
+    return evaluate.contingency(fx.gt(spark, d), fx.pred(spark, d))
+
+
+@query
+def match_tracks(spark, d):
+    return evaluate.match_tracks(fx.gt(spark, d), fx.pred(spark, d))
+
+
+@query
+def combine_first(spark, d):
+    return evaluate.combine_first(fx.pred(spark, d), fx.gt(spark, d))
+
+
+@query
+def mode_vote(spark, d):
+    return evaluate.mode_vote(_unrotated(spark, d))
+
+
+@query
+def enrich_tracks(spark, d):
+    return evaluate.enrich(fx.pred(spark, d), fx.det(spark, d)).select("name", "t", "raw_neuron_ind", *[r6(c).alias(c) for c in "zxy"])
+
+
+def _rated(df):
+    return df.withColumn("accuracy", r6("accuracy"))
+
+
+@query
+def accuracy_total(spark, d):
+    return _rated(evaluate.accuracy(_aligned(spark, d)))
+
+
+@query
+def accuracy_per_neuron(spark, d):
+    return _rated(evaluate.accuracy(_aligned(spark, d), "name"))
+
+
+@query
+def accuracy_per_timepoint(spark, d):
+    return _rated(evaluate.accuracy(_aligned(spark, d), "t"))
+
+
+@query
+def accuracy_grouping_sets(spark, d):
+    return evaluate.accuracy_grouping_sets(_aligned(spark, d))
+
+
+@query
+def accuracy_cells(spark, d):
+    return evaluate.accuracy_cells(_aligned(spark, d))
+
+
+def _metrics(spark, d):
+    return evaluate.track_metrics(frames.with_frame_count(_aligned(spark, d), fx.det(spark, d)), F.col("n_frames"))
+
+
+@query
+def track_metrics(spark, d):
+    return _metrics(spark, d).withColumns({c: r6(c) for c in ("frac_gaps", "pct_tracked", "accuracy", "frac_mistakes")})
+
+
+def _metrics_no_gt(spark, d):
+    return evaluate.track_metrics_no_truth(frames.with_frame_count(fx.pred(spark, d), fx.det(spark, d)), F.col("n_frames"))
+
+
+@query
+def track_metrics_no_gt(spark, d):
+    return _metrics_no_gt(spark, d).withColumns({c: r6(c) for c in ("frac_gaps", "pct_tracked")})
+
+
+@query
+def trace_correlation(spark, d):
+    mean_z = fx.det(spark, d).groupBy("t").agg(F.avg("z").alias("b"))
+    traces = fx.gt(spark, d).select("name", "t", F.col("likelihood").alias("a")).join(mean_z, "t")
+    return evaluate.trace_correlation(traces).withColumn("correlation", r6("correlation"))
+
+
+@query
+def coverage_histogram(spark, d):
+    found = evaluate.log_histogram(_metrics_no_gt(spark, d).select(F.col("pct_tracked").alias("v")), 10.0, 100.0)
+    return found.withColumns({c: r6(c) for c in ("lo", "hi", "pct")})
+
+
+@query
+def trend_fit(spark, d):
+    points = _metrics(spark, d).select(F.col("pct_tracked").alias("x"), F.col("accuracy").alias("y"))
+    return evaluate.trend(points).select(*[r6(c).alias(c) for c in ("slope", "intercept", "r2")])
+
+
+@query
+def accuracy_macro_micro(spark, d):
+    return evaluate.macro_micro(_aligned(spark, d)).select(r6("macro").alias("macro"), r6("micro").alias("micro"))
+
+
+@query
+def confidence_by_correct(spark, d):
+    cells = evaluate.accuracy_cells(_aligned(spark, d)).join(fx.gt(spark, d).select("name", "t", F.col("likelihood").alias("conf")), ["name", "t"])
+    total = F.aggregate("confs", F.lit(0.0), lambda a, x: a + x)
+    return evaluate.confidence_by_correct(cells).select("name", "correct", "n", r6(total).alias("sum_conf"))
+
+
+@query
+def displacement(spark, d):
+    padded = frames.pad_frames(fx.gt(spark, d), fx.det(spark, d))
+    return evaluate.displacement(padded).withColumn("dist", r6("dist"))
+
+
+@query
+def nn_distance_all(spark, d):
+    return evaluate.nearest_distance(fx.det(spark, d)).withColumn("dist", r6("dist"))
+
+
+@query
+def nn_distance_mean(spark, d):
+    return evaluate.nearest_distance_mean(fx.det(spark, d)).withColumn("mean_dist", r6("mean_dist"))
+
+
+@query
+def adjacent_tracking_accuracy(spark, d):
+    return evaluate.adjacent_accuracy(fx.gt(spark, d), fx.det(spark, d))
+
+
+@query
+def template_match(spark, d):
+    rows = fx.vectors(spark, d).join(fx.det(spark, d).select("linear_ind", F.col("gt_label").alias("label")), "linear_ind")
+    return evaluate.template_match(rows.where("t > 0"), rows.where("t = 0")).select("linear_ind", "template_ind", "agree")
+
+
+@query
+def common_neurons(spark, d):
+    return evaluate.common_names(fx.gt(spark, d), fx.pred(spark, d))
+
+
+# frames
+
+
+@query
+def pad_frames(spark, d):
+    return frames.pad_frames(fx.pred(spark, d).select("name", "t", "raw_seg_id"), fx.det(spark, d))
+
+
+@query
+def frame_size_filter(spark, d):
+    return frames.frames_within(fx.gt(spark, d))
+
+
+@query
+def overlapping_windows(spark, d):
+    dealt = frames.overlapping_windows(fx.det(spark, d), WINDOW, STRIDE)
+    return dealt.groupBy("start", "t").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+@query
+def global_frames(spark, d):
+    return frames.evenly_spaced(fx.det(spark, d), SAMPLED)
+
+
+@query
+def nonglobal_frames(spark, d):
+    det = fx.det(spark, d)
+    return frames.other_frames(det, frames.evenly_spaced(det, SAMPLED))
+
+
+@query
+def linear_index(spark, d):
+    return frames.linear_index(fx.det(spark, d))
+
+
+@query
+def frames_by_size(spark, d):
+    return frames.frames_by_size(fx.gt(spark, d))
+
+
+@query
+def train_val_test_split(spark, d):
+    every = fx.det(spark, d).select("t").distinct()
+    return frames.train_val_test_split(every, [(F.col("t") * 7919) % 1009, F.col("t")], 0.8, 0.1)
+
+
+# crops
+
+
+@query
+def crop_bounds(spark, d):
+    return crops.crop_bounds(fx.det(spark, d), SHAPE, TARGET)
+
+
+@query
+def crop_bounds_bbox(spark, d):
+    boxes = fx.det(spark, d).select("linear_ind", *[(F.col(a) + s).alias(f"b{a}{i}") for i, s in ((0, -1.3), (1, 1.3)) for a in "zxy"])
+    return crops.crop_bounds_bbox(boxes, SHAPE, TARGET)
+
+
+def _names(spark, d):
+    return crops.detection_names(fx.det(spark, d), fx.gt(spark, d))
+
+
+@query
+def detection_names(spark, d):
+    return _names(spark, d)
+
+
+@query
+def parse_untracked_name(spark, d):
+    return crops.parse_untracked_name(_names(spark, d))
+
+
+@query
+def pivot_frame(spark, d):
+    wide = crops.pivot_frame(fx.det(spark, d), 0, list(range(1, 11)))
+    return wide.select("t", *[r6(c).alias(c) for c in wide.columns[1:]])
+
+
+@query
+def rescale_intensity(spark, d):
+    values = fx.vectors(spark, d).select("linear_ind", F.slice("x", 1, 4).alias("vals"))
+    return crops.rescale_intensity(values).withColumn("val", r6("val"))
+
+
+# assign
+
+
+@query
+def cluster_to_tracks(spark, d):
+    return assign.best_per_cell(_labelled(spark, d)).withColumn("likelihood", r6("likelihood"))
+
+
+@query
+def cluster_to_tracks_last(spark, d):
+    return assign.last_per_cell(_labelled(spark, d))
+
+
+@query
+def cluster_to_tracks_first(spark, d):
+    return assign.first_per_cell(_labelled(spark, d))
+
+
+@query
+def time_purity(spark, d):
+    return assign.time_purity(_candidates(spark, d)).select(F.col("cand").alias("gt_label"), "kept", "total", r6("purity").alias("purity"))
+
+
+@query
+def time_purity_kept(spark, d):
+    return assign.time_purity_kept(_candidates(spark, d)).select(F.col("cand").alias("gt_label"), "t", "linear_ind")
+
+
+@query
+def cluster_goodness(spark, d):
+    rated = frames.with_frame_count(assign.time_purity(_candidates(spark, d)), fx.det(spark, d))
+    return rated.select(F.col("cand").alias("gt_label"), r6(assign.goodness(F.col("purity"), F.col("kept") / F.col("n_frames"))).alias("goodness"))
+
+
+@query
+def greedy_top1(spark, d):
+    return assign.greedy_top1(fx.labelings(spark, d)).select("run", "t", "label", "linear_ind")
+
+
+@query
+def unassigned_points(spark, d):
+    return assign.unassigned_points(fx.det(spark, d), assign.time_purity_kept(_candidates(spark, d)))
+
+
+@query
+def outlier_points(spark, d):
+    c = _candidates(spark, d)
+    return assign.outlier_points(c, assign.time_purity_kept(c)).withColumnRenamed("cand", "gt_label")
+
+
+@query
+def seed_stats(spark, d):
+    seeds = fx.det(spark, d).where("t = 0").select((F.col("linear_ind") % 5 == 0).alias("assigned"), (F.col("gt_label") - 1).alias("label"))
+    return assign.seed_stats(seeds)
+
+
+# trials
+
+
+@query
+def stats_second_last(spark, d):
+    return trials.second_last(fx.stats(spark, d)).withColumn("val_loss", r6("val_loss"))
+
+
+@query
+def discover_trials(spark, d):
+    users = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("runs/trial_"), F.col("user_id").cast("string"), F.lit("/log")).alias("path"))
+    return trials.discover(users)
+
+
+@query
+def training_finished(spark, d):
+    return trials.training_finished(fx.stats(spark, d), 69)
+
+
+def _trials(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("trial")).distinct()
+
+
+@query
+def trial_project_join(spark, d):
+    every = _trials(spark, d)
+    projects = every.where("trial % 2 = 0").select(F.concat(F.lit("project_"), F.col("trial").cast("string")).alias("project"))
+    return trials.join_projects(every, projects)
+
+
+@query
+def param_grid(spark, d):
+    return trials.param_grid(spark, GRID)
+
+
+@query
+def one_at_a_time(spark, d):
+    return trials.one_at_a_time(spark, GRID)
+
+
+@query
+def loss_by_epoch(spark, d):
+    return trials.loss_by_epoch(fx.stats(spark, d)).withColumn("loss", r6("loss"))
+
+
+@query
+def best_trial(spark, d):
+    return trials.best_trial(trials.second_last(fx.stats(spark, d))).withColumn("val_loss", r6("val_loss"))
+
+
+@query
+def trial_summary(spark, d):
+    config = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("trial")).agg(
+        F.max(F.from_json("props", "k bigint")["k"]).alias("k")
+    )
+    return trials.summary(fx.stats(spark, d), config).withColumn("val_loss", r6("val_loss"))
+
+
+@query
+def lr_schedule(spark, d):
+    steps = spark.range(200).select(F.col("id").cast("int").alias("step"))
+    return steps.withColumn("lr", F.round(trials.learning_rate(F.col("step"), 40, 200, 1 / 256), 9))
+
+
+@query
+def split_model_name(spark, d):
+    names = spark.createDataFrame([("net_v2_zimmer",), ("barlow_small_flavell",), ("single",), ("a_b_lab",)], "model string")
+    return trials.split_model_name(names)
+
+
+# graph
+
+
+@query
+def knn_graph(spark, d):
+    return graph.knn(fx.vectors(spark, d), 10).select("src", "dst", "rk")
+
+
+@query
+def seed_labels(spark, d):
+    return graph.seed_labels(fx.det(spark, d), [0]).select("node", "label")
+
+
+@query
+def label_prop_step(spark, d):
+    return _state(spark, d, 1).select("node", "label", r6("p").alias("p"))
+
+
+@query
+def label_prop_3(spark, d):
+    return _state(spark, d, 3).select("node", "label", r6("p").alias("p"))
+
+
+@query
+def label_topk(spark, d):
+    # rounded first, so that equal shares are equal in any order of summing
+    state = _state(spark, d, 3).withColumn("p", F.round("p", 9))
+    return graph.label_topk(state, 2).select("node", "label", r6("p").alias("p"), "rk")
+
+
+@query
+def label_softmax(spark, d):
+    return graph.label_softmax(_state(spark, d, 3), 0.02).select("node", "label", r6("p").alias("p"))
+
+
+@query
+def label_rownorm(spark, d):
+    return graph.label_rownorm(_state(spark, d, 3)).select("node", "label", r6("p").alias("p"))
+
+
+@query
+def tree_closure(spark, d):
+    return graph.tree_closure(fx.tree(spark))
+
+
+@query
+def tree_ancestors(spark, d):
+    return graph.tree_ancestors(fx.tree(spark))
+
+
+# sync
+
+
+@query
+def vote_counts(spark, d):
+    return sync.vote_counts(_unrotated(spark, d))
+
+
+@query
+def label_confusion(spark, d):
+    runs = fx.labelings(spark, d)
+    return sync.label_confusion(runs.where("run = 0"), runs.where("run = 1"))
+
+
+@query
+def column_weights(spark, d):
+    return sync.column_weights(_entries(spark, d)).withColumn("w", r6("w"))
+
+
+@query
+def row_normalize(spark, d):
+    return sync.row_normalize(_entries(spark, d)).select("run", "linear_ind", "label", r6("val").alias("val"))
+
+
+@query
+def consensus_votes(spark, d):
+    return sync.consensus_votes(_entries(spark, d), _perms(spark, d)).withColumn("votes", r6("votes"))
+
+
+@query
+def label_coverage_diag(spark, d):
+    return sync.coverage_diagnostics(fx.det(spark, d), fx.labelings(spark, d)).withColumn("mean_n", r6("mean_n"))
+
+
+@query
+def unmatched_labels(spark, d):
+    runs = fx.labelings(spark, d)
+    new = runs.where("run = 1")
+    return sync.unmatched_labels(new, sync.label_confusion(runs.where("run = 0"), new), 20)
+
+
+@query
+def gram_matrix(spark, d):
+    return sync.gram_matrix(sync.row_normalize(_entries(spark, d))).withColumn("g", r6("g"))
+
+
+@query
+def fuse_labels(spark, d):
+    return sync.fuse_labels(_unrotated(spark, d), fx.RUNS)
+
+
+@query
+def align_pair(spark, d):
+    runs = fx.labelings(spark, d)
+    return sync.align_pair(runs.where("run = 0"), runs.where("run = 1"))
+
+
+@query
+def align_all(spark, d):
+    return sync.align_all(fx.labelings(spark, d), list(range(fx.RUNS)))
+
+
+@query
+def spectral_sync(spark, d):
+    return sync.spectral_sync(fx.labelings(spark, d), fx.det(spark, d))
+
+
+# corr
+
+
+def _features(spark, d):
+    x = F.col("x")
+    return corr.cross_corr(fx.vectors(spark, d).select(F.slice(x, 1, 4).alias("a"), F.slice(x, 3, 4).alias("b")))
+
+
+def _objects(spark, d):
+    return corr.cross_corr_objects(fx.vectors(spark, d).where("t = 0").select("linear_ind", F.col("x").alias("a"), F.reverse("x").alias("b")))
+
+
+@query
+def cross_corr_features(spark, d):
+    return _features(spark, d).withColumn("c", r6("c"))
+
+
+@query
+def cross_corr_objects(spark, d):
+    return _objects(spark, d).withColumn("c", r6("c"))
+
+
+@query
+def barlow_loss(spark, d):
+    return corr.barlow_loss(_features(spark, d), _objects(spark, d)).select(*[r6(c).alias(c) for c in ("loss_feat", "loss_obj", "loss")])
+
+
+@query
+def svd_embed(spark, d):
+    return corr.svd_embed(fx.vectors(spark, d), 10)
+
+
+# cluster
+
+
+def _knn5(spark, d):
+    return cut(graph.knn(fx.vectors(spark, d), 5))
+
+
+@query
+def core_distance(spark, d):
+    return cluster.core_distance(_knn5(spark, d), 5).withColumn("core", r6("core"))
+
+
+@query
+def mutual_reachability(spark, d):
+    near = _knn5(spark, d)
+    return cluster.mutual_reachability(near, cluster.core_distance(near, 5)).withColumn("mr", r6("mr"))
+
+
+@query
+def nn_label_assign(spark, d):
+    rows = fx.vectors(spark, d).join(fx.det(spark, d).select("linear_ind", F.col("gt_label").alias("label")), "linear_ind")
+    chosen = frames.evenly_spaced(fx.det(spark, d), SAMPLED)
+    return cluster.nn_label_assign(rows.join(chosen, "t", "left_anti"), rows.join(chosen, "t", "left_semi"))
+
+
+@query
+def cluster_counts(spark, d):
+    return cluster.cluster_counts(_labelled(spark, d))
+
+
+@query
+def cluster_centroids(spark, d):
+    rows = fx.vectors(spark, d).join(fx.det(spark, d).select("linear_ind", F.col("gt_label").alias("label")), "linear_ind")
+    return cluster.cluster_centroids(rows).select("label", r6("cx").alias("cx"), r6("cy").alias("cy"))
+
+
+@query
+def hdbscan_labels(spark, d):
+    return cluster.hdbscan_labels(fx.vectors(spark, d), 10, 3)
+
+
+@query
+def agglomerate(spark, d):
+    tree = cut(cluster.condensed_tree(fx.vectors(spark, d), 4, 2))
+    return cluster.agglomerate(tree, fx.det(spark, d).withColumn("score", F.col("likelihood")), min_goodness=0.3)
+
+
+def _tracker(spark, d):
+    det = fx.det(spark, d)
+    points = cut(fx.vectors(spark, d).join(det.select("linear_ind", "raw_neuron_ind", "likelihood"), "linear_ind"))
+    return Tracker(points, frames.frame_count(det).first()[0], cluster_size=0.1)
+
+
+@query
+def track_global(spark, d):
+    return _tracker(spark, d).track("global")
+
+
+@query
+def track_streaming(spark, d):
+    return _tracker(spark, d).track("streaming")
+
+
+@query
+def track_label_propagation(spark, d):
+    return _tracker(spark, d).track("label_propagation")
+
+
+@query
+def track_overlapping_windows(spark, d):
+    return _tracker(spark, d).track("overlapping_windows")
