@@ -197,9 +197,13 @@ def _verify_blocks(batches):
 def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs a < b from small buckets, hot nodes with the root of what large buckets connect)."""
     entries = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).where("n > 1")
-    members = cut(entries.join(buckets, "bucket"))
-    hot = cut(components(members.where(F.col("n") > SMALL).select("node", "lead")))
+    buckets = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # most values are of one node alone, so this drops most entries, without a shuffle where the rest are few
+    met = F.broadcast(buckets) if buckets.count() <= BROADCAST_NODES else buckets.hint("merge")
+    members = cut(entries.join(met, "bucket"))
+    crowded = members.where(F.col("n") > SMALL).select("bucket", "node")
+    leads = crowded.groupBy("bucket").agg(F.min("node").alias("lead"))
+    hot = cut(components(crowded.join(leads, "bucket").select("node", "lead")))
     small = members.where(F.col("n") <= SMALL).select("bucket", "node", "n_shingles")
     other = small.withColumnsRenamed({"node": "b", "n_shingles": "n_b"})
     pairs = (
@@ -235,10 +239,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     row at most is kept. Other columns are not read; an empty table gives no rows.
     """
     rows = cut(signed(docs, id_col, text_col))
-    copies = rows.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
     nodes = cut(
-        copies.groupBy("node").agg(
-            F.min("doc_id").alias("least_id"), F.sum("copies").alias("group_size"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")
+        rows.groupBy("node").agg(
+            F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("group_size"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")
         )
     )
     pairs, hot = _candidates(nodes)
