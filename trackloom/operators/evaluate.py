@@ -76,18 +76,19 @@ def enrich(tracks: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 
-MISS = F.col("gt_seg").isNotNull() & F.col("pred_seg").isNull()
-MISMATCH = F.col("gt_seg").isNotNull() & (F.coalesce(F.col("gt_seg") != F.col("pred_seg"), F.lit(False)))
-VALID = F.col("gt_seg").isNotNull()
+VALID = "gt_seg IS NOT NULL"
+MISS = "gt_seg IS NOT NULL AND pred_seg IS NULL"
+MISMATCH = "coalesce(gt_seg <> pred_seg, false)"
+CORRECT = "coalesce(gt_seg = pred_seg, false)"
 
 
 def accuracy_cells(aligned: DataFrame) -> DataFrame:
     """name, t and whether the cell counts, is missed, mismatched, correct."""
-    return aligned.select("name", "t", VALID.alias("gt_valid"), MISS.alias("miss"), MISMATCH.alias("mismatch"), (VALID & ~MISS & ~MISMATCH).alias("correct"))
+    return aligned.select("name", "t", *[F.expr(e).alias(n) for e, n in ((VALID, "gt_valid"), (MISS, "miss"), (MISMATCH, "mismatch"), (CORRECT, "correct"))])
 
 
 def _counts() -> list[Column]:
-    return [long_count(VALID).alias("n_gt"), long_count(MISS).alias("misses"), long_count(MISMATCH).alias("mismatches")]
+    return [long_count(F.expr(VALID)).alias("n_gt"), long_count(F.expr(MISS)).alias("misses"), long_count(F.expr(MISMATCH)).alias("mismatches")]
 
 
 def accuracy(aligned: DataFrame, by: str | None = None) -> DataFrame:
@@ -104,9 +105,9 @@ def accuracy_grouping_sets(aligned: DataFrame) -> DataFrame:
 def track_metrics(aligned: DataFrame, n_frames: Column) -> DataFrame:
     """Per name: detections, mistakes of each kind, gaps and their shares; aligned also has n_frames."""
     grouped = aligned.groupBy("name").agg(
-        long_count(VALID).alias("num_detections"),
-        long_count(MISMATCH).alias("num_mismatches"),
-        long_count(MISS).alias("num_misses"),
+        long_count(F.expr(VALID)).alias("num_detections"),
+        long_count(F.expr(MISMATCH)).alias("num_mismatches"),
+        long_count(F.expr(MISS)).alias("num_misses"),
         (F.max(n_frames) - F.count("pred_seg")).cast("bigint").alias("gaps"),
         F.max(n_frames).alias("n_frames"),
     )

@@ -30,9 +30,9 @@ def pad_frames(tracks: DataFrame, detections: DataFrame) -> DataFrame:
 
 def pad_rows(df: DataFrame, target_length: int) -> DataFrame:
     """df (with t) and rows of nulls, numbered on from its greatest t, up to target_length rows."""
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("t"), F.lit(-1)).alias("last"))
+    size = df.agg(F.count(F.lit(1)).cast("int").alias("n"), F.coalesce(F.max("t"), F.lit(-1)).alias("last"))
     extra = size.where(F.col("n") < target_length).select(
-        F.explode(F.sequence(F.col("last") + 1, F.col("last") + target_length - F.col("n"))).cast("int").alias("t")
+        F.explode(F.sequence(F.col("last") + 1, F.col("last") + target_length - F.col("n"))).alias("t")
     )
     return df.unionByName(extra, allowMissingColumns=True)
 

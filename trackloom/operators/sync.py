@@ -130,6 +130,29 @@ def round_block(block, null_cost: float | None = None) -> list[int | None]:
     return [c if c < len(size) else None for _, c in pairs]
 
 
+def steady_basis(vectors):
+    """vectors (rows by leading directions) turned so that rows of equal meaning point along one axis.
+
+    Directions of nearly equal strength come in an arbitrary rotation; the rows farthest apart are
+    chosen one by one, and the rotation nearest to putting them on the axes is applied.
+    """
+    import numpy as np
+
+    rest, chosen = np.array(vectors, dtype=float), []
+    for _ in range(vectors.shape[1]):
+        norms = (rest**2).sum(axis=1)
+        best = int(np.argmax(norms))
+        if norms[best] < 1e-12:
+            break
+        chosen.append(best)
+        axis = rest[best] / np.sqrt(norms[best])
+        rest = rest - np.outer(rest @ axis, axis)
+    u, _, v = np.linalg.svd(vectors[chosen].T, full_matrices=False)
+    turned = np.zeros_like(vectors)
+    turned[:, : len(chosen)] = vectors @ (u @ v)
+    return turned
+
+
 def spectral_permutations(entries: DataFrame, labels: int, weighting: str = "inv_sqrt") -> DataFrame:
     """run, label, mapped: each run's labels to common ones, from the leading eigenvectors of the
     products of all runs' weighted columns. That matrix has (runs x labels)^2 cells and no dimension
@@ -145,8 +168,9 @@ def spectral_permutations(entries: DataFrame, labels: int, weighting: str = "inv
     gram = np.zeros((len(runs) * labels,) * 2)
     for g in gram_matrix(weighted).toLocalIterator():
         gram[place[g["run1"]] * labels + g["label1"] - 1, place[g["run2"]] * labels + g["label2"] - 1] = g["g"]
-    _, vectors = np.linalg.eigh(gram)
-    top = vectors[:, ::-1][:, :labels]
+    values, vectors = np.linalg.eigh(gram)
+    top = vectors[:, ::-1][:, :labels] * (values[::-1][:labels] > 1e-9 * values[-1])
+    top = steady_basis(top)
     perms = [(int(run), k + 1, None if c is None else c + 1) for run, i in place.items() for k, c in enumerate(round_block(top[i * labels : (i + 1) * labels]))]
     return entries.sparkSession.createDataFrame(perms, "run int, label int, mapped int")
 
