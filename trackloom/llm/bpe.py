@@ -10,9 +10,11 @@ Pre-tokens never merge with each other: many of them share one queue, with links
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ from trackloom.llm.common import map_texts
 
 #: Bits of a word of the lower bitmap.
 FAN = 256
+#: Pre-tokens that share a queue: enough to spread the cost of setting one up, few enough for the CPU's cache.
+SHARED = 2_000
 #: Pre-tokens whose ids a worker remembers, at most; then it forgets all.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 class Encoder:
@@ -29,12 +33,13 @@ class Encoder:
     (lines of a base64 token and its rank) and the pattern that splits texts."""
 
     def __init__(self, rank_file: bytes, pattern: str):
+        import numpy as np
         import regex
 
         self.ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in rank_file.splitlines() if x)}
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern)
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.shift = max(self.tokens).bit_length()
         get = self.ranks.get
         self.pairs = {}
@@ -42,34 +47,37 @@ class Encoder:
             for i in range(1, len(token)):
                 if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None:
                     self.pairs[a << self.shift | b] = rank
+        get = self.pairs.get
+        self.first = np.array([get(int(a) << self.shift | int(b), -1) for a in self.single for b in self.single])  # of two bytes
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each piece, merging the pair of the lowest rank first and the leftmost of those."""
+        import numpy as np
+
         pairs, shift = self.pairs.get, self.shift
-        single = self.single
-        ids = [single[b] for b in b"".join(pieces)]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        starts, at = [], 0
-        for piece in pieces:
-            starts.append(at)
-            if piece:
-                before[at] = -1
-                at += len(piece)
-                after[at - 1] = -1
-        buckets: dict[int, list[int]] = {}
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        length = len(raw)
+        ends = np.cumsum(sizes)
+        inside = np.ones(length, dtype=bool)  # the position has a successor in its piece
+        inside[ends[sizes > 0] - 1] = False
+        places = np.arange(length)
+        after = np.where(inside, places + 1, -1).tolist()
+        before = np.where(np.concatenate([[False], inside[:-1]]), places - 1, -1).tolist() if length else []
+        ids = self.single[raw].tolist()
+        # the first pairs are of single bytes: their buckets come from one sort
+        first = self.first[raw[:-1].astype(np.int64) * 256 + raw[1:]] if length else np.empty(0, dtype=np.int64)
+        at = np.flatnonzero(inside[:-1] & (first >= 0))
+        at = at[np.argsort(first[at], kind="stable")]
+        ranks, starts = np.unique(first[at], return_index=True)
+        flat, bounds = at.tolist(), [*starts.tolist(), len(at)]
+        buckets = {r: flat[lo:hi] for r, lo, hi in zip(ranks.tolist(), bounds, bounds[1:])}
         words = [0] * (max(self.tokens) // FAN + 1)
         summary = 0
-        for p, q in enumerate(after):
-            if q >= 0 and (r := pairs(ids[p] << shift | ids[q])) is not None:
-                if r in buckets:
-                    buckets[r].append(p)
-                else:
-                    buckets[r] = [p]
-                    words[r // FAN] |= 1 << r % FAN
-        for w, bits in enumerate(words):
-            if bits:
-                summary |= 1 << w
+        for r in buckets:
+            words[r // FAN] |= 1 << r % FAN
+            summary |= 1 << r // FAN
         while summary:
             w = (summary & -summary).bit_length() - 1
             bits = words[w]
@@ -110,16 +118,21 @@ class Encoder:
                     words[w] |= 1 << r % FAN
                     summary |= 1 << w
                     break
-        out = []
-        for start, piece in zip(starts, pieces, strict=True):
-            found, p = [], start if piece else -1
-            while p >= 0:
-                found.append(ids[p])
-                p = after[p]
-            out.append(tuple(found))
-        return out
+        left = np.array(ids, dtype=np.int64)
+        alive = left >= 0
+        stops = np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], ends])].tolist()
+        flat = left[alive].tolist()
+        return [tuple(flat[lo:hi]) for lo, hi in zip(stops, stops[1:])]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text. Cyclic garbage isn't looked for meanwhile: what is made here has no cycles."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -130,7 +143,9 @@ class Encoder:
         whole = [self.ranks.get(b) for b in raw]
         known.update((w, (r,)) for w, r in zip(new, whole, strict=True) if r is not None)
         rest = [(w, b) for w, b, r in zip(new, raw, whole, strict=True) if r is None]
-        known.update(zip((w for w, _ in rest), self.merge([b for _, b in rest]), strict=True))
+        for i in range(0, len(rest), SHARED):
+            part = rest[i : i + SHARED]
+            known.update(zip((w for w, _ in part), self.merge([b for _, b in part]), strict=True))
         get = known.__getitem__
         return [list(chain.from_iterable(map(get, pieces))) for pieces in split]
 
@@ -164,8 +179,6 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """encoded with decoded, the bytes of its ids; null ids give null."""
-    import pandas as pd
-
     ranks = _read(vocabulary)
 
     @F.pandas_udf("binary")
