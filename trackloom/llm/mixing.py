@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import WORD, cut, text_digest, text_or_empty
 
 BLOCK_WORDS = 64
-CHUNK_ROWS = 20_000
+CHUNK_ROWS, LEAST_CHUNKS = 10_000, 256
 OUTPUT_SHARDS = 64
 MAX_REPEATS = 3
 SEED = 20240229
@@ -89,7 +89,7 @@ def plan(docs: DataFrame, keys: dict[str, Column] | None = None, block_words: in
             F.xxhash64(F.lit(seed), "doc_id").alias("_h"),
         )
     )
-    chunks = max(1, -(-sized.count() // CHUNK_ROWS)) * 16
+    chunks = max(LEAST_CHUNKS, sized.count() // CHUNK_ROWS)
     sized = sized.withColumn("chunk", F.pmod(F.col("_h"), F.lit(chunks)))
     parts = cut(sized.groupBy("sk", "chunk").agg(F.sum("size").alias("words")))
     sources = cut(
@@ -105,7 +105,8 @@ def plan(docs: DataFrame, keys: dict[str, Column] | None = None, block_words: in
     )
     inside = W.partitionBy("sk", "chunk").orderBy("_h", "doc_id", "size", *keys)
     rows = (
-        sized.join(offsets.drop("words"), ["sk", "chunk"])
+        # merged: the sizes that Spark derives for what is exploded or read from checkpoints are no proof of a small side
+        sized.join(offsets.drop("words").hint("merge"), ["sk", "chunk"])
         .withColumn("place", F.row_number().over(inside))
         .withColumn("start", F.col("offset") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
         .drop("_h", "offset")
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SH
     _, spans, uses = plan(docs, None, block_words, shards, seed)
     taken = uses.groupBy("sk", "block").agg(F.sum("n").alias("n"))
     return (
-        spans.join(taken, ["sk", "block"], "left")
+        spans.join(taken.hint("merge"), ["sk", "block"], "left")
         .groupBy("sk", "chunk", "place", "doc_id", "size", "source_size", "target")
         .agg(F.coalesce(F.sum((F.col("span_to") - F.col("span_from")) * F.col("n")), F.lit(0)).cast("bigint").alias("taken"))
         .select("doc_id", "size", "source_size", "target", "taken")
