@@ -62,7 +62,8 @@ def dedup(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id
         .groupBy("digest", "doc_id")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    groups = seen.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.sum("copies").alias("group_size"))
+    # written, so that the anti-join is not pushed below the aggregation, where all rows would shuffle
+    groups = cut(seen.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.sum("copies").alias("group_size")))
     fresh = groups.hint("merge").join(index.rows().select("digest"), "digest", "left_anti")
     index.append(fresh.select("digest", F.col("least_id").alias("keep_id"), F.lit(batch).alias("batch")))
     decided = cut(
