@@ -96,7 +96,9 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.lit(0).cast("bigint"),
         lambda a, x: a + x,
     )
-    return repeats.withColumn("n_repeat_words", covered).drop("_p")
+    measured = repeats.withColumn("n_repeat_words", covered).drop("_p")
+    # a generator holds back filters on the results, which would be pushed down as copies of all this inside its own lambdas
+    return measured.select("doc_id", F.inline(F.array(F.struct(*[c for c in measured.columns if c != "doc_id"]))))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
