@@ -1,0 +1,19 @@
+"""The operators with SQL give DuckDB's rows."""
+
+import duckdb
+import pytest
+
+from trackloom.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows(spark, name):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    found = duck.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    df = queries.queries()[name](spark, SF)
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(found.fetchall())

@@ -78,5 +78,47 @@ def queries() -> dict:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_secrets, op2_licenses, op3_rules, op4_exact_dedup, op5_bpe, op6_token_counts, op7_language, op8_ngram_join, op9_mix, op10_quality)}
 
 
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_EXACT = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)"""
+
+_RULES = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, s) AS n FROM
+    (SELECT doc_id, p, array_to_string(w[p:p + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d) a) b),
+rep AS (SELECT doc_id, sum(least(3, coalesce(next - p, 3))) AS n FROM
+    (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS next FROM win WHERE n > 1) c GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(translate(t, '{rules.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+    CAST(length(t) - length(translate(t, '!', '')) AS BIGINT) AS n_exclaims,
+    CAST(length(t) - length(translate(t, '{rules.UPPER}', '')) AS BIGINT) AS n_upper,
+    CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, CAST({" + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(rules.RULES.values()))} AS BIGINT) AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {rules.mask("base")} <> 0 AS base_failed,
+    fail_bits & {rules.mask("v1")} = 0 AS kept, fail_bits FROM b"""
+
+_JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+n AS (SELECT w, min(doc_id) AS id, count(*) AS group_size FROM d GROUP BY w),
+s AS (SELECT DISTINCT id, array_to_string(w[p:p + 4], ' ') AS s FROM
+    (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM n WHERE len(w) > 0) a),
+c AS (SELECT id, count(*) AS k FROM s GROUP BY id),
+pairs AS (SELECT a.id AS u, b.id AS v, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+link AS (SELECT u, v FROM pairs JOIN c cu ON cu.id = u JOIN c cv ON cv.id = v WHERE shared * 5 >= 4 * (cu.k + cv.k - shared)),
+e AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach(u, v) AS (SELECT id, id FROM n UNION SELECT reach.u, e.v FROM reach JOIN e ON e.u = reach.v),
+cls AS (SELECT u AS id, min(v) AS class_id FROM reach GROUP BY u),
+sized AS (SELECT class_id, sum(group_size) AS class_size FROM n JOIN cls USING (id) GROUP BY class_id),
+deg AS (SELECT u AS id, count(*) AS n_links FROM e GROUP BY u)
+SELECT d.doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(class_size AS BIGINT) AS class_size, n.group_size, d.doc_id = class_id AS kept
+FROM d JOIN n ON n.w = d.w JOIN cls ON cls.id = n.id JOIN sized USING (class_id) LEFT JOIN deg ON deg.id = n.id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that it can express: not lexing, merges by rank, compression, hashed draws or fitted scores."""
+    return {"op3_rules": _RULES, "op4_exact_dedup": _EXACT, "op8_ngram_join": _JACCARD}
