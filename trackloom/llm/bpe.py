@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import map_texts
+from trackloom.llm.common import map_texts, remembered
 
 #: Bits of a word of the lower bitmap.
 FAN = 256
 #: Pre-tokens that share a queue: enough to spread the cost of setting one up, few enough for the CPU's cache.
 SHARED = 2_000
 #: Pre-tokens whose ids a worker remembers, at most; then it forgets all.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 
 class Encoder:
@@ -49,7 +49,7 @@ class Encoder:
                     self.pairs[a << self.shift | b] = rank
         get = self.pairs.get
         self.first = np.array([get(int(a) << self.shift | int(b), -1) for a in self.single for b in self.single])  # of two bytes
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.name = f"ids {hashlib.sha256(rank_file + pattern.encode()).hexdigest()}"
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each piece, merging the pair of the lowest rank first and the leftmost of those."""
@@ -133,7 +133,7 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        known = self.known
+        known = remembered(self.name)
         if len(known) > REMEMBERED:
             known.clear()
         split = [self.split.findall(t) for t in texts]

@@ -60,21 +60,21 @@ def keep_rows(docs: DataFrame, key: Column, decisions: DataFrame) -> DataFrame:
     """
     losing = cut(
         decisions.groupBy("doc_id", "key")
-        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-        .where(~F.col("_kept") | (F.col("_n") > 1))
-        .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_kept")
+        .agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+        .where(~F.col("stays") | (F.col("n") > 1))
+        .select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "stays")
     )
-    n, n_repeated = losing.agg(F.count(F.lit(1)), F.count_if("_kept")).first()
-    keyed = docs.withColumn("_k", key)
-    met = keyed.join(
+    n, n_repeated = losing.agg(F.count(F.lit(1)), F.count_if("stays")).first()
+    # docs' columns travel as one, so that their names can't clash with those here
+    met = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), key.alias("key")).join(
         F.broadcast(losing) if n <= BROADCAST_ROWS else losing.hint("merge"),
-        F.col("_k").eqNullSafe(F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")),
+        F.col("key").eqNullSafe(F.col("of_key")) & F.col("id").eqNullSafe(F.col("of_id")),
         "left",
     )
-    kept = met.where(F.col("_kept").isNull()).select(*docs.columns)
+    kept = met.where(F.col("stays").isNull())
     if n_repeated:
-        kept = kept.unionByName(met.where("_kept").dropDuplicates(["_id", "_key"]).select(*docs.columns))
-    return kept
+        kept = kept.unionByName(met.where("stays").dropDuplicates(["id", "key"]))
+    return kept.select("row.*")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -83,6 +83,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch of texts, at most (or a single row): Spark's own bound is 64 MB, for each task at once.
+BATCH_BYTES = 4 * 1024 * 1024
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold BATCH_BYTES at most; a smaller setting stays."""
+    now = int(spark.conf.get(_BATCH).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+_memory: dict[str, dict] = {}
+
+
+def remembered(name: str) -> dict:
+    """What a worker process remembers under a name; a worker serves many operators in turn, so those
+    of other names forget theirs."""
+    for other in _memory:
+        if other != name and _memory[other]:
+            _memory[other].clear()
+    return _memory.setdefault(name, {})
+
+
 def map_texts(docs: DataFrame, rate, schema: str, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 4_000_000) -> DataFrame:
     """Arrow batches of (id, text) through rate, a function of a list of ids and a list of texts that
     returns one Python list per column of schema. The id column is called doc_id and keeps its type.
@@ -95,6 +119,7 @@ def map_texts(docs: DataFrame, rate, schema: str, id_col: str = "doc_id", text_c
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     out = StructType([*StructType().add("doc_id", kind).fields, *_parse_datatype_string(schema).fields])
     arrow = to_arrow_schema(out)

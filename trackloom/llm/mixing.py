@@ -162,28 +162,24 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int
     taken words with the white space after them. n_chars, where there is one, is the new length. Rows
     equal in id and text must have been brought to one before, as deduplication does.
     """
-    keyed = docs.withColumn("_d", text_digest(F.col("text")))
-    _, spans, uses = plan(docs, {"_d": text_digest(F.col("text"))}, block_words, shards, seed)
+    # docs' columns travel as one, so that their names can't clash with those here
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("whole"), text_digest(F.col("text")).alias("digest"))
+    _, spans, uses = plan(docs, {"of_digest": text_digest(F.col("text"))}, block_words, shards, seed)
     taken = uses.groupBy("sk", "block").agg(F.sum("n").alias("n"))
     used = (
         spans.where("size > 0")
         .join(taken.hint("merge"), ["sk", "block"], "left")
-        .groupBy("doc_id", "_d", "sk", "chunk", "place", "start")
-        .agg(F.sort_array(F.collect_list(F.struct("block", F.coalesce("n", F.lit(0)).alias("n")))).alias("_blocks"))
-        .select("doc_id", "_d", (F.col("start") % block_words).alias("_into"), F.transform("_blocks", lambda b: b["n"]).alias("_uses"))
-        .where(F.array_max("_uses") > 0)
-        .groupBy("doc_id", "_d")
-        .agg(F.collect_list(F.struct("_into", "_uses")).alias("_rows"))
-        .withColumnsRenamed({"doc_id": "_id", "_d": "_dk"})
+        .groupBy("doc_id", "of_digest", "sk", "chunk", "place", "start")
+        .agg(F.sort_array(F.collect_list(F.struct("block", F.coalesce("n", F.lit(0)).alias("n")))).alias("blocks"))
+        .select(F.col("doc_id").alias("of_id"), "of_digest", (F.col("start") % block_words).alias("into"), F.transform("blocks", lambda b: b["n"]).alias("uses"))
+        .where(F.array_max("uses") > 0)
     )
-    rounds = (
-        keyed.join(used.hint("merge"), F.col("_d").eqNullSafe(F.col("_dk")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-        .withColumn("_r", F.explode("_rows"))
-        .withColumn("_round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max("_r._uses"))))
+    rounds = keyed.join(used.hint("merge"), F.col("digest").eqNullSafe(F.col("of_digest")) & F.col("id").eqNullSafe(F.col("of_id"))).withColumn(
+        "round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max("uses")))
     )
-    pieces = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
-    block_of = lambda i: F.floor((i + F.col("_r._into")) / block_words).cast("int")
-    taken_words = F.array_join(F.filter(pieces, lambda _, i: F.get(F.col("_r._uses"), block_of(i)) >= F.col("_round")), "")
-    one = rounds.withColumn("_text", F.when(F.array_min("_r._uses") >= F.col("_round"), F.col("text")).otherwise(taken_words))
-    out = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return one.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
+    pieces = F.regexp_extract_all("whole", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    block_of = lambda i: F.floor((i + F.col("into")) / block_words).cast("int")
+    words = F.array_join(F.filter(pieces, lambda _, i: F.get("uses", block_of(i)) >= F.col("round")), "")
+    one = rounds.withColumn("taken", F.when(F.array_min("uses") >= F.col("round"), F.col("whole")).otherwise(words))
+    out = {"text": F.col("taken")} | ({"n_chars": F.length("taken").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return one.select(*[out.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

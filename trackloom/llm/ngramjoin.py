@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import cut, keep_rows, map_texts, normalised
+from trackloom.llm.common import cut, keep_rows, map_texts, normalised, small_batches
 from trackloom.llm.components import components
 from trackloom.llm.shingles import WORDS, shingle_set
 
@@ -238,6 +238,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     null id loses to any other. Rows equal in id and words are one document repeated, of which one
     row at most is kept. Other columns are not read; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = cut(signed(docs, id_col, text_col))
     nodes = cut(
         rows.groupBy("node").agg(

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+from trackloom.llm.common import remembered
+
 #: Words between ASCII white space.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
-_seen: dict[bool, dict[str, int]] = {False: {}, True: {}}
+#: Words whose hashes a worker remembers, at most; then it forgets all.
+REMEMBERED = 200_000
 
 
 def word_hashes(words: list[str], fold: bool = False):
@@ -15,8 +18,8 @@ def word_hashes(words: list[str], fold: bool = False):
     import numpy as np
     import xxhash
 
-    seen = _seen[fold]
-    if len(seen) > 500_000:
+    seen = remembered("folded words" if fold else "words")
+    if len(seen) > REMEMBERED:
         seen.clear()
     for w in set(words).difference(seen):
         seen[w] = xxhash.xxh3_64_intdigest(w.lower() if fold else w)
