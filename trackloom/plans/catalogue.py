@@ -195,6 +195,11 @@ def adjacent_tracking_accuracy(spark, d):
     return evaluate.adjacent_accuracy(fx.gt(spark, d), fx.det(spark, d))
 
 
+@query
+def carried_index(spark, d):
+    return evaluate.carried_index(frames.pad_frames(fx.gt(spark, d), fx.det(spark, d)))
+
+
 @query
 def template_match(spark, d):
     rows = fx.vectors(spark, d).join(fx.det(spark, d).select("linear_ind", F.col("gt_label").alias("label")), "linear_ind")
@@ -597,6 +602,12 @@ def cluster_counts(spark, d):
     return cluster.cluster_counts(_labelled(spark, d))
 
 
+@query
+def noise_count(spark, d):
+    noisy = _labelled(spark, d).withColumn("label", F.when(F.col("linear_ind") % 9 == 0, -1).otherwise(F.col("label")))
+    return cluster.noise_count(noisy)
+
+
 @query
 def cluster_centroids(spark, d):
     rows = fx.vectors(spark, d).join(fx.det(spark, d).select("linear_ind", F.col("gt_label").alias("label")), "linear_ind")

@@ -120,6 +120,10 @@ BODIES = {
         lag(g.z) OVER w AS pz, lag(g.x) OVER w AS px, lag(g.y) OVER w AS py FROM (SELECT DISTINCT name FROM gt) n
         CROSS JOIN (SELECT CAST(unnest(range(n_frames)) AS INT) AS t FROM n_frames) s LEFT JOIN gt g ON g.name = n.name AND g.t = s.t
         WINDOW w AS (PARTITION BY n.name ORDER BY s.t)) q""".replace("(b.z - a.z)", "(z - pz)").replace("(b.x - a.x)", "(x - px)").replace("(b.y - a.y)", "(y - py)"),
+    "carried_index": """SELECT n.name, s.t, g.raw_neuron_ind, last_value(g.raw_neuron_ind IGNORE NULLS) OVER
+        (PARTITION BY n.name ORDER BY s.t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_ind FROM (SELECT DISTINCT name FROM gt) n
+        CROSS JOIN (SELECT CAST(unnest(range(n_frames)) AS INT) AS t FROM n_frames) s LEFT JOIN gt g ON g.name = n.name AND g.t = s.t""",
+    "noise_count": "SELECT CAST(count_if(linear_ind % 9 = 0) AS BIGINT) AS n FROM det",
     "nn_distance_all": f"SELECT a.linear_ind, a.t, {_r(f'min({_distance("a", "b")})', 'dist')} FROM det a JOIN det b ON a.t = b.t AND a.linear_ind <> b.linear_ind GROUP BY a.linear_ind, a.t",
     "nn_distance_mean": f"""SELECT t, {_r('avg(dist)', 'mean_dist')} FROM (SELECT DISTINCT t FROM det) s LEFT JOIN
         (SELECT a.linear_ind, a.t, min({_distance('a', 'b')}) AS dist FROM det a JOIN det b ON a.t = b.t AND a.linear_ind <> b.linear_ind GROUP BY ALL) q USING (t) GROUP BY t""",
