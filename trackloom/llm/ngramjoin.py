@@ -202,8 +202,10 @@ def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = F.broadcast(buckets) if buckets.count() <= BROADCAST_NODES else buckets.hint("merge")
     members = cut(entries.join(met, "bucket"))
     crowded = members.where(F.col("n") > SMALL).select("bucket", "node")
-    leads = crowded.groupBy("bucket").agg(F.min("node").alias("lead"))
-    hot = cut(components(crowded.join(leads, "bucket").select("node", "lead")))
+    # written first, so that a bucket of very many nodes can be split in the join, or need not shuffle
+    leads = cut(crowded.groupBy("bucket").agg(F.min("node").alias("lead")))
+    led = F.broadcast(leads) if leads.count() <= BROADCAST_NODES else leads.hint("merge")
+    hot = cut(components(crowded.join(led, "bucket").select("node", "lead")))
     small = members.where(F.col("n") <= SMALL).select("bucket", "node", "n_shingles")
     other = small.withColumnsRenamed({"node": "b", "n_shingles": "n_b"})
     pairs = (
