@@ -59,7 +59,9 @@ def keep_rows(docs: DataFrame, key: Column, decisions: DataFrame) -> DataFrame:
     in a shuffled join.
     """
     losing = cut(
-        decisions.groupBy("doc_id", "key")
+        # dealt anew, as what comes from a join on the key would keep its partitions, and a hot key in one task
+        decisions.repartition("doc_id", "key")
+        .groupBy("doc_id", "key")
         .agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
         .where(~F.col("stays") | (F.col("n") > 1))
         .select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "stays")
