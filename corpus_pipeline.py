@@ -22,9 +22,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = exactdedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))).create()
-    decisions = exactdedup.dedup(docs, index, "corpus")
-    index.drop()  # its decisions are in the shared folder by now
-    return exactdedup.keep(docs, decisions)
+    try:
+        return exactdedup.keep(docs, exactdedup.dedup(docs, index, "corpus"))
+    finally:
+        index.drop()  # the decisions are in the shared folder by now
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,9 +31,10 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exactdedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))).create()
-    result = exactdedup.dedup(documents(spark, sf_dir), index, "documents")
-    index.drop()  # its decisions are in the shared folder by now
-    return result
+    try:
+        return exactdedup.dedup(documents(spark, sf_dir), index, "documents")
+    finally:
+        index.drop()  # the decisions are in the shared folder by now
 
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
