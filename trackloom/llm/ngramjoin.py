@@ -194,18 +194,23 @@ def _verify_blocks(batches):
         )
 
 
+def _lookup(df: DataFrame) -> DataFrame:
+    """df as the side of a join that has each key once: broadcast if it is small when counted, else
+    shuffled. It is written first, so that the join is not tied to the partitions that made it and
+    AQE can split a key of very many rows on the other side."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df.hint("merge")
+
+
 def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs a < b from small buckets, hot nodes with the root of what large buckets connect)."""
     entries = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # most values are of one node alone, so this drops most entries, without a shuffle where the rest are few
-    met = F.broadcast(buckets) if buckets.count() <= BROADCAST_NODES else buckets.hint("merge")
-    members = cut(entries.join(met, "bucket"))
+    members = cut(entries.join(_lookup(buckets), "bucket"))
     crowded = members.where(F.col("n") > SMALL).select("bucket", "node")
-    # written first, so that a bucket of very many nodes can be split in the join, or need not shuffle
-    leads = cut(crowded.groupBy("bucket").agg(F.min("node").alias("lead")))
-    led = F.broadcast(leads) if leads.count() <= BROADCAST_NODES else leads.hint("merge")
-    hot = cut(components(crowded.join(led, "bucket").select("node", "lead")))
+    leads = crowded.groupBy("bucket").agg(F.min("node").alias("lead"))
+    hot = cut(components(crowded.join(_lookup(leads), "bucket").select("node", "lead")))
     small = members.where(F.col("n") <= SMALL).select("bucket", "node", "n_shingles")
     other = small.withColumnsRenamed({"node": "b", "n_shingles": "n_b"})
     pairs = (
@@ -258,7 +263,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     sizes = hot.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = (
-        hot.join(sizes, "root")
+        hot.join(_lookup(sizes), "root")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node")
@@ -286,7 +291,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.min(F.struct(F.col("least_id").isNull(), "least_id", "node"))["node"].alias("first_node"),
         F.sum("group_size").alias("class_size"),
     )
-    decided = cut(rooted.join(roots, "root").select("node", "least_id", "group_size", "n_links", "class_id", "class_size", (F.col("node") == F.col("first_node")).alias("leads")))
+    decided = cut(rooted.join(_lookup(roots), "root").select("node", "least_id", "group_size", "n_links", "class_id", "class_size", (F.col("node") == F.col("first_node")).alias("leads")))
     # a node of very many rows is split by AQE: both sides are plain exchanges
     per_row = rows.select("doc_id", "node").groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     return (
