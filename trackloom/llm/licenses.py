@@ -74,7 +74,15 @@ class Templates:
                 least = np.stack([self.least(self.sets[t]).min(axis=0) for t in members])  # templates x bands
                 near = np.zeros(1 << 16, dtype=bool)
                 near[(least & np.uint32(0xFFFF)).ravel()] = True
-                self.index[k, c] = least, near
+                keys = np.unique(self.keys(np.arange(bands), least))
+                self.index[k, c] = least, near, keys
+
+    @staticmethod
+    def keys(band, least):
+        """Band and least hash as one number."""
+        import numpy as np
+
+        return (np.asarray(band, dtype=np.uint64) << np.uint64(32)) | least.astype(np.uint64)
 
     def least(self, shingles):
         """The hash of each shingle under each band's function."""
@@ -101,8 +109,10 @@ class Templates:
                 if c not in classes:
                     continue
                 windows = np.minimum(least, np.concatenate([least[1:], least[-1:]]))
-                wanted, near = self.index[k, c]
-                for w, band in zip(*np.nonzero(near[windows & np.uint32(0xFFFF)]), strict=True):
+                wanted, near, keys = self.index[k, c]
+                at_window, at_band = np.nonzero(near[windows & np.uint32(0xFFFF)])
+                met = np.isin(self.keys(at_band, windows[at_window, at_band]), keys)
+                for w, band in zip(at_window[met].tolist(), at_band[met].tolist(), strict=True):
                     for t in np.flatnonzero(wanted[:, band] == windows[w, band]):
                         found.setdefault(classes[c][t], []).append((max(0, at + w * c - c), at + w * c + 3 * c))
         return found
