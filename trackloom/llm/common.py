@@ -43,8 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Pieces of a table up to which dealing it out over the cores costs little.
+FEW_PIECES = 64
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table of documents. One that is read in fewer pieces than there are cores, FEW_PIECES at
+    most, is dealt out first, as one file of one row group is a single task; a large table never is."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < min(cores, FEW_PIECES) else docs
 
 
 #: Rows up to which decisions are broadcast (about 100 bytes each); beyond, they are shuffled.
