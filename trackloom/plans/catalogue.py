@@ -419,7 +419,7 @@ def lr_schedule(spark, d):
 
 @query
 def split_model_name(spark, d):
-    names = spark.createDataFrame([("net_v2_zimmer",), ("barlow_small_flavell",), ("single",), ("a_b_lab",)], "model string")
+    names = spark.createDataFrame([("net_v2_north",), ("net_small_south",), ("single",), ("a_b_lab",)], "model string")
     return trials.split_model_name(names)
 
 

@@ -179,7 +179,7 @@ BODIES = {
         FROM events GROUP BY user_id) c USING (trial) LEFT JOIN (SELECT trial, count(*) AS n FROM stats GROUP BY trial) m USING (trial)""",
     "lr_schedule": """SELECT CAST(i AS INT) AS step, round(CASE WHEN i < 40 THEN i / 256.0::DOUBLE / 40 ELSE q / 256.0::DOUBLE + 0.001::DOUBLE / 256 * (1 - q) END, 9) AS lr
         FROM (SELECT i, 0.5::DOUBLE * (1 + cos(pi() * (i - 40) / 160)) AS q FROM (SELECT unnest(range(200)) AS i) a) b""",
-    "split_model_name": "SELECT * FROM (VALUES ('net_v2_zimmer', 'zimmer', 'net_v2'), ('barlow_small_flavell', 'flavell', 'barlow_small'), ('single', 'single', ''), ('a_b_lab', 'lab', 'a_b')) v(model, lab, prefix)",
+    "split_model_name": "SELECT * FROM (VALUES ('net_v2_north', 'north', 'net_v2'), ('net_small_south', 'south', 'net_small'), ('single', 'single', ''), ('a_b_lab', 'lab', 'a_b')) v(model, lab, prefix)",
     "knn_graph": "SELECT src, dst, CAST(rk AS INT) AS rk FROM near",
     "seed_labels": "SELECT node, label FROM seeds",
     "label_prop_step": f"SELECT node, label, {_r('p')} FROM h1",
