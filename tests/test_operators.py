@@ -173,6 +173,33 @@ def test_tracker_finds_blobs(spark, mode):
     assert one_to_one({(n, k) for n, _, k in cells}) and len(cells) >= 4 * (12 - (mode == "overlapping_windows") * 2) * 0.7
 
 
+def test_tracker_works_at_the_reference_parameters(spark):
+    t = Tracker(blobs(spark), 12)
+    assert (t.seeds, t.steps, t.window, t.fitted_frames, t.least_share, t.over_chance) == (100, 100, 120, 120, 0.1, 1.1)
+    assert rows(t.track("overlapping_windows").agg(F.max("t")), "max(t)") == [(11,)]
+    assert len(rows(t.track("streaming"), "name", "t")) >= 40
+
+
+def test_seed_shares_equal_propagation(spark):
+    points = fixtures.vectors(spark, SF).where("linear_ind < 120")
+    edges = graph.knn(points, 4).localCheckpoint()
+    seeds = graph.seed_labels(points, [0, 7]).localCheckpoint()
+    want = {(r["run"], r["node"]): (r["label"], r["p"]) for r in graph.label_topk(graph.label_rownorm(graph.propagate(edges, seeds, 7, least=0.0).where("p > 0")), 1).collect()}
+    got = {(r["run"], r["node"]): (r["label"], r["p"]) for r in graph.seed_shares(edges, seeds, 7).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+    assert sum(got[k][0] != want[k][0] for k in want) <= 2  # equals but for rounding
+
+
+def test_labels_spread_along_a_long_chain(spark):
+    """A point 30 steps from the seeds takes their label at 100 steps, and has none at 10."""
+    x = [(0, 0, 0, 0.5, [0.0]), (1, 0, 1, 0.5, [1000.0])] + [(i + 1, i, 0, 0.5, [float(i)]) for i in range(1, 31)]
+    points = spark.createDataFrame(x, "linear_ind bigint, t int, raw_neuron_ind int, likelihood double, x array<double>")
+    seeds = graph.seed_labels(points, [0])
+    edges = graph.knn(points, 3)
+    assert graph.seed_shares(edges, seeds, 10).where("node = 31").count() == 0
+    assert rows(graph.seed_shares(edges, seeds, 100).where("node = 31"), "label", "p") == [(1, 1.0)]
+
+
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         Tracker(blobs(spark), 12).track("other")

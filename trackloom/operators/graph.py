@@ -95,6 +95,52 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int, least: float = 1e-
     return state
 
 
+def seed_shares(edges: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
+    """run, node, label, p: each node's likeliest label after so many steps, and its part of the node's sum.
+
+    The same spread as propagate's, for many steps and runs: labels do not meet, so a run is one task's
+    work, label by label, and holds a few numbers per node and one per edge. The edges go through the
+    driver to each worker. Nothing is dropped; a node no label reaches has no row; equals go to the first label.
+    """
+    import numpy as np
+
+    table = with_self_loops(edges).toArrow()
+    src, dst, w = (table[c].to_numpy() for c in ("src", "dst", "w"))
+    nodes = np.unique(np.concatenate([src, dst]))
+    order = np.argsort(src, kind="stable")
+    targets, heads = np.searchsorted(nodes, dst[order]).astype("int32"), np.searchsorted(nodes, src[order]).astype("int32")
+    at, starts = np.unique(heads, return_index=True)
+    weight = w[order]
+
+    def spread(pdf):
+        import pandas as pd
+
+        place = np.searchsorted(nodes, pdf.node.to_numpy())
+        inside = place < len(nodes)
+        inside[inside] = nodes[place[inside]] == pdf.node.to_numpy()[inside]
+        total, most, best = np.zeros(len(nodes)), np.zeros(len(nodes)), np.zeros(len(nodes), dtype="int32")
+        for label in sorted(pdf.label.unique()):
+            clamped = (pdf.label.to_numpy() == label)[inside].astype(float)
+            p = np.zeros(len(nodes))
+            p[place[inside]] = clamped
+            for _ in range(steps if len(at) else 0):
+                after = np.zeros(len(nodes))
+                after[at] = np.add.reduceat(p[targets] * weight, starts)
+                after[place[inside]] = clamped
+                p = after
+            total += p
+            more = p > most
+            most[more], best[more] = p[more], label
+        met = total > 0
+        out = pd.DataFrame({"node": nodes[met], "label": best[met], "p": most[met] / total[met]})
+        alone = pdf[~inside][["node", "label"]].assign(p=1.0)  # seeds without edges keep their label
+        out = pd.concat([out, alone]) if len(alone) else out
+        return out.assign(run=pdf.run.iloc[0])[["run", "node", "label", "p"]]
+
+    runs = max(1, seeds.select("run").distinct().count())
+    return seeds.repartition(runs, "run").groupBy("run").applyInPandas(spread, "run int, node bigint, label int, p double")
+
+
 def label_topk(state: DataFrame, k: int) -> DataFrame:
     """The k likeliest labels of a node, with rk; equals by label."""
     w = W.partitionBy("run", "node").orderBy(F.desc("p"), "label")

@@ -23,10 +23,12 @@ class Tracker:
     cluster_size: float = 0.5
     samples: float = 0.02
     neighbours: int = 20
-    steps: int = 10
-    seeds: int = 20
-    window: int = 20
-    fitted_frames: int = 12
+    steps: int = 100
+    seeds: int = 100
+    window: int = 120
+    fitted_frames: int = 120
+    least_share: float = 0.1
+    over_chance: float = 1.1
 
     def track(self, mode: str) -> DataFrame:
         if mode not in MODES:
@@ -42,25 +44,32 @@ class Tracker:
 
     def _streaming(self) -> DataFrame:
         """Fitted on evenly spaced frames; the other frames take the labels of their nearest fitted points."""
-        chosen = frames.evenly_spaced(self.points, self.fitted_frames)
+        fitted_frames = min(self.fitted_frames, self.n_frames)
+        chosen = frames.evenly_spaced(self.points, fitted_frames)
         some = self.points.join(chosen, "t", "left_semi")
-        fitted = cut(cluster.hdbscan_labels(some, *sizes_for(self.fitted_frames, self.cluster_size, self.samples)).where("label >= 0"))
+        fitted = cut(cluster.hdbscan_labels(some, *sizes_for(fitted_frames, self.cluster_size, self.samples)).where("label >= 0"))
         rest = cluster.nn_label_assign(self.points.join(chosen, "t", "left_anti"), fitted.join(some.select("linear_ind", "x"), "linear_ind"))
         return self._tracks(fitted.unionByName(rest.withColumn("prob", F.lit(0.5))))
 
     def _label_propagation(self) -> DataFrame:
-        """Labels of several seed frames spread over one neighbour graph, then synchronised."""
+        """Labels of several seed frames spread over one neighbour graph, then synchronised. A label counts
+        where its share is least_share or more and over_chance times that of chance among its frame's objects."""
         n = min(self.seeds, self.n_frames // 2)
         chosen = [r["t"] for r in frames.hashed_sample(self.points.select("t").distinct(), "t", n).collect()]
         edges = graph.knn(self.points, self.neighbours)
-        state = graph.propagate(edges, graph.seed_labels(self.points, chosen), self.steps)
-        return self._tracks(sync.spectral_sync(graph.labelings_of(state, self.points), self.points))
+        seeds = cut(graph.seed_labels(self.points, chosen))
+        least = seeds.groupBy("run").agg(F.greatest(F.lit(self.least_share), self.over_chance / F.count(F.lit(1))).alias("least"))
+        sure = graph.seed_shares(edges, seeds, self.steps).join(F.broadcast(least), "run").where("p >= least")  # one row per run
+        labelings = sure.select("run", F.col("node").alias("linear_ind"), "label", F.col("p").alias("prob")).join(self.points.select("linear_ind", "t"), "linear_ind")
+        return self._tracks(sync.spectral_sync(labelings, self.points))
 
     def _overlapping_windows(self) -> DataFrame:
         """Each window is clustered alone; its tracks take the names of the window before by most cells
         in common, or new names; each cell goes to the name of most windows."""
-        dealt = frames.overlapping_windows(self.points, self.window)
-        labels = cluster.hdbscan_labels(dealt, *sizes_for(self.window, self.cluster_size, self.samples), by="start").where("label >= 0")
+        window = min(self.window, self.n_frames)
+        # a window of all frames is the only one and holds the last frame too
+        dealt = frames.overlapping_windows(self.points, window) if window < self.n_frames else self.points.withColumn("start", F.lit(0))
+        labels = cluster.hdbscan_labels(dealt, *sizes_for(window, self.cluster_size, self.samples), by="start").where("label >= 0")
         cells = cut(dealt.drop("likelihood").join(labels, ["start", "linear_ind"]).withColumn("raw_seg_id", F.col("linear_ind")))
         named, top = None, 0
         for start in sorted(r["start"] for r in cells.select("start").distinct().collect()):
