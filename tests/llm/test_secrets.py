@@ -52,6 +52,39 @@ def test_lexer():
     assert literals("--auth-token=Zx81kqP0mLw2") == ["Zx81kqP0mLw2"]
 
 
+def test_subscripts():
+    for target in ('os.environ["API_SECRET"]', "config['password']", 'c["db"]["password"]', "config[PASSWORD]", "password[0]", "tokens['auth-token'] "):
+        assert literals(f'{target} = "q8Rk2LmZ0tYw"') == ["q8Rk2LmZ0tYw"], target
+    assert literals("c['title'] = 'q8Rk2LmZ0tYw'") == [] and literals("] = 'q8Rk2LmZ0tYw'") == [] and literals("'] = 'q8Rk2LmZ0tYw'") == []
+
+
+def test_typed_declarations():
+    for left in ("password: str", "const apiToken: string", "def f(secret: Optional[str]", "token: dict[str, list[str]] | None", "const TOKEN: &'static str", "passwd?: string", "note: password"):
+        assert literals(f"{left} = 'q8Rk2LmZ0tYw'") == ["q8Rk2LmZ0tYw"], left
+    assert literals("token:str='q8Rk2LmZ0tYw'") == ["q8Rk2LmZ0tYw"]
+    assert literals("password: str = BASE") == [] and literals("B: str = 'q8Rk2LmZ0tYw'\npassword: str = B") == ["q8Rk2LmZ0tYw"]
+    assert literals("password: ApplicationSecretString1 = None") == []
+    assert literals("api_key: q8Rk2LmZ0tYw=\n") == ["q8Rk2LmZ0tYw="]
+
+
+def test_prefixes_and_three_quotes():
+    for value in ('b"{}"', "f'{}'", 'r"{}"', "Rb'{}'", '@"{}"', '"""{}"""', "'''{}'''", 'b"""\n{}\n"""'):
+        assert literals("password = " + value.replace("{}", "q8Rk2LmZ0tYw")) == ["q8Rk2LmZ0tYw"], value
+    assert literals("token = b'q8Rk2L' + b'mZ0tYw'") == ["q8Rk2L' + b'mZ0tYw"]
+    assert literals('token = f"{settings.LONG_TOKEN_Name1}"') == []
+    assert literals('doc = """\npassword = \'q8Rk2LmZ0tYw\'\n"""') == ["q8Rk2LmZ0tYw"] == literals('log = f"password=q8Rk2LmZ0tYw"')
+
+
+def test_long_odd_lines_take_linear_time():
+    import time
+
+    began = time.time()
+    for piece in ("a: b[", "a: b<", "a[0]", "x]=", 'x = """', "a: b | ", "a: b[]", "x = b'", "a:b[<"):
+        secrets.lexed_spans(piece * 40_000)
+        secrets.lexed_spans("k: v" + piece * 40_000 + " = 'x'")
+    assert time.time() - began < 60
+
+
 def test_constants_and_concatenation():
     assert literals('BASE = "q8Rk2LmZ0tYw"\npassword = BASE') == ["q8Rk2LmZ0tYw"]
     assert literals("K = 'q8Rk2L'\ncolour = K") == []

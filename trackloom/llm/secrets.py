@@ -2,9 +2,10 @@
 
 Three base patterns find secrets by their shape. Beside them, a lexer reads source and
 configuration syntax into name-literal pairs (name = "x", name: x, "name": "x", name := 'x',
-name => "x", --name=x), folds literals joined by +, propagates constants (KEY = "x" ...
-password = KEY) and scores each literal by the sensitive words of the names it reaches and by its
-own shape. Literals that score enough add spans of kind "lexed".
+name => "x", --name=x, a["name"] = "x", name: type = "x"; strings with a prefix or three quotes
+too), folds literals joined by +, propagates constants (KEY = "x" ... password = KEY) and scores
+each literal by the sensitive words of the names it reaches and by its own shape. Literals that
+score enough add spans of kind "lexed".
 """
 
 from __future__ import annotations
@@ -25,8 +26,20 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 OPERATOR = re.compile(r"[ \t]*(:=|=>|==|!=|<=|>=|[=:])")
 NAME_END = re.compile(r"[A-Za-z0-9_.\-]")
-LITERAL = re.compile(r'''[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;(){}\[\]<>]+))''')
-PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'])")
+PREFIX = r"(?:[bBrRfFuU]{1,2}|[@$L]{1,2})"
+#: A prefix; then what stands in three quotes, if it is one word, or in one pair; or a bare word.
+LITERAL = re.compile(
+    rf"""[ \t]*(?:({PREFIX})?(?:"{{3}}\s*((?:[^\s\\"]|\\.|"(?!""))+)\s*"{{3}}|'{{3}}\s*((?:[^\s\\']|\\.|'(?!''))+)\s*'{{3}}"""
+    r"""|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')|([^\s"',;(){}\[\]<>]+))"""
+)
+BARE = 6
+PLUS = re.compile(rf"[ \t]*\+[ \t]*(?={PREFIX}?[\"'])")
+INSIDE = r"""[^\[\]<>=\n"']"""
+NESTED = rf"[\[<](?:{INSIDE}|[\[<](?:{INSIDE}|[\[<]{INSIDE}*+[\]>])*+[\]>])*+[\]>]"
+TERM = rf"(?:[&*](?:'\w+[ \t]+)?)?(?:mut[ \t]+)?[A-Za-z_][\w.]*+(?:{NESTED})*+"
+#: A type between name: and =, which has a space before it or a quoted literal behind.
+TYPED = re.compile(rf"[ \t]*{TERM}(?:[ \t]*\|[ \t]*{TERM})*+(?:[ \t]+(?==(?![=>~]))|[ \t]*(?==[ \t]*{PREFIX}?[\"']))")
+FIELDS = re.compile(r"(?:\{[^{}]*\})+")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -58,9 +71,41 @@ def literal_score(literal: str) -> int:
     return (n >= 12) + (n >= 20) + (classes >= 2) + (entropy >= 3.0)
 
 
+def _name_before(text: str, end: int) -> str:
+    """The name that ends there: a quoted subscript is the name, other subscripts belong to it."""
+    behind = ""
+    while end and text[end - 1] == "]":
+        quoted = end > 1 and text[end - 2] in "\"'"
+        last = start = end - 1 - quoted
+        while start and NAME_END.match(text[start - 1]):
+            start -= 1
+        head = start - quoted
+        if head < 1 or text[head - 1] != "[" or (quoted and text[head] != text[last]):
+            return ""
+        if quoted:
+            return text[start:last].lstrip("-.0123456789")
+        behind, end = f".{text[start:last]}{behind}", head - 1
+    if end and text[end - 1] in "\"'":
+        end -= 1
+    start = end
+    while start and NAME_END.match(text[start - 1]):
+        start -= 1
+    name = text[start:end].lstrip("-.0123456789")
+    return name and name + behind
+
+
+def _literal(m: re.Match) -> tuple[str, int, int, bool]:
+    """Its value, start and end, and whether it has one pair of quotes and no prefix."""
+    group = next(g for g in range(2, BARE + 1) if m[g] is not None)
+    value = m[group].rstrip(".,;") if group == BARE else m[group]
+    fields = "f" in (m[1] or "").lower() and FIELDS.fullmatch(value)  # holds no text of its own
+    return "" if fields else value, m.start(group), m.start(group) + len(value), group in (4, 5) and not m[1]
+
+
 def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
     """(name, literal, start, end, quoted) in order; adjacent quoted literals joined by + are one."""
     found, at = [], 0
+    typed: tuple[int, str] | None = None
     for mark in re.finditer("[=:]", text):
         i = mark.start()
         if i < at:
@@ -75,21 +120,25 @@ def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
         end = j
         while end and text[end - 1] in " \t":
             end -= 1
-        if end and text[end - 1] in "\"'":
+        if op[1] == ":" and end and text[end - 1] in "?!":
             end -= 1
-        start = end
-        while start and NAME_END.match(text[start - 1]):
-            start -= 1
-        name = text[start:end].lstrip("-.0123456789")
-        if not name or not (lit := LITERAL.match(text, op.end())):
+        name = _name_before(text, end)
+        if name and op[1] == ":" and (kind := TYPED.match(text, op.end())):
+            typed, at = (kind.end(), name), kind.end()
+            continue
+        names = [name] if name else []
+        if typed and typed[0] == i:  # the type's own name counts where it is sensitive, as in "note: password = ..."
+            names = [typed[1], *(n for n in names if name_score(n))]
+        if not names or not (lit := LITERAL.match(text, op.end())):
             continue
-        group = next(g for g in (1, 2, 3) if lit[g] is not None)
-        value, first, last, stop = lit[group], lit.start(group), lit.end(group), lit.end()
-        while group < 3 and (plus := PLUS.match(text, stop)) and (more := LITERAL.match(text, plus.end())) and more[3] is None:
-            g = 1 if more[1] is not None else 2
-            value, last, stop = value + more[g], more.end(g), more.end()
-        found.append((name, value.rstrip(".,;") if group == 3 else value, first, last if group < 3 else first + len(value.rstrip(".,;")), group < 3))
-        at = stop if group < 3 else op.end()
+        quoted = lit[BARE] is None
+        value, first, last, plain = _literal(lit)
+        stop = lit.end()
+        while quoted and (plus := PLUS.match(text, stop)) and (more := LITERAL.match(text, plus.end())) and more[BARE] is None:
+            added, _, last, one = _literal(more)
+            value, plain, stop = value + added, plain and one, more.end()
+        found += [(n, value, first, last, quoted) for n in names]
+        at = stop if plain else first if quoted else op.end()  # assignments within other strings count too
     return found
 
 
