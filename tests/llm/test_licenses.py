@@ -43,6 +43,42 @@ def test_best_of_near_templates(spark):
     assert [t[0] for t in one(spark, "This work is licensed under the GNU General Public License, version 2.")] == ["GPL-2.0"]
 
 
+FREE = "This program is free software; you can redistribute it and/or modify it under the terms of "
+BY = "as published by the Free Software Foundation"
+
+
+def names(spark, text):
+    return [t[0] for t in one(spark, "lorem ipsum dolor sit amet " * 20 + text + " lorem ipsum dolor sit amet" * 20)]
+
+
+def test_gnu_notices_tell_their_versions(spark):
+    gpl, later = "the GNU General Public License ", "of the License, or (at your option) any later version."
+    assert names(spark, f"{FREE}{gpl}{BY}; either version 2 {later}") == ["GPL-2.0"]
+    assert names(spark, f"{FREE}{gpl}{BY}, either version 3 {later}") == ["GPL-3.0"]
+    assert names(spark, f"{FREE}{gpl}version 2 {BY}.") == ["GPL-2.0"]
+    assert names(spark, f"{FREE}version 2 of {gpl}{BY}.") == ["GPL-2.0"]
+    assert names(spark, f"{FREE}{gpl}{BY}.") == ["GPL"]
+    assert names(spark, f"{FREE}the GNU Affero General Public License {BY}, either version 3 {later}") == ["AGPL-3.0"]
+    assert names(spark, f"{FREE.replace('program', 'library')}the GNU Lesser General Public License {BY}; either version 2.1 {later}") == ["LGPL-2.1"]
+
+
+def test_terms_alone_are_found(spark):
+    texts = dict(licenses.TEXTS)
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "ISC", "Zlib", "BSL-1.0", "EPL-1.0", "BSD-3-Clause"} <= texts.keys()
+    df = spark.createDataFrame([(n, t.replace(" the ", " THE\n * ")) for n, t in texts.items()], "doc_id string, text string")
+    assert sorted((r["doc_id"], r["license"], r["containment"]) for r in licenses.scan(df).collect()) == sorted((n, n, 1.0) for n in texts)
+    edited = {n: " ".join(w for i, w in enumerate(t.split()) if i % 67 != 40) for n, t in texts.items() if not n.startswith(("BSD", "ISC", "Zlib", "MIT"))}
+    df = spark.createDataFrame(list(edited.items()), "doc_id string, text string")
+    assert sorted((r["doc_id"], r["license"]) for r in licenses.scan(df).collect()) == sorted((n, n) for n in edited)
+    assert names(spark, texts["BSD-3-Clause"].partition("are met: ")[2]) == ["BSD-3-Clause"]
+
+
+def test_long_template_across_stretches(spark):
+    text = dict(licenses.TEXTS)["GPL-3.0"]
+    for before in (licenses.STRETCH - 3000, licenses.STRETCH - 100):
+        assert [t[0] for t in one(spark, "alpha " * before + text + " omega" * 9000)] == ["GPL-3.0"]
+
+
 def test_very_long_text_is_scanned_whole(spark):
     text = "alpha beta gamma delta " * 20_000 + TEMPLATES[5][1] + " omega" * 20_000
     assert [t[0] for t in one(spark, text)] == ["GPL-3.0"]

@@ -16,23 +16,41 @@ import re
 from pyspark.sql import DataFrame
 
 from trackloom.llm.common import map_texts
+from trackloom.llm.license_texts import TEXTS
 from trackloom.llm.shingles import shingle_hashes, word_hashes
 
 SHINGLE = 5
 BANDS = 48
 CONTAINMENT = 0.8
-#: Shingles dealt with at once.
-STRETCH = 8192
+#: Shingles dealt with at once, and hashed at once; a stretch is long beside the widest window.
+STRETCH = 1 << 17
+HASHED = 8192
 TOKEN = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
-#: Notices of public licenses.
+_FREE = "This {0} is free software: you can redistribute it and/or modify it under the terms of {1}"
+_BY = " as published by the Free Software Foundation"
+
+
+def _gnu(kind: str, of: str, version: str, name: str) -> list[tuple[str, str]]:
+    """A GNU license's notices that tell its version, with and without later ones."""
+    texts = (
+        f"the GNU {kind}{_BY}, either version {version} of the License, or (at your option) any later version.",
+        f"the GNU {kind} version {version}{_BY}.",
+        f"the GNU {kind}, version {version} only,{_BY}.",
+        f"version {version} of the GNU {kind}{_BY}.",
+        f"the GNU {kind}{_BY}; version {version} of the License.",
+    )
+    return [(name, _FREE.format(of, t)) for t in texts]
+
+
+#: Notices and terms of public licenses. A GNU notice without its version is of the family.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    _gnu("General Public License", "program", "3", "GPL-3.0")[0],
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -44,8 +62,33 @@ TEMPLATES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("all-rights-reserved", "All rights reserved."),
+    *_gnu("General Public License", "program", "3", "GPL-3.0")[1:],
+    *_gnu("General Public License", "program", "2", "GPL-2.0"),
+    *_gnu("General Public License", "program", "1", "GPL-1.0"),
+    *_gnu("Lesser General Public License", "library", "3", "LGPL-3.0"),
+    *_gnu("Lesser General Public License", "library", "2.1", "LGPL-2.1"),
+    *_gnu("Library General Public License", "library", "2", "LGPL-2.0"),
+    *_gnu("Affero General Public License", "program", "3", "AGPL-3.0"),
+    ("GPL", _FREE.format("program", "the GNU General Public License" + _BY)),
+    ("LGPL", _FREE.format("library", "the GNU Lesser General Public License" + _BY)),
+    ("AGPL", _FREE.format("program", "the GNU Affero General Public License" + _BY)),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    *TEXTS,
 ]
 
+
+def _halved(least):
+    """The least of each two rows."""
+    import numpy as np
+
+    if len(least) % 2:
+        least = np.concatenate([least, least[-1:]])
+    return np.minimum(least[0::2], least[1::2])
+
+
 class Templates:
     """The index: per shingle length and window class, the templates' least hash in each band."""
 
@@ -99,13 +142,11 @@ class Templates:
         widest = max(classes)
         for at in range(0, len(shingles), STRETCH):
             part = shingles[at : at + STRETCH + widest]  # a window may reach over the end of its stretch
-            least = self.least(part)
+            least = np.concatenate([_halved(self.least(part[i : i + HASHED])) for i in range(0, len(part), HASHED)])
             c = 1
             while c < widest:
                 c *= 2
-                if len(least) % 2:
-                    least = np.concatenate([least, least[-1:]])
-                least = np.minimum(least[0::2], least[1::2])  # of blocks of c shingles
+                least = least if c == 2 else _halved(least)  # of blocks of c shingles
                 if c not in classes:
                     continue
                 windows = np.minimum(least, np.concatenate([least[1:], least[-1:]]))
@@ -132,19 +173,28 @@ class Templates:
 
 
 def _least_stretches(places, hashes, docs, size) -> list[tuple[int, int, float]]:
+    """Least stretches that hold enough, each drawn out while more of the template comes within a sixth of its size."""
     need = max(1, -(-size * int(CONTAINMENT * 1000) // 1000))
-    out, lo, held = [], 0, {}
-    for hi, (p, h, d) in enumerate(zip(places, hashes, docs, strict=True)):
+    gap = max(1, size // 6)
+    out, lo, hi, held = [], 0, 0, {}
+    while hi < len(places):
+        p, h, d = places[hi], hashes[hi], docs[hi]
         held[h] = held.get(h, 0) + 1
         while lo < hi and (docs[lo] != d or p - places[lo] > 3 * size or held[hashes[lo]] > 1):
             held[hashes[lo]] -= 1
             if not held[hashes[lo]]:
                 del held[hashes[lo]]
             lo += 1
-        follows = hi + 1 < len(places) and places[hi + 1] == p + 1 and docs[hi + 1] == d and hashes[hi + 1] not in held
-        if len(held) >= need and not follows:
-            out.append((places[lo], p, len(held) / size))
-            lo, held = hi + 1, {}
+        if len(held) >= need:
+            last = at = hi
+            while len(held) < size and at + 1 < len(places) and places[at + 1] - places[last] <= gap and docs[at + 1] == d:
+                at += 1
+                if hashes[at] not in held:
+                    held[hashes[at]] = 1
+                    last = at
+            out.append((places[lo], places[last], len(held) / size))
+            hi, lo, held = last, last + 1, {}
+        hi += 1
     return out
 
 
