@@ -200,6 +200,26 @@ def test_labels_spread_along_a_long_chain(spark):
     assert rows(graph.seed_shares(edges, seeds, 100).where("node = 31"), "label", "p") == [(1, 1.0)]
 
 
+def correlation(a, b):
+    """Of the columns of a with those of b."""
+    z = [(v - v.mean(0)) / v.std(0, ddof=1) for v in (a, b)]
+    return z[0].T @ z[1] / len(a)
+
+
+def vectors_of(spark):
+    got = fixtures.vectors(spark, SF).orderBy("linear_ind").collect()
+    return np.array([r["linear_ind"] for r in got]), np.array([r["t"] for r in got]), np.array([r["x"] for r in got])
+
+
+def test_object_correlation_of_every_frame(spark):
+    ids, t, x = vectors_of(spark)
+    got = {(r["t"], r["i"], r["j"]): r["c"] for r in catalogue.queries()["cross_corr_objects_all"](spark, SF).collect()}
+    assert len(got) == sum((t == f).sum() ** 2 for f in set(t)) and {k[0] for k in got} == set(t)
+    for f in (0, 7, int(t.max())):
+        own, c = ids[t == f], correlation(x[t == f].T, x[t == f][:, ::-1].T)
+        assert all(got[f, i, j] == pytest.approx(c[a, b], abs=2e-6) for a, i in enumerate(own) for b, j in enumerate(own))
+
+
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         Tracker(blobs(spark), 12).track("other")

@@ -21,13 +21,14 @@ def cross_corr(views: DataFrame) -> DataFrame:
     return both.groupBy((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j")).agg(c.alias("c"))
 
 
-def cross_corr_objects(views: DataFrame) -> DataFrame:
-    """i, j, c between objects, over their features: rows of linear_ind, a and b of one frame."""
-    flat = views.select("linear_ind", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "v")).select("linear_ind", "pos", "v.a", "v.b")
-    left, right = flat.select(F.col("linear_ind").alias("i"), "pos", F.col("a").alias("x")), flat.select(F.col("linear_ind").alias("j"), "pos", F.col("b").alias("y"))
+def cross_corr_objects(views: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """i, j, c between objects, over their features: rows of linear_ind, a and b of one frame, or of
+    many with their columns by, which the result then has in front."""
+    flat = views.select(*by, "linear_ind", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "v")).select(*by, "linear_ind", "pos", "v.a", "v.b")
+    left, right = flat.select(*by, F.col("linear_ind").alias("i"), "pos", F.col("a").alias("x")), flat.select(*by, F.col("linear_ind").alias("j"), "pos", F.col("b").alias("y"))
     n = F.count(F.lit(1))
     c = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")) * (n - 1) / n
-    return left.join(right, "pos").groupBy("i", "j").agg(c.alias("c"))
+    return left.join(right, [*by, "pos"]).groupBy(*by, "i", "j").agg(c.alias("c"))
 
 
 def matrix_loss(c: DataFrame, off: float = LAMBDA) -> DataFrame:

@@ -562,6 +562,17 @@ def cross_corr_objects(spark, d):
     return _objects(spark, d).withColumn("c", r6("c"))
 
 
+def _objects_all(spark, d):
+    views = fx.vectors(spark, d).select("t", "linear_ind", F.col("x").alias("a"), F.reverse("x").alias("b"))
+    return corr.cross_corr_objects(views, by=("t",))
+
+
+@query
+def cross_corr_objects_all(spark, d):
+    """Every frame's objects; cross_corr_objects has the frame that its SQL names."""
+    return _objects_all(spark, d).withColumn("c", r6("c"))
+
+
 @query
 def barlow_loss(spark, d):
     return corr.barlow_loss(_features(spark, d), _objects(spark, d)).select(*[r6(c).alias(c) for c in ("loss_feat", "loss_obj", "loss")])
