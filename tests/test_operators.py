@@ -220,6 +220,30 @@ def test_object_correlation_of_every_frame(spark):
         assert all(got[f, i, j] == pytest.approx(c[a, b], abs=2e-6) for a, i in enumerate(own) for b, j in enumerate(own))
 
 
+def test_features_and_losses_of_whole_vectors(spark):
+    _, t, x = vectors_of(spark)
+    size = x.shape[1]
+    c = correlation(x, x[:, ::-1])
+    got = {(r["i"], r["j"]): r["c"] for r in catalogue.queries()["cross_corr_features_all"](spark, SF).collect()}
+    assert len(got) == size**2 and all(got[i + 1, j + 1] == pytest.approx(c[i, j], abs=2e-6) for i in range(size) for j in range(size))
+
+    def loss(cells):
+        return np.mean([((m - 1) ** 2 * np.eye(len(m)) + corr.LAMBDA * m**2 * (1 - np.eye(len(m)))).sum() for m in cells]) / len(cells[0]) ** 2
+
+    objects = [correlation(x[t == f].T, x[t == f][:, ::-1].T) for f in sorted(set(t))]
+    r = catalogue.queries()["barlow_loss_all"](spark, SF).first()
+    assert (r["loss_feat"], r["loss_obj"]) == (pytest.approx(loss([c]), abs=2e-6), pytest.approx(loss(objects), abs=2e-6))
+
+
+def test_rescale_of_whole_vectors(spark):
+    ids, _, x = vectors_of(spark)
+    low, high = np.percentile(x, 5, axis=1)[:, None], x.max(axis=1)[:, None]
+    want = (np.maximum(x, low) - low) / (high - low)
+    got = rows(catalogue.queries()["rescale_intensity_all"](spark, SF), "linear_ind", "pos", "val")
+    assert [g[:2] for g in got] == [(i, p) for i in ids for p in range(x.shape[1])]
+    assert np.allclose([g[2] for g in got], want.ravel(), atol=2e-6)
+
+
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         Tracker(blobs(spark), 12).track("other")

@@ -297,6 +297,12 @@ def rescale_intensity(spark, d):
     return crops.rescale_intensity(values).withColumn("val", r6("val"))
 
 
+@query
+def rescale_intensity_all(spark, d):
+    """Whole vectors; rescale_intensity has the four values that its SQL names."""
+    return crops.rescale_intensity(fx.vectors(spark, d).select("linear_ind", F.col("x").alias("vals"))).withColumn("val", r6("val"))
+
+
 # assign
 
 
@@ -573,6 +579,22 @@ def cross_corr_objects_all(spark, d):
     return _objects_all(spark, d).withColumn("c", r6("c"))
 
 
+def _features_all(spark, d):
+    return corr.cross_corr(fx.vectors(spark, d).select(F.col("x").alias("a"), F.reverse("x").alias("b")))
+
+
+@query
+def cross_corr_features_all(spark, d):
+    """All dimensions; cross_corr_features has the four by four that its SQL names."""
+    return _features_all(spark, d).withColumn("c", r6("c"))
+
+
+@query
+def barlow_loss_all(spark, d):
+    """Over all dimensions and over all cells of every frame's objects."""
+    return corr.barlow_loss(_features_all(spark, d), _objects_all(spark, d)).select(*[r6(c).alias(c) for c in ("loss_feat", "loss_obj", "loss")])
+
+
 @query
 def barlow_loss(spark, d):
     return corr.barlow_loss(_features(spark, d), _objects(spark, d)).select(*[r6(c).alias(c) for c in ("loss_feat", "loss_obj", "loss")])
