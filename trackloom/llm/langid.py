@@ -36,7 +36,8 @@ class Model:
 
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", excerpts: int = EXCERPTS) -> Model:
-    """A model from labelled rows; null languages and texts are passed over.
+    """A model from labelled rows; null languages and texts are passed over. More than LANGUAGES
+    different languages are refused with a ValueError, as a text is compressed once for each.
 
     One pass counts the rows of each language; a second takes the rows whose hash is under a
     threshold that the count sets, about twice as many as needed, and of each only an excerpt at a
