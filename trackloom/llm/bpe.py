@@ -12,9 +12,11 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-from itertools import chain
+from array import array
+from collections.abc import Iterator
+from itertools import chain, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,13 @@ from trackloom.llm.common import map_texts, remembered
 FAN = 256
 #: Pre-tokens that share a queue: enough to spread the cost of setting one up, few enough for the CPU's cache.
 SHARED = 2_000
-#: Pre-tokens whose ids a worker remembers, at most; then it forgets all.
-REMEMBERED = 500_000
+#: Bytes from which a queue's lists are arrays: slower, but a fifteenth of the memory.
+COMPACT = 1 << 20
+#: Bytes of the pre-tokens whose ids a worker remembers, about; then it forgets all. Those of more
+#: than LONGEST characters are never remembered.
+REMEMBERED, LONGEST = 32 << 20, 64
+#: Characters of the texts that are split together, and pre-tokens that are dealt with at once.
+TOGETHER, PIECES = 500_000, 100_000
 
 
 class Encoder:
@@ -49,6 +56,9 @@ class Encoder:
                     self.pairs[a << self.shift | b] = rank
         get = self.pairs.get
         self.first = np.array([get(int(a) << self.shift | int(b), -1) for a in self.single for b in self.single])  # of two bytes
+        self.own = list(range(max(self.tokens) + 1))  # one object per id, for all who hold it
+        self.decimal = list(map(str, self.own))
+        self.held = 0
         self.name = f"ids {hashlib.sha256(rank_file + pattern.encode()).hexdigest()}"
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
@@ -59,20 +69,22 @@ class Encoder:
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         length = len(raw)
+        listed = (lambda x: array("i", x.astype(np.int32).tobytes())) if length > COMPACT else np.ndarray.tolist
         ends = np.cumsum(sizes)
         inside = np.ones(length, dtype=bool)  # the position has a successor in its piece
         inside[ends[sizes > 0] - 1] = False
-        places = np.arange(length)
-        after = np.where(inside, places + 1, -1).tolist()
-        before = np.where(np.concatenate([[False], inside[:-1]]), places - 1, -1).tolist() if length else []
-        ids = self.single[raw].tolist()
+        places = np.arange(length, dtype=np.int32)
+        after = listed(np.where(inside, places + 1, -1))
+        before = listed(np.where(np.concatenate([[False], inside[:-1]]), places - 1, -1)) if length else []
+        ids = listed(self.single[raw])
         # the first pairs are of single bytes: their buckets come from one sort
-        first = self.first[raw[:-1].astype(np.int64) * 256 + raw[1:]] if length else np.empty(0, dtype=np.int64)
+        first = self.first[raw[:-1].astype(np.int32) * 256 + raw[1:]] if length else np.empty(0, dtype=np.int32)
         at = np.flatnonzero(inside[:-1] & (first >= 0))
         at = at[np.argsort(first[at], kind="stable")]
         ranks, starts = np.unique(first[at], return_index=True)
-        flat, bounds = at.tolist(), [*starts.tolist(), len(at)]
+        flat, bounds = listed(at), [*starts.tolist(), len(at)]
         buckets = {r: flat[lo:hi] for r, lo, hi in zip(ranks.tolist(), bounds, bounds[1:])}
+        del places, first, at, flat
         words = [0] * (max(self.tokens) // FAN + 1)
         summary = 0
         for r in buckets:
@@ -85,8 +97,7 @@ class Encoder:
             words[w] = bits = bits & (bits - 1)
             if not bits:
                 summary &= summary - 1
-            entries = buckets.pop(r)
-            entries.sort()
+            entries = sorted(buckets.pop(r))
             for k, p in enumerate(entries):
                 q = after[p]
                 a = ids[p]
@@ -118,26 +129,19 @@ class Encoder:
                     words[w] |= 1 << r % FAN
                     summary |= 1 << w
                     break
-        left = np.array(ids, dtype=np.int64)
+        left = np.array(ids, dtype=np.int32)
         alive = left >= 0
         stops = np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], ends])].tolist()
-        flat = left[alive].tolist()
+        flat = list(map(self.own.__getitem__, left[alive].tolist()))
         return [tuple(flat[lo:hi]) for lo, hi in zip(stops, stops[1:])]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text. Cyclic garbage isn't looked for meanwhile: what is made here has no cycles."""
-        gc.disable()
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _learn(self, pieces: set[str]) -> tuple[dict, list[str]]:
+        """Ids by pre-token, those of pieces among them, and the pieces to forget once they were used."""
         known = remembered(self.name)
-        if len(known) > REMEMBERED:
+        if self.held > REMEMBERED or not known:
             known.clear()
-        split = [self.split.findall(t) for t in texts]
-        new = [w for w in set(chain.from_iterable(split)) if w not in known]
+            self.held = 0
+        new = [w for w in pieces if w not in known]
         raw = [w.encode() for w in new]
         # a piece that is a token as a whole is that token, whatever its merges
         whole = [self.ranks.get(b) for b in raw]
@@ -146,10 +150,50 @@ class Encoder:
         for i in range(0, len(rest), SHARED):
             part = rest[i : i + SHARED]
             known.update(zip((w for w, _ in part), self.merge([b for _, b in part]), strict=True))
-        get = known.__getitem__
-        return [list(chain.from_iterable(map(get, pieces))) for pieces in split]
+        once = [w for w in new if len(w) > LONGEST]
+        self.held += sum(200 + 2 * len(w) + 8 * len(known[w]) for w in new if len(w) <= LONGEST)
+        return known, once
+
+    def _parts(self, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+        """(text, its pre-tokens) in order; those of a long text in parts."""
+        for i, text in enumerate(texts):
+            if len(text) <= TOGETHER:
+                yield i, self.split.findall(text)
+            else:
+                found = (m[0] for m in self.split.finditer(text))
+                while part := list(islice(found, PIECES)):
+                    yield i, part
+
+    def parts(self, texts: list[str]) -> Iterator[tuple[int, list[int]]]:
+        """(text, ids) in order, a text's ids in one part or more. Parts are made together up to a bound
+        of characters, so that memory follows neither the number of texts nor their length, but for a
+        single pre-token. Cyclic garbage isn't looked for meanwhile: what is made here has no cycles."""
+        held, chars = [], 0
+        for i, pieces in chain(self._parts(texts), [(-1, [])]):
+            held.append((i, pieces))
+            chars += sum(map(len, pieces))
+            if i < 0 or chars > TOGETHER:
+                gc.disable()
+                try:
+                    known, once = self._learn(set(chain.from_iterable(p for _, p in held)))
+                    get = known.__getitem__
+                    made = [(j, list(chain.from_iterable(map(get, p)))) for j, p in held if j >= 0]
+                    for w in once:
+                        del known[w]
+                finally:
+                    gc.enable()
+                held, chars = [], 0
+                yield from made
+                del made
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        out: list[list[int]] = [[] for _ in texts]
+        for i, ids in self.parts(texts):
+            out[i] += ids
+        return out
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
@@ -174,31 +218,46 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     are encoded one by one; other columns are not read. The rank file, of a few MB at most, is read
     on the driver from the path given and travels with the task."""
     ranks = _read(vocabulary)
-    return map_texts(docs, lambda ids, texts: [ids, encoder(ranks, pattern).encode([t or "" for t in texts])], "ids array<int>", id_col, text_col)
+
+    def rate(ids, texts):
+        import numpy as np
+
+        out = [array("i") for _ in texts]
+        for i, part in encoder(ranks, pattern).parts([t or "" for t in texts]):
+            out[i].extend(part)
+        return [ids, [np.frombuffer(x, dtype=np.int32) for x in out]]
+
+    return map_texts(docs, rate, "ids array<int>", id_col, text_col, TOGETHER)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """encoded with decoded, the bytes of its ids; null ids give null."""
     ranks = _read(vocabulary)
 
-    @F.pandas_udf("binary")
-    def to_bytes(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def to_bytes(column: pa.Array) -> pa.Array:
         coder = encoder(ranks, "(?!)")
-        return column.map(lambda ids: None if ids is None else coder.decode(ids.tolist()))
+        return pa.array((coder.decode(x.values.to_pylist()) if x.is_valid else None for x in column), pa.binary())
 
     return encoded.withColumn("decoded", to_bytes(F.col(ids_col)))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the
-    bytes that the ids decode to), in one pass that never sends ids out of the worker."""
+    bytes that the ids decode to), in one pass that never sends ids out of the worker. Null and empty
+    texts have no ids, and their digests are those of nothing; an empty table gives no rows. Digests
+    are fed part by part, so the ids of a long text are never held at once."""
     ranks = _read(vocabulary)
 
     def rate(ids, texts):
         coder = encoder(ranks, pattern)
-        name = {r: str(r) for r in coder.tokens}.__getitem__
-        encoded = coder.encode([t or "" for t in texts])
-        sha = lambda data: hashlib.sha256(data).hexdigest()
-        return [ids, list(map(len, encoded)), [sha(",".join(map(name, x)).encode()) for x in encoded], [sha(coder.decode(x)) for x in encoded]]
+        decimal = coder.decimal.__getitem__
+        counts, named, decoded = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
+        for i, part in coder.parts([t or "" for t in texts]):
+            if part:
+                named[i].update(((counts[i] and ",") or "").encode() + ",".join(map(decimal, part)).encode())
+                decoded[i].update(coder.decode(part))
+                counts[i] += len(part)
+        return [ids, counts, [h.hexdigest() for h in named], [h.hexdigest() for h in decoded]]
 
-    return map_texts(docs, rate, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", id_col, text_col)
+    return map_texts(docs, rate, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", id_col, text_col, TOGETHER)

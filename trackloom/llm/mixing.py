@@ -163,7 +163,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int
     equal in id and text must have been brought to one before, as deduplication does.
     """
     # docs' columns travel as one, so that their names can't clash with those here
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("whole"), text_digest(F.col("text")).alias("digest"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_digest(F.col("text")).alias("digest"))
     _, spans, uses = plan(docs, {"of_digest": text_digest(F.col("text"))}, block_words, shards, seed)
     taken = uses.groupBy("sk", "block").agg(F.sum("n").alias("n"))
     used = (
@@ -177,9 +177,10 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int
     rounds = keyed.join(used.hint("merge"), F.col("digest").eqNullSafe(F.col("of_digest")) & F.col("id").eqNullSafe(F.col("of_id"))).withColumn(
         "round", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max("uses")))
     )
-    pieces = F.regexp_extract_all("whole", F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
+    whole = F.col("row.text").cast("string")  # taken from the row here, so that texts shuffle once
+    pieces = F.regexp_extract_all(whole, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
     block_of = lambda i: F.floor((i + F.col("into")) / block_words).cast("int")
     words = F.array_join(F.filter(pieces, lambda _, i: F.get("uses", block_of(i)) >= F.col("round")), "")
-    one = rounds.withColumn("taken", F.when(F.array_min("uses") >= F.col("round"), F.col("whole")).otherwise(words))
+    one = rounds.withColumn("taken", F.when(F.array_min("uses") >= F.col("round"), whole).otherwise(words))
     out = {"text": F.col("taken")} | ({"n_chars": F.length("taken").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return one.select(*[out.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,10 +221,11 @@ def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: st
 
 def score_column(model: Additive, text_col: str = "text"):
     """The score as a column expression, for filters that keep a table's own columns; null counts as empty."""
-    @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def rate(texts: pa.Array) -> pa.Array:
         import numpy as np
 
-        return pd.Series(model.score(np.array([features(t or "") for t in texts], dtype=float).reshape(-1, len(FEATURES))))
+        found = [features(t.as_py() or "") for t in texts]  # one text at a time
+        return pa.array(model.score(np.array(found, dtype=float).reshape(-1, len(FEATURES))))
 
     return rate(F.col(text_col).cast("string"))

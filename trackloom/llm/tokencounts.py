@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,12 +140,14 @@ def count_fields(docs: DataFrame, fields: list[str], vocabulary: str, pattern: s
     with open(vocabulary, "rb") as f:
         ranks = f.read()
 
-    @F.pandas_udf("struct<doc_tokens:bigint, field_tokens:array<double>>")
-    def rate(texts: pd.Series, bounds: pd.Series) -> pd.DataFrame:
+    kind = pa.struct([("doc_tokens", pa.int64()), ("field_tokens", pa.list_(pa.float64()))])
+
+    @F.arrow_udf("struct<doc_tokens:bigint, field_tokens:array<double>>")
+    def rate(texts: pa.Array, bounds: pa.Array) -> pa.Array:
         rows = []
         for text, b in zip(texts, bounds, strict=True):
-            starts, ends = token_spans(text, ranks, pattern)
-            rows.append((len(starts), allocate(starts, ends, [(x["lo"], x["hi"]) for x in b], rule)[0]))
-        return pd.DataFrame(rows, columns=["doc_tokens", "field_tokens"])
+            starts, ends = token_spans(text.as_py(), ranks, pattern)
+            rows.append({"doc_tokens": len(starts), "field_tokens": allocate(starts, ends, [(x["lo"], x["hi"]) for x in b.as_py()], rule)[0]})
+        return pa.array(rows, kind)
 
     return joined_fields(docs, fields, separator).select("doc_id", rate("text", "bounds").alias("r")).select("doc_id", "r.*")
