@@ -78,6 +78,52 @@ def test_permutations_and_shards(corpus):
     assert rows.count() == corpus.count()
 
 
+def test_permutation_is_a_bijection(spark):
+    for n in (1, 2, 3, 7, 64, 1000):
+        rows = spark.range(n).withColumn("n", F.lit(n).cast("bigint"))
+        at = mixing.permuted(F.col("id"), F.col("n"), mixing.permutation(F.col("n"), 1, "s", F.lit(0)))
+        assert sorted(r[0] for r in rows.select(at).collect()) == list(range(n))
+
+
+def test_permutation_of_very_many_blocks(spark):
+    """Beyond 2^32 blocks: rounds taken backwards give the index again, and images are spread evenly."""
+    n = 5 * 2**33 + 17
+    rows = spark.range(0, n, n // 2_000).withColumn("n", F.lit(n).cast("bigint"))
+    rounds = mixing.permutation(F.col("n"), 9, "s", F.lit(2))
+    there = rows.select("id", "n", rounds.alias("r"), mixing.permuted(F.col("id"), F.col("n"), rounds).alias("y"))
+    back = there.select("id", "n", "y", mixing.permuted(F.col("y"), F.col("n"), F.reverse("r")).alias("x")).collect()
+    assert all(r["x"] == r["id"] and 0 <= r["y"] < n for r in back) and len({r["y"] for r in back}) == len(back)
+    per_tenth = Counter(r["y"] * 10 // n for r in back)
+    assert all(abs(per_tenth[i] - 200) < 75 for i in range(10))
+
+
+def test_taken_equals_brute_force(corpus, texts):
+    """The words of each document laid out in order, block by block, from the drawn uses."""
+    block = 16
+    rows, _, uses = mixing.plan(corpus, block_words=block, shards=8)
+    times, of_shard = Counter(), defaultdict(Counter)
+    for r in uses.collect():
+        times[r["sk"], r["block"]] += r["n"]
+        of_shard[r["sk"], r["block"]][r["shard"]] += r["n"]
+    ends = defaultdict(int)
+    for r in rows.collect():
+        assert r["size"] == n_words(texts[r["doc_id"]])
+        ends[r["sk"]] = max(ends[r["sk"]], r["start"] + r["size"])
+    want = {}
+    for r in rows.collect():
+        spread = Counter()
+        for w in range(r["start"], r["start"] + r["size"]):
+            spread.update(of_shard[r["sk"], w // block])
+        want[r["doc_id"]] = (sum(times[r["sk"], w // block] for w in range(r["start"], r["start"] + r["size"])), ",".join(f"{s}:{n}" for s, n in sorted(spread.items())))
+    got = {r["doc_id"]: (r["taken"], r["shard_words"]) for r in mixing.mix(corpus, block_words=block, shards=8).collect()}
+    assert got == want
+    # every source's words are one stretch without gaps
+    sizes = Counter()
+    for r in rows.collect():
+        sizes[r["sk"]] += r["size"]
+    assert sizes == ends
+
+
 def test_no_python_in_the_plan(corpus):
     plan = mixing.mix(corpus)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "BroadcastNestedLoop" not in plan and "Cartesian" not in plan

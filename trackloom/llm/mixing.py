@@ -2,12 +2,18 @@
 
 Each source's words are laid end to end, in a pseudorandom order of its documents, and packed into
 blocks of a fixed number of words. The mix takes a number of blocks from each source that meets its
-target; each such slot draws an output shard, so a shard's counts by source are multinomial, and the
-slot's place in its source goes through a pseudorandom permutation of the source's block indexes.
-Blocks then join slots by (source, index).
-
-A source of any size is dealt over many chunks: the place of a document is the chunk's offset (a
-running sum over small chunk totals) plus its place within the chunk.
+target, the source's slots. Every output shard draws how many slots of each source it has: the
+counts are multinomial, given that a source's slots add up to what meets its target. A slot's place
+in its source goes through a pseudorandom permutation of the source's block indexes, another one for
+each time that the source is gone through. Blocks then join slots by (source, index).
+
+The permutation is a swap-or-not network (Hoang, Morris and Rogaway, 2012): in each round an index x
+and its partner (k - x mod n) change places or not, as a keyed bit of the greater of the two says.
+It is a bijection of 0..n-1 for any n, so no index has to be walked back into range.
+
+A source of any size is dealt over many chunks of hashes: the place of a document is the chunk's
+offset (a running sum over small chunk totals) plus its place within the chunk. All hashes are of
+MD5, which other engines have too.
 """
 
 from __future__ import annotations
@@ -19,12 +25,38 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import WORD, cut, text_digest, text_or_empty
 
 BLOCK_WORDS = 64
-CHUNK_ROWS, LEAST_CHUNKS = 10_000, 256
+#: Chunks are a power of two, so that they cut the order of the hashes into stretches.
+CHUNK_ROWS, LEAST_CHUNK_BITS = 10_000, 8
 OUTPUT_SHARDS = 64
 MAX_REPEATS = 3
 SEED = 20240229
-#: Multipliers of the index permutations: primes above 2^30, so none shares a factor with a smaller count of blocks.
-PRIMES = [1073741827, 1073741831, 1073741833, 1073741839, 1073741843]
+HASH_BITS = 60
+#: Rounds of the index permutation.
+ROUNDS = 16
+
+
+def hashed(*parts: Column | str | int) -> Column:
+    """HASH_BITS of the MD5 of the parts, joined by colons; null parts are passed over."""
+    text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def permutation(n: Column, *key: Column | str | int) -> Column:
+    """The rounds of a permutation of 0..n-1 under a key: each with its k and the key of its bits."""
+    return F.array(
+        *[F.struct((hashed(*key, f"k{i}") % n).alias("k"), F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in key], F.lit(f"b{i}:")).alias("bits")) for i in range(ROUNDS)]
+    )
+
+
+def permuted(x: Column, n: Column, rounds: Column) -> Column:
+    """Where the permutation puts x, a long of 0..n-1."""
+
+    def swap(now: Column, r: Column) -> Column:
+        other = F.pmod(r["k"] - now, n)
+        bit = F.substring(F.md5(F.concat(r["bits"], F.greatest(now, other).cast("string"))), 1, 1) < "8"
+        return F.when(bit, other).otherwise(now)
+
+    return F.aggregate(rounds, x.cast("bigint"), swap)
 
 
 def words_in(text: Column) -> Column:
@@ -86,19 +118,13 @@ def plan(docs: DataFrame, keys: dict[str, Column] | None = None, block_words: in
             *[c.alias(k) for k, c in keys.items()],
             F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string"))).alias("sk"),
             words_in(F.col("text")).alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("_h"),
+            hashed(seed, F.col("doc_id")).alias("_h"),
         )
     )
-    chunks = max(LEAST_CHUNKS, sized.count() // CHUNK_ROWS)
-    sized = sized.withColumn("chunk", F.pmod(F.col("_h"), F.lit(chunks)))
+    bits = max(LEAST_CHUNK_BITS, (sized.count() // CHUNK_ROWS).bit_length())
+    sized = sized.withColumn("chunk", F.shiftright("_h", HASH_BITS - bits))
     parts = cut(sized.groupBy("sk", "chunk").agg(F.sum("size").alias("words")))
-    sources = cut(
-        source_targets(parts.groupBy("sk").agg(F.sum("words").alias("source_size")))
-        .select("*", *_slots_of(block_words))
-        .withColumn("b", F.xxhash64(F.lit(seed), "sk"))
-    )
-    if (most := sources.agg(F.max("blocks")).first()[0] or 0) >= 2**30:
-        raise ValueError(f"{most} blocks in a source; take longer blocks than {block_words} words")
+    sources = cut(source_targets(parts.groupBy("sk").agg(F.sum("words").alias("source_size"))).select("*", *_slots_of(block_words)))
     before = W.partitionBy("sk").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = parts.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0))).join(
         sources.select("sk", "source_size", "target"), "sk"
@@ -121,20 +147,21 @@ def plan(docs: DataFrame, keys: dict[str, Column] | None = None, block_words: in
 
 
 def _uses(sources: DataFrame, shards: int, seed: int) -> DataFrame:
-    """sk, block, shard, n. Slots come in runs of at most 4096, so one large source is generated by many tasks."""
+    """sk, block, shard, n.
+
+    Slots come in runs of at most 4096 of one pass over a source, so one large source is generated by
+    many tasks; a run brings the rounds of its pass's permutation.
+    """
     run = 4096
-    runs = sources.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / run))))
-    slots = (
-        runs.repartition("sk", "run")
-        .withColumn("slot", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("slots")) - 1)))
-        .withColumn("round", F.floor(F.col("slot") / F.col("blocks")))
-    )
-    primes = F.array(*[F.lit(p).cast("bigint") for p in PRIMES])
-    at = F.col("slot") % F.col("blocks")
-    shift = F.pmod(F.xxhash64(F.lit(seed), "sk", "round"), F.col("blocks"))
-    # both factors are under 2^30 and 2^31, so the product fits in a long
-    block = F.pmod(at * F.get(primes, F.pmod(F.col("b"), F.lit(len(PRIMES))).cast("int")) + shift, F.col("blocks"))
-    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "sk", "slot"), F.lit(shards))
+    passes = sources.where("slots > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / F.col("blocks")))))
+    passes = passes.withColumn("count", F.least(F.col("blocks"), F.col("slots") - F.col("pass") * F.col("blocks")))
+    runs = passes.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("count") - 1) / run)))).repartition("sk", "pass", "run")
+    slots = runs.select(
+        "sk", "pass", "blocks", permutation(F.col("blocks"), seed, F.col("sk"), F.col("pass")).alias("rounds"),
+        F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("count")) - 1)).alias("at"),
+    )
+    block = permuted(F.col("at"), F.col("blocks"), F.col("rounds"))
+    shard = hashed(seed, F.col("sk"), F.col("pass") * F.col("blocks") + F.col("at"), "shard") % shards
     return slots.select("sk", block.alias("block"), shard.alias("shard")).groupBy("sk", "block", "shard").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -144,15 +171,22 @@ def shard_counts(uses: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken (words, repeats counted); see plan."""
+    """One row per row of docs: doc_id, size, source_size, target, taken (words, repeats counted) and
+    shard_words, the output shards that drew some of its words and how many (shard:words by shard,
+    comma-joined, empty where none did); see plan."""
     _, spans, uses = plan(docs, None, block_words, shards, seed)
-    taken = uses.groupBy("sk", "block").agg(F.sum("n").alias("n"))
+    row = ["sk", "chunk", "place", "doc_id", "size", "source_size", "target"]
+    words = F.coalesce(F.sum((F.col("span_to") - F.col("span_from")) * F.col("n")), F.lit(0)).cast("bigint")
+    by_shard = spans.join(uses.hint("merge"), ["sk", "block"], "left").groupBy(*row, "shard").agg(words.alias("words"))
+    drawn = F.sort_array(F.collect_list(F.when(F.col("shard").isNotNull(), F.struct("shard", "words"))))  # a row per shard at most
     return (
-        spans.join(taken.hint("merge"), ["sk", "block"], "left")
-        .groupBy("sk", "chunk", "place", "doc_id", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum((F.col("span_to") - F.col("span_from")) * F.col("n")), F.lit(0)).cast("bigint").alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
-    )
+        by_shard.groupBy(*row)
+        .agg(F.sum("words").alias("taken"), drawn.alias("drawn"))
+        .select(
+            "doc_id", "size", "source_size", "target", "taken",
+            F.array_join(F.transform("drawn", lambda d: F.concat_ws(":", d["shard"].cast("string"), d["words"].cast("string"))), ",").alias("shard_words"),
+        )
+    )
 
 
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:

@@ -120,6 +120,42 @@ SELECT d.doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST
 FROM d JOIN n ON n.w = d.w JOIN cls ON cls.id = n.id JOIN sized USING (class_id) LEFT JOIN deg ON deg.id = n.id"""
 
 
+def _hash(parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {parts})), 1, 15) AS BIGINT)"
+
+
+def _round(i: int) -> str:
+    """A round of the index permutation: x{i} to x{i + 1}."""
+    bit = f"substr(md5(concat_ws(':', '{mixing.SEED}', sk, pass, 'b{i}:') || greatest(x, o)), 1, 1) < '8'"
+    return f"x{i + 1} AS MATERIALIZED (SELECT sk, n, pass, i, k, CASE WHEN {bit} THEN o ELSE x END AS x FROM (SELECT *, ((k[{i + 1}] - x) % n + n) % n AS o FROM x{i}) a)"
+
+
+_MIX = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk,
+    CAST(len({_WORDS}) AS BIGINT) AS size, {_hash(f"'{mixing.SEED}', doc_id")} AS h FROM documents),
+s AS (SELECT sk, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY sk),
+r AS (SELECT *, 3 * source_size / weight AS ratio FROM (SELECT *, 1 + (row_number() OVER (ORDER BY sk) - 1) % 3 AS weight FROM s) a),
+l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+    FROM r WINDOW b AS (ORDER BY ratio, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT sk, source_size, CAST(ceil(source_size / {mixing.BLOCK_WORDS}) AS BIGINT) AS n, least(CAST(3 * source_size AS DOUBLE),
+    coalesce((SELECT level FROM l WHERE level <= ratio ORDER BY ratio, sk LIMIT 1) * weight, 0)) AS target FROM l),
+q AS (SELECT *, coalesce(CAST(floor(target / nullif(source_size, 0)) AS BIGINT), 0) AS whole FROM t),
+c AS (SELECT sk, n, least(whole * n + coalesce(CAST(round((target - whole * source_size) * n / nullif(source_size, 0)) AS BIGINT), 0), 3 * n) AS slots FROM q),
+slot AS (SELECT sk, n, i // n AS pass, i, i % n AS x FROM (SELECT sk, n, unnest(range(slots)) AS i FROM c) a),
+k AS (SELECT sk, n, pass, [{", ".join(_hash(f"'{mixing.SEED}', sk, pass, 'k{i}'") + " % n" for i in range(mixing.ROUNDS))}] AS k
+    FROM (SELECT DISTINCT sk, n, pass FROM slot) a),
+x0 AS (SELECT slot.*, k.k FROM slot JOIN k USING (sk, n, pass)),
+{", ".join(map(_round, range(mixing.ROUNDS)))},
+u AS (SELECT sk, x AS block, {_hash(f"'{mixing.SEED}', sk, i, 'shard'")} % {mixing.OUTPUT_SHARDS} AS shard, count(*) AS uses FROM x{mixing.ROUNDS} GROUP BY ALL),
+o AS (SELECT *, sum(size) OVER (PARTITION BY sk ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
+p AS (SELECT rid, sk, size, start, unnest(range(CAST(start // {mixing.BLOCK_WORDS} AS BIGINT), CAST((start + size - 1) // {mixing.BLOCK_WORDS} + 1 AS BIGINT))) AS block FROM o WHERE size > 0),
+w AS (SELECT rid, shard, CAST(sum(uses * (least((block + 1) * {mixing.BLOCK_WORDS} - start, size) - greatest(block * {mixing.BLOCK_WORDS} - start, 0))) AS BIGINT) AS words
+    FROM p JOIN u USING (sk, block) GROUP BY rid, shard),
+m AS (SELECT rid, CAST(sum(words) AS BIGINT) AS taken, string_agg(shard || ':' || words, ',' ORDER BY shard) AS shard_words FROM w GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(shard_words, '') AS shard_words
+FROM d JOIN t USING (sk) LEFT JOIN m USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL of the operators that it can express: not lexing, merges by rank, compression, hashed draws or fitted scores."""
-    return {"op3_rules": _RULES, "op4_exact_dedup": _EXACT, "op8_ngram_join": _JACCARD}
+    """SQL of the operators that it can express: not lexing, merges by rank, compression or fitted scores."""
+    return {"op3_rules": _RULES, "op4_exact_dedup": _EXACT, "op8_ngram_join": _JACCARD, "op9_mix": _MIX}
