@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from trackloom.llm import secrets
 
 
@@ -85,6 +88,58 @@ def test_long_odd_lines_take_linear_time():
     assert time.time() - began < 60
 
 
+def plain_score(value):
+    import math
+
+    if len(value) < 8 or re.search(r"\s", value):
+        return 0
+    if re.match(r"(?i)(x+|\*+|\.+|none|null|true|false|changeme|change_me|example|placeholder|redacted|todo|test|your[_\-].*|<.*>|\$.*|%.*|\{\{.*)\Z", value, re.DOTALL):
+        return 0
+    shares = [value.count(c) / len(value) for c in set(value)]
+    classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]"))
+    return (len(value) >= 12) + (len(value) >= 20) + (classes >= 2) + (-sum(p * math.log2(p) for p in shares) >= 3.0)
+
+
+def plain_lexed(text):
+    """Every literal sliced and rated alone, every name looked up among all earlier ones."""
+    seen, rated = [], {}
+    for name, value, start, end in secrets.assignments(text):
+        span, value = (start, end), text[start:end] if value is None else value
+        if not text[start - 1 : start] in ("'", '"'):
+            for earlier, of, at in reversed(seen):
+                if earlier == value:
+                    value, span = of, at
+                    break
+        seen.append((name, value, span))
+        score = secrets.name_score(name)
+        if score and plain_score(value) and score + plain_score(value) >= secrets.THRESHOLD:
+            rated[span] = value
+    return sorted(rated)
+
+
+PIECES = ["password", "token", "a", "B", "x.y", '"', "'", "=", ":", "=", ":=", "=>", " ", "\n", "+", " + ", "[", "]", "(", ")", "q8Rk2LmZ0tYw", "abcdefghijkl", "f", "b", "str", ".", ",", "\\", "|", "&", "xxxxxxxxx", "$FOO12345", "K", "é"]
+
+
+@settings(max_examples=2_000, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25).map("".join))
+def test_lexed_spans_equal_brute_force(text):
+    assert secrets.lexed_spans(text) == plain_lexed(text)
+
+
+def test_lexed_spans_of_the_corpus_equal_brute_force(texts):
+    assert all(secrets.lexed_spans(t or "") == plain_lexed(t or "") for t in texts.values())
+
+
+def test_a_million_characters_without_a_break():
+    import time
+
+    for piece in ("a=", "a:", "x=y&", "password=", "password=$", 'a="', 'a="x"+', "[a]", "token=a.", "[secret]=", "password"):
+        began = time.time()
+        secrets.lexed_spans("token=" + piece * (1_000_000 // len(piece)))
+        secrets.base_spans(piece * (1_000_000 // len(piece)))
+        assert time.time() - began < 30, piece
+
+
 def test_constants_and_concatenation():
     assert literals('BASE = "q8Rk2LmZ0tYw"\npassword = BASE') == ["q8Rk2LmZ0tYw"]
     assert literals("K = 'q8Rk2L'\ncolour = K") == []

@@ -6,6 +6,10 @@ name => "x", --name=x, a["name"] = "x", name: type = "x"; strings with a prefix
 too), folds literals joined by +, propagates constants (KEY = "x" ... password = KEY) and scores
 each literal by the sensitive words of the names it reaches and by its own shape. Literals that
 score enough add spans of kind "lexed".
+
+The lexer takes time and memory in proportion to the text. Bare words, which may hold many more
+assignments, are offsets into the text: those that end at one place are rated together, from the
+last start to the first, so each character is counted once.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
@@ -25,14 +30,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
 OPERATOR = re.compile(r"[ \t]*(:=|=>|==|!=|<=|>=|[=:])")
-NAME_END = re.compile(r"[A-Za-z0-9_.\-]")
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 PREFIX = r"(?:[bBrRfFuU]{1,2}|[@$L]{1,2})"
-#: A prefix; then what stands in three quotes, if it is one word, or in one pair; or a bare word.
-LITERAL = re.compile(
-    rf"""[ \t]*(?:({PREFIX})?(?:"{{3}}\s*((?:[^\s\\"]|\\.|"(?!""))+)\s*"{{3}}|'{{3}}\s*((?:[^\s\\']|\\.|'(?!''))+)\s*'{{3}}"""
-    r"""|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')|([^\s"',;(){}\[\]<>]+))"""
+#: A prefix; then what stands in three quotes, if it is one word, or in one pair.
+QUOTED = re.compile(
+    rf"""[ \t]*({PREFIX})?(?:"{{3}}\s*((?:[^\s\\"]|\\.|"(?!""))++)\s*"{{3}}|'{{3}}\s*((?:[^\s\\']|\\.|'(?!''))++)\s*'{{3}}"""
+    r"""|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')"""
 )
-BARE = 6
+BLANKS = re.compile(r"[ \t]*")
+BARE = re.compile(r"""[^\s"',;(){}\[\]<>]+""")
 PLUS = re.compile(rf"[ \t]*\+[ \t]*(?={PREFIX}?[\"'])")
 INSIDE = r"""[^\[\]<>=\n"']"""
 NESTED = rf"[\[<](?:{INSIDE}|[\[<](?:{INSIDE}|[\[<]{INSIDE}*+[\]>])*+[\]>])*+[\]>]"
@@ -40,7 +46,7 @@ TERM = rf"(?:[&*](?:'\w+[ \t]+)?)?(?:mut[ \t]+)?[A-Za-z_][\w.]*+(?:{NESTED})*+"
 #: A type between name: and =, which has a space before it or a quoted literal behind.
 TYPED = re.compile(rf"[ \t]*{TERM}(?:[ \t]*\|[ \t]*{TERM})*+(?:[ \t]+(?==(?![=>~]))|[ \t]*(?==[ \t]*{PREFIX}?[\"']))")
 FIELDS = re.compile(r"(?:\{[^{}]*\})+")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 #: Parts of names, alone or in a row, and how sensitive what they name is.
@@ -50,8 +56,10 @@ SENSITIVE = {
     "encryption key": 3, "auth key": 3, "account key": 3, "client secret": 3, "credential": 3,
     "credentials": 3, "auth": 2, "bearer": 2, "authorization": 2, "cookie": 1, "key": 1, "salt": 1,
 }
-#: Literals that stand for a secret that is elsewhere.
-PLACEHOLDERS = re.compile(r"(?i)\A(?:x{3,}|\*{3,}|\.{3,}|none|null|true|false|changeme|change_me|example|placeholder|redacted|todo|test|your[_\-].*|<.*>|\$\{?.*|%\(?.*|\{\{.*)\Z")
+#: Literals that stand for a secret that is elsewhere, in lower case, and how others begin.
+PLACEHOLDERS = frozenset(("none", "null", "true", "false", "changeme", "change_me", "example", "placeholder", "redacted", "todo", "test"))
+PLACEHOLDER_STARTS = ("your_", "your-", "$", "%", "{{")
+FILLERS = ("x", "*", ".")
 THRESHOLD = 5
 
 
@@ -61,50 +69,63 @@ def name_score(name: str) -> int:
     return max((SENSITIVE.get(r, 0) for r in runs), default=0)
 
 
+def _score(head: str, last: str, count: Counter) -> int:
+    """0 for what can't be a secret; up to 4 for length, mixed classes and entropy. head: the literal's
+    first 16 characters; last: its last one; count: how often each character is in it."""
+    n = sum(count.values())
+    low = head.lower()
+    if n < 8 or (n <= len(head) and low in PLACEHOLDERS) or low.startswith(PLACEHOLDER_STARTS) or (low[0] == "<" and last == ">"):
+        return 0
+    if any(c.isspace() for c in count) or (len(count) <= 2 and "".join(sorted(set("".join(count).lower()))) in FILLERS):
+        return 0
+    entropy = -sum(k / n * math.log2(k / n) for k in count.values() if k)
+    lower, upper, digit, other = (any(of(c) for c in count) for of in (_LOWER, _UPPER, _DIGIT, lambda c: not (_LOWER(c) or _UPPER(c) or _DIGIT(c))))
+    return (n >= 12) + (n >= 20) + (lower + upper + digit + other >= 2) + (entropy >= 3.0)
+
+
+_LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz".__contains__, "ABCDEFGHIJKLMNOPQRSTUVWXYZ".__contains__, "0123456789".__contains__
+
+
 def literal_score(literal: str) -> int:
     """0 for what can't be a secret; up to 4 for length, mixed classes and entropy."""
-    if len(literal) < 8 or PLACEHOLDERS.match(literal) or any(c.isspace() for c in literal):
-        return 0
-    n = len(literal)
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(literal).values())
-    classes = sum(bool(re.search(c, literal)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    return (n >= 12) + (n >= 20) + (classes >= 2) + (entropy >= 3.0)
+    return _score(literal[:16], literal[-1:], Counter(literal)) if literal else 0
 
 
 def _name_before(text: str, end: int) -> str:
     """The name that ends there: a quoted subscript is the name, other subscripts belong to it."""
-    behind = ""
+    behind: list[str] = []
     while end and text[end - 1] == "]":
         quoted = end > 1 and text[end - 2] in "\"'"
         last = start = end - 1 - quoted
-        while start and NAME_END.match(text[start - 1]):
+        while start and text[start - 1] in NAME_CHARS:
             start -= 1
         head = start - quoted
         if head < 1 or text[head - 1] != "[" or (quoted and text[head] != text[last]):
             return ""
         if quoted:
             return text[start:last].lstrip("-.0123456789")
-        behind, end = f".{text[start:last]}{behind}", head - 1
+        behind.append(text[start:last])
+        end = head - 1
     if end and text[end - 1] in "\"'":
         end -= 1
     start = end
-    while start and NAME_END.match(text[start - 1]):
+    while start and text[start - 1] in NAME_CHARS:
         start -= 1
     name = text[start:end].lstrip("-.0123456789")
-    return name and name + behind
+    return name and ".".join([name, *reversed(behind)])
 
 
-def _literal(m: re.Match) -> tuple[str, int, int, bool]:
+def _quoted(m: re.Match) -> tuple[str, int, int, bool]:
     """Its value, start and end, and whether it has one pair of quotes and no prefix."""
-    group = next(g for g in range(2, BARE + 1) if m[g] is not None)
-    value = m[group].rstrip(".,;") if group == BARE else m[group]
-    fields = "f" in (m[1] or "").lower() and FIELDS.fullmatch(value)  # holds no text of its own
-    return "" if fields else value, m.start(group), m.start(group) + len(value), group in (4, 5) and not m[1]
+    group = next(g for g in range(2, 6) if m[g] is not None)
+    fields = "f" in (m[1] or "").lower() and FIELDS.fullmatch(m[group])  # holds no text of its own
+    return "" if fields else m[group], m.start(group), m.end(group), group in (4, 5) and not m[1]
 
 
-def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, quoted) in order; adjacent quoted literals joined by + are one."""
-    found, at = [], 0
+def assignments(text: str) -> Iterator[tuple[str, str | None, int, int]]:
+    """(name, value, start, end) in order. Adjacent quoted literals joined by + are one. The value of a
+    bare word is None: it is the text from start to end."""
+    at, run, stripped = 0, (0, 0), 0  # run: where the last bare word began and ended; stripped: where without marks
     typed: tuple[int, str] | None = None
     for mark in re.finditer("[=:]", text):
         i = mark.start()
@@ -129,33 +150,61 @@ def assignments(text: str) -> list[tuple[str, str, int, int, bool]]:
         names = [name] if name else []
         if typed and typed[0] == i:  # the type's own name counts where it is sensitive, as in "note: password = ..."
             names = [typed[1], *(n for n in names if name_score(n))]
-        if not names or not (lit := LITERAL.match(text, op.end())):
+        if not names:
+            continue
+        if lit := QUOTED.match(text, op.end()):
+            value, first, last, plain = _quoted(lit)
+            values, stop = [value], lit.end()
+            while (plus := PLUS.match(text, stop)) and (more := QUOTED.match(text, plus.end())):
+                added, _, last, one = _quoted(more)
+                values.append(added)
+                plain, stop = plain and one, more.end()
+            value = "".join(values)
+            yield from ((n, value, first, last) for n in names)
+            at = stop if plain else first  # assignments within other strings count too
             continue
-        quoted = lit[BARE] is None
-        value, first, last, plain = _literal(lit)
-        stop = lit.end()
-        while quoted and (plus := PLUS.match(text, stop)) and (more := LITERAL.match(text, plus.end())) and more[BARE] is None:
-            added, _, last, one = _literal(more)
-            value, plain, stop = value + added, plain and one, more.end()
-        found += [(n, value, first, last, quoted) for n in names]
-        at = stop if plain else first if quoted else op.end()  # assignments within other strings count too
-    return found
+        first = BLANKS.match(text, op.end()).end()
+        if not run[0] <= first < run[1]:
+            if not (bare := BARE.match(text, first)):
+                continue
+            run = bare.span()
+            stripped = run[1]
+            while stripped > first and text[stripped - 1] in ".,;":
+                stripped -= 1
+        yield from ((n, None, first, max(first, stripped)) for n in names)
+        at = op.end()
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that sensitive names hold, themselves or through constants."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, tuple[str, int, int]] = {}
+    constants: dict[str, tuple[str | None, int, int]] = {}
     names: dict[tuple[int, int], int] = {}
-    literals: dict[tuple[int, int], str] = {}
-    for name, value, start, end, quoted in assignments(text):
-        if not quoted and IDENTIFIER.match(value) and value in constants:  # a constant's name stands for its literal
-            value, start, end = constants[value]
+    literals: dict[tuple[int, int], str | None] = {}
+    for name, value, start, end in assignments(text):
+        if value is None and (word := IDENTIFIER.match(text, start, end)) and word.end() == end and word[0] in constants:
+            value, start, end = constants[word[0]]  # a constant's name stands for its literal
         constants[name] = (value, start, end)
-        literals[start, end] = value
-        names[start, end] = max(names.get((start, end), 0), name_score(name))
-    return sorted(span for span, score in names.items() if score and score + literal_score(literals[span]) >= THRESHOLD and literal_score(literals[span]))
+        if (score := name_score(name)) > names.get((start, end), 0):
+            names[start, end], literals[start, end] = score, value
+    found = []
+    behind, counted, count = -1, 0, Counter()
+    for start, end in sorted(names, key=lambda span: (span[1], -span[0])):  # by end; the shortest first
+        value = literals[start, end]
+        if value is not None:
+            rated = literal_score(value)
+        elif start == end:
+            continue
+        else:
+            if end != behind:
+                behind, counted, count = end, end, Counter()
+            count.update(text[start:counted])
+            counted = start
+            rated = _score(text[start : min(end, start + 16)], text[end - 1], count)
+        if rated and names[start, end] + rated >= THRESHOLD:
+            found.append((start, end))
+    return sorted(found)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
