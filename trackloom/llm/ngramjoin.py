@@ -5,11 +5,13 @@ values, each the hash of ROWS least hashes; nodes that share a value (a bucket)
 candidates are verified on their full shingle sets. With 48 bands of 7 rows a pair of similarity
 0.8 is missed with a chance of 1.2e-5, one of 0.9 with 1e-13; a pair of 0.2 is a candidate with 6e-4.
 
-Buckets shuffle as (value, node); texts never do at that stage. Buckets of at most SMALL nodes give
-candidate pairs, bounded per node by BANDS * SMALL. Larger buckets never give pairs of rows: the
-nodes they connect are dealt into blocks of about BLOCK nodes, and a task verifies all pairs of two
-blocks by a matrix product, giving only each node's count of links and a spanning forest of them.
-So a group of any size is verified in full in tasks of bounded size.
+Buckets shuffle as (value, node); texts never shuffle: only candidates' sets of shingle hashes do.
+Buckets of at most SMALL nodes give candidate pairs, bounded per node by BANDS * SMALL. Larger
+buckets never give pairs of rows: the nodes they connect are dealt by the size of their sets, as sets
+that differ in size by more than the similarity allows can't link, and then into blocks of about
+BLOCK nodes and BLOCK_SHINGLES shingles. A task verifies all pairs of two blocks by a matrix product,
+giving only each node's count of links and a spanning forest of them. So a group of any size is
+verified in full in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -27,7 +29,11 @@ SHINGLE = 5
 #: Similarity at which two texts link, as a fraction.
 LINK = (4, 5)
 BANDS, ROWS = 48, 7
-SMALL, BLOCK = 32, 192
+SMALL = 32
+#: Nodes and shingles of a block, about; a larger set is a block with few others.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: Sizes of sets in one class are within this factor, so sets that link are in one class or two neighbours (5/4, and a little for rounding).
+CLASS = 1.26
 #: Nodes up to which the set of nodes to verify is broadcast (about 100 bytes each); beyond, it is shuffled.
 BROADCAST_NODES = 200_000
 
@@ -118,15 +124,15 @@ def _groups(batches, keys: int):
 
 
 def _verify_pairs(batches):
-    """Rows (a, own, b, text) sorted by a with a's own text first, to links (a, b). Holds one pair at a time."""
+    """Rows (a, own, b, shingles) sorted by a with a's own set first, to links (a, b). Holds one pair at a time."""
     import numpy as np
     import pyarrow as pa
 
     last = of = None
     for batch in batches:
         left, right = [], []
-        for a, own, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            shingles = shingle_set(WORDS.findall(text), SHINGLE)
+        for a, own, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            shingles = np.frombuffer(raw, dtype=np.uint64)
             if own == 0:
                 last, of = a, shingles
             elif a == last and links(len(of), len(shingles), len(np.intersect1d(of, shingles, assume_unique=True))):
@@ -157,13 +163,13 @@ def common_shingles(first: list, second: list):
 
 
 def _verify_blocks(batches):
-    """Rows (root, i, j, block, node, text) sorted by root, i, j to (node, other, links): per node and
-    pair of blocks the links it has there, and the edges of a spanning forest with 0."""
+    """Rows (root, i, j, block, node, shingles) sorted by root, i, j to (node, other, links): per node
+    and pair of blocks the links it has there, and the edges of a spanning forest with 0."""
     import numpy as np
     import pyarrow as pa
 
     for (_, i, j), rows in _groups(batches, 3):
-        sides = [[(n, shingle_set(WORDS.findall(t), SHINGLE)) for k, n, t in rows if k == side] for side in dict.fromkeys((i, j))]
+        sides = [[(n, np.frombuffer(raw, dtype=np.uint64)) for k, n, raw in rows if k == side] for side in dict.fromkeys((i, j))]
         first, second = sides[0], sides[-1]
         if not first or not second:
             continue
@@ -203,14 +209,15 @@ def _lookup(df: DataFrame) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b from small buckets, hot nodes with the root of what large buckets connect)."""
+    """(pairs a < b from small buckets, hot nodes with their n_shingles and the root of what large buckets connect)."""
     entries = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # most values are of one node alone, so this drops most entries, without a shuffle where the rest are few
     members = cut(entries.join(_lookup(buckets), "bucket"))
     crowded = members.where(F.col("n") > SMALL).select("bucket", "node")
     leads = crowded.groupBy("bucket").agg(F.min("node").alias("lead"))
-    hot = cut(components(crowded.join(_lookup(leads), "bucket").select("node", "lead")))
+    hot = components(crowded.join(_lookup(leads), "bucket").select("node", "lead"))
+    hot = cut(nodes.select("node", "n_shingles").join(_lookup(hot), "node"))
     small = members.where(F.col("n") <= SMALL).select("bucket", "node", "n_shingles")
     other = small.withColumnsRenamed({"node": "b", "n_shingles": "n_b"})
     pairs = (
@@ -226,13 +233,39 @@ def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(apart.select("a", "b")), hot
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """node and text, one row for each of nodes."""
-    wanted = nodes.select(F.col("node").alias("_node"))
-    if nodes.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
-    rows = docs.select(node_column(F.col(text_col)).alias("node"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(wanted, F.col("node") == F.col("_node"), "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node and shingles, the bytes of its sorted 64-bit hashes, for each of nodes (node, least_id).
+    Only the row of a node's least id is read, so copies do no work."""
+    wanted = _lookup(nodes.select(F.col("node").alias("_node"), F.col("least_id").alias("_id")))
+    rows = docs.select(node_column(F.col(text_col)).alias("node"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    chosen = rows.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+
+    def rate(ids, texts):
+        return [ids, [shingle_set(WORDS.findall(t or ""), SHINGLE).tobytes() for t in texts]]
+
+    sets = map_texts(chosen, rate, "shingles binary", "node").withColumnRenamed("doc_id", "node")
+    return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _dealt(hot: DataFrame) -> DataFrame:
+    """root, i, j, block, node: each node once for every pair of blocks that its own block is in.
+
+    Groups that fill no block are one; in others a block is of one class of sizes and meets its own
+    class and both neighbours. A block is called by class and number.
+    """
+    whole = hot.groupBy("root").agg(((F.count(F.lit(1)) <= BLOCK) & (F.sum("n_shingles") <= BLOCK_SHINGLES)).alias("one"))
+    of = F.floor(F.log(CLASS, F.col("n_shingles").cast("double"))).cast("int")
+    classed = cut(hot.join(_lookup(whole), "root").select("root", "node", "n_shingles", F.when(F.col("one"), F.lit(0)).otherwise(of).alias("cls")))
+    n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = cut(classed.groupBy("root", "cls").agg(n.alias("blocks")))
+    near = sizes.select("root", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)).alias("cls"), F.col("cls").alias("with_cls"), F.col("blocks").alias("with_blocks"))
+    meets = sizes.join(near.hint("merge"), ["root", "cls"]).groupBy("root", "cls", "blocks").agg(F.collect_list(F.struct("with_cls", "with_blocks")).alias("meets"))  # three at most
+    named = lambda cls, block: F.struct(cls.alias("c"), block.alias("b"))
+    others = F.flatten(F.transform("meets", lambda m: F.transform(F.sequence(F.lit(0), m["with_blocks"] - 1), lambda k: named(m["with_cls"], k))))
+    rows = classed.join(_lookup(meets), ["root", "cls"]).withColumn("own", named(F.col("cls"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    pairs = rows.select("root", "node", "own", F.explode(others).alias("with"))
+    name = lambda x: F.concat_ws(".", x["c"].cast("string"), x["b"].cast("string"))
+    return pairs.select("root", name(F.least("own", "with")).alias("i"), name(F.greatest("own", "with")).alias("j"), name(F.col("own")).alias("block"), "node")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,24 +286,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         )
     )
     pairs, hot = _candidates(nodes)
-    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct())
-    texts = cut(_texts(docs, wanted, text_col))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
+    sets = cut(_sets(docs, nodes.select("node", "least_id").join(_lookup(wanted), "node"), id_col, text_col))
 
-    own = pairs.select("a").distinct().join(texts, F.col("a") == F.col("node")).select("a", F.lit(0).alias("own"), F.col("a").alias("b"), "text")
-    met = pairs.join(texts, F.col("b") == F.col("node")).select("a", F.lit(1).alias("own"), "b", "text")
+    own = pairs.select("a").distinct().join(sets, F.col("a") == F.col("node")).select("a", F.lit(0).alias("own"), F.col("a").alias("b"), "shingles")
+    met = pairs.join(sets, F.col("b") == F.col("node")).select("a", F.lit(1).alias("own"), "b", "shingles")
     linked = cut(
         own.union(met).repartition("a").sortWithinPartitions("a", "own").mapInArrow(_verify_pairs, "a binary, b binary")
     )
-    sizes = hot.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = (
-        hot.join(_lookup(sizes), "root")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node")
-    )
     blocks = cut(
-        dealt.join(texts, "node")
-        .select("root", "i", "j", "block", "node", "text")
+        _dealt(hot)
+        .join(sets, "node")
+        .select("root", "i", "j", "block", "node", "shingles")
         .repartition("root", "i", "j")
         .sortWithinPartitions("root", "i", "j")
         .mapInArrow(_verify_blocks, "node binary, other binary, links bigint")
