@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -20,7 +22,9 @@ def ship(spark: SparkSession) -> None:
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if any(p and Path(p).resolve() == ROOT for p in known) or getattr(context, "_trackloom_shipped", False):
         return
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), "trackloom.zip")
+    folder = os.path.realpath(tempfile.mkdtemp())
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file while it runs
+    path = os.path.join(folder, "trackloom.zip")
     with zipfile.ZipFile(path, "w") as z:
         for file in sorted((ROOT / "trackloom").rglob("*.py")):
             z.write(file, file.relative_to(ROOT))
