@@ -1,7 +1,7 @@
 import hashlib
 import re
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -55,6 +55,52 @@ def test_index_side_of_the_anti_join_is_not_shuffled(spark, index):
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def files_of_a_bucket(spark, index):
+    names = [r[0].rsplit("_", 1)[1].split(".")[0] for r in index.rows().selectExpr("_metadata.file_name").distinct().collect()]
+    return max(Counter(names).values())
+
+
+def test_compaction_makes_one_file_of_a_bucket_and_spares_the_sort(spark, index):
+    kind = "doc_id bigint, text string"
+    for k in range(3):
+        exactdedup.dedup(spark.createDataFrame([(i, f"text {i}") for i in range(40 * k, 40 * k + 60)], kind), index, f"b{k}")
+    before = sorted(map(tuple, index.rows().select("digest", "keep_id", "batch").collect()))
+    assert files_of_a_bucket(spark, index) > 1 and len(before) == 140
+    index.compact()
+    assert files_of_a_bucket(spark, index) == 1
+    assert sorted(map(tuple, index.rows().select("digest", "keep_id", "batch").collect())) == before
+    new = spark.createDataFrame([("x",)], "digest string").hint("merge")
+    plan = new.join(index.rows().select("digest"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort ") - plan.count("SortMergeJoin ") <= 1 and plan.count("Exchange hashpartitioning") == 1
+    assert got(exactdedup.dedup(spark.createDataFrame([(7, "text 100"), (8, "new")], kind), index, "later")) == [(7, 100, 1, False), (8, 8, 1, True)]
+
+
+def test_broken_off_compaction_is_ended(spark, index):
+    exactdedup.dedup(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), index, "b")
+    spark.sql(f"ALTER TABLE {index.table} RENAME TO {index.table}_next")  # the old table is gone, the new one not yet named
+    assert [r["keep_id"] for r in index.create().rows().collect()] == [1]
+
+
+def test_digests_appended_twice_do_not_multiply_rows(spark, index):
+    docs = spark.createDataFrame([(4, "a"), (9, "a")], "doc_id bigint, text string")
+    exactdedup.dedup(docs, index, "one")
+    (row,) = index.rows().collect()
+    index.append(spark.createDataFrame([(row["digest"], 2, "at once")], "digest string, keep_id bigint, batch string"))
+    late = spark.createDataFrame([(5, "a"), (6, "b")], "doc_id bigint, text string")
+    assert got(exactdedup.dedup(late, index, "three")) == [(5, 2, 1, False), (6, 6, 1, True)]
+    index.compact()
+    assert sorted(r["keep_id"] for r in index.rows().collect()) == [2, 6]
+
+
+def test_ids_that_are_no_numbers(spark):
+    made = exactdedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", 2, "string").create()
+    try:
+        rows = exactdedup.dedup(spark.createDataFrame([("u/b", "x"), ("u/a", "x"), ("u/c", None)], "doc_id string, text string"), made, "b")
+        assert got(rows) == [("u/a", "u/a", 2, True), ("u/b", "u/a", 2, False), ("u/c", "u/c", 1, True)]
+    finally:
+        made.drop()
+
+
 def test_odd_rows(odd, none, index):
     decisions = exactdedup.dedup(odd, index, "b")
     rows = got(decisions)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.operators.checkpoints import cut, ensure_checkpoint_dir
+
 #: ASCII white space, as every contract here defines it: a run of it separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,31 +28,9 @@ def text_digest(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; set a temporary one only where none is named."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "trackloom-checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there: each input row is computed once,
-    and a lost executor loses nothing. The files go when the DataFrame does, if the cluster cleans checkpoints."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-#: Pieces of a table up to which dealing it out over the cores costs little.
-FEW_PIECES = 64
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of documents. One that is read in fewer pieces than there are cores, FEW_PIECES at
-    most, is dealt out first, as one file of one row group is a single task; a large table never is."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < min(cores, FEW_PIECES) else docs
+    """The table of documents."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 #: Rows up to which decisions are broadcast (about 100 bytes each); beyond, they are shuffled.
@@ -89,8 +67,7 @@ def keep_rows(docs: DataFrame, key: Column, decisions: DataFrame) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: Bytes of an Arrow batch of texts, at most (or a single row): Spark's own bound is 64 MB, for each task at once.

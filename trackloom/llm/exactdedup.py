@@ -1,8 +1,12 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a Parquet table bucketed and sorted by digest. A batch is reduced to one row per
-digest (map-side first), meets the index in a sort-merge anti-join that shuffles only the batch,
-and the digests that the index lacks are appended to it. Texts never shuffle.
+digest (map-side first) and meets the index in one sort-merge join, which reads the index once and
+shuffles only the batch. The batch's side without a partner, the anti-join, is appended to the index;
+the other digests bring the document that stays. Texts never shuffle.
+
+Each append adds a file to every bucket, and Spark trusts the order of a bucket only while it is one
+file; compact() makes it one again, so that a batch needs no sort of the index.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import cut, keep_rows, text_digest
 
-SCHEMA = "digest string, keep_id bigint, batch string"
+#: Lets Spark use the order of buckets that are one file each.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 @dataclass(frozen=True)
@@ -22,26 +27,49 @@ class DigestIndex:
     """A table of digests already seen: digest, keep_id (the document that stays for it), batch.
 
     buckets fixes the layout for good: take about one bucket per 50 million digests, 8 at least.
+    id_type is the type of document ids, any that can be compared. The table belongs in a warehouse
+    that the cluster shares.
     """
 
     spark: SparkSession
     table: str
     buckets: int = 8
+    id_type: str = "bigint"
 
     def create(self) -> "DigestIndex":
+        """The table, made if it isn't there; a compaction that was broken off is brought to its end."""
         if not self.spark.catalog.tableExists(self.table):
-            self._writer(self.spark.createDataFrame([], SCHEMA)).saveAsTable(self.table)
+            if self.spark.catalog.tableExists(self._next):
+                self.spark.sql(f"ALTER TABLE {self._next} RENAME TO {self.table}")
+            else:
+                self._writer(self.spark.createDataFrame([], f"digest string, keep_id {self.id_type}, batch string")).saveAsTable(self.table)
         return self
 
     def rows(self) -> DataFrame:
+        self.spark.conf.set(ORDERED, "true")
         return self.spark.read.table(self.table)
 
     def append(self, new: DataFrame) -> None:
         self._writer(new.select("digest", "keep_id", "batch")).mode("append").saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
 
+    def compact(self) -> None:
+        """Each bucket as one sorted file; digests that batches run at once have both appended become one row."""
+        kept = self.rows().groupBy("digest").agg(F.min(F.struct("keep_id", "batch")).alias("k")).select("digest", "k.*")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._next}")
+        # dealt out as the buckets are, so that a bucket is one task's and one file
+        self._writer(kept.repartition(self.buckets, "digest")).saveAsTable(self._next)
+        self.spark.sql(f"DROP TABLE {self.table}")
+        self.create()
+        self.spark.catalog.refreshTable(self.table)
+
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        for table in (self.table, self._next):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    @property
+    def _next(self) -> str:
+        return f"{self.table}_next"
 
     def _writer(self, df: DataFrame):
         return df.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
@@ -54,22 +82,29 @@ def dedup(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id
     then none does and keep_id names the earlier document. group_size counts this batch's rows.
     Null text counts as empty. A null id loses to any other; rows equal in id and text are one
     document repeated, of which one row stays. An empty batch gives no rows and leaves the index alone.
-    Other columns of docs are not read. Running a batch again under the same name gives the same
-    rows: what that name appended still counts as its own.
+    Other columns of docs are not read; long texts are hashed whole where they are read. Running a
+    batch again under the same name gives the same rows: what that name appended still counts as its
+    own. Batches under different names go one after the other; should two have run at once and both
+    appended a digest, the row of the smaller id counts, here and in compact().
     """
     seen = cut(
-        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
+        docs.select(F.col(id_col).cast(index.id_type).alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
         .groupBy("digest", "doc_id")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    # written, so that the anti-join is not pushed below the aggregation, where all rows would shuffle
+    # written, so that the join is not pushed below the aggregation, where all rows would shuffle
     groups = cut(seen.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.sum("copies").alias("group_size")))
-    fresh = groups.hint("merge").join(index.rows().select("digest"), "digest", "left_anti")
-    index.append(fresh.select("digest", F.col("least_id").alias("keep_id"), F.lit(batch).alias("batch")))
-    decided = cut(
-        groups.hint("merge")
-        .join(index.rows().withColumnRenamed("batch", "in_batch"), "digest")
-        .select("digest", "keep_id", "group_size", (F.col("in_batch") == batch).alias("fresh"))
+    held = index.rows().select("digest", F.struct("keep_id", F.col("batch").alias("in_batch")).alias("held"))
+    met = cut(
+        groups.hint("merge").join(held, "digest", "left").groupBy("digest", "least_id", "group_size").agg(F.min("held").alias("held"))
+    )
+    new = F.col("held").isNull()  # the anti-join
+    index.append(met.where(new).select("digest", F.col("least_id").alias("keep_id"), F.lit(batch).alias("batch")))
+    decided = met.select(
+        "digest",
+        F.when(new, F.col("least_id")).otherwise(F.col("held.keep_id")).alias("keep_id"),
+        "group_size",
+        (new | (F.col("held.in_batch") == batch)).alias("fresh"),
     )
     # a digest of very many rows is split by AQE here: both sides are plain exchanges
     return seen.join(decided, "digest").select(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +36,23 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         index.drop()  # the decisions are in the shared folder by now
 
 
+def digest_index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in three batches that follow one another into one index, which is compacted before
+    the last: batch, doc_id, keep_id, group_size (within the batch), kept."""
+    at = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 1)
+    docs = documents(spark, sf_dir).withColumn("_batch", F.when(at < "5", 0).when(at < "a", 1).otherwise(2))
+    index = exactdedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))).create()
+    try:
+        found = []
+        for k in range(3):
+            found.append(exactdedup.dedup(docs.where(F.col("_batch") == k), index, f"batch {k}").select(F.lit(k).alias("batch"), "doc_id", "keep_id", "group_size", "kept"))
+            if k == 1:
+                index.compact()
+        return found[0].unionByName(found[1]).unionByName(found[2])
+    finally:
+        index.drop()  # the decisions are in the shared folder by now
+
+
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -75,8 +91,16 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands at the top of the repository, outside this package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_secrets, op2_licenses, op3_rules, op4_exact_dedup, op5_bpe, op6_token_counts, op7_language, op8_ngram_join, op9_mix, op10_quality)}
+    """Queries by name: the ten operators, the pipeline, and operator 4 in batches."""
+    ten = (op1_secrets, op2_licenses, op3_rules, op4_exact_dedup, op5_bpe, op6_token_counts, op7_language, op8_ngram_join, op9_mix, op10_quality)
+    return {f.__name__: f for f in (pipeline, *ten, digest_index_batches)}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -86,6 +110,13 @@ WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)"""
 
+_BATCHES = r"""
+WITH d AS (SELECT doc_id, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '5' THEN 0 WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < 'a' THEN 1 ELSE 2 END AS batch,
+    sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents),
+f AS (SELECT t, min(batch) AS batch FROM d GROUP BY t),
+k AS (SELECT t, min(doc_id) AS keep_id FROM d JOIN f USING (t, batch) GROUP BY t)
+SELECT CAST(batch AS INT) AS batch, doc_id, keep_id, count(*) OVER (PARTITION BY batch, t) AS group_size, doc_id = keep_id AS kept FROM d JOIN k USING (t)"""
+
 _RULES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
@@ -158,4 +189,4 @@ FROM d JOIN t USING (sk) LEFT JOIN m USING (rid)"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it can express: not lexing, merges by rank, compression or fitted scores."""
-    return {"op3_rules": _RULES, "op4_exact_dedup": _EXACT, "op8_ngram_join": _JACCARD, "op9_mix": _MIX}
+    return {"op3_rules": _RULES, "op4_exact_dedup": _EXACT, "op8_ngram_join": _JACCARD, "op9_mix": _MIX, "digest_index_batches": _BATCHES}
