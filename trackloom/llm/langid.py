@@ -12,15 +12,18 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import map_texts
+from trackloom.llm.common import cut, map_texts
 
-#: Bounds of the sample: excerpts per language, characters of an excerpt, bytes of a dictionary, languages.
-EXCERPTS = 400
+#: Bounds of the sample: characters of an excerpt, bytes of a dictionary, and bytes of all dictionaries
+#: together, which many languages share evenly.
 EXCERPT_CHARS = 512
 DICTIONARY_BYTES = 112 * 1024
-LANGUAGES = 200
+ALL_BYTES = 32 * 1024 * 1024
+#: Languages up to which their counts are broadcast (under 100 bytes each).
+BROADCAST_LANGUAGES = 100_000
 LEVEL = 9
 #: A margin under this many bytes and this share of the smallest size is narrow.
 NARROW_BYTES, NARROW_SHARE = 4, 0.01
@@ -30,43 +33,52 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries by language, of EXCERPTS * EXCERPT_CHARS characters at most each."""
+    """Dictionaries by language."""
 
     dictionaries: dict[str, bytes]
 
 
-def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", excerpts: int = EXCERPTS) -> Model:
-    """A model from labelled rows; null languages and texts are passed over. More than LANGUAGES
-    different languages are refused with a ValueError, as a text is compressed once for each.
+def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", excerpts: int | None = None) -> Model:
+    """A model from labelled rows; null languages and texts are passed over.
 
-    One pass counts the rows of each language; a second takes the rows whose hash is under a
-    threshold that the count sets, about twice as many as needed, and of each only an excerpt at a
-    hashed place. Only these bounded excerpts reach the driver.
+    A dictionary is filled with the letters of excerpts, taken by hash, up to DICTIONARY_BYTES, or to
+    its share of ALL_BYTES where languages are many; excerpts bounds their number instead. One pass
+    counts the rows of each language; a second takes the rows whose hash is under a threshold that
+    the count sets, about twice as many as needed, and of each only an excerpt at a hashed place. Only
+    these reach the driver. Any number of languages is learnt; a text is compressed once for each.
+    Rows repeated in language and text count once; ties go by hash, then by excerpt.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(SEED), text_col).alias("h")
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not counts:
+    counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    n_langs = counts.count()
+    if not n_langs:
         return Model({})
-    reach = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(2**62, int(2**62 * min(1.0, 2 * excerpts / n + 20 / n))))])
+    room = min(DICTIONARY_BYTES, max(EXCERPT_CHARS, ALL_BYTES // n_langs))
+    # letters may be fewer than an excerpt's characters, as marks and numbers are left out
+    wanted = excerpts or 2 * -(-room // EXCERPT_CHARS)
     spare = F.greatest(F.length("text") - EXCERPT_CHARS, F.lit(0)) + 1
     place = F.pmod(F.xxhash64(F.lit(SEED + 1), "text"), spare) + 1
+    cuts = rows.select("lang", F.xxhash64(F.lit(SEED), "text").alias("h"), F.substring(F.col("text"), place.cast("int"), F.lit(EXCERPT_CHARS)).alias("excerpt"))
+    reach = counts.select("lang", F.least(F.lit(2.0**62), F.lit(2.0**62) * (2 * wanted + 20) / F.col("n")).cast("bigint").alias("reach"))
+    near = cuts.join(F.broadcast(reach) if n_langs <= BROADCAST_LANGUAGES else reach.hint("merge"), "lang")
+    own = W.partitionBy("lang").orderBy("h", "excerpt")
     taken = (
-        rows.where(F.col("h").bitwiseAND(F.lit(2**62 - 1)) <= F.element_at(reach, F.col("lang")))
-        .select("lang", "h", F.substring(F.col("text"), place.cast("int"), F.lit(EXCERPT_CHARS)).alias("excerpt"))
-        .dropDuplicates(["lang", "h", "excerpt"])
-        .orderBy("h", "lang", "excerpt")
-        .limit(4 * excerpts * len(counts))
+        near.where(F.col("h").bitwiseAND(F.lit(2**62 - 1)) <= F.col("reach"))
+        .select("lang", "h", "excerpt")
+        .distinct()
+        .withColumn("rank", F.row_number().over(own))
+        .where(F.col("rank") <= wanted)
+        .orderBy("lang", "rank")
         .collect()
     )
-    found: dict[str, list[str]] = {}
+    found: dict[str, bytes] = {}
     for r in taken:
-        if len(found.setdefault(r["lang"], [])) < excerpts:
-            found[r["lang"]].append(r["excerpt"])
-    return Model({lang: "\n".join(map(letters, x)).encode()[-DICTIONARY_BYTES:] for lang, x in sorted(found.items())})
+        held = found.get(r["lang"], b"")
+        if len(held) < room:
+            found[r["lang"]] = (held + b"\n" if held else b"") + letters(r["excerpt"]).encode()
+    return Model({lang: data[:room] for lang, data in found.items()})
 
 
 def letters(text: str) -> str:
