@@ -1,3 +1,4 @@
+import random
 import re
 
 from trackloom.llm import licenses
@@ -84,6 +85,32 @@ def test_very_long_text_is_scanned_whole(spark):
     assert [t[0] for t in one(spark, text)] == ["GPL-3.0"]
 
 
+def test_measured_recall(spark):
+    """Edited templates whose shingles are still contained enough, by sets of words: nearly all are found."""
+    rng = random.Random(6)
+    docs, want = [], {}
+    for k in range(1_500):
+        name, text = TEMPLATES[k % len(TEMPLATES)]
+        own = words(text)
+        if len(own) < 12:
+            continue
+        for _ in range(rng.randint(0, len(own) // 25 + 1)):
+            own[rng.randrange(len(own))] = f"edit{rng.randrange(9)}"
+        shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        kept = shingles(words(text))
+        if len(kept & shingles(own)) < 0.8 * len(kept):
+            continue
+        filler = " ".join(rng.choice("alpha beta gamma delta epsilon".split()) for _ in range(rng.randint(0, 400)))
+        docs.append((k, f"{filler} {' '.join(own)} {filler}"))
+        want[k] = k % len(TEMPLATES)
+    found = {}
+    for r in licenses.scan(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    # another version of a notice may be contained as well or better, so any of the family counts
+    right = sum(any(n.split("-")[0] == TEMPLATES[t][0].split("-")[0] for n in found.get(k, ())) for k, t in want.items())
+    assert len(want) > 500 and right >= 0.99 * len(want), (right, len(want))
+
+
 def test_bands_guarantee_retrieval():
     assert (1 - 1 / 5) ** licenses.BANDS < 1e-4
     assert re.fullmatch(r"[\w.\-']+", "BY-NC")

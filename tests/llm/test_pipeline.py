@@ -1,3 +1,4 @@
+import os
 import re
 
 import public_tokenizers
@@ -30,3 +31,45 @@ def test_stages(spark, corpus, tmp_path):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def laid_out(spark, tmp_path, docs, labels):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+LABELS = "doc_id bigint, quality int, toxic int"
+
+
+def test_odd_rows_through_every_stage(spark, odd, tmp_path):
+    """Without labels of both kinds all score alike, so the other stages meet every odd row."""
+    sf = laid_out(spark, tmp_path, odd, spark.createDataFrame([(3, 1, 0), (None, 1, None), (4, None, 0)], LABELS))
+    docs, left = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == odd.columns, name
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        left.append(sorted({r["doc_id"] or 0 for r in docs.collect()}))
+        assert {r["kept"] for r in docs.collect()} == {"mine"}  # columns of the table's own
+    assert left[0] == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert left[1] == [0, 1, 3, 4, 5, 6, 7, 8, 9]  # 1 and 2 are both empty
+    assert left[2] == [0, 1, 3, 6, 7, 8, 9]  # 4 has the words of 3; 5 has none, as 1
+    assert set(left[3]) <= set(left[2]) and 1 not in left[3]  # documents without words are in no mix
+    out = corpus_pipeline.run(spark, sf)
+    assert out.columns == ["doc_id", "n_tokens", "ids"]
+    coder = bpe.encoder(open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    assert sorted((r["doc_id"] or 0, coder.decode(r["ids"]).decode()) for r in out.collect()) == sorted((r["doc_id"] or 0, r["text"]) for r in docs.collect())
+
+
+def test_empty_table(spark, none, tmp_path):
+    out = corpus_pipeline.run(spark, laid_out(spark, tmp_path, none, spark.createDataFrame([], LABELS)))
+    assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() == 0
+
+
+def test_only_the_last_stage_is_left_in_the_shared_folder(spark, none, tmp_path):
+    before = set(os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")))
+    corpus_pipeline.run(spark, laid_out(spark, tmp_path, none, spark.createDataFrame([], LABELS))).count()
+    new = set(os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:"))) - before
+    assert [n.rsplit("-", 1)[0] for n in new if not n.startswith("rdd-")] == ["byte-level-BPE"]

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -54,6 +55,47 @@ def test_features_of_any_text():
         assert len(f) == len(quality.FEATURES) and np.isfinite(f).all()
 
 
+def plain_features(text):
+    """The features, counted one character or word at a time."""
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    chars = max(1, sum(not c.isspace() for c in text))
+    kinds = {"upper": str.isupper, "digits": str.isdigit}
+    marks = quality.MARKS
+    share = {k: sum(of(c) and not c.islower() and c not in marks for c in text) / chars for k, of in kinds.items()}
+    other = sum(not (c.islower() or c.isupper() or c.isdigit() or c.isspace() or c in marks) for c in text) / chars
+    w, m = max(1, len(words)), max(1, len(lines))
+    per = lambda some: sum(c in some for c in text) / w
+    counts = [words.count(x) for x in set(words)]
+    return [
+        math.log(1 + len(words)), chars / w if words else 0.0, share["upper"], share["digits"], other, per(marks), per("."), per(","), per("!"), per("|"), per("#*$%&<>"),
+        len(set(words)) / w, math.log(1 + len(lines)), len(words) / m, (len(lines) - len(set(lines))) / m, max(counts, default=0) / w,
+        math.log(1 + max(map(len, words), default=0)), sum(x.istitle() for x in words) / w,
+    ]
+
+
+def test_query_equals_brute_force(spark, texts):
+    """Features by hand, one fit in memory over the labelled rows that are not held out, scores from it."""
+    sf = "/root/testdata/sf0.001"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] is not None}
+    x = {i: plain_features(t or "") for i, t in texts.items()}
+    for i, t in texts.items():
+        assert np.allclose(x[i], quality.features(t or ""), rtol=1e-12, atol=1e-12)
+    learnt = sorted(i for i in labels if i in texts and zlib.crc32(str(i).encode()) % 5)
+    exact = {i: quality.features(t or "") for i, t in texts.items()}  # binning is sensitive to the last bit
+    model = quality.fit(np.array([exact[i] for i in learnt]), [labels[i] for i in learnt])
+    want = dict(zip(exact, model.score(np.array(list(exact.values()))), strict=True))
+    got = {r["doc_id"]: r["score"] for r in op10_quality(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in got)
+
+
+def test_ties_are_decided_by_order(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 40 + 1)) for i in range(200)] + [(5, "AAA BBB"), (5, "zz")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(i, 1 - i % 2) for i in range(0, 200, 7)], "doc_id bigint, quality int")
+    first, again = quality.learn(docs, labels), quality.learn(docs.repartition(7), labels.repartition(5).orderBy("quality"))
+    x = np.array([quality.features(t) for t in ("word " * 9, "AAA", "")])
+    assert (first.score(x) == again.score(x)).all()
+
+
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 0), (7, 0, 0), (4, None, 0), (None, 1, 0), (99, 1, 0)], "doc_id bigint, quality int, toxic int")
     model = quality.learn(odd, labels)

@@ -3,6 +3,7 @@ import public_tokenizers
 import pytest
 
 from trackloom.llm import tokencounts as tc
+from trackloom.llm.queries import op6_token_counts
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RAW = open(PATH, "rb").read()
@@ -63,6 +64,36 @@ def test_sections_add_up(corpus, texts):
         assert sum(r["n_tokens"] for r in own) == own[0]["doc_tokens"]
 
 
+def test_query_equals_brute_force(spark, texts):
+    """Tokens of the library laid over the bytes one by one; each goes to the line of its first character."""
+    coder = tc._encoding(RAW, public_tokenizers.PATTERN)[0]
+    want = set()
+    for i, text in texts.items():
+        text = text or ""
+        char_of_byte = [c for c, ch in enumerate(text) for _ in ch.encode()]
+        lines = text.split("\n")
+        bounds, at = [], 0
+        for k, line in enumerate(lines):
+            end = at + len(line) + (k < len(lines) - 1)
+            if end > at or not text:
+                bounds.append((at, end))
+            at = end
+        line_of = [k for k, (lo, hi) in enumerate(bounds) for _ in range(lo, hi)]
+        ids, byte = coder.encode_ordinary(text), 0
+        counts, crossing = [0] * len(bounds), [0] * len(bounds)
+        for t in ids:
+            n = len(coder.decode_single_token_bytes(t))
+            met = {line_of[char_of_byte[b]] for b in range(byte, byte + n)}
+            counts[line_of[char_of_byte[byte]]] += 1
+            for k in met if len(met) > 1 else ():
+                crossing[k] += 1
+            byte += n
+        want |= {(i, k, lo, hi, float(counts[k]), crossing[k], len(ids)) for k, (lo, hi) in enumerate(bounds)}
+    got = op6_token_counts(spark, "/root/testdata/sf0.001").collect()
+    names = ("doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing", "doc_tokens")
+    assert {tuple(r[n] for n in names) for r in got} == want and len(got) == len(want)
+
+
 def test_fields(spark):
     df = spark.createDataFrame([(1, "Title words", None, "Body of the text"), (2, None, None, None)], "doc_id bigint, a string, b string, c string")
     got = {r["doc_id"]: r for r in tc.count_fields(df, ["a", "b", "c"], PATH, public_tokenizers.PATTERN, "share").collect()}

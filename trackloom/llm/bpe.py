@@ -215,8 +215,9 @@ def _read(path: str) -> bytes:
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) per row of docs. Null and empty texts have no ids; repeated rows
-    are encoded one by one; other columns are not read. The rank file, of a few MB at most, is read
-    on the driver from the path given and travels with the task."""
+    are encoded one by one; other columns are not read; an empty table gives no rows. Texts of any
+    length are encoded whole, in parts. The rank file, of a few MB at most, is read on the driver from
+    the path given and travels with the task."""
     ranks = _read(vocabulary)
 
     def rate(ids, texts):

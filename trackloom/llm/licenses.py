@@ -3,10 +3,10 @@
 A text and the templates are lower-case words; their shingles are five words (all the words of a
 shorter template). Templates of c/2 to c shingles meet windows of 2c shingles at steps of c, so
 that every run of c shingles lies within a window. A template within a window has a Jaccard
-similarity of 1/4 at least, and one of which 80 % is there has 1/5 at least; with BANDS bands of one
-row each, the chance that no band agrees is under (4/5)^BANDS, 2e-5. The least hashes of the windows
-of all lengths come from one pass, by halves. A retrieved template is a match where a window holds
-CONTAINMENT of its shingles, each compared by a 64-bit hash of its words.
+similarity of 1/4 at least; one of c/2 shingles, 80 % of which are in a window of 2c, has 0.4c/2.1c,
+0.19. With BANDS bands of one row each, the chance that no band agrees is under 0.81^BANDS, 4e-5.
+The least hashes of the windows of all lengths come from one pass, by halves. A retrieved template
+is a match where a window holds CONTAINMENT of its shingles, each compared by a 64-bit hash of its words.
 """
 
 from __future__ import annotations

@@ -185,20 +185,22 @@ def fit(x, y) -> Additive:
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Additive:
     """A model of label_col from at most sample_rows labelled documents, chosen by hash.
 
-    Labels that are null, or whose document is missing, are passed over. The sample of labels is
-    bounded, so it is broadcast; only features of its documents reach the driver.
+    Labels that are null, or whose document is missing, are passed over. A document with several
+    labels has the least of them; of texts that share an id the one with the least features counts,
+    so that a rerun learns the same. The sample of labels is bounded, so it is broadcast; only features
+    of its documents reach the driver. Without labels of both kinds the model is its intercept.
     """
     import numpy as np
 
     known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_y")
     )
-    sample = known.dropDuplicates(["_id"]).orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(sample_rows)
+    sample = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(sample_rows)
     rated = map_texts(
         docs.select("doc_id", "text").join(F.broadcast(sample.select("_id")), F.col("doc_id") == F.col("_id"), "left_semi"),
         lambda ids, texts: [ids, [features(t or "") for t in texts]],
         "x array<double>",
-    ).dropDuplicates(["doc_id"])
+    ).groupBy("doc_id").agg(F.min("x").alias("x"))
     rows = sorted((r["doc_id"], r["_y"], r["x"]) for r in rated.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "_y", "x").collect())
     return fit(np.array([r[2] for r in rows]).reshape(-1, len(FEATURES)), [r[1] for r in rows])
 

@@ -223,7 +223,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind. Null and empty
     texts have none: base_sha256 is then that of the empty string. Repeated rows are scanned one by
-    one and other columns are not read. Texts of any length are scanned whole.
+    one and other columns are not read; an empty table gives no rows. Texts of any length are scanned
+    whole, in time in proportion to it, unbroken ones too.
     """
 
     def rate(ids, texts):

@@ -115,7 +115,9 @@ def count_sections(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "
     n_crossing (tokens that it shares with another section), doc_tokens (of the whole text).
 
     Null and empty texts have one section of no tokens. Every token goes to a section, as lines cover
-    the text: over a document n_tokens sums to doc_tokens. Repeated rows are counted one by one.
+    the text: over a document n_tokens sums to doc_tokens. Repeated rows are counted one by one; other
+    columns are not read; an empty table gives no rows. A text is encoded and joined whole, whatever
+    its length: a worker holds one text's tokens at a time.
     """
     with open(vocabulary, "rb") as f:
         ranks = f.read()
@@ -136,7 +138,8 @@ def count_sections(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "
 
 def count_fields(docs: DataFrame, fields: list[str], vocabulary: str, pattern: str, rule: str = "start", separator: str = "\n\n") -> DataFrame:
     """doc_id, doc_tokens and field_tokens (array<double>, in the order of fields): the fields joined
-    by separator are encoded as one text. Tokens of the separator alone go to no field."""
+    by separator are encoded as one text. Tokens of the separator alone go to no field. Null fields are
+    empty ones and have no tokens; repeated rows are counted one by one; an empty table gives no rows."""
     with open(vocabulary, "rb") as f:
         ranks = f.read()
 
