@@ -8,7 +8,7 @@ in its source goes through a pseudorandom permutation of the source's block inde
 each time that the source is gone through. Blocks then join slots by (source, index).
 
 The permutation is a swap-or-not network (Hoang, Morris and Rogaway, 2012): in each round an index x
-and its partner (k - x mod n) change places or not, as a keyed bit of the greater of the two says.
+and its partner (k - x mod n) change places or not, as a keyed bit of the greater of the two says (a universal hash modulo a prime, its upper half).
 It is a bijection of 0..n-1 for any n, so no index has to be walked back into range.
 
 A source of any size is dealt over many chunks of hashes: the place of a document is the chunk's
@@ -31,8 +31,10 @@ OUTPUT_SHARDS = 64
 MAX_REPEATS = 3
 SEED = 20240229
 HASH_BITS = 60
-#: Rounds of the index permutation.
-ROUNDS = 16
+#: Rounds of the index permutation, and the prime of their bits.
+ROUNDS, PRIME = 16, 2**31 - 1
+#: Slots of a run, slots that a task makes from its runs, about, and tasks at most.
+RUN, TASK_SLOTS, MOST_TASKS = 4096, 50_000, 20_000
 
 
 def hashed(*parts: Column | str | int) -> Column:
@@ -42,18 +44,19 @@ def hashed(*parts: Column | str | int) -> Column:
 
 
 def permutation(n: Column, *key: Column | str | int) -> Column:
-    """The rounds of a permutation of 0..n-1 under a key: each with its k and the key of its bits."""
-    return F.array(
-        *[F.struct((hashed(*key, f"k{i}") % n).alias("k"), F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in key], F.lit(f"b{i}:")).alias("bits")) for i in range(ROUNDS)]
-    )
+    """The rounds of a permutation of 0..n-1 under a key: each with its k and the factors of its bits."""
+    drawn = lambda i, name, below: (hashed(*key, f"{name}{i}") % below).alias(name)
+    return F.array(*[F.struct(drawn(i, "k", n), *[drawn(i, name, PRIME) for name in "abc"]) for i in range(ROUNDS)])
 
 
 def permuted(x: Column, n: Column, rounds: Column) -> Column:
-    """Where the permutation puts x, a long of 0..n-1."""
+    """Where the permutation puts x, a long of 0..n-1. n may have HASH_BITS."""
 
     def swap(now: Column, r: Column) -> Column:
         other = F.pmod(r["k"] - now, n)
-        bit = F.substring(F.md5(F.concat(r["bits"], F.greatest(now, other).cast("string"))), 1, 1) < "8"
+        top = F.greatest(now, other)
+        # two halves of 30 bits times factors of 31 and their sum fit in a long
+        bit = (F.shiftright(top, 30) * r["a"] + top.bitwiseAND(F.lit(2**30 - 1)) * r["b"] + r["c"]) % PRIME < 2**30
         return F.when(bit, other).otherwise(now)
 
     return F.aggregate(rounds, x.cast("bigint"), swap)
@@ -149,17 +152,18 @@ def plan(docs: DataFrame, keys: dict[str, Column] | None = None, block_words: in
 def _uses(sources: DataFrame, shards: int, seed: int) -> DataFrame:
     """sk, block, shard, n.
 
-    Slots come in runs of at most 4096 of one pass over a source, so one large source is generated by
-    many tasks; a run brings the rounds of its pass's permutation.
+    Slots come in runs of at most RUN of one pass over a source, dealt out over a number of tasks that
+    follows the slots, so one large source is generated by many tasks. The rounds of a pass's
+    permutation come with its runs.
     """
-    run = 4096
+    run = RUN
+    tasks = min(MOST_TASKS, 1 + (sources.agg(F.sum("slots")).first()[0] or 0) // TASK_SLOTS)
     passes = sources.where("slots > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / F.col("blocks")))))
     passes = passes.withColumn("count", F.least(F.col("blocks"), F.col("slots") - F.col("pass") * F.col("blocks")))
-    runs = passes.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("count") - 1) / run)))).repartition("sk", "pass", "run")
-    slots = runs.select(
-        "sk", "pass", "blocks", permutation(F.col("blocks"), seed, F.col("sk"), F.col("pass")).alias("rounds"),
-        F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("count")) - 1)).alias("at"),
-    )
+    # written, so that the rounds are made once for a pass, not again for each slot
+    passes = cut(passes.select("sk", "pass", "blocks", "count", permutation(F.col("blocks"), seed, F.col("sk"), F.col("pass")).alias("rounds")))
+    runs = passes.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("count") - 1) / run)))).repartition(tasks, "sk", "pass", "run")
+    slots = runs.withColumn("at", F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, F.col("count")) - 1)))
     block = permuted(F.col("at"), F.col("blocks"), F.col("rounds"))
     shard = hashed(seed, F.col("sk"), F.col("pass") * F.col("blocks") + F.col("at"), "shard") % shards
     return slots.select("sk", block.alias("block"), shard.alias("shard")).groupBy("sk", "block", "shard").agg(F.count(F.lit(1)).alias("n"))

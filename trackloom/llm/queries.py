@@ -157,8 +157,14 @@ def _hash(parts: str) -> str:
 
 def _round(i: int) -> str:
     """A round of the index permutation: x{i} to x{i + 1}."""
-    bit = f"substr(md5(concat_ws(':', '{mixing.SEED}', sk, pass, 'b{i}:') || greatest(x, o)), 1, 1) < '8'"
-    return f"x{i + 1} AS MATERIALIZED (SELECT sk, n, pass, i, k, CASE WHEN {bit} THEN o ELSE x END AS x FROM (SELECT *, ((k[{i + 1}] - x) % n + n) % n AS o FROM x{i}) a)"
+    f = f"k[{i + 1}]"
+    bit = f"((greatest(x, o) >> 30) * {f}.a + (greatest(x, o) & {2**30 - 1}) * {f}.b + {f}.c) % {mixing.PRIME} < {2**30}"
+    return f"x{i + 1} AS MATERIALIZED (SELECT sk, n, pass, i, k, CASE WHEN {bit} THEN o ELSE x END AS x FROM (SELECT *, (({f}.k - x) % n + n) % n AS o FROM x{i}) a)"
+
+
+def _factors(i: int) -> str:
+    each = (f"'{name}': " + _hash(f"'{mixing.SEED}', sk, pass, '{name}{i}'") + f" % {below}" for name, below in (("k", "n"), *((x, mixing.PRIME) for x in "abc")))
+    return "{" + ", ".join(each) + "}"
 
 
 _MIX = rf"""
@@ -173,7 +179,7 @@ t AS (SELECT sk, source_size, CAST(ceil(source_size / {mixing.BLOCK_WORDS}) AS B
 q AS (SELECT *, coalesce(CAST(floor(target / nullif(source_size, 0)) AS BIGINT), 0) AS whole FROM t),
 c AS (SELECT sk, n, least(whole * n + coalesce(CAST(round((target - whole * source_size) * n / nullif(source_size, 0)) AS BIGINT), 0), 3 * n) AS slots FROM q),
 slot AS (SELECT sk, n, i // n AS pass, i, i % n AS x FROM (SELECT sk, n, unnest(range(slots)) AS i FROM c) a),
-k AS (SELECT sk, n, pass, [{", ".join(_hash(f"'{mixing.SEED}', sk, pass, 'k{i}'") + " % n" for i in range(mixing.ROUNDS))}] AS k
+k AS MATERIALIZED (SELECT sk, n, pass, [{", ".join(map(_factors, range(mixing.ROUNDS)))}] AS k
     FROM (SELECT DISTINCT sk, n, pass FROM slot) a),
 x0 AS (SELECT slot.*, k.k FROM slot JOIN k USING (sk, n, pass)),
 {", ".join(map(_round, range(mixing.ROUNDS)))},
