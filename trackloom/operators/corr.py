@@ -6,19 +6,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LAMBDA, LAMBDA_OBJECTS = 0.0051, 0.67
+#: Dimensions up to which their products go through the driver.
+MOST_DIMENSIONS = 4_096
+
+
+def _moments(views: DataFrame) -> DataFrame:
+    """Rows of two arrays a and b to i, j, n, mx, my, c, vx, vy per task: count, means, and sums of
+    products and squares about the means. A task holds one matrix of a's by b's dimensions."""
+
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        n = 0
+        for batch in batches:
+            x, y = (np.array(c.to_pylist(), dtype=float) for c in batch.columns)
+            if not len(x):
+                continue
+            m, mx, my = len(x), x.mean(axis=0), y.mean(axis=0)
+            c, vx, vy = (x - mx).T @ (y - my), ((x - mx) ** 2).sum(axis=0), ((y - my) ** 2).sum(axis=0)
+            if n:  # two samples as one
+                dx, dy, f = mx - old[0], my - old[1], n * m / (n + m)
+                old = [old[0] + dx * m / (n + m), old[1] + dy * m / (n + m), old[2] + c + f * np.outer(dx, dy), old[3] + vx + f * dx**2, old[4] + vy + f * dy**2]
+            else:
+                old = [mx, my, c, vx, vy]
+            n += m
+        if n:
+            mx, my, c, vx, vy = old
+            i, j = np.divmod(np.arange(c.size), c.shape[1])
+            columns = [i.astype("int32"), j.astype("int32"), np.full(c.size, n), mx[i], my[j], c.ravel(), vx[i], vy[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["i", "j", "n", "mx", "my", "c", "vx", "vy"])
+
+    return views.select("a", "b").mapInArrow(add, "i int, j int, n bigint, mx double, my double, c double, vx double, vy double")
 
 
 def cross_corr(views: DataFrame) -> DataFrame:
     """i, j, c from rows of two arrays a and b: the correlation of a's i-th with b's j-th, from 1,
     with sample deviations and divided by n, so that a view with itself has (n-1)/n on the diagonal.
 
-    Each row adds to one running covariance per pair before the shuffle, which has one row per task and pair.
+    Each task brings one matrix of sums to the shuffle, not a row per detection and pair.
     """
-    left = views.select("a", "b", F.posexplode("a").alias("i", "x")).select("b", "i", "x")
-    both = left.select("i", "x", F.posexplode("b").alias("j", "y"))
-    n = F.count(F.lit(1))
-    c = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")) * (n - 1) / n
-    return both.groupBy((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j")).agg(c.alias("c"))
+    n = F.sum("n")
+    about = lambda held, x, y: F.sum(held) + F.sum(F.col("n") * F.col(x) * F.col(y)) - F.sum(F.col("n") * F.col(x)) * F.sum(F.col("n") * F.col(y)) / n
+    c = F.try_divide(about("c", "mx", "my"), F.sqrt(about("vx", "mx", "mx")) * F.sqrt(about("vy", "my", "my"))) * (n - 1) / n
+    return _moments(views).groupBy((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j")).agg(c.alias("c"))
+
+
+def feature_gram(points: DataFrame) -> DataFrame:
+    """i, j, g: the products of the columns of x, from 1, uncentred; one matrix of sums per task."""
+    g = F.sum("c") + F.sum(F.col("n") * F.col("mx") * F.col("my"))
+    return _moments(points.select(F.col("x").alias("a"), F.col("x").alias("b"))).groupBy((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j")).agg(g.alias("g"))
 
 
 def cross_corr_objects(views: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -46,12 +83,28 @@ def barlow_loss(features: DataFrame, objects: DataFrame, weight: float = LAMBDA_
 
 
 def svd_embed(points: DataFrame, components: int) -> DataFrame:
-    """linear_ind and embedding, the rows of U times S of the truncated SVD of x, uncentred. Signs are arbitrary."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    rows = points.select("linear_ind", "x").rdd.map(lambda r: IndexedRow(r[0], Vectors.dense(r[1])))
-    svd = IndexedRowMatrix(rows).computeSVD(components, computeU=True)
-    scale = svd.s.toArray().tolist()
-    kept = svd.U.rows.map(lambda r: (int(r.index), [float(u * s) for u, s in zip(r.vector.toArray(), scale)]))
-    return points.sparkSession.createDataFrame(kept, "linear_ind bigint, embedding array<double>")
+    """linear_ind and embedding, the rows of U times S of the truncated SVD of x, uncentred.
+
+    The directions are the leading eigenvectors of the columns' products, a matrix of dimensions by
+    dimensions that goes through the driver; each has its greatest entry positive. Points are then
+    projected batch by batch.
+    """
+    import numpy as np
+
+    size = points.agg(F.max(F.size("x"))).first()[0] or 0
+    if size > MOST_DIMENSIONS:
+        raise ValueError(f"{size} dimensions; the decomposition takes {MOST_DIMENSIONS}")
+    cells = feature_gram(points).toArrow()
+    gram = np.zeros((size, size))
+    gram[cells["i"].to_numpy() - 1, cells["j"].to_numpy() - 1] = cells["g"].to_numpy()
+    v = np.linalg.eigh(gram)[1][:, ::-1][:, :components] if size else np.zeros((0, 0))
+    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]) if size else v
+
+    def project(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), dtype=float).reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(list(x @ v), pa.list_(pa.float64()))], names=["linear_ind", "embedding"])
+
+    return points.select("linear_ind", "x").mapInArrow(project, "linear_ind bigint, embedding array<double>")

@@ -9,7 +9,32 @@ from pyspark.sql import functions as F
 from trackloom.operators.checkpoints import cut
 
 #: Points of a block of the exact neighbour search.
-BLOCK = 2048
+BLOCK = 4096
+
+
+def nearest_in_block(a, b, ids, k: int):
+    """(distances, ids) of the k nearest of the rows of b for each row of a, by distance and then id.
+
+    A matrix product gives distances but for rounding; what comes within rounding of the k-th is
+    measured anew, coordinate by coordinate, so that equal points are equally far.
+    """
+    import numpy as np
+
+    k = min(k, len(b))
+    a2, b2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    out_d, out_i = np.empty((len(a), k)), np.empty((len(a), k), dtype=np.int64)
+    for lo in range(0, len(a), 256):
+        rows = a[lo : lo + 256]
+        d = a2[lo : lo + 256, None] + b2 - 2 * rows @ b.T
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1] + 1e-9 * (1 + a2[lo : lo + 256] + b2.max())
+        at, col = np.nonzero(d <= limit[:, None])
+        exact = np.sqrt(((rows[at] - b[col]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[col], exact, at))
+        at, col, exact = at[order], col[order], exact[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)  # within its row
+        first = place < k
+        out_d[lo : lo + 256], out_i[lo : lo + 256] = exact[first].reshape(-1, k), ids[col[first]].reshape(-1, k)
+    return out_d, out_i
 
 
 def knn(points: DataFrame, k: int, targets: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -19,8 +44,9 @@ def knn(points: DataFrame, k: int, targets: DataFrame | None = None, block: int
     of blocks is one task's matrix of distances, and only its k best per point go on, so that a task
     holds two blocks whatever the number of points. Equal distances go by id. See knn_lsh beyond.
     """
+    n_p = -(-max(1, points.count()) // block)
+    n_t = n_p if targets is None else -(-max(1, targets.count()) // block)
     targets = points if targets is None else targets
-    n_p, n_t = (-(-max(1, df.count()) // block) for df in (points, targets))
     left = points.select("linear_ind", "x", F.pmod(F.xxhash64("linear_ind"), F.lit(n_p)).alias("i"), F.lit(0).alias("side"))
     right = targets.select("linear_ind", "x", F.pmod(F.xxhash64("linear_ind"), F.lit(n_t)).alias("j"), F.lit(1).alias("side"))
     left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1)))).withColumn("j", F.col("j").cast("bigint"))
@@ -33,13 +59,8 @@ def knn(points: DataFrame, k: int, targets: DataFrame | None = None, block: int
         a, b = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("linear_ind")
         if not len(a) or not len(b):
             return pd.DataFrame({"src": [], "dst": [], "dist": []}).astype({"src": "int64", "dst": "int64", "dist": "float64"})
-        ids, own = b.linear_ind.to_numpy(), np.stack(b.x.to_list())
-        out = []
-        for i, x in zip(a.linear_ind, a.x, strict=True):
-            d = np.sqrt(((own - x) ** 2).sum(axis=1))
-            order = np.argsort(d, kind="stable")[:k]
-            out.append(pd.DataFrame({"src": i, "dst": ids[order], "dist": d[order]}))
-        return pd.concat(out)
+        d, i = nearest_in_block(np.stack(a.x.to_list()), np.stack(b.x.to_list()), b.linear_ind.to_numpy(), k)
+        return pd.DataFrame({"src": np.repeat(a.linear_ind.to_numpy(), d.shape[1]), "dst": i.ravel(), "dist": d.ravel()})
 
     cells = left.unionByName(right).groupBy("i", "j").applyInPandas(nearest, "src bigint, dst bigint, dist double")
     w = W.partitionBy("src").orderBy("dist", "dst")
