@@ -113,6 +113,20 @@ def leaf_labels(tree, n: int):
     return labels, strength
 
 
+def densities(tree, n: int):
+    """Of each leaf cluster, by label: the density at which it begins and its greatest finite one."""
+    parents = {p for p, c, _, _ in tree if c >= n}
+    clusters = sorted({c for _, c, _, _ in tree if c >= n and c not in parents})
+    number = {c: i for i, c in enumerate(clusters)}
+    birth, top = np.zeros(len(clusters)), np.zeros(len(clusters))
+    for p, c, density, _ in tree:
+        if c in number:
+            birth[number[c]] = density
+        elif p in number and np.isfinite(density):
+            top[number[p]] = max(top[number[p]], density)
+    return birth, top
+
+
 def fit(x, min_cluster_size: int, min_samples: int):
     """(labels, probabilities, condensed tree) of the rows of x."""
     n = len(x)

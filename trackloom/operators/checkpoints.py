@@ -28,6 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def within(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df, written and counted: what is to go to one task or to the driver. More than most rows are an error."""
+    df = cut(df)
+    if (n := df.count()) > most:
+        raise ValueError(f"{n} {what}; {most} are taken")
+    return df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system that Spark reads; a missing one is passed over."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -22,11 +22,7 @@ def mutual_reachability(neighbours: DataFrame, core: DataFrame) -> DataFrame:
     return edges.select("src", "dst", F.greatest("core_src", "core_dst", "dist").alias("mr"))
 
 
-def hdbscan_labels(points: DataFrame, min_cluster_size: int, min_samples: int, by: str | None = None) -> DataFrame:
-    """(by,) linear_ind, label, prob: one fit per group of by, or one of all points; -1 is noise.
-
-    A fit is one task's work; hdbscan.MOST_POINTS bounds it.
-    """
+def _fits(points: DataFrame, min_cluster_size: int, min_samples: int, by: str | None, predicting: bool) -> DataFrame:
     key = by or "_all"
     rows = points if by else points.withColumn("_all", F.lit(0))
 
@@ -34,14 +30,33 @@ def hdbscan_labels(points: DataFrame, min_cluster_size: int, min_samples: int, b
         import numpy as np
 
         pdf = pdf.sort_values("linear_ind")
-        labels, strength, _ = hdbscan.fit(np.stack(pdf.x.to_list()), min_cluster_size, min_samples)
-        return pdf[[key, "linear_ind"]].assign(label=labels.astype("int32"), prob=strength)
+        x = np.stack(pdf.x.to_list())
+        labels, strength, tree = hdbscan.fit(x, min_cluster_size, min_samples)
+        out = pdf[[key, "linear_ind"]].assign(label=labels.astype("int32"), prob=strength)
+        if predicting:
+            birth, top = hdbscan.densities(tree, len(x))
+            at = np.append(np.arange(len(birth)), -1)[labels] if len(birth) else np.full(len(x), -1)
+            out = out.assign(core=hdbscan.core_distances(x, max(1, min_samples)), birth=np.append(birth, np.nan)[at], top=np.append(top, np.nan)[at])
+        return out
 
     kind = rows.schema[key].dataType.simpleString()
-    found = rows.select(key, "linear_ind", "x").groupBy(key).applyInPandas(solve, f"{key} {kind}, linear_ind bigint, label int, prob double")
+    more = ", core double, birth double, top double" if predicting else ""
+    # counted first, as a group is one task's work
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if sizes > hdbscan.MOST_POINTS:
+        raise ValueError(f"{sizes} points; one fit takes {hdbscan.MOST_POINTS}")
+    found = rows.select(key, "linear_ind", "x").groupBy(key).applyInPandas(solve, f"{key} {kind}, linear_ind bigint, label int, prob double{more}")
     return found if by else found.drop("_all")
 
 
+def hdbscan_labels(points: DataFrame, min_cluster_size: int, min_samples: int, by: str | None = None) -> DataFrame:
+    """(by,) linear_ind, label, prob: one fit per group of by, or one of all points; -1 is noise.
+
+    A fit is one task's work; its points are counted first and hdbscan.MOST_POINTS bounds them.
+    """
+    return _fits(points, min_cluster_size, min_samples, by, False)
+
+
 def condensed_tree(points: DataFrame, min_cluster_size: int, min_samples: int) -> DataFrame:
     """parent, child, lambda, size, point: the condensed tree; point is the child's linear_ind where it is one."""
 
@@ -60,10 +75,35 @@ def condensed_tree(points: DataFrame, min_cluster_size: int, min_samples: int) -
     return rows.groupBy("_all").applyInPandas(solve, "parent int, child int, lambda double, size int, point bigint")
 
 
-def nn_label_assign(points: DataFrame, fitted: DataFrame) -> DataFrame:
-    """linear_ind, label of the nearest fitted point."""
-    near = graph.knn(points, 1, fitted.select("linear_ind", "x"))
-    labels = fitted.select(F.col("linear_ind").alias("dst"), "label")
+def fitted(points: DataFrame, min_cluster_size: int, min_samples: int, by: str | None = None) -> DataFrame:
+    """hdbscan_labels with what predicting needs: core, the core distance of a point, and birth and top,
+    the densities at which its cluster begins and at which it is densest (null for noise)."""
+    return _fits(points, min_cluster_size, min_samples, by, True)
+
+
+def approximate_predict(points: DataFrame, model: DataFrame, min_samples: int) -> DataFrame:
+    """linear_ind, label, prob of new points: model is fitted's result with x.
+
+    A point's nearest fitted point is that of least mutual reachability among the nearest 2 *
+    min_samples. It takes that one's cluster if it is dense enough there to lie within it, with its
+    density over the cluster's greatest as probability; else, and next to noise, it is noise.
+    """
+    near = graph.knn(points, max(2, 2 * min_samples), model.select("linear_ind", "x"))
+    own = near.groupBy("src").agg(F.max(F.when(F.col("rk") <= max(1, min_samples), F.col("dist"))).alias("own_core"))
+    held = model.select(F.col("linear_ind").alias("dst"), "label", "core", "birth", "top")
+    reach = F.greatest("dist", "own_core", "core")
+    best = near.join(own, "src").join(held, "dst").groupBy("src").agg(F.min(F.struct(reach.alias("reach"), "dst", "label", "birth", "top")).alias("b"))
+    density = F.when(F.col("b.reach") > 0, 1 / F.col("b.reach")).otherwise(F.lit(float("inf")))
+    inside = (F.col("b.label") >= 0) & (density >= F.col("b.birth"))
+    share = F.when(F.col("b.top") > 0, F.least(density, F.col("b.top")) / F.col("b.top")).otherwise(F.lit(1.0))
+    label = F.when(inside, F.col("b.label")).otherwise(F.lit(-1)).cast("int")
+    return best.select(F.col("src").alias("linear_ind"), label.alias("label"), F.when(inside, share).otherwise(F.lit(0.0)).alias("prob"))
+
+
+def nn_label_assign(points: DataFrame, labelled: DataFrame) -> DataFrame:
+    """linear_ind, label of the nearest labelled point."""
+    near = graph.knn(points, 1, labelled.select("linear_ind", "x"))
+    labels = labelled.select(F.col("linear_ind").alias("dst"), "label")
     return near.join(labels, "dst").select(F.col("src").alias("linear_ind"), "label")
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.hungarian import assign
 from trackloom.functions.rounding import long_count
+from trackloom.operators.checkpoints import within
 
-#: Names above which a matching is refused: its matrix is held by one task.
-MATCH_NAMES = 5_000
+#: Pairs of names with cells in common that one task matches, at most, and objects of a template.
+MATCH_CELLS, TEMPLATE_ROWS = 4_000_000, 20_000
 
 
 def align(truth: DataFrame, predicted: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -35,25 +36,39 @@ def contingency(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return truth.select(F.col("name").alias("gt_name"), "t", "raw_seg_id").join(p, ["t", "raw_seg_id"]).groupBy("gt_name", "pred_name").agg(long_count().alias("n"))
 
 
-def match_tracks(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """gt_name, pred_name, n of the one-to-one matching with most cells in common; pairs without any are unmatched.
+def solve_matching(counts: DataFrame, by: str | None = None) -> DataFrame:
+    """(by,) gt_name, pred_name, n of the one-to-one matching with most cells in common, of each group of
+    by; pairs without any are unmatched, and equals go in order of the names.
 
-    The table of counts is bounded by the names and not by the frames; it is checked, and goes to one task.
+    counts (gt_name, pred_name, n) is bounded by the names and not by the frames; it is counted before
+    groups of it go to tasks.
     """
-    counts = contingency(truth, predicted)
-    kind = counts.schema["gt_name"].dataType.simpleString(), counts.schema["pred_name"].dataType.simpleString()
+    kind = [counts.schema[c].dataType.simpleString() for c in ("gt_name", "pred_name", *([by] if by else []))]
 
     def solve(pdf):
+        import numpy as np
         import pandas as pd
 
-        rows, columns = sorted(set(pdf.gt_name)), sorted(set(pdf.pred_name))
-        if max(len(rows), len(columns)) > MATCH_NAMES:
-            raise ValueError(f"more than {MATCH_NAMES} names to match")
-        table = pdf.pivot(index="gt_name", columns="pred_name", values="n").reindex(index=rows, columns=columns).fillna(0).to_numpy()
+        rows, columns = np.unique(pdf.gt_name), np.unique(pdf.pred_name)
+        table = np.zeros((len(rows), len(columns)))
+        table[np.searchsorted(rows, pdf.gt_name), np.searchsorted(columns, pdf.pred_name)] = pdf.n
         found = [(rows[r], columns[c], int(table[r, c])) for r, c in assign(-table) if table[r, c] > 0]
-        return pd.DataFrame(found, columns=["gt_name", "pred_name", "n"])
+        out = pd.DataFrame(found, columns=["gt_name", "pred_name", "n"])
+        return out.assign(**{by: pdf[by].iloc[0]}) if by else out
+
+    key = F.col(by) if by else F.lit(1).alias("all")
+    named = f"gt_name {kind[0]}, pred_name {kind[1]}, n bigint" + (f", {by} {kind[2]}" if by else "")
+    return within(counts, MATCH_CELLS, "pairs of names to match").groupBy(key).applyInPandas(solve, named)
+
+
+def match_tracks(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """gt_name, pred_name, n of the one-to-one matching of tracks with most cells in common."""
+    return solve_matching(contingency(truth, predicted))
+
 
-    return counts.groupBy(F.lit(1).alias("all")).applyInPandas(solve, f"gt_name {kind[0]}, pred_name {kind[1]}, n bigint")
+def match_on_frames(truth: DataFrame, predicted: DataFrame, frames: list[int]) -> DataFrame:
+    """The same over a few template frames only."""
+    return match_tracks(truth.where(F.col("t").isin(frames)), predicted.where(F.col("t").isin(frames)))
 
 
 def combine_first(preferred: DataFrame, other: DataFrame) -> DataFrame:
@@ -70,12 +85,16 @@ def mode_vote(votes: DataFrame) -> DataFrame:
     return counted.groupBy("linear_ind").agg(best).select("linear_ind", "b.label", "b.n")
 
 
-def enrich(tracks: DataFrame, detections: DataFrame) -> DataFrame:
-    """Tracks with the ids and the position of their detection, null where it is unknown."""
+def enrich(tracks: DataFrame, detections: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+    """Tracks with the ids and the position of their detection, null where it is unknown; fallback (t,
+    raw_seg_id and the same columns) fills in what detections doesn't know."""
+    if fallback is not None:
+        known = ["raw_neuron_ind", "z", "x", "y"]
+        both = detections.select("t", "raw_seg_id", *known).alias("d").join(fallback.select("t", "raw_seg_id", *known).alias("f"), ["t", "raw_seg_id"], "full")
+        detections = both.select("t", "raw_seg_id", *[F.coalesce(f"d.{c}", f"f.{c}").alias(c) for c in known])
     return tracks.select("name", "t", "raw_seg_id").join(detections.select("t", "raw_seg_id", "raw_neuron_ind", "z", "x", "y"), ["t", "raw_seg_id"], "left").select("name", "t", "raw_neuron_ind", "z", "x", "y")
 
 
-
 VALID = "gt_seg IS NOT NULL"
 MISS = "gt_seg IS NOT NULL AND pred_seg IS NULL"
 MISMATCH = "coalesce(gt_seg <> pred_seg, false)"
@@ -163,8 +182,9 @@ def macro_micro(aligned: DataFrame) -> DataFrame:
 
 
 def confidence_by_correct(scored: DataFrame) -> DataFrame:
-    """name, correct, n, confs: the confidences of right and wrong cells, sorted."""
-    return scored.groupBy("name", "correct").agg(long_count().alias("n"), F.sort_array(F.collect_list("conf")).alias("confs"))
+    """name, correct, place (from 0) and conf: the confidences of a name's right and wrong cells, sorted."""
+    w = W.partitionBy("name", "correct").orderBy("conf")
+    return scored.select("name", "correct", (F.row_number().over(w) - 1).cast("bigint").alias("place"), "conf")
 
 
 def displacement(padded: DataFrame) -> DataFrame:
@@ -174,18 +194,49 @@ def displacement(padded: DataFrame) -> DataFrame:
     return padded.select("name", "t", F.sqrt(gone).alias("dist"))
 
 
-def _distance(a: str, b: str) -> Column:
-    return F.sqrt(sum(((F.col(f"{a}.{k}") - F.col(f"{b}.{k}")) ** 2 for k in ("z", "x", "y")), F.lit(0.0)))
-
-
 def nearest_distance(detections: DataFrame) -> DataFrame:
     """linear_ind, t, dist to the nearest other detection of the frame; frames of one have none.
 
-    The join is within a frame, whose objects are a few hundred at most (frames_within).
+    A frame is searched in blocks of its own, as matrices, so no pair of detections is ever a row.
     """
-    other = detections.alias("b")
-    pairs = detections.alias("a").join(other, (F.col("a.t") == F.col("b.t")) & (F.col("a.linear_ind") != F.col("b.linear_ind")))
-    return pairs.groupBy(F.col("a.linear_ind").alias("linear_ind"), F.col("a.t").alias("t")).agg(F.min(_distance("a", "b")).alias("dist"))
+    return _nearest_within(detections.withColumn("key", F.lit("")), detections, True).select("linear_ind", "t", "dist")
+
+
+#: Detections of a block of a frame.
+FRAME_BLOCK = 2_048
+
+
+def _nearest_within(queries: DataFrame, detections: DataFrame, others: bool) -> DataFrame:
+    """t, key, linear_ind of queries, dist and found: the nearest detection of the frame by position, then
+    id; with others, other than itself. Each pair of blocks of a frame is one task's matrix."""
+
+    def dealt(df, side):
+        n = df.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / FRAME_BLOCK).cast("int").alias("blocks"))
+        return df.join(n, "t").withColumn(side, F.pmod(F.xxhash64("linear_ind"), F.col("blocks")).cast("int")), n
+
+    a, n_a = dealt(queries, "i")
+    b, n_b = dealt(detections, "j")
+    a = a.drop("blocks").join(n_b, "t").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    b = b.drop("blocks").join(n_a, "t").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"side": F.lit(1), "key": F.lit("")})
+    columns = ["t", "i", "j", "side", "key", "linear_ind", "z", "x", "y"]
+
+    def nearest(pdf):
+        import numpy as np
+        import pandas as pd
+
+        q, d = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("linear_ind")
+        gaps = np.sqrt(sum((q[c].to_numpy()[:, None] - d[c].to_numpy()) ** 2 for c in ("z", "x", "y")))
+        if others:
+            gaps[q.linear_ind.to_numpy()[:, None] == d.linear_ind.to_numpy()] = np.inf
+        gaps = np.where(np.isnan(gaps), np.inf, gaps)
+        best = gaps.argmin(axis=1) if len(d) else np.zeros(len(q), dtype=int)
+        dist = gaps[np.arange(len(q)), best] if len(d) else np.full(len(q), np.inf)
+        ok = np.isfinite(dist)
+        return pd.DataFrame({"t": q.t.to_numpy()[ok], "key": q.key.to_numpy()[ok], "linear_ind": q.linear_ind.to_numpy()[ok], "dist": dist[ok], "found": d.linear_ind.to_numpy()[best[ok]]})
+
+    kind = f"t {queries.schema['t'].dataType.simpleString()}, key string, linear_ind bigint, dist double, found bigint"
+    cells = a.select(*columns).unionByName(b.select(*columns)).groupBy("t", "i", "j").applyInPandas(nearest, kind)
+    return cells.groupBy("t", "key", "linear_ind").agg(F.min(F.struct("dist", "found")).alias("b")).select("t", "key", "linear_ind", "b.*")
 
 
 def nearest_distance_mean(detections: DataFrame) -> DataFrame:
@@ -198,11 +249,10 @@ def adjacent_accuracy(truth: DataFrame, detections: DataFrame) -> DataFrame:
     """name, correct, total over steps from a frame to the next in which the name is in both: right
     when the detection nearest to its position is the name's own."""
     step = truth.alias("a").join(truth.alias("n"), (F.col("n.name") == F.col("a.name")) & (F.col("n.t") == F.col("a.t") + 1))
-    met = step.join(detections.alias("b"), F.col("b.t") == F.col("n.t"))
-    nearest = met.groupBy(F.col("a.name").alias("name"), F.col("n.t").alias("t"), F.col("n.linear_ind").alias("own")).agg(
-        F.min(F.struct(_distance("a", "b").alias("d"), F.col("b.linear_ind").alias("i")))["i"].alias("found")
-    )
-    return nearest.groupBy("name").agg(long_count(F.col("found") == F.col("own")).alias("correct"), long_count().alias("total"))
+    # where a name is now, asked in the frame and under the detection where it is next
+    asked = step.select(F.col("a.name").alias("name"), F.col("a.name").cast("string").alias("key"), F.col("n.t").alias("t"), F.col("n.linear_ind").alias("linear_ind"), *[F.col(f"a.{c}").alias(c) for c in ("z", "x", "y")])
+    nearest = _nearest_within(asked, detections, False)
+    return asked.select("name", "key", "t", "linear_ind").join(nearest, ["t", "key", "linear_ind"], "left").groupBy("name").agg(long_count(F.col("found") == F.col("linear_ind")).alias("correct"), long_count().alias("total"))
 
 
 def carried_index(truth: DataFrame) -> DataFrame:
@@ -213,9 +263,12 @@ def carried_index(truth: DataFrame) -> DataFrame:
 
 def template_match(queries: DataFrame, template: DataFrame) -> DataFrame:
     """linear_ind, template_ind, conf, agree: the nearest template, its softmax over -distance, and
-    whether the labels agree (noise never does). The template is one frame's objects."""
-    t = template.select(F.col("linear_ind").alias("template_ind"), F.col("x").alias("tx"), F.col("label").alias("tlabel"))
-    each = queries.crossJoin(F.broadcast(t))  # one frame: a few hundred rows
+    whether the labels agree (noise never does). The template is one frame's objects: it is counted
+    before it is broadcast, and more than TEMPLATE_ROWS are an error."""
+    t = within(
+        template.select(F.col("linear_ind").alias("template_ind"), F.col("x").alias("tx"), F.col("label").alias("tlabel")), TEMPLATE_ROWS, "objects of a template"
+    )
+    each = queries.crossJoin(F.broadcast(t))
     dist = F.sqrt(F.aggregate(F.zip_with("x", "tx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
     rows = each.withColumn("d", dist).groupBy("linear_ind", "label").agg(
         F.min(F.struct("d", "template_ind", "tlabel")).alias("b"), F.sum(F.exp(-F.col("d"))).alias("z")
@@ -224,6 +277,14 @@ def template_match(queries: DataFrame, template: DataFrame) -> DataFrame:
     return rows.select("linear_ind", "b.template_ind", (F.exp(-F.col("b.d")) / F.col("z")).alias("conf"), agree.alias("agree"))
 
 
+def class_embeddings(labelled: DataFrame) -> DataFrame:
+    """label, place (from 0, by linear_ind), linear_ind and x: each class's embeddings as rows of its
+    matrix. Noise and unlabelled points are in no class."""
+    w = W.partitionBy("label").orderBy("linear_ind")
+    some = labelled.where(F.col("label").isNotNull() & (F.col("label") != -1))
+    return some.select("label", (F.row_number().over(w) - 1).cast("bigint").alias("place"), "linear_ind", "x")
+
+
 def common_names(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return truth.select("name").intersect(predicted.select("name"))
 

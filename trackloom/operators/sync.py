@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.hungarian import assign
 from trackloom.functions.rounding import long_count
+from trackloom.operators.checkpoints import cut, within
 
-#: Runs times labels above which the spectral step, whose matrix is dense, is refused.
-SPECTRAL_SIZE = 6_000
+#: Runs times labels up to which the spectral step makes its matrix of products, which is dense.
+DENSE_COLUMNS = 2_500
+#: Numbers that the spectral step holds on the driver, and cells of labels by labels that one task matches.
+DRIVER_CELLS, MATCH_CELLS = 50_000_000, 4_000_000
 #: Share of runs under which a label is dropped, and the cost of none.
 LEAST_SHARE = 0.02
 
@@ -68,11 +71,10 @@ def gram_matrix(entries: DataFrame) -> DataFrame:
     return a.join(b, "linear_ind").groupBy("run1", "label1", "run2", "label2").agg(F.sum(F.col("v1") * F.col("v2")).alias("g"))
 
 
-def fuse_labels(labelings: DataFrame, runs: int) -> DataFrame:
-    """linear_ind, t, label, confidence: per frame the assignment of labels to objects with most votes.
-
-    A label may go to an object that has no vote for it, with confidence 0. A frame is one task's matrix.
-    """
+def fuse_votes(votes: DataFrame, runs: int) -> DataFrame:
+    """linear_ind, t, label, confidence of votes (t, linear_ind, label, n): per frame the assignment of
+    labels to objects with most votes. A label may go to an object that has no vote for it, with
+    confidence 0. A frame is one task's matrix."""
 
     def solve(pdf):
         import pandas as pd
@@ -81,43 +83,64 @@ def fuse_labels(labelings: DataFrame, runs: int) -> DataFrame:
         found = [(int(table.index[r]), int(pdf.t.iloc[0]), int(table.columns[c]), float(table.iat[r, c]) / runs) for r, c in assign(-table.to_numpy())]
         return pd.DataFrame(found, columns=["linear_ind", "t", "label", "confidence"])
 
-    return vote_counts(labelings).groupBy("t").applyInPandas(solve, "linear_ind bigint, t int, label int, confidence double")
+    return votes.groupBy("t").applyInPandas(solve, "linear_ind bigint, t int, label int, confidence double")
 
 
-def align_pair(ref: DataFrame, new: DataFrame) -> DataFrame:
-    """new with its labels renamed to ref's by most objects in common. Labels that meet ref's but are
-    left over get fresh numbers; labels that never meet them drop out; if nothing meets, all are fresh.
+def fuse_labels(labelings: DataFrame, runs: int) -> DataFrame:
+    """linear_ind, t, label, confidence: fuse_votes of what the labelings vote for."""
+    return fuse_votes(vote_counts(labelings), runs)
+
 
-    The confusion matrix, of labels by labels, goes through the driver.
+def _renaming(ref: DataFrame, new: DataFrame) -> DataFrame:
+    """label, aligned: the labels of new by ref's, for align_pair.
+
+    The confusion cells, of labels by labels, are counted before they go to one task.
     """
-    spark = new.sparkSession
-    cells = label_confusion(ref, new).collect()
-    top = ref.agg(F.max("label")).first()[0]
-    fresh = (top + 1) if top is not None else 0
-    if cells:
-        rows, columns = sorted({c["ref"] for c in cells}), sorted({c["new"] for c in cells})
-        count = {(c["ref"], c["new"]): c["n"] for c in cells}
-        found = {columns[j]: rows[i] for i, j in assign([[-count.get((r, c), 0) for c in columns] for r in rows])}
-    else:
-        columns, found = sorted(r["label"] for r in new.select("label").distinct().collect()), {}
-    for c in columns:
-        if c not in found:
-            found[c] = fresh
-            fresh += 1
-    names = spark.createDataFrame([(int(a), int(b)) for a, b in found.items()], "label int, aligned int")
-    return new.join(F.broadcast(names), "label").withColumn("label", F.col("aligned")).select(*new.columns)  # one row per label
+    cells = label_confusion(ref, new)
+    every = new.select(F.lit(None).cast("int").alias("ref"), F.col("label").alias("new"), F.lit(0).cast("bigint").alias("n")).distinct()
+    top = ref.agg(F.max("label").cast("int").alias("ref")).select("ref", F.lit(None).cast("int").alias("new"), F.lit(0).cast("bigint").alias("n"))
+    rows = within(cells.select(F.col("ref").cast("int"), F.col("new").cast("int"), "n").unionByName(every).unionByName(top), MATCH_CELLS, "cells of labels to match")
+
+    def solve(pdf):
+        import numpy as np
+        import pandas as pd
+
+        top = pdf[pdf.new.isna()].ref.max()
+        fresh = 0 if pd.isna(top) else int(top) + 1
+        met = pdf[pdf.n > 0]
+        columns, found = sorted(pdf.new.dropna().astype(int).unique()), {}
+        if len(met):
+            columns, rows = sorted(met.new.astype(int).unique()), sorted(met.ref.astype(int).unique())
+            cost = np.zeros((len(rows), len(columns)))
+            cost[np.searchsorted(rows, met.ref.astype(int)), np.searchsorted(columns, met.new.astype(int))] = -met.n
+            found = {columns[j]: rows[i] for i, j in assign(cost)}
+        for c in columns:
+            if c not in found:
+                found[c] = fresh
+                fresh += 1
+        return pd.DataFrame([(int(a), int(b)) for a, b in found.items()], columns=["label", "aligned"])
+
+    return rows.groupBy(F.lit(1).alias("all")).applyInPandas(solve, "label int, aligned int")
+
+
+def align_pair(ref: DataFrame, new: DataFrame) -> DataFrame:
+    """new with its labels renamed to ref's by most objects in common. Labels that meet ref's but are
+    left over get fresh numbers; labels that never meet them drop out; if nothing meets, all are fresh."""
+    return new.join(_renaming(ref, new), "label").withColumn("label", F.col("aligned")).select(*new.columns)
 
 
 def align_all(labelings: DataFrame, runs: list[int]) -> DataFrame:
-    """Fused labels of all runs, each aligned in turn to the fusion of those before it."""
-    from trackloom.operators.checkpoints import cut
+    """Fused labels of all runs, each aligned in turn to the fusion of those before it.
 
-    aligned = labelings.where(F.col("run") == runs[0])
-    fused = fuse_labels(aligned, 1)
-    for i, run in enumerate(runs[1:], start=2):
-        aligned = cut(aligned.unionByName(align_pair(fused.where("confidence > 0"), labelings.where(F.col("run") == run))))
-        fused = cut(fuse_labels(aligned, i))
-    return fused
+    The votes of the runs so far are kept as a table, so a run adds its own votes and reads no earlier one again.
+    """
+    votes = cut(vote_counts(labelings.where(F.col("run") == runs[0])))
+    for i, run in enumerate(runs[1:], start=1):
+        own = labelings.where(F.col("run") == run)
+        ref = cut(fuse_votes(votes, i).where("confidence > 0").select("linear_ind", "label"))
+        both = votes.unionByName(vote_counts(align_pair(ref, own)))
+        votes = cut(both.groupBy("t", "linear_ind", "label").agg(F.sum("n").alias("n")))
+    return fuse_votes(votes, len(runs))
 
 
 def round_block(block, null_cost: float | None = None) -> list[int | None]:
@@ -153,24 +176,93 @@ def steady_basis(vectors):
     return turned
 
 
-def spectral_permutations(entries: DataFrame, labels: int, weighting: str = "inv_sqrt") -> DataFrame:
-    """run, label, mapped: each run's labels to common ones, from the leading eigenvectors of the
-    products of all runs' weighted columns. That matrix has (runs x labels)^2 cells and no dimension
-    of objects; its size is checked before it goes through the driver."""
+def _leading_dense(weighted: DataFrame, place: dict[int, int], labels: int):
+    """Leading eigenvectors of the products of all columns, and how strong they are."""
+    import numpy as np
+
+    cells = gram_matrix(weighted).toArrow()
+    at = np.vectorize(place.__getitem__, otypes=[np.int64])
+    gram = np.zeros((len(place) * labels,) * 2)
+    if len(cells):
+        column = lambda k: at(cells[f"run{k}"].to_numpy()) * labels + cells[f"label{k}"].to_numpy() - 1
+        gram[column(1), column(2)] = cells["g"].to_numpy()
+    values, vectors = np.linalg.eigh(gram)
+    return values[::-1][:labels], vectors[:, ::-1][:, :labels]
+
+
+def _leading_free(weighted: DataFrame, place: dict[int, int], labels: int, rounds: int = 30, spare: int = 8, enough: float = 1e-10):
+    """The same without that matrix: a few more directions than needed go through all objects' rows,
+    round by round, each round one job that brings back columns by directions.
+
+    Rows are dealt by object once and kept; a task adds up its own part of the product.
+    """
     import numpy as np
 
+    size, wide = len(place) * labels, min(len(place) * labels, labels + spare)
+    names = F.create_map(*[F.lit(x) for run, i in place.items() for x in (run, i)])
+    rows = cut(
+        weighted.select("linear_ind", (names[F.col("run")] * labels + F.col("label") - 1).cast("int").alias("c"), "val").repartition("linear_ind").sortWithinPartitions("linear_ind")
+    )
+
+    def product(q):
+        sent, shape = rows.sparkSession.sparkContext.broadcast(q), q.shape  # size by wide, checked by the caller
+
+        def run(batches):
+            import pyarrow as pa
+
+            total, held = np.zeros(shape), (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+
+            def add(ids, c, v):
+                _, at = np.unique(ids, return_inverse=True)
+                y = np.zeros((at.max() + 1 if len(at) else 0, shape[1]))
+                np.add.at(y, at, v[:, None] * sent.value[c])
+                np.add.at(total, c, v[:, None] * y[at])
+
+            for batch in batches:
+                ids, c, v = (np.concatenate([h, x.to_numpy(zero_copy_only=False)]) for h, x in zip(held, batch.columns, strict=True))
+                whole = np.searchsorted(ids, ids[-1]) if len(ids) else 0  # the last object may go on
+                add(ids[:whole], c[:whole], v[:whole])
+                held = ids[whole:], c[whole:], v[whole:]
+            add(*held)
+            used = np.flatnonzero(np.abs(total).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype("int32")), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["c", "row"])
+
+        parts = rows.mapInArrow(run, "c int, row array<double>").select("c", F.posexplode("row").alias("k", "v"))
+        found = parts.groupBy("c", "k").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(shape)
+        out[found["c"].to_numpy(), found["k"].to_numpy()] = found["v"].to_numpy()
+        sent.destroy()
+        return out
+
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(size, wide)))[0]
+    before = None
+    for _ in range(rounds):
+        z = product(q)
+        values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        values, vectors = values[::-1], (q @ turn)[:, ::-1]
+        if before is not None and np.abs(values[:labels] - before).max() <= enough * values[0]:
+            break
+        before = values[:labels]
+        q = np.linalg.qr(z)[0]
+    return values[:labels], vectors[:, :labels]
+
+
+def spectral_permutations(entries: DataFrame, labels: int, weighting: str = "inv_sqrt", dense: int = DENSE_COLUMNS) -> DataFrame:
+    """run, label, mapped: each run's labels to common ones, from the leading eigenvectors of the
+    products of all runs' weighted columns.
+
+    Up to dense columns (runs times labels) the matrix of products goes through the driver; with more,
+    only columns by labels does, in rounds over the objects' rows (see _leading_free), up to DRIVER_CELLS.
+    """
     w = column_weights(entries, weighting)
     weighted = entries.join(w, ["run", "label"]).withColumn("val", F.col("val") * F.col("w"))
-    runs = sorted(r["run"] for r in entries.select("run").distinct().limit(SPECTRAL_SIZE + 1).collect())
-    if len(runs) * labels > SPECTRAL_SIZE:
-        raise ValueError(f"{len(runs)} runs of {labels} labels; the spectral step takes {SPECTRAL_SIZE} columns")
+    most = DRIVER_CELLS // max(1, labels) ** 2
+    runs = sorted(r["run"] for r in entries.select("run").distinct().limit(most + 1).collect())
+    if len(runs) > most:
+        raise ValueError(f"more than {most} runs of {labels} labels; the spectral step takes {DRIVER_CELLS} cells of columns by labels")
     place = {r: i for i, r in enumerate(runs)}
-    gram = np.zeros((len(runs) * labels,) * 2)
-    for g in gram_matrix(weighted).toLocalIterator():
-        gram[place[g["run1"]] * labels + g["label1"] - 1, place[g["run2"]] * labels + g["label2"] - 1] = g["g"]
-    values, vectors = np.linalg.eigh(gram)
-    top = vectors[:, ::-1][:, :labels] * (values[::-1][:labels] > 1e-9 * values[-1])
-    top = steady_basis(top)
+    values, vectors = (_leading_dense if len(runs) * labels <= dense else _leading_free)(weighted, place, labels)
+    top = steady_basis(vectors * (values > 1e-9 * values[0]))
     perms = [(int(run), k + 1, None if c is None else c + 1) for run, i in place.items() for k, c in enumerate(round_block(top[i * labels : (i + 1) * labels]))]
     return entries.sparkSession.createDataFrame(perms, "run int, label int, mapped int")
 
@@ -208,8 +300,6 @@ def unique_per_frame(consensus: DataFrame, detections: DataFrame, labels: int, r
 def spectral_sync(labelings: DataFrame, detections: DataFrame, spare: int = 10) -> DataFrame:
     """linear_ind, t, label, prob: one labeling from many runs with labels of their own, by spectral synchronisation."""
     from trackloom.operators.assign import greedy_top1
-    from trackloom.operators.checkpoints import cut
-
     entries = cut(row_normalize(greedy_top1(labelings).withColumn("val", F.col("prob"))).select("run", "linear_ind", "label", "val"))
     n_runs, top = entries.agg(F.count_distinct("run"), F.max("label")).first()
     if not n_runs:

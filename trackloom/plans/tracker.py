@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions.hdbscan import sizes_for
 from trackloom.operators import assign, cluster, evaluate, frames, graph, sync
-from trackloom.operators.checkpoints import cut
+from trackloom.operators.checkpoints import cut, within
 
 MODES = ("global", "overlapping_windows", "streaming", "label_propagation")
 
@@ -43,13 +44,15 @@ class Tracker:
         return self._tracks(cluster.hdbscan_labels(self.points, *sizes_for(self.n_frames, self.cluster_size, self.samples)))
 
     def _streaming(self) -> DataFrame:
-        """Fitted on evenly spaced frames; the other frames take the labels of their nearest fitted points."""
+        """Fitted on evenly spaced frames; the objects of other frames are predicted from that fit."""
         fitted_frames = min(self.fitted_frames, self.n_frames)
         chosen = frames.evenly_spaced(self.points, fitted_frames)
         some = self.points.join(chosen, "t", "left_semi")
-        fitted = cut(cluster.hdbscan_labels(some, *sizes_for(fitted_frames, self.cluster_size, self.samples)).where("label >= 0"))
-        rest = cluster.nn_label_assign(self.points.join(chosen, "t", "left_anti"), fitted.join(some.select("linear_ind", "x"), "linear_ind"))
-        return self._tracks(fitted.unionByName(rest.withColumn("prob", F.lit(0.5))))
+        size, samples = sizes_for(fitted_frames, self.cluster_size, self.samples)
+        model = cut(cluster.fitted(some, size, samples).join(some.select("linear_ind", "x"), "linear_ind"))
+        rest = cluster.approximate_predict(self.points.join(chosen, "t", "left_anti"), model, samples)
+        labels = model.select("linear_ind", "label", "prob").unionByName(rest)
+        return self._tracks(labels.where("label >= 0"))
 
     def _label_propagation(self) -> DataFrame:
         """Labels of several seed frames spread over one neighbour graph, then synchronised. A label counts
@@ -64,26 +67,54 @@ class Tracker:
         return self._tracks(sync.spectral_sync(labelings, self.points))
 
     def _overlapping_windows(self) -> DataFrame:
-        """Each window is clustered alone; its tracks take the names of the window before by most cells
-        in common, or new names; each cell goes to the name of most windows."""
+        """Each window is clustered alone. Windows that follow one another are matched by most cells in
+        common, all in one job; a chain of matches that reaches the base, the window of most tracks, has
+        the base's name, any other a new one. Each cell goes to the name of most windows."""
         window = min(self.window, self.n_frames)
         # a window of all frames is the only one and holds the last frame too
         dealt = frames.overlapping_windows(self.points, window) if window < self.n_frames else self.points.withColumn("start", F.lit(0))
         labels = cluster.hdbscan_labels(dealt, *sizes_for(window, self.cluster_size, self.samples), by="start").where("label >= 0")
-        cells = cut(dealt.drop("likelihood").join(labels, ["start", "linear_ind"]).withColumn("raw_seg_id", F.col("linear_ind")))
-        named, top = None, 0
-        for start in sorted(r["start"] for r in cells.select("start").distinct().collect()):
-            own = cells.where(F.col("start") == start).select(F.col("label").alias("name"), "t", "raw_seg_id")
-            if named is None:
-                mapping = own.select(F.col("name").alias("old")).distinct().withColumn("new", F.col("old") + 1)
-            else:
-                met = evaluate.match_tracks(named, own).select(F.col("pred_name").alias("old"), F.col("gt_name").alias("new"))
-                left = own.select(F.col("name").alias("old")).distinct().join(met, "old", "left_anti")
-                mapping = met.unionByName(left.withColumn("new", F.col("old") + F.lit(top + 1)))
-            mine = cut(evaluate.rename_by(own, mapping.select("old", F.col("new").cast("int").alias("new"))))
-            named = mine if named is None else named.unionByName(mine)
-            top = named.agg(F.max("name")).first()[0] or 0
-        if named is None:
-            return self._tracks(cluster.hdbscan_labels(self.points.where("false"), 2, 1))
-        votes = evaluate.mode_vote(named.select(F.col("raw_seg_id").alias("linear_ind"), F.col("name").alias("label")))
+        cells = cut(dealt.select("start", "linear_ind", "t").join(labels, ["start", "linear_ind"]))
+        names = window_names(cells)
+        votes = evaluate.mode_vote(cells.join(names, ["start", "label"]).select("linear_ind", F.col("name").alias("label")))
         return self._tracks(votes.select("linear_ind", (F.col("label") - 1).alias("label"), F.col("n").cast("double").alias("prob")))
+
+
+def window_names(cells: DataFrame) -> DataFrame:
+    """start, label, name of clustered windows: cells (start, label, linear_ind).
+
+    Only the table of windows and labels, counted first, goes to one task. Names are numbered from 1,
+    the base's labels first, then chains by their first window and label.
+    """
+    tracks = cells.groupBy("start", "label").agg(F.count(F.lit(1)).alias("size"))
+    starts = cells.select("start").distinct()
+    follow = starts.withColumn("next", F.lead("start").over(W.orderBy("start"))).where("next is not null")  # a row per window
+    one = cells.select("start", F.col("label").alias("gt_name"), "linear_ind").join(follow, "start")
+    two = cells.select(F.col("start").alias("next"), F.col("label").alias("pred_name"), "linear_ind")
+    counts = one.join(two, ["next", "linear_ind"]).groupBy("start", "next", "gt_name", "pred_name").agg(F.count(F.lit(1)).alias("n"))
+    met = evaluate.solve_matching(counts.drop("next"), by="start").join(follow, "start")
+    rows = tracks.select("start", "label", F.lit(None).cast("int").alias("next"), F.lit(None).cast("int").alias("to")).unionByName(
+        met.select("start", F.col("gt_name").alias("label"), "next", F.col("pred_name").alias("to"))
+    )
+
+    def solve(pdf):
+        import pandas as pd
+
+        nodes = sorted(pdf.loc[pdf.next.isna(), ["start", "label"]].itertuples(index=False, name=None))
+        onward = {(s, a): (int(n), int(b)) for s, a, n, b in pdf[pdf.next.notna()].itertuples(index=False, name=None)}
+        sizes = pd.Series([s for s, _ in nodes]).value_counts()
+        base = min(sizes.index, key=lambda s: (-sizes[s], s)) if len(nodes) else None
+        chain_of, chains = {}, []
+        for node in nodes:  # the first node of a chain comes before the others
+            if node not in chain_of:
+                chains.append([])
+                while node is not None:
+                    chain_of[node] = len(chains) - 1
+                    chains[-1].append(node)
+                    node = onward.get(node)
+        in_base = {c: label for (start, label), c in chain_of.items() if start == base}
+        order = sorted(range(len(chains)), key=lambda c: (c not in in_base, in_base.get(c, 0), c))
+        name = {c: i + 1 for i, c in enumerate(order)}
+        return pd.DataFrame([(s, a, name[c]) for (s, a), c in chain_of.items()], columns=["start", "label", "name"])
+
+    return within(rows, evaluate.MATCH_CELLS, "tracks of windows").groupBy(F.lit(1).alias("all")).applyInPandas(solve, "start int, label int, name int")
