@@ -74,10 +74,15 @@ def outlier_points(candidates: DataFrame, kept: DataFrame) -> DataFrame:
     return candidates.select("cand", "linear_ind").join(kept.select("cand", "linear_ind"), ["cand", "linear_ind"], "left_anti")
 
 
-def seed_stats(seeds: DataFrame) -> DataFrame:
-    """n_assigned, n_cluster, n_leaf of seeds (assigned, label): only labels above 0 count as clusters."""
+def neither(detections: DataFrame, kept: DataFrame, outliers: DataFrame) -> DataFrame:
+    """linear_ind of detections that are neither assigned nor outliers."""
+    return unassigned_points(unassigned_points(detections, kept), outliers)
+
+
+def seed_stats(seeds: DataFrame, *by: str) -> DataFrame:
+    """(by,) n_assigned, n_cluster, n_leaf of seeds (assigned, label): only labels above 0 count as clusters."""
     free = ~F.col("assigned")
-    return seeds.agg(
+    return seeds.groupBy(*by).agg(
         long_count(F.col("assigned")).alias("n_assigned"),
         long_count(free & (F.col("label") > 0)).alias("n_cluster"),
         long_count(free & (F.col("label") <= 0)).alias("n_leaf"),

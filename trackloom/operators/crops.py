@@ -80,13 +80,27 @@ def pivot_frame(detections: DataFrame, frame: int, names: list[int]) -> DataFram
     return wide.select("t", *[F.col(str(n)).alias(f"n{n}") for n in names])
 
 
-def rescale_intensity(values: DataFrame, lower: float = 0.05) -> DataFrame:
-    """linear_ind, pos and val of an array column vals: clipped below its own lower percentile
-    (linear interpolation), then stretched from 0 to 1; all 0 where the range is 0."""
-    flat = values.select("linear_ind", F.posexplode("vals").alias("pos", "v"))
-    own = W.partitionBy("linear_ind")
-    floor = F.percentile("v", lower).over(own)
-    clipped = flat.withColumn("lo", floor).withColumn("hi", F.max("v").over(own))
+def names_by_segment(tracks: DataFrame, detections: DataFrame) -> DataFrame:
+    """linear_ind and name of detections by frame and segment; of several names on one segment the last counts."""
+    last = tracks.groupBy("t", "raw_seg_id").agg(F.max("name").alias("name"))
+    return detections.select("linear_ind", "t", "raw_seg_id").join(last, ["t", "raw_seg_id"], "left").select("linear_ind", "name")
+
+
+def raw_index(points: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """linear_ind and raw_neuron_ind by two maps (linear_ind, raw_neuron_ind), the first before the second; null in neither."""
+    a, b = (df.select("linear_ind", F.col("raw_neuron_ind").alias(name)) for df, name in ((first, "_a"), (second, "_b")))
+    return points.select("linear_ind").join(a, "linear_ind", "left").join(b, "linear_ind", "left").select("linear_ind", F.coalesce("_a", "_b").alias("raw_neuron_ind"))
+
+
+def rescale_intensity(values: DataFrame, lower: float = 0.05, by: str = "linear_ind") -> DataFrame:
+    """linear_ind, pos and val of an array column vals: clipped below the lower percentile (linear
+    interpolation) of its stack, the rows of one by, then stretched from 0 to 1; all 0 where the range is 0.
+
+    A stack's percentile is an aggregate of its own, joined again, so no window holds a stack.
+    """
+    flat = values.select(F.col(by).alias("_by"), "linear_ind", F.posexplode("vals").alias("pos", "v"))
+    bounds = flat.groupBy("_by").agg(F.percentile("v", lower).alias("lo"), F.max("v").alias("hi"))
+    clipped = flat.join(bounds, "_by")
     span = F.col("hi") - F.col("lo")
     val = F.when(span > 0, (F.greatest("v", "lo") - F.col("lo")) / span).otherwise(F.lit(0.0))
     return clipped.select("linear_ind", F.col("pos").cast("int").alias("pos"), val.alias("val"))

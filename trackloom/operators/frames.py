@@ -104,6 +104,17 @@ def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(hashed_order(df, key, seed), key).limit(n)
 
 
+def valid_sample(detections: DataFrame, n: int, order: list[Column], least: int = 1, most: int = 200) -> DataFrame:
+    """t of n + 1 frames of a valid size, the first by order: frames are taken until there are more than n."""
+    return frames_within(detections, least, most).orderBy(*order).limit(n + 1).select("t")
+
+
+def base_window(dealt: DataFrame, label: str) -> DataFrame:
+    """start and n of the window with most different labels, the first of equals."""
+    counts = dealt.groupBy("start").agg(F.count_distinct(label).cast("bigint").alias("n"))
+    return counts.agg(F.min(F.struct((-F.col("n")).alias("m"), "start", "n")).alias("b")).select("b.start", "b.n")
+
+
 def train_val_test_split(frames: DataFrame, order: list[Column], train: float, val: float) -> DataFrame:
     """t and split, of exact sizes: a fraction below 1 is of all frames, else a number of frames; the rest is test."""
     ranked = frames.select("t", F.row_number().over(W.orderBy(*order)).alias("rn"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import cos, pi
+from math import pi
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,10 +71,12 @@ def best_trial(results: DataFrame, objective: str = "val_loss") -> DataFrame:
     return results.agg(best).select(F.col("b.trial").alias("trial"), F.col("b.v").alias(objective))
 
 
-def summary(stats: DataFrame, configs: DataFrame) -> DataFrame:
-    """trial, k, val_loss, n: configuration, objective and number of records."""
+def summary(stats: DataFrame, configs: DataFrame, accuracy: DataFrame | None = None) -> DataFrame:
+    """trial, k, val_loss, n: configuration, objective and number of records; with accuracy (trial,
+    accuracy) of the trials that were tracked, that too, null for the others."""
     counts = stats.groupBy("trial").agg(long_count().alias("n"))
-    return second_last(stats).join(configs, "trial", "left").join(counts, "trial", "left").select("trial", "k", "val_loss", "n")
+    rows = second_last(stats).join(configs, "trial", "left").join(counts, "trial", "left").select("trial", "k", "val_loss", "n")
+    return rows if accuracy is None else rows.join(accuracy.select("trial", "accuracy"), "trial", "left")
 
 
 def learning_rate(step: Column, warmup: int, total: int, base: float) -> Column:
@@ -83,13 +85,6 @@ def learning_rate(step: Column, warmup: int, total: int, base: float) -> Column:
     return F.when(step < warmup, base * step / warmup).otherwise(base * q + base * 0.001 * (1 - q))
 
 
-def learning_rate_at(step: int, warmup: int, total: int, base: float) -> float:
-    if step < warmup:
-        return base * step / warmup
-    q = 0.5 * (1 + cos(pi * (step - warmup) / (total - warmup)))
-    return base * q + base * 0.001 * (1 - q)
-
-
 def split_model_name(names: DataFrame) -> DataFrame:
     """model, lab (the part after the last _) and prefix (all before it)."""
     parts = F.split("model", "_")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +19,41 @@ def known_keys(config: Column, keys: list[str]) -> list[Column]:
     return [F.try_element_at(config, F.lit(k)).alias(k) for k in keys]
 
 
-def write_stats(spark: SparkSession, records: list[tuple[int, list[dict]]], path: str) -> None:
-    """One JSON text per trial, as training writes it."""
-    spark.createDataFrame([(t, json.dumps(r)) for t, r in records], "trial int, stats string").write.mode("overwrite").json(path)
+def rewritten(config: Column, updates: Column) -> Column:
+    """A map with the values of those keys that updates has too; no key is new."""
+    return F.transform_values(config, lambda k, v: F.coalesce(F.try_element_at(updates, k), v))
+
+
+def moved(config: Column, old: str, new: str) -> Column:
+    """A map with old replaced by new in every value, as when a project moves to another folder."""
+    return F.transform_values(config, lambda _, v: F.replace(v, F.lit(old), F.lit(new)))
+
+
+def changes(before: DataFrame, config: str, after: Column, key: str) -> DataFrame:
+    """key, name, was, becomes: the entries of a map column that a rewrite would change, as a dry run lists them."""
+    named = before.select(F.col(key), F.explode(F.col(config)).alias("name", "was"), after.alias("_after"))
+    rows = named.select(key, "name", "was", F.try_element_at("_after", F.col("name")).alias("becomes"))
+    return rows.where(~F.col("was").eqNullSafe(F.col("becomes")))
+
+
+def read_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """path and config, the top-level `key: value` lines of each YAML file as a map of texts. Quotes and
+    comments go, a key that repeats has its last value; nested blocks and lists are left out. An empty
+    file has no row."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("lines"))
+    entry = r"^([A-Za-z_][\w\-]*):[ \t]+([^#\s].*?)[ \t]*(?:[ \t]#.*)?$"
+    some = F.filter("lines", lambda x: x.rlike(entry))
+    pairs = F.transform(some, lambda x: F.struct(F.regexp_extract(x, entry, 1).alias("k"), F.regexp_replace(F.regexp_extract(x, entry, 2), r"""^(['"])(.*)\1$""", "$2").alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
+    return lines.select("path", F.map_from_entries(last).alias("config"))
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """stats (trial, pos and the fields of a record) as one JSON text per trial, in order of pos, as training writes it."""
+    fields = [c for c in stats.columns if c not in ("trial", "pos")]
+    record = F.struct("pos", F.struct(*fields).alias("r"))
+    texts = stats.groupBy("trial").agg(F.to_json(F.transform(F.sort_array(F.collect_list(record)), lambda p: p["r"])).alias("stats"))
+    texts.write.mode("overwrite").json(path)
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:

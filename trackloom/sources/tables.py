@@ -47,6 +47,15 @@ class Catalog:
         return self.read(name) if self.exists(name) else self.write(name, make())
 
 
+def clone(source: Catalog, target: Catalog, names: list[str]) -> list[str]:
+    """The named tables of a project copied to another; those that are there already stay, and the
+    copied ones are returned. A table that the source lacks is passed over."""
+    new = [n for n in names if source.exists(n) and not target.exists(n)]
+    for n in new:
+        target.write(n, source.read(n))
+    return new
+
+
 def null_for_missing(df: DataFrame) -> DataFrame:
     """NaN in any float column becomes null, as missing values come from outside as NaN."""
     floats = [c for c, kind in df.dtypes if kind in ("double", "float")]
