@@ -1,16 +1,16 @@
 """Planted answers, invariants and edge cases of the tracking operators."""
 
-import json
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.operators import assign, cluster, corr, crops, evaluate, frames, graph, sync, trials
 from trackloom.plans import catalogue
-from trackloom.plans.tracker import Tracker
+from trackloom.functions import hdbscan
+from trackloom.operators.checkpoints import cut
+from trackloom.plans.tracker import Tracker, window_names
 from trackloom.sources import configs, fixtures
-from trackloom.sources.tables import Catalog, null_for_missing
+from trackloom.sources.tables import Catalog, clone, null_for_missing
 
 SF = "/root/testdata/sf0.001"
 DET = "linear_ind bigint, t int, raw_neuron_ind int, raw_seg_id int, gt_label int, likelihood double, z double, x double, y double"
@@ -109,6 +109,27 @@ def test_spectral_sync_recovers_planted_names(spark):
     assert one_to_one(set(rows(found, "label", "k")))
 
 
+def test_spectral_step_without_the_matrix_agrees(spark):
+    _, labelings = planted(spark, n_frames=15, labels=4, runs=7, seed=9)
+    entries = cut(sync.row_normalize(assign.greedy_top1(labelings).withColumn("val", F.col("prob"))).select("run", "linear_ind", "label", "val"))
+    dense, free = (rows(sync.spectral_permutations(entries, 4, dense=d), "run", "label", "mapped") for d in (1000, 0))
+    assert one_to_one({(a[2], b[2]) for a, b in zip(dense, free, strict=True)})  # the same but for the names
+    assert len(dense) == 28
+
+
+def test_sizes_are_checked_before_anything_is_collected(spark, monkeypatch):
+    _, labelings = planted(spark)
+    monkeypatch.setattr(sync, "MATCH_CELLS", 3)
+    with pytest.raises(ValueError):
+        sync.align_pair(labelings.where("run = 0"), labelings.where("run = 1"))
+    monkeypatch.setattr(evaluate, "MATCH_CELLS", 3)
+    with pytest.raises(ValueError):
+        evaluate.match_tracks(fixtures.gt(spark, SF), fixtures.pred(spark, SF))
+    monkeypatch.setattr(hdbscan, "MOST_POINTS", 5)
+    with pytest.raises(ValueError):
+        cluster.hdbscan_labels(blobs(spark), 2, 1)
+
+
 def test_align_all_recovers_planted_names(spark):
     det, labelings = planted(spark)
     found = sync.align_all(labelings, list(range(6))).join(det, ["linear_ind", "t"]).where("confidence > 0")
@@ -182,8 +203,8 @@ def test_tracker_works_at_the_reference_parameters(spark):
 
 def test_seed_shares_equal_propagation(spark):
     points = fixtures.vectors(spark, SF).where("linear_ind < 120")
-    edges = graph.knn(points, 4).localCheckpoint()
-    seeds = graph.seed_labels(points, [0, 7]).localCheckpoint()
+    edges = cut(graph.knn(points, 4))
+    seeds = cut(graph.seed_labels(points, [0, 7]))
     want = {(r["run"], r["node"]): (r["label"], r["p"]) for r in graph.label_topk(graph.label_rownorm(graph.propagate(edges, seeds, 7, least=0.0).where("p > 0")), 1).collect()}
     got = {(r["run"], r["node"]): (r["label"], r["p"]) for r in graph.seed_shares(edges, seeds, 7).collect()}
     assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k][1]) for k in want)
@@ -213,7 +234,7 @@ def vectors_of(spark):
 
 def test_object_correlation_of_every_frame(spark):
     ids, t, x = vectors_of(spark)
-    got = {(r["t"], r["i"], r["j"]): r["c"] for r in catalogue.queries()["cross_corr_objects_all"](spark, SF).collect()}
+    got = {(r["t"], r["i"], r["j"]): r["c"] for r in catalogue.queries()["cross_corr_objects"](spark, SF).collect()}
     assert len(got) == sum((t == f).sum() ** 2 for f in set(t)) and {k[0] for k in got} == set(t)
     for f in (0, 7, int(t.max())):
         own, c = ids[t == f], correlation(x[t == f].T, x[t == f][:, ::-1].T)
@@ -224,26 +245,96 @@ def test_features_and_losses_of_whole_vectors(spark):
     _, t, x = vectors_of(spark)
     size = x.shape[1]
     c = correlation(x, x[:, ::-1])
-    got = {(r["i"], r["j"]): r["c"] for r in catalogue.queries()["cross_corr_features_all"](spark, SF).collect()}
+    got = {(r["i"], r["j"]): r["c"] for r in catalogue.queries()["cross_corr_features"](spark, SF).collect()}
     assert len(got) == size**2 and all(got[i + 1, j + 1] == pytest.approx(c[i, j], abs=2e-6) for i in range(size) for j in range(size))
 
     def loss(cells):
         return np.mean([((m - 1) ** 2 * np.eye(len(m)) + corr.LAMBDA * m**2 * (1 - np.eye(len(m)))).sum() for m in cells]) / len(cells[0]) ** 2
 
     objects = [correlation(x[t == f].T, x[t == f][:, ::-1].T) for f in sorted(set(t))]
-    r = catalogue.queries()["barlow_loss_all"](spark, SF).first()
+    r = catalogue.queries()["barlow_loss"](spark, SF).first()
     assert (r["loss_feat"], r["loss_obj"]) == (pytest.approx(loss([c]), abs=2e-6), pytest.approx(loss(objects), abs=2e-6))
 
 
-def test_rescale_of_whole_vectors(spark):
-    ids, _, x = vectors_of(spark)
-    low, high = np.percentile(x, 5, axis=1)[:, None], x.max(axis=1)[:, None]
-    want = (np.maximum(x, low) - low) / (high - low)
-    got = rows(catalogue.queries()["rescale_intensity_all"](spark, SF), "linear_ind", "pos", "val")
+def test_rescale_of_whole_stacks(spark):
+    ids, t, x = vectors_of(spark)
+    want = np.empty_like(x)
+    for f in set(t):
+        low, high = np.percentile(x[t == f], 5), x[t == f].max()
+        want[t == f] = (np.maximum(x[t == f], low) - low) / (high - low)
+    got = rows(catalogue.queries()["rescale_intensity"](spark, SF), "linear_ind", "pos", "val")
     assert [g[:2] for g in got] == [(i, p) for i in ids for p in range(x.shape[1])]
     assert np.allclose([g[2] for g in got], want.ravel(), atol=2e-6)
 
 
+def test_nearest_of_equal_points_and_ties():
+    rng = np.random.default_rng(0)
+    b = np.vstack([rng.normal(size=(300, 8)), np.ones((40, 8))])
+    a, ids = np.vstack([b[:50], np.ones((5, 8))]), rng.permutation(340) * 3
+    order = np.argsort(ids)
+    dist, found = graph.nearest_in_block(a, b[order], ids[order], 7)
+    for r in range(len(a)):
+        d = np.sqrt(((b - a[r]) ** 2).sum(1))
+        want = np.lexsort((ids, d))[:7]
+        assert found[r].tolist() == ids[want].tolist() and np.allclose(dist[r], d[want])
+    assert graph.nearest_in_block(a, b[:3], ids[:3], 7)[0].shape == (55, 3)
+
+
+def test_nearest_in_blocks_of_a_frame(spark, monkeypatch):
+    det = fixtures.det(spark, SF).withColumn("t", F.lit(0))
+    want = rows(evaluate.nearest_distance(det), "linear_ind", "dist")
+    monkeypatch.setattr(evaluate, "FRAME_BLOCK", 16)
+    assert rows(evaluate.nearest_distance(det), "linear_ind", "dist") == want
+    p = np.array(rows(det, "linear_ind", "z", "x", "y"))
+    gaps = np.sqrt(((p[:, None, 1:] - p[None, :, 1:]) ** 2).sum(2)) + np.where(np.eye(len(p)), np.inf, 0)
+    assert np.allclose([d for _, d in want], gaps.min(1))
+
+
+def test_predicting_from_a_fit(spark):
+    """Points in a blob take its label, points between blobs hardly, and those farther than blobs are from each other are noise."""
+    points = blobs(spark)
+    model = cut(cluster.fitted(points, 5, 2).join(points, "linear_ind"))
+    assert model.where("label < 0").count() < 5
+    centres = {r["label"]: np.mean(r["xs"], axis=0) for r in model.where("label >= 0").groupBy("label").agg(F.collect_list("x").alias("xs")).collect()}
+    far = [(900 + k, c.tolist()) for k, c in sorted(centres.items())] + [(990, (centres[0] / 2 + centres[1] / 2).tolist()), (991, [500.0] * 6)]
+    got = {r["linear_ind"]: r for r in cluster.approximate_predict(spark.createDataFrame(far, "linear_ind bigint, x array<double>"), model, 2).collect()}
+    assert all(got[900 + k]["label"] == k and got[900 + k]["prob"] > 0.5 for k in centres)
+    assert got[990]["prob"] < 0.1 and (got[991]["label"], got[991]["prob"]) == (-1, 0.0)
+
+
+def test_names_of_windows(spark):
+    """Tracks keep their name along a chain through the base, the window of most tracks; others get new ones."""
+    cells = [(0, 0, 1), (0, 0, 2), (0, 1, 3), (2, 0, 2), (2, 1, 3), (2, 2, 4), (4, 5, 4), (4, 6, 9), (6, 0, 9), (6, 1, 77)]
+    names = window_names(spark.createDataFrame(cells, "start int, label int, linear_ind bigint"))
+    assert rows(names, "start", "label", "name") == [(0, 0, 1), (0, 1, 2), (2, 0, 1), (2, 1, 2), (2, 2, 3), (4, 5, 3), (4, 6, 4), (6, 0, 4), (6, 1, 5)]
+
+
+def test_svd_of_many_batches_and_its_bound(spark, monkeypatch):
+    x = fixtures.vectors(spark, SF).repartition(7)
+    a = np.array([r["x"] for r in x.orderBy("linear_ind").collect()])
+    e = np.array([r["embedding"] for r in corr.svd_embed(x, 10).orderBy("linear_ind").collect()])
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(np.abs(e), np.abs(u[:, :10] * s[:10]), atol=1e-8)
+    monkeypatch.setattr(corr, "MOST_DIMENSIONS", 10)
+    with pytest.raises(ValueError):
+        corr.svd_embed(x, 3)
+
+
+def test_clone_and_yaml(spark, tmp_path):
+    one, two = Catalog(spark, str(tmp_path / "a")), Catalog(spark, str(tmp_path / "b"))
+    for name, n in (("tracks", 3), ("trials", 4)):
+        one.write(name, spark.range(n))
+    two.write("trials", spark.range(9))
+    assert clone(one, two, ["tracks", "trials", "none"]) == ["tracks"]
+    assert two.read("tracks").count() == 3 and two.read("trials").count() == 9
+    (tmp_path / "c.yaml").write_text('# top\nname: "a: b"\nlist:\n  - 1\nnest:\n  name: x\nsteps: 5 # five\nsteps: 6\nempty:\npath: /a#b\n')
+    assert configs.read_yaml(spark, str(tmp_path / "c.yaml")).first()["config"] == {"name": "a: b", "steps": "6", "path": "/a#b"}
+    (tmp_path / "d.yaml").write_text("- only a list\n")
+    (tmp_path / "e.yaml").write_text("")
+    assert configs.read_yaml(spark, str(tmp_path / "d.yaml")).first()["config"] == {}
+    assert configs.read_yaml(spark, str(tmp_path / "e.yaml")).count() == 0
+
+
 def test_unknown_mode(spark):
     with pytest.raises(ValueError):
         Tracker(blobs(spark), 12).track("other")
@@ -274,10 +365,12 @@ def test_trials(spark, tmp_path):
     assert rows(trials.discover(paths, anchored=True), "trial") == [(3,)]
     nan = spark.createDataFrame([(1, float("nan")), (2, None), (3, 2e6)], "trial int, val_loss double")
     assert rows(trials.best_trial(nan), "trial", "val_loss") == [(1, 1e6)]
-    configs.write_stats(spark, [(1, [{"epoch": 0, "loss": 1.0}, {"epoch": 1, "val_loss": 0.5}]), (2, [])], str(tmp_path / "stats"))
+    written = spark.createDataFrame([(1, 1, 1, None, 0.5), (1, 0, 0, 1.0, None), (2, 0, 0, 3.0, None)], "trial int, pos int, epoch int, loss double, val_loss double")
+    configs.write_stats(written, str(tmp_path / "stats"))
     stats = configs.read_stats(spark, str(tmp_path / "stats"))
-    assert rows(trials.second_last(stats, "loss"), "trial", "val_loss") == [(1, 1.0)]
-    assert json.loads(json.dumps(trials.learning_rate_at(0, 10, 20, 1.0))) == 0.0
+    assert rows(stats, "trial", "pos", "epoch", "loss", "val_loss") == rows(written, "trial", "pos", "epoch", "loss", "val_loss")
+    assert rows(trials.second_last(stats, "loss"), "trial", "val_loss") == [(1, 1.0), (2, None)]
+    assert spark.range(1).select(trials.learning_rate(F.lit(0), 10, 20, 1.0)).first()[0] == 0.0
     assert trials.repeated(nan.select("trial"), 3).count() == 9
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,15 +10,18 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.rounding import r6
 from trackloom.operators import assign, cluster, corr, crops, evaluate, frames, graph, sync, trials
-from trackloom.operators.checkpoints import cut
+from trackloom.operators.checkpoints import cut, ensure_checkpoint_dir
 from trackloom.plans import oracle
 from trackloom.plans.tracker import Tracker
+from trackloom.sources import configs, tables
 from trackloom.sources import fixtures as fx
+from trackloom.streaming import tracks
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 SHAPE, TARGET = (16, 128, 128), (8, 64, 64)
 WINDOW, STRIDE, SAMPLED = 20, 10, 12
+SEED_FRAMES, TEMPLATE_FRAMES = [0, 3, 6], [1, 2, 4, 7, 8]
 GRID = {"lr": [0.1, 0.01], "dim": [32, 64], "z": [4, 8]}
 
 
@@ -50,6 +54,11 @@ def _unrotated(spark, d):
     return fx.labelings(spark, d).withColumn("label", fx.unrotated(F.col("label"), F.col("run")))
 
 
+def _noisy_vectors(spark, d):
+    label = F.when(F.col("linear_ind") % 9 == 0, -1).otherwise(F.col("gt_label")).cast("int")
+    return fx.vectors(spark, d).join(fx.det(spark, d).select("linear_ind", label.alias("label")), "linear_ind")
+
+
 def _entries(spark, d):
     return assign.greedy_top1(fx.labelings(spark, d)).select("run", "linear_ind", "label", F.col("prob").alias("val"))
 
@@ -59,7 +68,7 @@ def _perms(spark, d):
 
 
 def _state(spark, d, steps):
-    seeds = graph.seed_labels(fx.det(spark, d), [0])
+    seeds = graph.seed_labels(fx.det(spark, d), SEED_FRAMES)
     return graph.propagate(graph.knn(fx.vectors(spark, d), 10), seeds, steps)
 
 
@@ -81,6 +90,32 @@ def match_tracks(spark, d):
     return evaluate.match_tracks(fx.gt(spark, d), fx.pred(spark, d))
 
 
+@query
+def match_on_frames(spark, d):
+    return evaluate.match_on_frames(fx.gt(spark, d), fx.pred(spark, d), TEMPLATE_FRAMES)
+
+
+@query
+def finished_only(spark, d):
+    """Even names are finished in the first half of the rows; in the other none is, so all stay."""
+    gt = fx.gt(spark, d).select("name", "t")
+    some = gt.where("name % 2 = 0").select("name").distinct()
+    halves = [evaluate.finished_only(gt, f).withColumn("finished", F.lit(k)) for k, f in ((True, some), (False, some.where("false")))]
+    return halves[0].unionByName(halves[1])
+
+
+@query
+def rename_by(spark, d):
+    back = fx.mapping(spark, d).select(F.col("pred_name").alias("old"), F.when(F.col("gt_name") > 2, F.col("gt_name")).alias("new"))
+    return evaluate.rename_by(fx.pred(spark, d).select("name", "t", "raw_seg_id"), back)
+
+
+@query
+def class_embeddings(spark, d):
+    found = evaluate.class_embeddings(_noisy_vectors(spark, d))
+    return found.select("label", "place", "linear_ind", r6(F.get("x", 0)).alias("x1"), r6(F.element_at("x", -1)).alias("xd"))
+
+
 @query
 def combine_first(spark, d):
     return evaluate.combine_first(fx.pred(spark, d), fx.gt(spark, d))
@@ -170,8 +205,7 @@ def accuracy_macro_micro(spark, d):
 @query
 def confidence_by_correct(spark, d):
     cells = evaluate.accuracy_cells(_aligned(spark, d)).join(fx.gt(spark, d).select("name", "t", F.col("likelihood").alias("conf")), ["name", "t"])
-    total = F.aggregate("confs", F.lit(0.0), lambda a, x: a + x)
-    return evaluate.confidence_by_correct(cells).select("name", "correct", "n", r6(total).alias("sum_conf"))
+    return evaluate.confidence_by_correct(cells).withColumn("conf", r6("conf"))
 
 
 @query
@@ -203,7 +237,7 @@ def carried_index(spark, d):
 @query
 def template_match(spark, d):
     rows = fx.vectors(spark, d).join(fx.det(spark, d).select("linear_ind", F.col("gt_label").alias("label")), "linear_ind")
-    return evaluate.template_match(rows.where("t > 0"), rows.where("t = 0")).select("linear_ind", "template_ind", "agree")
+    return evaluate.template_match(rows.where("t > 0"), rows.where("t = 0")).withColumn("conf", r6("conf"))
 
 
 @query
@@ -224,6 +258,27 @@ def frame_size_filter(spark, d):
     return frames.frames_within(fx.gt(spark, d))
 
 
+@query
+def pad_rows(spark, d):
+    early = fx.gt(spark, d).where("t < 5").groupBy("t").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return frames.pad_rows(early, 12)
+
+
+@query
+def drop_last_frame(spark, d):
+    return frames.drop_last_frame(fx.gt(spark, d).select("name", "t"), fx.det(spark, d))
+
+
+@query
+def valid_sample(spark, d):
+    return frames.valid_sample(fx.gt(spark, d), 6, [(F.col("t") * 7919) % 1009, F.col("t")], least=5)
+
+
+@query
+def base_window(spark, d):
+    return frames.base_window(frames.overlapping_windows(fx.gt(spark, d), 4, 2), "name")
+
+
 @query
 def overlapping_windows(spark, d):
     dealt = frames.overlapping_windows(fx.det(spark, d), WINDOW, STRIDE)
@@ -280,6 +335,34 @@ def detection_names(spark, d):
     return _names(spark, d)
 
 
+@query
+def tracked_names(spark, d):
+    return crops.detection_names(fx.det(spark, d), fx.gt(spark, d), include_untracked=False)
+
+
+@query
+def crop_voxels(spark, d):
+    """Crops of a small volume per frame, whose voxels count up."""
+    shape, target = (4, 6, 5), (2, 4, 3)
+    small = fx.det(spark, d).select("linear_ind", "t", (F.col("z") / 4).alias("z"), (F.col("x") / 20).alias("x"), (F.col("y") / 25).alias("y"))
+    bounds = crops.crop_bounds(small, shape, target).join(small.select("linear_ind", "t"), "linear_ind")
+    volumes = small.select("t").distinct().withColumn("voxels", F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: (i + F.col("t") * 1000 + 1).cast("float")))
+    found = crops.crop_voxels(bounds, volumes, shape, target)
+    return found.select("linear_ind", F.posexplode("voxels").alias("pos", "v")).select("linear_ind", "pos", F.col("v").cast("double").alias("v"))
+
+
+@query
+def names_by_segment(spark, d):
+    return crops.names_by_segment(fx.pred(spark, d), fx.det(spark, d))
+
+
+@query
+def raw_index(spark, d):
+    det = fx.det(spark, d)
+    first = det.where("linear_ind % 3 = 0").select("linear_ind", (F.col("raw_neuron_ind") + 100).alias("raw_neuron_ind"))
+    return crops.raw_index(det, first, det.where("linear_ind % 5 <> 0"))
+
+
 @query
 def parse_untracked_name(spark, d):
     return crops.parse_untracked_name(_names(spark, d))
@@ -293,14 +376,8 @@ def pivot_frame(spark, d):
 
 @query
 def rescale_intensity(spark, d):
-    values = fx.vectors(spark, d).select("linear_ind", F.slice("x", 1, 4).alias("vals"))
-    return crops.rescale_intensity(values).withColumn("val", r6("val"))
-
-
-@query
-def rescale_intensity_all(spark, d):
-    """Whole vectors; rescale_intensity has the four values that its SQL names."""
-    return crops.rescale_intensity(fx.vectors(spark, d).select("linear_ind", F.col("x").alias("vals"))).withColumn("val", r6("val"))
+    """A frame's vectors as one stack."""
+    return crops.rescale_intensity(fx.vectors(spark, d).select("t", "linear_ind", F.col("x").alias("vals")), by="t").withColumn("val", r6("val"))
 
 
 # assign
@@ -353,10 +430,27 @@ def outlier_points(spark, d):
     return assign.outlier_points(c, assign.time_purity_kept(c)).withColumnRenamed("cand", "gt_label")
 
 
+@query
+def neither(spark, d):
+    c = _candidates(spark, d)
+    kept = assign.time_purity_kept(c)
+    return assign.neither(fx.det(spark, d), kept, assign.outlier_points(c, kept).where("cand % 2 = 0"))
+
+
+@query
+def without_noise(spark, d):
+    return assign.without_noise(_noisy_vectors(spark, d)).select("linear_ind", "label")
+
+
+@query
+def thresholded(spark, d):
+    return assign.thresholded(fx.labelings(spark, d), 0.75).select("run", "linear_ind", "label", r6("prob").alias("prob"))
+
+
 @query
 def seed_stats(spark, d):
-    seeds = fx.det(spark, d).where("t = 0").select((F.col("linear_ind") % 5 == 0).alias("assigned"), (F.col("gt_label") - 1).alias("label"))
-    return assign.seed_stats(seeds)
+    seeds = fx.det(spark, d).select("t", (F.col("linear_ind") % 5 == 0).alias("assigned"), (F.col("gt_label") - 1).alias("label"))
+    return assign.seed_stats(seeds, "t")
 
 
 # trials
@@ -373,6 +467,64 @@ def discover_trials(spark, d):
     return trials.discover(users)
 
 
+@query
+def discover_anchored(spark, d):
+    users = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 2).alias("odd"), F.col("user_id").cast("string").alias("u"))
+    return trials.discover(users.select(F.concat(F.when(F.col("odd") == 1, "runs/trial_").otherwise("trial_9/old_trial_"), F.col("u")).alias("path")), anchored=True)
+
+
+@query
+def read_stats(spark, d):
+    """Written as training writes logs, one JSON text per trial, and read again."""
+    path = f"{ensure_checkpoint_dir(spark)}/stats-{uuid.uuid4().hex}"
+    configs.write_stats(fx.stats(spark, d), path)
+    return configs.read_stats(spark, path).select("trial", "pos", r6("loss").alias("loss"))
+
+
+def _configs(spark, d):
+    k = F.max(F.from_json("props", "k bigint")["k"]).cast("string")
+    held = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("trial")).agg(k.alias("k"))
+    path = F.concat(F.lit("/old/run"), F.col("trial").cast("string"))
+    return held.select("trial", F.create_map(F.lit("k"), "k", F.lit("folder"), path).alias("config"))
+
+
+@query
+def config_merge(spark, d):
+    base = F.create_map(F.lit("k"), F.lit("0"), F.lit("lr"), F.lit("0.1"))
+    return _configs(spark, d).select("trial", *configs.known_keys(configs.merged(base, F.col("config")), ["k", "lr", "dim"]))
+
+
+@query
+def config_changes(spark, d):
+    """What a bulk rewrite and a move of folders would change."""
+    before = _configs(spark, d)
+    updates = F.create_map(F.lit("k"), F.lit("7"), F.lit("new"), F.lit("x"))
+    return configs.changes(before, "config", configs.moved(configs.rewritten(F.col("config"), updates), "/old/", "/new/"), "trial")
+
+
+@query
+def read_yaml(spark, d):
+    """Configurations written as files, one of a trial, and read again."""
+    path = f"{ensure_checkpoint_dir(spark)}/yaml-{uuid.uuid4().hex}"
+    lines = ["# run", "lr: 0.5", F.concat(F.lit("k: '"), F.col("config")["k"], F.lit("'  # of the run")), "nest:", "  k: 3", "lr: 0.25", F.concat(F.lit("folder: "), F.col("config")["folder"])]
+    text = F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
+    _configs(spark, d).select("trial", text.alias("value")).write.partitionBy("trial").text(path)
+    return configs.read_yaml(spark, f"{path}/*").select(*configs.known_keys(F.col("config"), ["folder", "k", "lr", "nest"]))
+
+
+@query
+def repeated_trials(spark, d):
+    return trials.repeated(_trials(spark, d), 3)
+
+
+@query
+def trial_accuracy(spark, d):
+    """The summary with the accuracy of the trials that tracks exist for: those numbered as a name."""
+    config = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("user_id").alias("trial")).agg(F.max(F.from_json("props", "k bigint")["k"]).alias("k"))
+    found = evaluate.accuracy(_aligned(spark, d), "name").select(F.col("name").cast("bigint").alias("trial"), "accuracy")
+    return trials.summary(fx.stats(spark, d), config, found).withColumns({c: r6(c) for c in ("val_loss", "accuracy")})
+
+
 @query
 def training_finished(spark, d):
     return trials.training_finished(fx.stats(spark, d), 69)
@@ -437,36 +589,55 @@ def knn_graph(spark, d):
     return graph.knn(fx.vectors(spark, d), 10).select("src", "dst", "rk")
 
 
+@query
+def knn_lsh(spark, d):
+    """One row: whether the approximate search finds 0.9 of the nearest neighbours within its radius."""
+    points = fx.vectors(spark, d)
+    exact = graph.knn(points, 5).where("dist <= 0.9").select("src", "dst")
+    found = graph.knn_lsh(points, 5, 0.9, tables=12, width=1.0).select("src", "dst")
+    hits = exact.join(found, ["src", "dst"]).agg(F.count(F.lit(1)).alias("hits"))
+    return exact.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(hits)).select((F.col("hits") >= 0.9 * F.col("n")).alias("enough"))  # one row each
+
+
+@query
+def node_goodness(spark, d):
+    """Leaves of the tree are the detections of the first ids."""
+    nodes = fx.tree(spark)
+    inner = nodes.select(F.col("parent").alias("node")).where("node is not null").distinct().withColumn("inner", F.lit(True))
+    tree = nodes.join(inner, "node", "left").select("parent", F.col("node").alias("child"), F.when(F.col("inner").isNull(), F.col("node") - fx.TREE_NODES // 2).cast("bigint").alias("point"))
+    return cluster.node_goodness(tree, fx.det(spark, d)).withColumns({c: r6(c) for c in ("purity", "goodness")})
+
+
 @query
 def seed_labels(spark, d):
-    return graph.seed_labels(fx.det(spark, d), [0]).select("node", "label")
+    return graph.seed_labels(fx.det(spark, d), SEED_FRAMES)
 
 
 @query
 def label_prop_step(spark, d):
-    return _state(spark, d, 1).select("node", "label", r6("p").alias("p"))
+    return _state(spark, d, 1).select("run", "node", "label", r6("p").alias("p"))
 
 
 @query
 def label_prop_3(spark, d):
-    return _state(spark, d, 3).select("node", "label", r6("p").alias("p"))
+    return _state(spark, d, 3).select("run", "node", "label", r6("p").alias("p"))
 
 
 @query
 def label_topk(spark, d):
     # rounded first, so that equal shares are equal in any order of summing
     state = _state(spark, d, 3).withColumn("p", F.round("p", 9))
-    return graph.label_topk(state, 2).select("node", "label", r6("p").alias("p"), "rk")
+    return graph.label_topk(state, 2).select("run", "node", "label", r6("p").alias("p"), "rk")
 
 
 @query
 def label_softmax(spark, d):
-    return graph.label_softmax(_state(spark, d, 3), 0.02).select("node", "label", r6("p").alias("p"))
+    return graph.label_softmax(_state(spark, d, 3), 0.02).select("run", "node", "label", r6("p").alias("p"))
 
 
 @query
 def label_rownorm(spark, d):
-    return graph.label_rownorm(_state(spark, d, 3)).select("node", "label", r6("p").alias("p"))
+    return graph.label_rownorm(_state(spark, d, 3)).select("run", "node", "label", r6("p").alias("p"))
 
 
 @query
@@ -517,7 +688,7 @@ def label_coverage_diag(spark, d):
 def unmatched_labels(spark, d):
     runs = fx.labelings(spark, d)
     new = runs.where("run = 1")
-    return sync.unmatched_labels(new, sync.label_confusion(runs.where("run = 0"), new), 20)
+    return sync.unmatched_labels(new, sync.label_confusion(runs.where("run = 0 and label <= 5"), new), 3)
 
 
 @query
@@ -530,10 +701,25 @@ def fuse_labels(spark, d):
     return sync.fuse_labels(_unrotated(spark, d), fx.RUNS)
 
 
+def _votes_of_frames(fused):
+    """The votes that each frame's assignment has; many assignments may have as many."""
+    return fused.groupBy("t").agg(F.round(F.sum("confidence") * fx.RUNS).cast("bigint").alias("votes"))
+
+
+@query
+def fuse_labels_votes(spark, d):
+    return _votes_of_frames(sync.fuse_labels(_unrotated(spark, d), fx.RUNS))
+
+
+@query
+def align_all_votes(spark, d):
+    return _votes_of_frames(sync.align_all(fx.labelings(spark, d), list(range(fx.RUNS))))
+
+
 @query
 def align_pair(spark, d):
     runs = fx.labelings(spark, d)
-    return sync.align_pair(runs.where("run = 0"), runs.where("run = 1"))
+    return sync.align_pair(runs.where("run = 0"), runs.where("run = 1")).withColumn("prob", r6("prob"))
 
 
 @query
@@ -550,12 +736,12 @@ def spectral_sync(spark, d):
 
 
 def _features(spark, d):
-    x = F.col("x")
-    return corr.cross_corr(fx.vectors(spark, d).select(F.slice(x, 1, 4).alias("a"), F.slice(x, 3, 4).alias("b")))
+    return corr.cross_corr(fx.vectors(spark, d).select(F.col("x").alias("a"), F.reverse("x").alias("b")))
 
 
 def _objects(spark, d):
-    return corr.cross_corr_objects(fx.vectors(spark, d).where("t = 0").select("linear_ind", F.col("x").alias("a"), F.reverse("x").alias("b")))
+    views = fx.vectors(spark, d).select("t", "linear_ind", F.col("x").alias("a"), F.reverse("x").alias("b"))
+    return corr.cross_corr_objects(views, by=("t",))
 
 
 @query
@@ -568,36 +754,15 @@ def cross_corr_objects(spark, d):
     return _objects(spark, d).withColumn("c", r6("c"))
 
 
-def _objects_all(spark, d):
-    views = fx.vectors(spark, d).select("t", "linear_ind", F.col("x").alias("a"), F.reverse("x").alias("b"))
-    return corr.cross_corr_objects(views, by=("t",))
-
-
 @query
-def cross_corr_objects_all(spark, d):
-    """Every frame's objects; cross_corr_objects has the frame that its SQL names."""
-    return _objects_all(spark, d).withColumn("c", r6("c"))
-
-
-def _features_all(spark, d):
-    return corr.cross_corr(fx.vectors(spark, d).select(F.col("x").alias("a"), F.reverse("x").alias("b")))
-
-
-@query
-def cross_corr_features_all(spark, d):
-    """All dimensions; cross_corr_features has the four by four that its SQL names."""
-    return _features_all(spark, d).withColumn("c", r6("c"))
-
-
-@query
-def barlow_loss_all(spark, d):
+def barlow_loss(spark, d):
     """Over all dimensions and over all cells of every frame's objects."""
-    return corr.barlow_loss(_features_all(spark, d), _objects_all(spark, d)).select(*[r6(c).alias(c) for c in ("loss_feat", "loss_obj", "loss")])
+    return corr.barlow_loss(_features(spark, d), _objects(spark, d)).select(*[r6(c).alias(c) for c in ("loss_feat", "loss_obj", "loss")])
 
 
 @query
-def barlow_loss(spark, d):
-    return corr.barlow_loss(_features(spark, d), _objects(spark, d)).select(*[r6(c).alias(c) for c in ("loss_feat", "loss_obj", "loss")])
+def feature_gram(spark, d):
+    return corr.feature_gram(fx.vectors(spark, d)).withColumn("g", r6("g"))
 
 
 @query
@@ -630,6 +795,18 @@ def nn_label_assign(spark, d):
     return cluster.nn_label_assign(rows.join(chosen, "t", "left_anti"), rows.join(chosen, "t", "left_semi"))
 
 
+@query
+def approximate_predict(spark, d):
+    """Fitted points of the sampled frames, with clusters that begin and end at densities of their own; the other frames' points."""
+    det = fx.det(spark, d)
+    chosen = frames.evenly_spaced(det, SAMPLED)
+    points = _noisy_vectors(spark, d)
+    some = points.join(chosen, "t", "left_semi")
+    core = cluster.core_distance(graph.knn(some, 3), 3)
+    model = cut(some.join(core, "linear_ind").withColumns({"birth": 1.0 + F.col("label") / 50, "top": 2.0 + F.col("label") / 10}))
+    return cluster.approximate_predict(points.join(chosen, "t", "left_anti"), model, 3).withColumn("prob", r6("prob"))
+
+
 @query
 def cluster_counts(spark, d):
     return cluster.cluster_counts(_labelled(spark, d))
@@ -658,6 +835,38 @@ def agglomerate(spark, d):
     return cluster.agglomerate(tree, fx.det(spark, d).withColumn("score", F.col("likelihood")), min_goodness=0.3)
 
 
+@query
+def catalog_tables(spark, d):
+    """Tables of a project written by frame and in ranges, cloned and read again: detections of each frame with their vector's length."""
+    root = f"{ensure_checkpoint_dir(spark)}/project-{uuid.uuid4().hex}"
+    one, two = tables.Catalog(spark, f"{root}-a"), tables.Catalog(spark, f"{root}-b")
+    one.write("detections", fx.det(spark, d).select("linear_ind", "t"), by_frame=True)
+    one.write_embeddings(fx.vectors(spark, d).select("linear_ind", "x"))
+    tables.clone(one, two, ["detections", "embeddings", "missing"])
+    early = two.read("detections", 0).unionByName(two.read("detections").where("t > 0"))
+    return early.join(two.read("embeddings"), "linear_ind").select("linear_ind", F.col("t").cast("int").alias("t"), F.size("x").cast("bigint").alias("n"))
+
+
+@query
+def nan_to_null(spark, d):
+    holes = fx.det(spark, d).select("linear_ind", F.when(F.col("linear_ind") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("z")).alias("z"))
+    return tables.null_for_missing(holes).withColumn("z", r6("z"))
+
+
+@query
+def stream_labels(spark, d):
+    """Frames that arrive as files: labelled by their nearest fitted point, then the best of each cell, both as streams."""
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    det = fx.det(spark, d)
+    points = fx.vectors(spark, d).join(det.select("linear_ind", "raw_neuron_ind", "likelihood", F.col("gt_label").alias("label")), "linear_ind")
+    chosen = frames.evenly_spaced(det, SAMPLED)
+    arriving = points.join(chosen, "t", "left_anti").select("linear_ind", F.col("t").cast("int").alias("t"), "raw_neuron_ind", "likelihood", "x")
+    arriving.repartition(3, "t").write.parquet(f"{root}/in")
+    fitted = cut(points.join(chosen, "t", "left_semi"))
+    tracks.assign_labels(tracks.detections(spark, f"{root}/in"), fitted, f"{root}/out", f"{root}/state").awaitTermination()
+    return tracks.best_so_far(spark.read.parquet(f"{root}/out/*")).select(F.col("name").cast("int").alias("name"), "t", "raw_neuron_ind")
+
+
 def _tracker(spark, d):
     det = fx.det(spark, d)
     points = cut(fx.vectors(spark, d).join(det.select("linear_ind", "raw_neuron_ind", "likelihood"), "linear_ind"))

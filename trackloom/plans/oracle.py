@@ -4,6 +4,13 @@ from __future__ import annotations
 
 import re
 
+def _euclid(a: str = "a", b: str = "b") -> str:
+    return f"sqrt(list_sum(list_transform(range(1, len({a}.x) + 1), lambda i: ({b}.x[i] - {a}.x[i]) * ({b}.x[i] - {a}.x[i]))))"
+
+
+#: Views that several others or a query read more than once, and that are dear.
+WRITTEN = {"near", "vec", "fit", "fitcore", "unrot", "place", *(f"s{i}" for i in range(11)), *(f"h{i}" for i in range(4))}
+
 VIEWS = {
     "det": """SELECT vec_id AS linear_ind, CAST(floor(vec_id / 10.0) AS INT) AS t, CAST(vec_id % 10 AS INT) AS raw_neuron_ind,
         CAST(vec_id % 10 + 1 AS INT) AS raw_seg_id, CAST(label + 1 AS INT) AS gt_label, (1 + CAST(embedding[1] AS DOUBLE)) / 2 AS likelihood,
@@ -40,12 +47,13 @@ VIEWS = {
     "near": """SELECT src, dst, dist, rk FROM (SELECT a.linear_ind AS src, b.linear_ind AS dst,
         sqrt(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (b.x[i] - a.x[i]) * (b.x[i] - a.x[i])))) AS dist,
         row_number() OVER (PARTITION BY a.linear_ind ORDER BY dist, b.linear_ind) AS rk FROM vec a, vec b) q WHERE rk <= 10""",
-    "seeds": "SELECT linear_ind AS node, CAST(row_number() OVER (ORDER BY linear_ind) AS INT) AS label FROM det WHERE t = 0",
+    "seeds": "SELECT t AS run, linear_ind AS node, CAST(row_number() OVER (PARTITION BY t ORDER BY linear_ind) AS INT) AS label FROM det WHERE t IN (0, 3, 6)",
     "loops": "SELECT src, dst FROM near UNION ALL SELECT DISTINCT src, src FROM near",
-    "h0": "SELECT node, label, CAST(1 AS DOUBLE) AS p FROM seeds",
+    "h0": "SELECT run, node, label, CAST(1 AS DOUBLE) AS p FROM seeds",
     **{
-        f"h{i}": f"""SELECT src AS node, label, sum(p) / CAST(11 AS DOUBLE) AS p FROM loops JOIN h{i - 1} ON node = dst
-        WHERE src NOT IN (SELECT node FROM seeds) GROUP BY src, label UNION ALL SELECT node, label, CAST(1 AS DOUBLE) FROM seeds"""
+        f"h{i}": f"""SELECT run, src AS node, label, sum(p) / CAST(11 AS DOUBLE) AS p FROM loops JOIN h{i - 1} ON node = dst
+        WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.run = h{i - 1}.run AND s.node = src) GROUP BY run, src, label
+        UNION ALL SELECT run, node, label, CAST(1 AS DOUBLE) FROM seeds"""
         for i in (1, 2, 3)
     },
     "closure": """SELECT anc, node FROM (WITH RECURSIVE cl(anc, node) AS (SELECT node, node FROM tree UNION ALL
@@ -61,11 +69,27 @@ VIEWS = {
     "second_last": """SELECT trial, max(CASE WHEN n >= 2 AND pos = n - 2 THEN loss END) AS val_loss
         FROM (SELECT *, count(*) OVER (PARTITION BY trial) AS n FROM stats) q GROUP BY trial""",
     "core5": "SELECT src AS linear_ind, dist AS core FROM near WHERE rk = 5",
-    "feat": """SELECT i, j, covar_samp(x[i], x[j + 2]) / (stddev_samp(x[i]) * stddev_samp(x[j + 2])) * (count(*) - 1) / count(*) AS c
-        FROM vec, (SELECT unnest([1, 2, 3, 4]) AS i) a, (SELECT unnest([1, 2, 3, 4]) AS j) b GROUP BY i, j""",
-    "objs": """SELECT a.linear_ind AS i, b.linear_ind AS j, covar_samp(a.x[k], b.x[len(b.x) + 1 - k])
-        / (stddev_samp(a.x[k]) * stddev_samp(b.x[len(b.x) + 1 - k])) * (count(*) - 1) / count(*) AS c
-        FROM vec a, vec b, (SELECT unnest(range(1, 65)) AS k) q WHERE a.t = 0 AND b.t = 0 GROUP BY a.linear_ind, b.linear_ind""",
+    "feat": """SELECT i, j, covar_samp(x[i], x[65 - j]) / (stddev_samp(x[i]) * stddev_samp(x[65 - j])) * (count(*) - 1) / count(*) AS c
+        FROM vec, (SELECT unnest(range(1, 65)) AS i) a, (SELECT unnest(range(1, 65)) AS j) b GROUP BY i, j""",
+    "objs": """SELECT a.t, a.linear_ind AS i, b.linear_ind AS j, covar_samp(a.x[k], b.x[65 - k])
+        / (stddev_samp(a.x[k]) * stddev_samp(b.x[65 - k])) * (count(*) - 1) / count(*) AS c
+        FROM vec a JOIN vec b ON a.t = b.t, (SELECT unnest(range(1, 65)) AS k) q GROUP BY a.t, a.linear_ind, b.linear_ind""",
+    "noisy": "SELECT linear_ind, t, x, CAST(CASE WHEN linear_ind % 9 = 0 THEN -1 ELSE label END AS INT) AS label FROM vec",
+    "fit": "SELECT * FROM noisy WHERE t IN (SELECT t FROM chosen)",
+    "fitcore": f"""SELECT linear_ind, d AS core FROM (SELECT a.linear_ind, {_euclid()} AS d, row_number() OVER (PARTITION BY a.linear_ind ORDER BY {_euclid()}, b.linear_ind) AS rk
+        FROM fit a, fit b) q WHERE rk = 3""",
+    "leaf": "SELECT node AS child, parent, CASE WHEN node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL) THEN node - 100 END AS point FROM tree",
+    "cfg": """SELECT user_id AS trial, CAST(max(CAST(json_extract(props, '$.k') AS BIGINT)) AS VARCHAR) AS k, '/old/run' || user_id AS folder FROM events GROUP BY user_id""",
+    "unrot": "SELECT t, linear_ind, label, count(*) AS n FROM votes GROUP BY ALL",
+    # the most votes of an assignment: objects one by one, over sets of labels taken
+    "place": "SELECT t, linear_ind, row_number() OVER (PARTITION BY t ORDER BY linear_ind) AS k FROM (SELECT DISTINCT t, linear_ind FROM unrot) q",
+    "s0": "SELECT DISTINCT t, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS v FROM place",
+    **{
+        f"s{i}": f"""SELECT t, taken, max(v) AS v FROM (SELECT t, taken, v FROM s{i - 1} UNION ALL
+        SELECT s.t, s.taken | (1 << (u.label - 1)), s.v + u.n FROM s{i - 1} s JOIN place p ON p.t = s.t AND p.k = {i}
+        JOIN unrot u ON u.t = p.t AND u.linear_ind = p.linear_ind WHERE (s.taken >> (u.label - 1)) & 1 = 0) q GROUP BY t, taken"""
+        for i in range(1, 11)
+    },
 }
 
 COUNTS = """CAST(count_if(gt_valid) AS BIGINT) AS n_gt, CAST(count_if(miss) AS BIGINT) AS misses, CAST(count_if(mismatch) AS BIGINT) AS mismatches"""
@@ -76,9 +100,9 @@ def _r(expression: str, name: str | None = None) -> str:
     return f"round({expression}, 6) + 0.0 AS {name or expression}"
 
 
-def _bounds(centres: dict[str, str]) -> str:
+def _bounds(centres: dict[str, str], shape: tuple[int, ...] = (16, 128, 128), target: tuple[int, ...] = (8, 64, 64)) -> str:
     out = []
-    for (axis, centre), dim, size in zip(centres.items(), (16, 128, 128), (8, 64, 64), strict=True):
+    for (axis, centre), dim, size in zip(centres.items(), shape, target, strict=True):
         lo = f"greatest(least({centre} - {size // 2}, {dim}), 0)"
         hi = f"least(greatest(least({centre} + {size // 2}, {dim}), 0), {lo} + {size})"
         out.append(f"CAST({lo} AS INT) AS {axis}0, CAST({hi} AS INT) AS {axis}1, CAST(greatest({size} - ({hi} - {lo}), 0) AS INT) AS pad{axis}")
@@ -115,7 +139,56 @@ BODIES = {
     "trend_fit": f"SELECT {_r('regr_slope(accuracy, pct_tracked)', 'slope')}, {_r('regr_intercept(accuracy, pct_tracked)', 'intercept')}, {_r('regr_r2(accuracy, pct_tracked)', 'r2')} FROM rated",
     "accuracy_macro_micro": """SELECT round(avg(a), 6) AS macro, round(CAST(sum(ok) AS DOUBLE) / sum(n), 6) AS micro FROM
         (SELECT count_if(correct) AS ok, count_if(gt_valid) AS n, CAST(count_if(correct) AS DOUBLE) / count_if(gt_valid) AS a FROM cells GROUP BY name) q""",
-    "confidence_by_correct": f"SELECT name, correct, count(*) AS n, {_r('sum(likelihood)', 'sum_conf')} FROM cells JOIN gt USING (name, t) GROUP BY name, correct",
+    "confidence_by_correct": f"SELECT name, correct, row_number() OVER (PARTITION BY name, correct ORDER BY likelihood) - 1 AS place, {_r('likelihood', 'conf')} FROM cells JOIN gt USING (name, t)",
+    "match_tracks": "SELECT g.name AS gt_name, p.name AS pred_name, count(*) AS n FROM gt g JOIN pred p USING (t, raw_seg_id) WHERE p.name = 1 + ((g.name - 1) * 3) % 10 GROUP BY ALL",
+    "match_on_frames": """SELECT g.name AS gt_name, p.name AS pred_name, count(*) AS n FROM gt g JOIN pred p USING (t, raw_seg_id)
+        WHERE t IN (1, 2, 4, 7, 8) AND p.name = 1 + ((g.name - 1) * 3) % 10 GROUP BY ALL""",
+    "finished_only": "SELECT name, t, true AS finished FROM gt WHERE name % 2 = 0 UNION ALL SELECT name, t, false FROM gt",
+    "rename_by": "SELECT g.gt_name AS name, p.t, p.raw_seg_id FROM pred p JOIN (SELECT DISTINCT name AS gt_name, 1 + ((name - 1) * 3) % 10 AS pred_name FROM gt) g ON g.pred_name = p.name WHERE gt_name > 2",
+    "class_embeddings": f"""SELECT label, row_number() OVER (PARTITION BY label ORDER BY linear_ind) - 1 AS place, linear_ind, {_r('x[1]', 'x1')}, {_r('x[64]', 'xd')} FROM noisy WHERE label <> -1""",
+    "pad_rows": """SELECT t, count(*) AS n FROM gt WHERE t < 5 GROUP BY t UNION ALL SELECT CAST(unnest(range(last + 1, last + 13 - n)) AS INT), NULL
+        FROM (SELECT max(t) AS last, count(DISTINCT t) AS n FROM gt WHERE t < 5) q""",
+    "drop_last_frame": "SELECT name, t FROM gt, n_frames WHERE t < n_frames - 1",
+    "valid_sample": "SELECT t FROM (SELECT t FROM gt GROUP BY t HAVING count(*) > 5 AND count(*) <= 200) q ORDER BY (t * 7919) % 1009, t LIMIT 7",
+    "base_window": """SELECT CAST(start AS INT) AS start, count(DISTINCT name) AS n FROM (SELECT *, max(t + 1) OVER () AS last FROM gt) g JOIN (SELECT DISTINCT unnest(range(0, m - 4, 2) || [m - 5]) AS start
+        FROM (SELECT max(t) + 1 AS m FROM gt) a) w ON t BETWEEN start AND start + 3 GROUP BY start ORDER BY n DESC, start LIMIT 1""",
+    "tracked_names": "SELECT linear_ind, printf('neuron_%03d', name) AS obj_name FROM gt",
+    "crop_voxels": f"""SELECT linear_ind, CAST(pos AS INT) AS pos, CAST(CASE WHEN az >= padz AND az - padz + z0 < z1 AND ax >= padx AND ax - padx + x0 < x1 AND ay >= pady AND ay - pady + y0 < y1
+        THEN ((az - padz + z0) * 6 + ax - padx + x0) * 5 + ay - pady + y0 + t * 1000 + 1 ELSE 0 END AS DOUBLE) AS v FROM
+        (SELECT *, pos // 12 AS az, (pos // 3) % 4 AS ax, pos % 3 AS ay FROM (SELECT linear_ind, t, {_bounds({'z': 'CAST(round_even(z / 4, 0) AS INT)', 'x': 'CAST(round_even(x / 20, 0) AS INT)', 'y': 'CAST(round_even(y / 25, 0) AS INT)'}, (4, 6, 5), (2, 4, 3))} FROM det) a,
+        (SELECT unnest(range(24)) AS pos) b) c""",
+    "names_by_segment": "SELECT linear_ind, name FROM det LEFT JOIN (SELECT t, raw_seg_id, max(name) AS name FROM pred GROUP BY ALL) p USING (t, raw_seg_id)",
+    "raw_index": "SELECT linear_ind, CAST(CASE WHEN linear_ind % 3 = 0 THEN raw_neuron_ind + 100 WHEN linear_ind % 5 <> 0 THEN raw_neuron_ind END AS INT) AS raw_neuron_ind FROM det",
+    "neither": "SELECT linear_ind FROM det ANTI JOIN kept USING (gt_label, linear_ind) WHERE gt_label % 2 <> 0",
+    "without_noise": "SELECT linear_ind, label FROM noisy WHERE label <> -1",
+    "thresholded": f"SELECT run, linear_ind, CASE WHEN prob < 0.75 THEN -1 ELSE label END AS label, {_r('CASE WHEN prob < 0.75 THEN 0 ELSE prob END', 'prob')} FROM labelings",
+    "discover_anchored": "SELECT DISTINCT CAST(user_id AS INT) AS trial FROM events WHERE user_id % 2 = 1",
+    "read_stats": f"SELECT CAST(trial AS INT) AS trial, pos, {_r('loss')} FROM stats",
+    "config_merge": "SELECT trial, k, '0.1' AS lr, CAST(NULL AS VARCHAR) AS dim FROM cfg",
+    "config_changes": """SELECT trial, 'k' AS name, k AS was, '7' AS becomes FROM cfg WHERE k IS DISTINCT FROM '7' UNION ALL
+        SELECT trial, 'folder', folder, replace(folder, '/old/', '/new/') FROM cfg""",
+    "read_yaml": "SELECT folder, k, '0.25' AS lr, CAST(NULL AS VARCHAR) AS nest FROM cfg",
+    "repeated_trials": "SELECT DISTINCT user_id AS trial, CAST(repetition AS INT) AS repetition FROM events, (SELECT unnest(range(3)) AS repetition) q",
+    "trial_accuracy": f"""SELECT s.trial, CAST(k AS BIGINT) AS k, {_r('val_loss')}, n, accuracy FROM second_last s JOIN cfg USING (trial) LEFT JOIN (SELECT trial, count(*) AS n FROM stats GROUP BY trial) m USING (trial)
+        LEFT JOIN (SELECT name, round(CAST(count_if(correct) AS DOUBLE) / nullif(count_if(gt_valid), 0), 6) AS accuracy FROM cells GROUP BY name) a ON name = s.trial""",
+    "knn_lsh": "SELECT true AS enough",
+    "node_goodness": f"""SELECT node, total, kept, {_r('CAST(kept AS DOUBLE) / total', 'purity')}, {_r('0.1::DOUBLE * kept / total + 0.9::DOUBLE * kept / n_frames', 'goodness')} FROM
+        (SELECT c.anc AS node, count(*) AS total, count(DISTINCT t) AS kept FROM closure c JOIN leaf l ON l.child = c.node JOIN det d ON d.linear_ind = l.point GROUP BY c.anc) q, n_frames WHERE total <= 2 * n_frames""",
+    "fuse_labels_votes": "SELECT t, max(v) AS votes FROM s10 GROUP BY t",
+    "align_all_votes": "SELECT t, max(v) AS votes FROM s10 GROUP BY t",
+    "align_pair": f"SELECT run, linear_ind, t, CAST(1 + (label - 2 + 10) % 10 AS INT) AS label, {_r('prob')} FROM labelings WHERE run = 1",
+    "feature_gram": f"SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_r('sum(x[i] * x[j])', 'g')} FROM vec, (SELECT unnest(range(1, 65)) AS i) a, (SELECT unnest(range(1, 65)) AS j) b GROUP BY i, j",
+    "approximate_predict": f"""SELECT linear_ind, CASE WHEN inside THEN label ELSE -1 END AS label, {_r('CASE WHEN inside THEN least(density, top) / top ELSE 0 END', 'prob')} FROM
+        (SELECT linear_ind, label, 1 / reach AS density, 2.0::DOUBLE + label / 10 AS top, label >= 0 AND 1 / reach >= 1.0::DOUBLE + label / 50 AS inside FROM
+        (SELECT *, row_number() OVER (PARTITION BY linear_ind ORDER BY greatest(d, own, core), dst) AS best, greatest(d, own, core) AS reach FROM
+        (SELECT *, max(CASE WHEN rk <= 3 THEN d END) OVER (PARTITION BY linear_ind) AS own FROM (SELECT a.linear_ind, b.linear_ind AS dst, b.label, core, {_euclid()} AS d,
+        row_number() OVER (PARTITION BY a.linear_ind ORDER BY {_euclid()}, b.linear_ind) AS rk FROM noisy a, fit b JOIN fitcore c ON c.linear_ind = b.linear_ind
+        WHERE a.t NOT IN (SELECT t FROM chosen)) p WHERE rk <= 6) q) r WHERE best = 1) s""",
+    "catalog_tables": "SELECT linear_ind, t, CAST(len(x) AS BIGINT) AS n FROM vec",
+    "nan_to_null": f"SELECT linear_ind, {_r('CASE WHEN linear_ind % 4 <> 0 THEN z END', 'z')} FROM det",
+    "stream_labels": f"""SELECT CAST(label AS INT) AS name, t, raw_neuron_ind FROM (SELECT q.label, d.t, d.raw_neuron_ind, row_number() OVER (PARTITION BY q.label, d.t ORDER BY likelihood DESC, linear_ind) AS first FROM
+        (SELECT a.linear_ind, b.label, row_number() OVER (PARTITION BY a.linear_ind ORDER BY {_euclid()}, b.linear_ind) rn
+        FROM vec a, vec b WHERE a.t NOT IN (SELECT t FROM chosen) AND b.t IN (SELECT t FROM chosen)) q JOIN det d USING (linear_ind) WHERE rn = 1) r WHERE first = 1""",
     "displacement": f"""SELECT name, t, {_r(_distance('b', 'a'), 'dist')} FROM (SELECT n.name, s.t, g.z, g.x, g.y,
         lag(g.z) OVER w AS pz, lag(g.x) OVER w AS px, lag(g.y) OVER w AS py FROM (SELECT DISTINCT name FROM gt) n
         CROSS JOIN (SELECT CAST(unnest(range(n_frames)) AS INT) AS t FROM n_frames) s LEFT JOIN gt g ON g.name = n.name AND g.t = s.t
@@ -130,9 +203,9 @@ BODIES = {
     "adjacent_tracking_accuracy": f"""SELECT name, CAST(count_if(own = found) AS BIGINT) AS correct, count(*) AS total FROM (SELECT a.name, n.t, n.linear_ind AS own,
         first(b.linear_ind ORDER BY {_distance('a', 'b')}, b.linear_ind) AS found FROM gt a JOIN gt n ON n.name = a.name AND n.t = a.t + 1
         JOIN det b ON b.t = n.t GROUP BY a.name, n.t, n.linear_ind) q GROUP BY name""",
-    "template_match": """SELECT linear_ind, template_ind, label = tlabel AS agree FROM (SELECT a.linear_ind, a.label, b.linear_ind AS template_ind, b.label AS tlabel,
-        row_number() OVER (PARTITION BY a.linear_ind ORDER BY sqrt(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (b.x[i] - a.x[i]) * (b.x[i] - a.x[i])))), b.linear_ind) rn
-        FROM vec a, vec b WHERE a.t > 0 AND b.t = 0) q WHERE rn = 1""",
+    "template_match": f"""SELECT linear_ind, template_ind, {_r('exp(-d) / z', 'conf')}, label = tlabel AS agree FROM (SELECT *, row_number() OVER (PARTITION BY linear_ind ORDER BY d, template_ind) AS rn,
+        sum(exp(-d)) OVER (PARTITION BY linear_ind) AS z FROM (SELECT a.linear_ind, a.label, b.linear_ind AS template_ind, b.label AS tlabel, {_euclid()} AS d
+        FROM vec a, vec b WHERE a.t > 0 AND b.t = 0) p) q WHERE rn = 1""",
     "common_neurons": "SELECT name FROM gt INTERSECT SELECT name FROM pred",
     "pad_frames": """SELECT n.name, s.t, p.raw_seg_id FROM (SELECT DISTINCT name FROM pred) n CROSS JOIN
         (SELECT CAST(unnest(range(n_frames)) AS INT) AS t FROM n_frames) s LEFT JOIN pred p ON p.name = n.name AND p.t = s.t""",
@@ -152,8 +225,8 @@ BODIES = {
         FROM untracked WHERE starts_with(obj_name, 'untracked_')""",
     "pivot_frame": "SELECT t, " + ", ".join(f"round(max(CASE WHEN gt_label = {n} THEN z END), 6) AS n{n}" for n in range(1, 11)) + " FROM det WHERE t = 0 GROUP BY t",
     "rescale_intensity": """SELECT linear_ind, pos, round(CASE WHEN hi > lo THEN (greatest(v, lo) - lo) / (hi - lo) ELSE 0 END, 6) AS val FROM
-        (SELECT linear_ind, pos, v, quantile_cont(v, 0.05) OVER w AS lo, max(v) OVER w AS hi FROM
-        (SELECT linear_ind, CAST(i - 1 AS INT) AS pos, x[i] AS v FROM vec, (SELECT unnest([1, 2, 3, 4]) AS i) a) b WINDOW w AS (PARTITION BY linear_ind)) c""",
+        (SELECT t, linear_ind, CAST(i - 1 AS INT) AS pos, x[i] AS v FROM vec, (SELECT unnest(range(1, 65)) AS i) a) b JOIN
+        (SELECT t, quantile_cont(v, 0.05) AS lo, max(v) AS hi FROM (SELECT t, unnest(x) AS v FROM vec) c GROUP BY t) d USING (t)""",
     "cluster_to_tracks": f"SELECT name, t, raw_neuron_ind, {_r('likelihood')} FROM gt",
     "cluster_to_tracks_last": """SELECT gt_label AS name, t, raw_neuron_ind FROM (SELECT *, row_number() OVER (PARTITION BY gt_label, t ORDER BY linear_ind DESC) rn FROM det) q WHERE rn = 1""",
     "cluster_to_tracks_first": """SELECT gt_label AS name, t, place AS raw_neuron_ind FROM (SELECT *, row_number() OVER (PARTITION BY gt_label, t ORDER BY linear_ind) rn,
@@ -165,8 +238,8 @@ BODIES = {
     "greedy_top1": "SELECT run, t, label, linear_ind FROM top1",
     "unassigned_points": "SELECT linear_ind FROM det WHERE linear_ind NOT IN (SELECT linear_ind FROM kept)",
     "outlier_points": "SELECT gt_label, linear_ind FROM det ANTI JOIN kept USING (gt_label, linear_ind)",
-    "seed_stats": """SELECT CAST(count_if(linear_ind % 5 = 0) AS BIGINT) AS n_assigned, CAST(count_if(linear_ind % 5 <> 0 AND gt_label > 1) AS BIGINT) AS n_cluster,
-        CAST(count_if(linear_ind % 5 <> 0 AND gt_label <= 1) AS BIGINT) AS n_leaf FROM det WHERE t = 0""",
+    "seed_stats": """SELECT t, CAST(count_if(linear_ind % 5 = 0) AS BIGINT) AS n_assigned, CAST(count_if(linear_ind % 5 <> 0 AND gt_label > 1) AS BIGINT) AS n_cluster,
+        CAST(count_if(linear_ind % 5 <> 0 AND gt_label <= 1) AS BIGINT) AS n_leaf FROM det GROUP BY t""",
     "stats_second_last": f"SELECT trial, {_r('val_loss')} FROM second_last",
     "discover_trials": r"SELECT DISTINCT CAST(regexp_extract('runs/trial_' || user_id || '/log', 'trial_(\d+)', 1) AS INT) AS trial FROM events",
     "training_finished": "SELECT trial, max(pos) = 69 AS finished FROM stats GROUP BY trial",
@@ -181,14 +254,14 @@ BODIES = {
         FROM (SELECT i, 0.5::DOUBLE * (1 + cos(pi() * (i - 40) / 160)) AS q FROM (SELECT unnest(range(200)) AS i) a) b""",
     "split_model_name": "SELECT * FROM (VALUES ('net_v2_north', 'north', 'net_v2'), ('net_small_south', 'south', 'net_small'), ('single', 'single', ''), ('a_b_lab', 'lab', 'a_b')) v(model, lab, prefix)",
     "knn_graph": "SELECT src, dst, CAST(rk AS INT) AS rk FROM near",
-    "seed_labels": "SELECT node, label FROM seeds",
-    "label_prop_step": f"SELECT node, label, {_r('p')} FROM h1",
-    "label_prop_3": f"SELECT node, label, {_r('p')} FROM h3",
-    "label_topk": """SELECT node, label, round(p, 6) AS p, CAST(rk AS INT) AS rk FROM (SELECT node, label, p, row_number() OVER (PARTITION BY node ORDER BY p DESC, label) AS rk
-        FROM (SELECT node, label, round(p, 9) AS p FROM h3) a) q WHERE rk <= 2""",
-    "label_softmax": """SELECT node, label, round(e / sum(e) OVER (PARTITION BY node), 6) AS p FROM
-        (SELECT node, label, exp((p - max(p) OVER (PARTITION BY node)) / 0.02::DOUBLE) AS e FROM h3) q""",
-    "label_rownorm": "SELECT node, label, round(p / sum(p) OVER (PARTITION BY node), 6) AS p FROM h3",
+    "seed_labels": "SELECT run, node, label FROM seeds",
+    "label_prop_step": f"SELECT run, node, label, {_r('p')} FROM h1",
+    "label_prop_3": f"SELECT run, node, label, {_r('p')} FROM h3",
+    "label_topk": """SELECT run, node, label, round(p, 6) AS p, CAST(rk AS INT) AS rk FROM (SELECT run, node, label, p, row_number() OVER (PARTITION BY run, node ORDER BY p DESC, label) AS rk
+        FROM (SELECT run, node, label, round(p, 9) AS p FROM h3) a) q WHERE rk <= 2""",
+    "label_softmax": """SELECT run, node, label, round(e / sum(e) OVER (PARTITION BY run, node), 6) AS p FROM
+        (SELECT run, node, label, exp((p - max(p) OVER (PARTITION BY run, node)) / 0.02::DOUBLE) AS e FROM h3) q""",
+    "label_rownorm": "SELECT run, node, label, round(p / sum(p) OVER (PARTITION BY run, node), 6) AS p FROM h3",
     "tree_closure": "SELECT anc, node FROM closure",
     "tree_ancestors": "SELECT node, count(*) AS n_anc FROM closure WHERE node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL) GROUP BY node",
     "vote_counts": "SELECT t, linear_ind, label, count(*) AS n FROM votes GROUP BY ALL",
@@ -198,11 +271,11 @@ BODIES = {
     "consensus_votes": f"SELECT linear_ind, CAST(1 + (label - 1 - run + 10) % 10 AS INT) AS label, {_r('sum(prob)', 'votes')} FROM top1 GROUP BY ALL",
     "label_coverage_diag": """SELECT min(n) AS min_n, max(n) AS max_n, round(avg(n), 6) AS mean_n FROM
         (SELECT d.linear_ind, count(DISTINCT run) AS n FROM det d LEFT JOIN labelings l USING (linear_ind) GROUP BY d.linear_ind) q""",
-    "unmatched_labels": "SELECT DISTINCT label FROM labelings WHERE run = 1 AND label NOT IN (SELECT new FROM confusion WHERE n > 20)",
+    "unmatched_labels": "SELECT DISTINCT label FROM labelings WHERE run = 1 AND label NOT IN (SELECT new FROM confusion WHERE ref <= 5 AND n > 3)",
     "gram_matrix": f"""SELECT a.run AS run1, a.label AS label1, b.run AS run2, b.label AS label2, {_r('sum(a.val * b.val)', 'g')}
         FROM unit a JOIN unit b USING (linear_ind) GROUP BY ALL""",
     "cross_corr_features": f"SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, {_r('c')} FROM feat",
-    "cross_corr_objects": f"SELECT i, j, {_r('c')} FROM objs",
+    "cross_corr_objects": f"SELECT t, i, j, {_r('c')} FROM objs",
     "barlow_loss": """SELECT round(f, 6) AS loss_feat, round(o, 6) AS loss_obj, round((1 - 0.67::DOUBLE) * f + 0.67::DOUBLE * o, 6) AS loss FROM
         (SELECT sum(CASE WHEN i = j THEN (c - 1) * (c - 1) ELSE 0.0051::DOUBLE * c * c END) / count(*) AS f FROM feat) a,
         (SELECT sum(CASE WHEN i = j THEN (c - 1) * (c - 1) ELSE 0.0051::DOUBLE * c * c END) / count(*) AS o FROM objs) b""",
@@ -229,5 +302,5 @@ def statements() -> dict[str, str]:
     out = {}
     for name, body in BODIES.items():
         views = list(dict.fromkeys(_needed(body, [])))
-        out[name] = ("WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in views) + " " if views else "") + body
+        out[name] = ("WITH " + ", ".join(f"{v} AS {'MATERIALIZED ' * (v in WRITTEN)}({VIEWS[v]})" for v in views) + " " if views else "") + body
     return out
