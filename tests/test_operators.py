@@ -352,6 +352,23 @@ def test_agglomerate_is_disjoint_and_one_per_frame(spark):
     assert rated.where("goodness > 1 or purity > 1").count() == 0 and rated.count() > 0
 
 
+def test_agglomeration_starts_from_a_fit(spark):
+    points = blobs(spark)
+    tree = cut(cluster.condensed_tree(points, 4, 2))
+    fit = cluster.hdbscan_labels(points, 4, 2).select("linear_ind", "label")
+    scored = points.withColumn("score", F.col("likelihood")).join(fit, "linear_ind")
+    found = cluster.agglomerate(tree, scored).join(scored.select("linear_ind", "t", "label", "raw_neuron_ind"), "linear_ind")
+    kept = found.where("kept")
+    assert kept.groupBy("linear_ind").count().where("count > 1").count() == 0
+    assert one_to_one(set(rows(kept, "cluster", "raw_neuron_ind"))) and kept.count() >= 40
+    # with nothing better above, a fitted cluster is taken as it is, whole
+    whole = found.where("label > 0").groupBy("cluster").agg(F.collect_set("linear_ind").alias("m")).collect()
+    members = {r["label"]: set(r["m"]) for r in scored.where("label > 0").groupBy("label").agg(F.collect_set("linear_ind").alias("m")).collect()}
+    assert any(set(r["m"]) == m for r in whole for m in members.values())
+    impure = scored.withColumn("label", F.lit(1))  # one cluster of everything is no start
+    assert rows(cluster.agglomerate(tree, impure)) == rows(cluster.agglomerate(tree, scored.drop("label")))
+
+
 def test_svd_keeps_products(spark):
     x = fixtures.vectors(spark, SF).where("linear_ind < 60").withColumn("x", F.slice("x", 1, 5))
     a = np.array([r["x"] for r in x.orderBy("linear_ind").collect()])

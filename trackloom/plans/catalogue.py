@@ -867,6 +867,14 @@ def stream_labels(spark, d):
     return tracks.best_so_far(spark.read.parquet(f"{root}/out/*")).select(F.col("name").cast("int").alias("name"), "t", "raw_neuron_ind")
 
 
+@query
+def agglomerate_prior(spark, d):
+    points = fx.vectors(spark, d)
+    tree = cut(cluster.condensed_tree(points, 4, 2))
+    fit = cluster.hdbscan_labels(points, 4, 2).select("linear_ind", "label")
+    return cluster.agglomerate(tree, fx.det(spark, d).withColumn("score", F.col("likelihood")).join(fit, "linear_ind"), min_goodness=0.3)
+
+
 def _tracker(spark, d):
     det = fx.det(spark, d)
     points = cut(fx.vectors(spark, d).join(det.select("linear_ind", "raw_neuron_ind", "likelihood"), "linear_ind"))
