@@ -26,8 +26,10 @@ def align(truth: DataFrame, predicted: DataFrame, mapping: DataFrame) -> DataFra
 
 def finished_only(truth: DataFrame, finished: DataFrame) -> DataFrame:
     """truth of the finished names, or all of it where none is finished."""
-    some = finished.limit(1).count() > 0
-    return truth.join(finished.select("name"), "name", "left_semi") if some else truth
+    names = finished.select(F.col("name").alias("_of")).distinct()
+    some = names.agg((F.count(F.lit(1)) > 0).alias("_some"))
+    rows = truth.join(names, F.col("name") == F.col("_of"), "left").crossJoin(F.broadcast(some))  # one row by construction
+    return rows.where(~F.col("_some") | F.col("_of").isNotNull()).select(*truth.columns)
 
 
 def contingency(truth: DataFrame, predicted: DataFrame) -> DataFrame:

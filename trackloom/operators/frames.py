@@ -84,14 +84,16 @@ def other_frames(detections: DataFrame, sample: DataFrame) -> DataFrame:
 def linear_index(detections: DataFrame) -> DataFrame:
     """linear_ind and new_ind, its place by (gt_label, t, linear_ind).
 
-    Frames are counted first; a running sum over the counts (one row per label and frame) gives
-    offsets, so detections are numbered within their frame and not in one task.
+    Frames are counted first. Running sums over the frames of each label, and over the labels, give
+    offsets, so no sort is of more than one label's frames or of one row per label.
     """
     counts = detections.groupBy("gt_label", "t").agg(F.count(F.lit(1)).alias("n"))
-    before = W.orderBy("gt_label", "t").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("gt_label", "t", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    labels = counts.groupBy("gt_label").agg(F.sum("n").alias("n")).select("gt_label", before(W.orderBy("gt_label")).alias("first"))
+    offsets = counts.select("gt_label", "t", before(W.partitionBy("gt_label").orderBy("t")).alias("offset"))
     inside = F.row_number().over(W.partitionBy("gt_label", "t").orderBy("linear_ind")) - 1
-    return detections.join(offsets, ["gt_label", "t"]).select("linear_ind", (F.col("offset") + inside).cast("bigint").alias("new_ind"))
+    rows = detections.join(offsets, ["gt_label", "t"]).join(labels, "gt_label")
+    return rows.select("linear_ind", (F.col("first") + F.col("offset") + inside).cast("bigint").alias("new_ind"))
 
 
 def hashed_order(df: DataFrame, key: str, seed: int = 0) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackloom.operators.checkpoints import cut
+from trackloom.operators.checkpoints import cut, within
 
+#: Edges that seed_shares sends through the driver, at most.
+MOST_EDGES = 20_000_000
 #: Points of a block of the exact neighbour search.
 BLOCK = 4096
 
@@ -120,12 +122,12 @@ def seed_shares(edges: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
     """run, node, label, p: each node's likeliest label after so many steps, and its part of the node's sum.
 
     The same spread as propagate's, for many steps and runs: labels do not meet, so a run is one task's
-    work, label by label, and holds a few numbers per node and one per edge. The edges go through the
-    driver to each worker. Nothing is dropped; a node no label reaches has no row; equals go to the first label.
+    work, label by label, and holds a few numbers per node and one per edge. The edges, counted first
+    (MOST_EDGES), go through the driver to each worker. Nothing is dropped; a node no label reaches has no row; equals go to the first label.
     """
     import numpy as np
 
-    table = with_self_loops(edges).toArrow()
+    table = within(with_self_loops(edges), MOST_EDGES, "edges").toArrow()
     src, dst, w = (table[c].to_numpy() for c in ("src", "dst", "w"))
     nodes = np.unique(np.concatenate([src, dst]))
     order = np.argsort(src, kind="stable")
