@@ -11,7 +11,7 @@ from trackloom.functions.rounding import long_count
 from trackloom.operators.checkpoints import cut, within
 
 #: Runs times labels up to which the spectral step makes its matrix of products, which is dense.
-DENSE_COLUMNS = 2_500
+DENSE_COLUMNS = 1_000
 #: Numbers that the spectral step holds on the driver, and cells of labels by labels that one task matches.
 DRIVER_CELLS, MATCH_CELLS = 50_000_000, 4_000_000
 #: Share of runs under which a label is dropped, and the cost of none.
@@ -190,7 +190,7 @@ def _leading_dense(weighted: DataFrame, place: dict[int, int], labels: int):
     return values[::-1][:labels], vectors[:, ::-1][:, :labels]
 
 
-def _leading_free(weighted: DataFrame, place: dict[int, int], labels: int, rounds: int = 30, spare: int = 8, enough: float = 1e-10):
+def _leading_free(weighted: DataFrame, place: dict[int, int], labels: int, rounds: int = 30, spare: int = 8, enough: float = 1e-8):
     """The same without that matrix: a few more directions than needed go through all objects' rows,
     round by round, each round one job that brings back columns by directions.
 
