@@ -62,7 +62,8 @@ def components(edges: DataFrame) -> DataFrame:
     kind = edges.schema[0].dataType.simpleString()
     now = cut(edges.toDF("u", "v").where("u <> v").distinct())
     tasks = -(-now.count() // TASK_EDGES)
-    now = cut(now.repartition(max(1, tasks)).mapInArrow(_forest, f"u {kind}, v {kind}"))
+    # dealt anew, as a forest's edges all come from one task
+    now = cut(now.repartition(max(1, tasks)).mapInArrow(_forest, f"u {kind}, v {kind}").repartition("u"))
     state = None
     while tasks > 1:
         now = cut(_stars(_stars(now, small=False), small=True))
