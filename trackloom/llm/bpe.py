@@ -28,9 +28,9 @@ FAN = 256
 SHARED = 2_000
 #: Bytes from which a queue's lists are arrays: slower, but a fifteenth of the memory.
 COMPACT = 1 << 20
-#: Bytes of the pre-tokens whose ids a worker remembers, about; then it forgets all. Those of more
-#: than LONGEST characters are never remembered.
-REMEMBERED, LONGEST = 32 << 20, 64
+#: Bytes of the pre-tokens whose ids a worker remembers, about. Those of more than LONGEST characters
+#: are never remembered.
+REMEMBERED, LONGEST = 96 << 20, 64
 #: Characters of the texts that are split together, and pre-tokens that are dealt with at once.
 TOGETHER, PIECES = 500_000, 100_000
 
@@ -136,23 +136,33 @@ class Encoder:
         return [tuple(flat[lo:hi]) for lo, hi in zip(stops, stops[1:])]
 
     def _learn(self, pieces: set[str]) -> tuple[dict, list[str]]:
-        """Ids by pre-token, those of pieces among them, and the pieces to forget once they were used."""
-        known = remembered(self.name)
-        if self.held > REMEMBERED or not known:
-            known.clear()
+        """Ids by pre-token, those of pieces among them, and the pieces to forget once they were used.
+
+        What is remembered is in two halves: when the younger is full it becomes the older, whose
+        pre-tokens are forgotten unless they are met again meanwhile.
+        """
+        memory = remembered(self.name)
+        if not memory:
+            memory.update(young={}, old={})
             self.held = 0
-        new = [w for w in pieces if w not in known]
-        raw = [w.encode() for w in new]
+        if self.held > REMEMBERED // 2:
+            memory.update(young={}, old=memory["young"])
+            self.held = 0
+        young, old = memory["young"], memory["old"]
+        new = [w for w in pieces if w not in young]
+        young.update((w, old[w]) for w in new if w in old)
+        unknown = [w for w in new if w not in old]
+        raw = [w.encode() for w in unknown]
         # a piece that is a token as a whole is that token, whatever its merges
         whole = [self.ranks.get(b) for b in raw]
-        known.update((w, (r,)) for w, r in zip(new, whole, strict=True) if r is not None)
-        rest = [(w, b) for w, b, r in zip(new, raw, whole, strict=True) if r is None]
+        young.update((w, (r,)) for w, r in zip(unknown, whole, strict=True) if r is not None)
+        rest = [(w, b) for w, b, r in zip(unknown, raw, whole, strict=True) if r is None]
         for i in range(0, len(rest), SHARED):
             part = rest[i : i + SHARED]
-            known.update(zip((w for w, _ in part), self.merge([b for _, b in part]), strict=True))
-        once = [w for w in new if len(w) > LONGEST]
-        self.held += sum(200 + 2 * len(w) + 8 * len(known[w]) for w in new if len(w) <= LONGEST)
-        return known, once
+            young.update(zip((w for w, _ in part), self.merge([b for _, b in part]), strict=True))
+        once = [w for w in unknown if len(w) > LONGEST]
+        self.held += sum(200 + 2 * len(w) + 8 * len(young[w]) for w in new if len(w) <= LONGEST)
+        return young, once
 
     def _parts(self, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         """(text, its pre-tokens) in order; those of a long text in parts."""
