@@ -1,7 +1,7 @@
 """Packing of documents into sequences of a fixed number of tokens by a grouping genetic algorithm.
 
 A document is its token ids and an end id. Longer ones than a sequence are cut; the pieces are packed
-whole. Pieces are dealt by a hash of their row into shards of bounded size. Each shard is evolved on
+whole. Pieces are dealt in turn, by length within a partition, into shards of bounded size. Each shard is evolved on
 several islands, which are tasks of their own: a population of packings, whose crossover injects whole
 well-filled bins of one parent into the other, removes the bins that hold what came twice, and
 best-fits the displaced pieces, largest first. Between epochs an island's elite migrates to the next
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import cut, remembered, small_batches
 
 #: Expected pieces of a shard, unless they are so short that they fill fewer than SHARD_BINS sequences.
-SHARD_PIECES, SHARD_BINS = 2048, 64
+SHARD_PIECES, SHARD_BINS = 8192, 64
 #: Islands of a shard, and epochs between which elites migrate.
 ISLANDS, EPOCHS = 2, 2
 #: Packings of an island, and generations of an epoch.
@@ -78,7 +79,8 @@ class WordIds:
                 continue
             stem = w.rstrip(_PUNCTUATION)
             letters = stem.decode()
-            if not letters.isalpha():
+            # as letters that stay letters: composition and lower case can set marks free
+            if not (letters if letters.isascii() else unicodedata.normalize("NFC", letters).lower()).isalpha():
                 other.append(w)
             elif stem == w:
                 plain[w] = letters
@@ -164,7 +166,8 @@ def encoded_pieces(docs: DataFrame, tokenizer: bytes, end_id: int, capacity: int
 
 
 def lower_bound(lengths, capacity: int) -> int:
-    """Bins that any packing needs: by the sum, and by the pieces that can't share a bin with one another."""
+    """Bins that any packing needs: by the sum, by the pieces that can't share a bin with one another, and
+    by how many pieces over a k-th of a bin fit into one (the dual feasible functions of Fekete and Schepers)."""
     import numpy as np
 
     size = np.sort(np.asarray(lengths, dtype=np.int64))
@@ -176,7 +179,10 @@ def lower_bound(lengths, capacity: int) -> int:
         small = np.searchsorted(size, least)
         free = (alone - half) * capacity - (total[alone] - total[half]) if alone > half else 0
         best = max(best, len(size) - half + max(0, -(-int(total[half] - total[small] - free) // capacity)))
-    return max(best, len(size) - int(half))
+    for k in range(1, 10):
+        weight = np.where((k + 1) * size % capacity, (k + 1) * size // capacity * capacity, k * size)
+        best = max(best, -(-int(weight.sum()) // (k * capacity)))
+    return int(max(best, len(size) - int(half)))
 
 
 def best_fit(order, lengths, capacity: int, bins: list[list[int]]) -> list[list[int]]:
@@ -352,8 +358,12 @@ def pack(pieces: DataFrame, capacity: int, islands: int = ISLANDS, epochs: int =
     while n:
         # both bounds: no shard of very many pieces but where they are so short that few bins hold them
         number = max(1, min(-(-n // shard_pieces), -(-tokens // (SHARD_BINS * capacity))))
-        shard = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(number)).cast("bigint")
-        dealt = pool.groupBy(shard.alias("shard")).agg(F.sort_array(F.collect_list(F.struct("length", "key"))).alias("p"))
+        # each partition deals its pieces by length in turn, so that shards are alike in their lengths
+        place = F.monotonically_increasing_id()
+        ordered = pool.sortWithinPartitions("length", "key").select("key", "length", place.alias("place"))
+        at = F.col("place").bitwiseAND((1 << 33) - 1) + F.pmod(F.xxhash64(F.shiftright("place", 33), F.lit(turn)), F.lit(number))
+        shard = F.pmod(at, F.lit(number)).cast("bigint")
+        dealt = ordered.groupBy(shard.alias("shard")).agg(F.sort_array(F.collect_list(F.struct("length", "key"))).alias("p"))
         shards = dealt.select("shard", F.col("p.key").alias("keys"), F.col("p.length").alias("lengths"))
         placed = cut(_placed(_packed_shards(shards, capacity, islands, epochs), DISSOLVED if number > 1 else 0, LOOSE, capacity))
         stay = placed.where("not loose")
