@@ -27,7 +27,7 @@ from trackloom.llm.common import cut
 #: Points of the top level. A summary has 3 K + H + K / 2 points at most: under 1000 up to 2^50 rows.
 K = 270
 #: A block is a range of 2^BITS values; a task's windows hold a block's distinct values.
-BITS = 14
+BITS = 13
 #: Pieces that a task merges into one, per summary.
 FAN = 64
 WHOLE = -1
@@ -184,7 +184,7 @@ def pieces(counts: DataFrame, seed: int = 0, k: int = K) -> DataFrame:
                 levels.append(some[1])
             yield _batch(rows, xs, levels)
 
-    dealt = counts.select(*_KEY, "block", "x", "c").repartition("stream", "grp", "block").sortWithinPartitions(*_KEY, "block", "x")
+    dealt = counts.select(*_KEY, "block", "x", "c").repartition(*_KEY, "block").sortWithinPartitions(*_KEY, "block", "x")
     return dealt.mapInArrow(run, _SUMMARY)
 
 
@@ -295,11 +295,11 @@ def checked(counts: DataFrame, answers: DataFrame, parts: int, least: int, error
     rows = both.withColumns(empty | {"block": F.shiftright("x", BITS)})
     marks = begun.select(*_KEY, F.col("up").alias("block"), (F.col("up") * (1 << BITS) - 1).alias("x"), F.col("before").alias("c"), "n").withColumns({c: v for c, v in empty.items() if c != "n"})
     asked = answers.select(*_KEY, F.col("answer").alias("x"), F.lit(0).cast("bigint").alias("c"), F.lit(None).cast("bigint").alias("n"), "i", "target", "points").withColumn("block", F.shiftright("x", BITS))
-    w = W.partitionBy(*_KEY, "block").orderBy("x")
-    seen = rows.unionByName(marks).unionByName(asked).withColumns({
-        "n_upto": F.sum("c").over(w.rangeBetween(W.unboundedPreceding, 0)), "n_below": F.sum("c").over(w.rangeBetween(W.unboundedPreceding, -1)),
-        "all": F.sum("n").over(w.rangeBetween(W.unboundedPreceding, 0)),
-    }).where("n is null and all is not null")
+    # a value's own row comes before the answers that are equal to it, so that one running frame gives both ranks
+    w = W.partitionBy(*_KEY, "block").orderBy("x", F.asc_nulls_first("i")).rowsBetween(W.unboundedPreceding, 0)
+    own = F.last(F.when(F.col("i").isNull(), F.col("c")), ignorenulls=True).over(w)
+    upto = F.sum("c").over(w)
+    seen = rows.unionByName(marks).unionByName(asked).withColumns({"n_upto": upto, "n_below": upto - own, "all": F.sum("n").over(w)}).where("n is null and all is not null")
     # ceil(i n / parts) <= r for the first floor(r parts / n) of i
     ended = lambda c: F.call_function("div", F.col(c) * parts, F.col("all"))
     first, last = ended("n_below") + 1, F.least(ended("n_upto"), F.lit(parts - 1))
