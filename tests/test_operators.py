@@ -125,9 +125,6 @@ def test_sizes_are_checked_before_anything_is_collected(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "MATCH_CELLS", 3)
     with pytest.raises(ValueError):
         evaluate.match_tracks(fixtures.gt(spark, SF), fixtures.pred(spark, SF))
-    monkeypatch.setattr(hdbscan, "MOST_POINTS", 5)
-    with pytest.raises(ValueError):
-        cluster.hdbscan_labels(blobs(spark), 2, 1)
 
 
 def test_align_all_recovers_planted_names(spark):

@@ -4,36 +4,36 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Points above which a fit is refused: it keeps a few arrays of this length and takes its square in time.
-MOST_POINTS = 100_000
+from trackloom.functions.distances import nearest_in_block
+
+#: Points that one fit takes in memory: it keeps a few arrays of this length and takes its square in time.
+MOST_POINTS = 50_000
 
 
 def core_distances(x, k: int):
     """Distance to the k-th nearest point, the point itself being the first."""
     x = np.asarray(x, dtype=float)
-    k = min(k, len(x))
-    out = np.empty(len(x))
-    square = (x**2).sum(axis=1)
-    for lo in range(0, len(x), 512):
-        d = np.maximum(square[lo : lo + 512, None] + square - 2 * x[lo : lo + 512] @ x.T, 0)
-        out[lo : lo + 512] = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1])
-    return out
+    return nearest_in_block(x, x, np.arange(len(x)), k)[0][:, -1] if len(x) else np.empty(0)
 
 
 def spanning_tree(x, core) -> list[tuple[float, int, int]]:
-    """Edges (weight, a, b) of a minimum spanning tree under mutual reachability, by weight and ends."""
+    """Edges (weight, a, b) of a minimum spanning tree under mutual reachability, by weight and ends; of
+    trees of equal weight that of least edges in this order."""
     x = np.asarray(x, dtype=float)
     n = len(x)
-    near, by = np.full(n, np.inf), np.zeros(n, dtype=int)
+    every = np.arange(n)
+    near, low, high = np.full(n, np.inf), np.full(n, n), np.full(n, n)
     done = np.zeros(n, dtype=bool)
     edges, now = [], 0
     for _ in range(n - 1):
         done[now] = True
         d = np.maximum(np.maximum(np.sqrt(((x - x[now]) ** 2).sum(axis=1)), core), core[now])
-        closer = ~done & (d < near)
-        near[closer], by[closer] = d[closer], now
-        now = int(np.argmin(np.where(done, np.inf, near)))
-        edges.append((float(near[now]), min(now, int(by[now])), max(now, int(by[now]))))
+        lo, hi = np.minimum(every, now), np.maximum(every, now)
+        closer = ~done & ((d < near) | ((d == near) & ((lo < low) | ((lo == low) & (hi < high)))))
+        near[closer], low[closer], high[closer] = d[closer], lo[closer], hi[closer]
+        ties = np.flatnonzero(~done & (near == near[~done].min()))
+        now = int(ties[np.lexsort((high[ties], low[ties]))[0]])
+        edges.append((float(near[now]), int(low[now]), int(high[now])))
     return sorted(edges)
 
 

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import hdbscan
 from trackloom.functions.rounding import long_count
-from trackloom.operators import graph
-from trackloom.operators.checkpoints import within
+from trackloom.operators import density, graph
+from trackloom.operators.checkpoints import cut, within
 
 
-def core_distance(neighbours: DataFrame, k: int) -> DataFrame:
-    """linear_ind, core: the distance to the k-th neighbour, itself being the first."""
+def core_distance(neighbours: DataFrame, k: int | None) -> DataFrame:
+    """linear_ind, core: the distance to the k-th neighbour, itself being the first; without k to the farthest of those there."""
+    if k is None:
+        return neighbours.groupBy(F.col("src").alias("linear_ind")).agg(F.max("dist").alias("core"))
     return neighbours.where(F.col("rk") == k).select(F.col("src").alias("linear_ind"), F.col("dist").alias("core"))
 
 
@@ -23,9 +25,12 @@ def mutual_reachability(neighbours: DataFrame, core: DataFrame) -> DataFrame:
     return edges.select("src", "dst", F.greatest("core_src", "core_dst", "dist").alias("mr"))
 
 
-def _fits(points: DataFrame, min_cluster_size: int, min_samples: int, by: str | None, predicting: bool) -> DataFrame:
-    key = by or "_all"
-    rows = points if by else points.withColumn("_all", F.lit(0))
+#: Points of a fit without groups that one task makes; more are fitted in blocks and levels, see density.
+LOCAL_POINTS = 4096
+
+
+def _in_memory(rows: DataFrame, key: str, min_cluster_size: int, min_samples: int) -> DataFrame:
+    """One task's fit for each group of key."""
 
     def solve(pdf):
         import numpy as np
@@ -33,33 +38,55 @@ def _fits(points: DataFrame, min_cluster_size: int, min_samples: int, by: str |
         pdf = pdf.sort_values("linear_ind")
         x = np.stack(pdf.x.to_list())
         labels, strength, tree = hdbscan.fit(x, min_cluster_size, min_samples)
+        birth, top = hdbscan.densities(tree, len(x))
+        at = np.append(np.arange(len(birth)), -1)[labels] if len(birth) else np.full(len(x), -1)
         out = pdf[[key, "linear_ind"]].assign(label=labels.astype("int32"), prob=strength)
-        if predicting:
-            birth, top = hdbscan.densities(tree, len(x))
-            at = np.append(np.arange(len(birth)), -1)[labels] if len(birth) else np.full(len(x), -1)
-            out = out.assign(core=hdbscan.core_distances(x, max(1, min_samples)), birth=np.append(birth, np.nan)[at], top=np.append(top, np.nan)[at])
-        return out
+        return out.assign(core=hdbscan.core_distances(x, max(1, min_samples)), birth=np.append(birth, np.nan)[at], top=np.append(top, np.nan)[at])
 
     kind = rows.schema[key].dataType.simpleString()
-    more = ", core double, birth double, top double" if predicting else ""
-    # counted first, as a group is one task's work
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if sizes > hdbscan.MOST_POINTS:
-        raise ValueError(f"{sizes} points; one fit takes {hdbscan.MOST_POINTS}")
-    found = rows.select(key, "linear_ind", "x").groupBy(key).applyInPandas(solve, f"{key} {kind}, linear_ind bigint, label int, prob double{more}")
-    return found if by else found.drop("_all")
+    schema = f"{key} {kind}, linear_ind bigint, label int, prob double, core double, birth double, top double"
+    return rows.select(key, "linear_ind", "x").groupBy(key).applyInPandas(solve, schema)
 
 
-def hdbscan_labels(points: DataFrame, min_cluster_size: int, min_samples: int, by: str | None = None) -> DataFrame:
-    """(by,) linear_ind, label, prob: one fit per group of by, or one of all points; -1 is noise.
+def _in_blocks(points: DataFrame, min_cluster_size: int, min_samples: int, block: int = graph.BLOCK, task_nodes: int | None = None) -> DataFrame:
+    """The same of all points, however many: linear_ind, label, prob, core, birth, top."""
+    points = cut(points.select("linear_ind", "x"))
+    edges = cut(density.spanning_edges(points, min_samples, block))
+    leaves = density.leaf_clusters(density.condensed_tree(points, edges, min_cluster_size, task_nodes))
+    core = core_distance(graph.knn(points, max(1, min_samples), block=block), None)
+    held = core.join(leaves, "linear_ind", "left")
+    return held.select("linear_ind", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("prob", F.lit(0.0)).alias("prob"), "core", "birth", "top")
+
+
+def fitted(points: DataFrame, min_cluster_size: int, min_samples: int, by: str | None = None) -> DataFrame:
+    """(by,) linear_ind, label, prob, core, birth, top: one fit per group of by, or one of all points.
 
-    A fit is one task's work; its points are counted first and hdbscan.MOST_POINTS bounds them.
+    core: the core distance of a point; birth and top: the densities at which its cluster begins and at which it is densest
+    (null for noise, label -1). A group is a task's work while it has hdbscan.MOST_POINTS points at
+    most, all points without groups LOCAL_POINTS; larger fits are made in blocks, one after the other.
     """
-    return _fits(points, min_cluster_size, min_samples, by, False)
+    if not by:
+        if points.count() > LOCAL_POINTS:
+            return _in_blocks(points, min_cluster_size, min_samples)
+        return _in_memory(points.withColumn("_all", F.lit(0)), "_all", min_cluster_size, min_samples).drop("_all")
+    large = [r[0] for r in points.groupBy(by).count().where(F.col("count") > hdbscan.MOST_POINTS).select(by).collect()]
+    found = _in_memory(points.where(~F.col(by).isin(large)) if large else points, by, min_cluster_size, min_samples)
+    for key in large:
+        one = _in_blocks(points.where(F.col(by) == key), min_cluster_size, min_samples)
+        found = found.unionByName(one.withColumn(by, F.lit(key).cast(points.schema[by].dataType)))
+    return found
+
+
+def hdbscan_labels(points: DataFrame, min_cluster_size: int, min_samples: int, by: str | None = None) -> DataFrame:
+    """(by,) linear_ind, label, prob of fitted; -1 is noise."""
+    return fitted(points, min_cluster_size, min_samples, by).select(*([by] if by else []), "linear_ind", "label", "prob")
 
 
 def condensed_tree(points: DataFrame, min_cluster_size: int, min_samples: int) -> DataFrame:
     """parent, child, lambda, size, point: the condensed tree; point is the child's linear_ind where it is one."""
+    if points.count() > LOCAL_POINTS:
+        points = cut(points.select("linear_ind", "x"))
+        return density.condensed_tree(points, density.spanning_edges(points, min_samples), min_cluster_size)
 
     def solve(pdf):
         import numpy as np
@@ -73,13 +100,7 @@ def condensed_tree(points: DataFrame, min_cluster_size: int, min_samples: int) -
         return out.astype({"point": "Int64"})
 
     rows = points.select(F.lit(0).alias("_all"), "linear_ind", "x")
-    return rows.groupBy("_all").applyInPandas(solve, "parent int, child int, lambda double, size int, point bigint")
-
-
-def fitted(points: DataFrame, min_cluster_size: int, min_samples: int, by: str | None = None) -> DataFrame:
-    """hdbscan_labels with what predicting needs: core, the core distance of a point, and birth and top,
-    the densities at which its cluster begins and at which it is densest (null for noise)."""
-    return _fits(points, min_cluster_size, min_samples, by, True)
+    return rows.groupBy("_all").applyInPandas(solve, "parent bigint, child bigint, lambda double, size bigint, point bigint")
 
 
 def approximate_predict(points: DataFrame, model: DataFrame, min_samples: int) -> DataFrame:
@@ -155,7 +176,7 @@ def agglomerate(tree: DataFrame, detections: DataFrame, min_kept: int = 2, min_g
     differ from the fit's count as new. The tree of one fit is one task's work; its points are counted first.
     """
     label = F.col("label").cast("int") if "label" in detections.columns else F.lit(None).cast("int")
-    rows = detections.select(F.lit(None).cast("int").alias("parent"), F.lit(None).cast("int").alias("child"), F.col("linear_ind").alias("point"), "t", "score", F.xxhash64(F.lit(seed), "t").alias("order"), label.alias("label"))
+    rows = detections.select(F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("bigint").alias("child"), F.col("linear_ind").alias("point"), "t", "score", F.xxhash64(F.lit(seed), "t").alias("order"), label.alias("label"))
     edges = tree.select("parent", "child", "point", *[F.lit(None).cast(k).alias(n) for n, k in (("t", "int"), ("score", "double"), ("order", "bigint"), ("label", "int"))])
     goodness = lambda kept, total, frames: (1 - alpha) * kept / total + alpha * kept / frames
 
@@ -237,4 +258,4 @@ def agglomerate(tree: DataFrame, detections: DataFrame, min_kept: int = 2, min_g
         return pd.DataFrame(out, columns=["cluster", "node", "linear_ind", "kept"])
 
     both = within(rows.unionByName(edges), 4 * hdbscan.MOST_POINTS, "rows of a tree and its points")
-    return both.groupBy(F.lit(1).alias("all")).applyInPandas(solve, "cluster int, node int, linear_ind bigint, kept boolean")
+    return both.groupBy(F.lit(1).alias("all")).applyInPandas(solve, "cluster int, node bigint, linear_ind bigint, kept boolean")

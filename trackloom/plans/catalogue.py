@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.rounding import r6
-from trackloom.operators import assign, cluster, corr, crops, evaluate, frames, graph, sync, trials
+from trackloom.operators import assign, cluster, corr, crops, density, evaluate, frames, graph, sync, trials
 from trackloom.operators.checkpoints import cut, ensure_checkpoint_dir
 from trackloom.plans import oracle
 from trackloom.plans.tracker import Tracker
@@ -824,6 +824,13 @@ def cluster_centroids(spark, d):
     return cluster.cluster_centroids(rows).select("label", r6("cx").alias("cx"), r6("cy").alias("cy"))
 
 
+@query
+def spanning_weights(spark, d):
+    """How many edges of the minimum spanning tree under mutual reachability have a weight, in blocks of 512 points."""
+    edges = density.spanning_edges(fx.vectors(spark, d), 3, block=512)
+    return edges.groupBy(r6("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def hdbscan_labels(spark, d):
     return cluster.hdbscan_labels(fx.vectors(spark, d), 10, 3)

@@ -9,7 +9,7 @@ def _euclid(a: str = "a", b: str = "b") -> str:
 
 
 #: Views that several others or a query read more than once, and that are dear.
-WRITTEN = {"near", "vec", "fit", "fitcore", "unrot", "place", *(f"s{i}" for i in range(11)), *(f"h{i}" for i in range(4))}
+WRITTEN = {"near", "vec", "fit", "fitcore", "unrot", "place", "mr3", *(f"{x}{i}" for x in "sce" for i in range(11)), *(f"h{i}" for i in range(4))}
 
 VIEWS = {
     "det": """SELECT vec_id AS linear_ind, CAST(floor(vec_id / 10.0) AS INT) AS t, CAST(vec_id % 10 AS INT) AS raw_neuron_ind,
@@ -44,8 +44,7 @@ VIEWS = {
         CAST(max(n_frames) - count(raw_seg_id) AS DOUBLE) / max(n_frames) AS frac_gaps,
         100 * (1 - CAST(max(n_frames) - count(raw_seg_id) AS DOUBLE) / max(n_frames)) AS pct_tracked FROM pred, n_frames GROUP BY name""",
     "vec": "SELECT vec_id AS linear_ind, CAST(floor(vec_id / 10.0) AS INT) AS t, label + 1 AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings",
-    "near": """SELECT src, dst, dist, rk FROM (SELECT a.linear_ind AS src, b.linear_ind AS dst,
-        sqrt(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (b.x[i] - a.x[i]) * (b.x[i] - a.x[i])))) AS dist,
+    "near": """SELECT src, dst, dist, rk FROM (SELECT a.linear_ind AS src, b.linear_ind AS dst, list_distance(a.x, b.x) AS dist,
         row_number() OVER (PARTITION BY a.linear_ind ORDER BY dist, b.linear_ind) AS rk FROM vec a, vec b) q WHERE rk <= 10""",
     "seeds": "SELECT t AS run, linear_ind AS node, CAST(row_number() OVER (PARTITION BY t ORDER BY linear_ind) AS INT) AS label FROM det WHERE t IN (0, 3, 6)",
     "loops": "SELECT src, dst FROM near UNION ALL SELECT DISTINCT src, src FROM near",
@@ -69,6 +68,24 @@ VIEWS = {
     "second_last": """SELECT trial, max(CASE WHEN n >= 2 AND pos = n - 2 THEN loss END) AS val_loss
         FROM (SELECT *, count(*) OVER (PARTITION BY trial) AS n FROM stats) q GROUP BY trial""",
     "core5": "SELECT src AS linear_ind, dist AS core FROM near WHERE rk = 5",
+    "core3": f"""SELECT linear_ind, d AS core FROM (SELECT a.linear_ind, {_euclid()} AS d, row_number() OVER (PARTITION BY a.linear_ind ORDER BY {_euclid()}, b.linear_ind) AS rk
+        FROM vec a, vec b) q WHERE rk = 3""",
+    "mr3": f"""SELECT a.linear_ind AS a, b.linear_ind AS b, greatest({_euclid()}, ca.core, cb.core) AS w FROM vec a JOIN vec b ON a.linear_ind < b.linear_ind
+        JOIN core3 ca ON ca.linear_ind = a.linear_ind JOIN core3 cb ON cb.linear_ind = b.linear_ind""",
+    # rounds of the least edge of each component: enough for 2^10 points
+    "c0": "SELECT linear_ind AS id, linear_ind AS comp FROM vec",
+    **{
+        k: v
+        for i in range(1, 11)
+        for k, v in {
+            f"e{i}": f"""SELECT comp, min(e) AS e, arg_min(other, e) AS other FROM (SELECT ca.comp, cb.comp AS other, {{'w': w, 'a': a, 'b': b}} AS e FROM mr3
+                JOIN c{i - 1} ca ON ca.id = a JOIN c{i - 1} cb ON cb.id = b WHERE ca.comp <> cb.comp UNION ALL SELECT cb.comp, ca.comp, {{'w': w, 'a': a, 'b': b}} FROM mr3
+                JOIN c{i - 1} ca ON ca.id = a JOIN c{i - 1} cb ON cb.id = b WHERE ca.comp <> cb.comp) q GROUP BY comp""",
+            f"c{i}": f"""SELECT id, coalesce(root, comp) AS comp FROM c{i - 1} LEFT JOIN (WITH RECURSIVE reach(comp, goal) AS (SELECT comp, comp FROM e{i}
+                UNION SELECT reach.comp, e{i}.other FROM reach JOIN e{i} ON e{i}.comp = reach.goal) SELECT reach.comp, min(goal) AS root FROM reach
+                WHERE goal IN (SELECT x.comp FROM e{i} x JOIN e{i} y ON y.comp = x.other WHERE y.other = x.comp) GROUP BY reach.comp) r USING (comp)""",
+        }.items()
+    },
     "feat": """SELECT i, j, covar_samp(x[i], x[65 - j]) / (stddev_samp(x[i]) * stddev_samp(x[65 - j])) * (count(*) - 1) / count(*) AS c
         FROM vec, (SELECT unnest(range(1, 65)) AS i) a, (SELECT unnest(range(1, 65)) AS j) b GROUP BY i, j""",
     "objs": """SELECT a.t, a.linear_ind AS i, b.linear_ind AS j, covar_samp(a.x[k], b.x[65 - k])
@@ -280,8 +297,9 @@ BODIES = {
         (SELECT sum(CASE WHEN i = j THEN (c - 1) * (c - 1) ELSE 0.0051::DOUBLE * c * c END) / count(*) AS f FROM feat) a,
         (SELECT sum(CASE WHEN i = j THEN (c - 1) * (c - 1) ELSE 0.0051::DOUBLE * c * c END) / count(*) AS o FROM objs) b""",
     "core_distance": f"SELECT linear_ind, {_r('core')} FROM core5",
-    "mutual_reachability": f"""SELECT src, dst, {_r('greatest(a.core, b.core, dist)', 'mr')} FROM near JOIN core5 a ON a.linear_ind = src
-        JOIN core5 b ON b.linear_ind = dst WHERE rk <= 5 AND src <> dst""",
+    "mutual_reachability": f"""SELECT src, dst, {_r('greatest(q.core, core5.core, dist)', 'mr')} FROM
+        (SELECT src, dst, dist, max(dist) OVER (PARTITION BY src) AS core FROM near WHERE rk <= 5) q JOIN core5 ON core5.linear_ind = dst WHERE src <> dst""",
+    "spanning_weights": f"SELECT round(e.w, 6) + 0.0 AS w, count(*) AS n FROM (SELECT e FROM ({' UNION ALL '.join(f'SELECT e FROM e{i}' for i in range(1, 11))}) u GROUP BY e) q GROUP BY 1",
     "nn_label_assign": """SELECT linear_ind, CAST(label AS INT) AS label FROM (SELECT a.linear_ind, b.label,
         row_number() OVER (PARTITION BY a.linear_ind ORDER BY sqrt(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (b.x[i] - a.x[i]) * (b.x[i] - a.x[i])))), b.linear_ind) rn
         FROM vec a, vec b WHERE a.t NOT IN (SELECT t FROM chosen) AND b.t IN (SELECT t FROM chosen)) q WHERE rn = 1""",
