@@ -156,3 +156,14 @@ def test_odd_rows(odd, none):
     assert len(got) == odd.count() and all(r["spans"] == "" for r in got)
     assert {r["base_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}
     assert secrets.scan(none).count() == 0
+
+
+def test_many_literals_that_end_at_one_place_take_linear_time():
+    """A megabyte each: so many assignments before a run of as many different characters."""
+    import time
+
+    wide = "".join(chr(0x10000 + i) for i in range(140_000))
+    for text in ("key=" * 215_000 + wide, "token=a&" * 107_000 + wide):
+        began = time.time()
+        assert len(secrets.lexed_spans(text)) > 100_000
+        assert time.time() - began < 60

@@ -9,7 +9,7 @@ score enough add spans of kind "lexed".
 
 The lexer takes time and memory in proportion to the text. Bare words, which may hold many more
 assignments, are offsets into the text: those that end at one place are rated together, from the
-last start to the first, so each character is counted once.
+last start to the first, and each character adds to running sums once.
 """
 
 from __future__ import annotations
@@ -69,26 +69,50 @@ def name_score(name: str) -> int:
     return max((SENSITIVE.get(r, 0) for r in runs), default=0)
 
 
-def _score(head: str, last: str, count: Counter) -> int:
-    """0 for what can't be a secret; up to 4 for length, mixed classes and entropy. head: the literal's
-    first 16 characters; last: its last one; count: how often each character is in it."""
-    n = sum(count.values())
-    low = head.lower()
-    if n < 8 or (n <= len(head) and low in PLACEHOLDERS) or low.startswith(PLACEHOLDER_STARTS) or (low[0] == "<" and last == ">"):
-        return 0
-    if any(c.isspace() for c in count) or (len(count) <= 2 and "".join(sorted(set("".join(count).lower()))) in FILLERS):
-        return 0
-    entropy = -sum(k / n * math.log2(k / n) for k in count.values() if k)
-    lower, upper, digit, other = (any(of(c) for c in count) for of in (_LOWER, _UPPER, _DIGIT, lambda c: not (_LOWER(c) or _UPPER(c) or _DIGIT(c))))
-    return (n >= 12) + (n >= 20) + (lower + upper + digit + other >= 2) + (entropy >= 3.0)
+_LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz".__contains__, "ABCDEFGHIJKLMNOPQRSTUVWXYZ".__contains__, "0123456789".__contains__
 
 
-_LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz".__contains__, "ABCDEFGHIJKLMNOPQRSTUVWXYZ".__contains__, "0123456789".__contains__
+class _Characters:
+    """How often characters occur, with the sums that a score needs, so that each character is met once
+    however many literals end at one place."""
+
+    __slots__ = ("count", "n", "k_log_k", "classes", "blank")
+
+    def __init__(self):
+        self.count: dict[str, int] = {}
+        self.n, self.k_log_k, self.classes, self.blank = 0, 0.0, set(), False
+
+    def add(self, part: str) -> None:
+        self.n += len(part)
+        for c, more in Counter(part).items():
+            before = self.count.get(c, 0)
+            now = self.count[c] = before + more
+            self.k_log_k += now * math.log2(now)
+            if before:
+                self.k_log_k -= before * math.log2(before)
+            else:
+                self.classes.add("lower" if _LOWER(c) else "upper" if _UPPER(c) else "digit" if _DIGIT(c) else "other")
+                self.blank |= c.isspace()
+
+    def score(self, head: str, last: str) -> int:
+        """0 for what can't be a secret; up to 4 for length, mixed classes and entropy. head: the
+        literal's first 16 characters; last: its last one."""
+        low = head.lower()
+        if self.n < 8 or (self.n <= len(head) and low in PLACEHOLDERS) or low.startswith(PLACEHOLDER_STARTS) or (low[0] == "<" and last == ">"):
+            return 0
+        if self.blank or (len(self.count) <= 2 and "".join(sorted(set("".join(self.count).lower()))) in FILLERS):
+            return 0
+        entropy = math.log2(self.n) - self.k_log_k / self.n
+        return (self.n >= 12) + (self.n >= 20) + (len(self.classes) >= 2) + (entropy >= 3.0 - 1e-9)
 
 
 def literal_score(literal: str) -> int:
     """0 for what can't be a secret; up to 4 for length, mixed classes and entropy."""
-    return _score(literal[:16], literal[-1:], Counter(literal)) if literal else 0
+    if not literal:
+        return 0
+    seen = _Characters()
+    seen.add(literal)
+    return seen.score(literal[:16], literal[-1:])
 
 
 def _name_before(text: str, end: int) -> str:
@@ -189,7 +213,7 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         if (score := name_score(name)) > names.get((start, end), 0):
             names[start, end], literals[start, end] = score, value
     found = []
-    behind, counted, count = -1, 0, Counter()
+    behind, counted, seen = -1, 0, _Characters()
     for start, end in sorted(names, key=lambda span: (span[1], -span[0])):  # by end; the shortest first
         value = literals[start, end]
         if value is not None:
@@ -198,10 +222,10 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
             continue
         else:
             if end != behind:
-                behind, counted, count = end, end, Counter()
-            count.update(text[start:counted])
+                behind, counted, seen = end, end, _Characters()
+            seen.add(text[start:counted])
             counted = start
-            rated = _score(text[start : min(end, start + 16)], text[end - 1], count)
+            rated = seen.score(text[start : min(end, start + 16)], text[end - 1])
         if rated and names[start, end] + rated >= THRESHOLD:
             found.append((start, end))
     return sorted(found)
@@ -219,7 +243,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_assign, n_access, n_hex, n_lexed, base_sha256 and spans.
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_lexed.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind. Null and empty
     texts have none: base_sha256 is then that of the empty string. Repeated rows are scanned one by
@@ -233,8 +257,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             base = base_spans(text := text or "")
             lexed = [("lexed", a, b) for a, b in lexed_spans(text)]
             count = Counter(s[0] for s in base)
-            for column, value in zip(out, (count["assign"], count["access"], count["hex"], len(lexed), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + lexed)), strict=True):
+            for column, value in zip(out, (count["assign"], count["access"], count["hex"], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + lexed), len(lexed)), strict=True):
                 column.append(value)
         return [ids, *out]
 
-    return map_texts(docs, rate, "n_assign bigint, n_access bigint, n_hex bigint, n_lexed bigint, base_sha256 string, spans string", id_col, text_col)
+    return map_texts(docs, rate, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_lexed bigint", id_col, text_col)
