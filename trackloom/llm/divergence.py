@@ -30,7 +30,7 @@ CELLS, ROWS = 1 << 22, 3
 #: Cells of a chunk, the unit of merging.
 CHUNK = 1 << 16
 #: Terms with a count that a task holds before it hands them on.
-HELD = 300_000
+HELD = 600_000
 SCALE = 1_000_000_000
 
 #: Bytes of terms to themselves, A to Z to lower case, all others to a space.
