@@ -121,7 +121,8 @@ def plan(docs: DataFrame, keys: dict[str, Column] | None = None, block_words: in
             *[c.alias(k) for k, c in keys.items()],
             F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string"))).alias("sk"),
             words_in(F.col("text")).alias("size"),
-            hashed(seed, F.col("doc_id")).alias("_h"),
+            # the text counts too: rows without an id, or of one id, are not one chunk's
+            hashed(seed, F.col("doc_id"), F.md5(text_or_empty(F.col("text")))).alias("_h"),
         )
     )
     bits = max(LEAST_CHUNK_BITS, (sized.count() // CHUNK_ROWS).bit_length())

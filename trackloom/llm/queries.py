@@ -196,7 +196,7 @@ def _factors(i: int) -> str:
 
 _MIX = rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk,
-    CAST(len({_WORDS}) AS BIGINT) AS size, {_hash(f"'{mixing.SEED}', doc_id")} AS h FROM documents),
+    CAST(len({_WORDS}) AS BIGINT) AS size, {_hash(f"'{mixing.SEED}', doc_id, md5(coalesce(text, ''))")} AS h FROM documents),
 s AS (SELECT sk, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY sk),
 r AS (SELECT *, 3 * source_size / weight AS ratio FROM (SELECT *, 1 + (row_number() OVER (ORDER BY sk) - 1) % 3 AS weight FROM s) a),
 l AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
