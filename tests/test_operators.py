@@ -203,9 +203,35 @@ def test_seed_shares_equal_propagation(spark):
     edges = cut(graph.knn(points, 4))
     seeds = cut(graph.seed_labels(points, [0, 7]))
     want = {(r["run"], r["node"]): (r["label"], r["p"]) for r in graph.label_topk(graph.label_rownorm(graph.propagate(edges, seeds, 7, least=0.0).where("p > 0")), 1).collect()}
-    got = {(r["run"], r["node"]): (r["label"], r["p"]) for r in graph.seed_shares(edges, seeds, 7).collect()}
-    assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k][1]) for k in want)
-    assert sum(got[k][0] != want[k][0] for k in want) <= 2  # equals but for rounding
+    # in one block of nodes, and in four with three labels a chunk
+    for parts in ({}, {"node_block": 40, "label_chunk": 3}):
+        got = {(r["run"], r["node"]): (r["label"], r["p"]) for r in graph.seed_shares(edges, seeds, 7, **parts).collect()}
+        assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+        assert sum(got[k][0] != want[k][0] for k in want) <= 2  # equals but for rounding
+
+
+def test_a_seed_without_edges_keeps_its_label(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1)], "src bigint, dst bigint")
+    seeds = spark.createDataFrame([(0, 1, 1), (0, 9, 2)], "run int, node bigint, label int")
+    for parts in ({}, {"node_block": 1}):
+        assert rows(graph.seed_shares(edges, seeds, 2, **parts)) == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 9, 2, 1.0)]
+    assert rows(graph.seed_shares(edges.where("false"), seeds, 2)) == [(0, 1, 1, 1.0), (0, 9, 2, 1.0)]
+
+
+def test_neighbours_of_neighbours(spark):
+    """Nearly the exact neighbours in every block of points; distances are exact, a point is its own first."""
+    points = fixtures.vectors(spark, SF).select("linear_ind", "x")
+    exact, found = (f(points, 8).collect() for f in (graph.knn, graph.knn_descent))
+    of = {(r["src"], r["dst"]): r["dist"] for r in exact}
+    hits = [r for r in found if (r["src"], r["dst"]) in of]
+    assert all(r["dist"] == pytest.approx(of[r["src"], r["dst"]]) for r in hits) and all(r["src"] == r["dst"] for r in found if r["rk"] == 1)
+    for block in range(5):
+        wanted = sum(s % 5 == block for s, _ in of)
+        assert sum(r["src"] % 5 == block for r in hits) >= 0.9 * wanted
+    assert len(found) == len({(r["src"], r["rk"]) for r in found}) == 8 * points.count()
+    few = points.where("linear_ind < 4")
+    assert {(r["src"], r["dst"]) for r in graph.knn_descent(few, 8).collect()} == {(a, b) for a in range(4) for b in range(4)}
+    assert graph.knn_descent(points.where("false"), 3).count() == 0
 
 
 def test_labels_spread_along_a_long_chain(spark):

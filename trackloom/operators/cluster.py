@@ -139,8 +139,8 @@ def noise_count(labelled: DataFrame) -> DataFrame:
 
 
 def cluster_centroids(labelled: DataFrame) -> DataFrame:
-    """label, cx, cy: mean of the first two dimensions of x."""
-    return labelled.groupBy("label").agg(F.avg(F.get("x", 0)).alias("cx"), F.avg(F.get("x", 1)).alias("cy"))
+    """label, i (from 0), mean: each dimension's mean over the cluster's x."""
+    return labelled.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("mean"))
 
 
 def node_goodness(tree: DataFrame, detections: DataFrame, alpha: float = 0.9) -> DataFrame:

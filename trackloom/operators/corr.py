@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.checkpoints import cut
+
 LAMBDA, LAMBDA_OBJECTS = 0.0051, 0.67
 #: Dimensions up to which their products go through the driver.
 MOST_DIMENSIONS = 4_096
@@ -58,14 +60,44 @@ def feature_gram(points: DataFrame) -> DataFrame:
     return _moments(points.select(F.col("x").alias("a"), F.col("x").alias("b"))).groupBy((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j")).agg(g.alias("g"))
 
 
-def cross_corr_objects(views: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+#: Objects of a block of the object correlation: a task holds two blocks and their products.
+OBJECT_BLOCK = 2048
+
+
+def cross_corr_objects(views: DataFrame, by: tuple[str, ...] = (), block: int = OBJECT_BLOCK) -> DataFrame:
     """i, j, c between objects, over their features: rows of linear_ind, a and b of one frame, or of
-    many with their columns by, which the result then has in front."""
-    flat = views.select(*by, "linear_ind", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "v")).select(*by, "linear_ind", "pos", "v.a", "v.b")
-    left, right = flat.select(*by, F.col("linear_ind").alias("i"), "pos", F.col("a").alias("x")), flat.select(*by, F.col("linear_ind").alias("j"), "pos", F.col("b").alias("y"))
-    n = F.count(F.lit(1))
-    c = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")) * (n - 1) / n
-    return left.join(right, [*by, "pos"]).groupBy(*by, "i", "j").agg(c.alias("c"))
+    many with their columns by, which the result then has in front. Null where a view has no spread.
+
+    A frame's objects are dealt into blocks; two blocks are one matrix product.
+    """
+    by = list(by)
+    most = views.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    blocks = F.lit(max(1, -(-most // block)))
+    own, other = F.pmod(F.xxhash64("linear_ind"), blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint")))
+    side = lambda x, at, to, n: views.select(*by, "linear_ind", F.col(x).cast("array<double>").alias("x"), own.alias(at), F.lit(n).alias("side"), other.alias(to))
+    cells = side("a", "_i", "_j", 0).unionByName(side("b", "_j", "_i", 1))
+
+    def product(pdf):
+        import numpy as np
+        import pandas as pd
+
+        def scaled(part):
+            x = np.stack(part.x.to_list())
+            x = x - x.mean(axis=1, keepdims=True)
+            deviation = np.sqrt((x**2).sum(axis=1) / max(1, x.shape[1] - 1))
+            return x / np.where(deviation > 0, deviation, np.nan)[:, None]
+
+        one, two = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        if not len(one) or not len(two):
+            return pd.DataFrame({c: [] for c in (*by, "i", "j", "c")})
+        left, right = scaled(one), scaled(two)
+        c = left @ right.T / left.shape[1]
+        out = {"i": np.repeat(one.linear_ind.to_numpy(), len(two)), "j": np.tile(two.linear_ind.to_numpy(), len(one)), "c": c.ravel()}
+        return pd.DataFrame({k: pdf[k].iloc[0] for k in by} | out)
+
+    kinds = ", ".join(f"{c} {views.schema[c].dataType.simpleString()}" for c in by)
+    found = cells.groupBy(*by, "_i", "_j").applyInPandas(product, f"{kinds}{', ' if by else ''}i bigint, j bigint, c double")
+    return found.withColumn("c", F.nanvl("c", F.lit(None).cast("double")))
 
 
 def matrix_loss(c: DataFrame, off: float = LAMBDA) -> DataFrame:
@@ -82,23 +114,55 @@ def barlow_loss(features: DataFrame, objects: DataFrame, weight: float = LAMBDA_
     return pair.select("loss_feat", "loss_obj", (feat + obj).alias("loss"))
 
 
+#: Triangles that a task reduces to one.
+FAN = 16
+
+
+def _triangles(batches):
+    """The R factor of all rows of a task, batch after batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = None
+    for batch in batches:
+        x = np.array(batch.column(0).to_pylist(), dtype=float)
+        if len(x):
+            r = np.linalg.qr(x if r is None else np.concatenate([r, x]), mode="r")
+    if r is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary())], names=["r"])
+
+
 def svd_embed(points: DataFrame, components: int) -> DataFrame:
     """linear_ind and embedding, the rows of U times S of the truncated SVD of x, uncentred.
 
-    The directions are the leading eigenvectors of the columns' products, a matrix of dimensions by
-    dimensions that goes through the driver; each has its greatest entry positive. Points are then
-    projected batch by batch.
+    By QR of a tall matrix: each task reduces its rows to a triangle of dimensions by dimensions, FAN
+    triangles at a time become one, and the last one's SVD has the directions, whose
+    condition is not squared on the way. Only that triangle goes through the driver (MOST_DIMENSIONS).
+    Each direction has its greatest entry positive. Points are then projected batch by batch.
     """
     import numpy as np
 
     size = points.agg(F.max(F.size("x"))).first()[0] or 0
     if size > MOST_DIMENSIONS:
         raise ValueError(f"{size} dimensions; the decomposition takes {MOST_DIMENSIONS}")
-    cells = feature_gram(points).toArrow()
-    gram = np.zeros((size, size))
-    gram[cells["i"].to_numpy() - 1, cells["j"].to_numpy() - 1] = cells["g"].to_numpy()
-    v = np.linalg.eigh(gram)[1][:, ::-1][:, :components] if size else np.zeros((0, 0))
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]) if size else v
+
+    def joined(batches):
+        r = None
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                more = np.frombuffer(raw).reshape(-1, size)
+                r = np.linalg.qr(more if r is None else np.concatenate([r, more]), mode="r")
+        if r is not None:
+            import pyarrow as pa
+
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary())], names=["r"])
+
+    parts = cut(points.select(F.col("x").cast("array<double>").alias("x")).mapInArrow(_triangles, "r binary"))
+    while (n := parts.count()) > 1:
+        parts = cut(parts.repartition(-(-n // FAN)).mapInArrow(joined, "r binary"))
+    last = parts.first()
+    v = np.linalg.svd(np.frombuffer(last["r"]).reshape(-1, size))[2].T[:, :components] if last else np.zeros((0, 0))
+    v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1, 1) if size else v
 
     def project(batches):
         import pyarrow as pa

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.operators.checkpoints import cut
+
 AXES = ("z", "x", "y")
 
 
@@ -92,15 +94,49 @@ def raw_index(points: DataFrame, first: DataFrame, second: DataFrame) -> DataFra
     return points.select("linear_ind").join(a, "linear_ind", "left").join(b, "linear_ind", "left").select("linear_ind", F.coalesce("_a", "_b").alias("raw_neuron_ind"))
 
 
+#: Bins of a round of selection, and values in a bin that are ranked by themselves.
+BINS, FEW = 1024, 4096
+#: Stacks whose bounds are broadcast, at most; more are shuffled.
+BROADCAST_STACKS = 100_000
+
+
+def ranked_values(values: DataFrame, ranks: DataFrame) -> DataFrame:
+    """_by, r, v: the r-th smallest value (from 0) of each stack. values: _by, v; ranks: _by, r.
+
+    Exact, by rounds: a histogram of the range that holds a rank, then of the bin that holds it, until
+    the bin holds one value or a FEW, which are ranked. No task holds a stack.
+    """
+    few = ranks.count() <= BROADCAST_STACKS
+    meet = lambda state: values.join(F.broadcast(state) if few else state, "_by").where(F.col("v").between(F.col("lo"), F.col("hi")))
+    whole = values.groupBy("_by").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
+    state = cut(ranks.join(whole, "_by").withColumn("before", F.lit(0).cast("bigint")))
+    while not state.where((F.col("lo") < F.col("hi")) & (F.col("n") > FEW)).isEmpty():
+        place = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
+        wide = meet(state.where((F.col("lo") < F.col("hi")) & (F.col("n") > FEW)))
+        bins = wide.groupBy("_by", "r", "before", place.alias("bin")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(W.partitionBy("_by", "r").orderBy("bin"))  # at most BINS rows
+        found = bins.withColumn("upto", F.col("before") + upto).where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("n")))
+        found = found.select("_by", "r", "lo", "hi", "n", (F.col("upto") - F.col("n")).alias("before"))
+        state = cut(state.where((F.col("lo") >= F.col("hi")) | (F.col("n") <= FEW)).unionByName(found))
+    some = meet(state.where("lo < hi")).withColumn("at", F.col("before") + F.row_number().over(W.partitionBy("_by", "r").orderBy("v")) - 1)
+    return state.where("lo = hi").select("_by", "r", F.col("lo").alias("v")).unionByName(some.where("at = r").select("_by", "r", "v"))
+
+
 def rescale_intensity(values: DataFrame, lower: float = 0.05, by: str = "linear_ind") -> DataFrame:
     """linear_ind, pos and val of an array column vals: clipped below the lower percentile (linear
     interpolation) of its stack, the rows of one by, then stretched from 0 to 1; all 0 where the range is 0.
 
-    A stack's percentile is an aggregate of its own, joined again, so no window holds a stack.
+    The percentile lies between two ranked values, which are selected exactly in rounds, see
+    ranked_values. Null values count in no stack and stay null.
     """
-    flat = values.select(F.col(by).alias("_by"), "linear_ind", F.posexplode("vals").alias("pos", "v"))
-    bounds = flat.groupBy("_by").agg(F.percentile("v", lower).alias("lo"), F.max("v").alias("hi"))
-    clipped = flat.join(bounds, "_by")
+    flat = cut(values.select(F.col(by).alias("_by"), "linear_ind", F.posexplode("vals").alias("pos", "v")))
+    there = flat.where("v is not null").select("_by", "v")
+    sizes = cut(there.groupBy("_by").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("hi")).withColumn("h", lower * (F.col("n") - 1)))
+    below = F.floor("h").cast("bigint")
+    ranks = sizes.select("_by", F.explode(F.array_distinct(F.array(below, F.ceil("h").cast("bigint")))).alias("r"))
+    ends = ranked_values(there, ranks).groupBy("_by").agg(F.min("v").alias("v0"), F.max("v").alias("v1"))
+    bounds = sizes.join(ends, "_by").select("_by", "hi", (F.col("v0") + (F.col("h") - below) * (F.col("v1") - F.col("v0"))).alias("lo"))
     span = F.col("hi") - F.col("lo")
     val = F.when(span > 0, (F.greatest("v", "lo") - F.col("lo")) / span).otherwise(F.lit(0.0))
-    return clipped.select("linear_ind", F.col("pos").cast("int").alias("pos"), val.alias("val"))
+    val = F.when(F.col("v").isNotNull(), val)
+    return flat.join(bounds, "_by", "left").select("linear_ind", F.col("pos").cast("int").alias("pos"), val.alias("val"))

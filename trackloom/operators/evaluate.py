@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.functions.distances import nearest_in_block
 from trackloom.functions.hungarian import assign
 from trackloom.functions.rounding import long_count
 from trackloom.operators.checkpoints import within
 
-#: Pairs of names with cells in common that one task matches, at most, and objects of a template.
-MATCH_CELLS, TEMPLATE_ROWS = 4_000_000, 20_000
+#: Pairs of names with cells in common that one task matches, at most.
+MATCH_CELLS = 4_000_000
 
 
 def align(truth: DataFrame, predicted: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -263,18 +264,37 @@ def carried_index(truth: DataFrame) -> DataFrame:
     return truth.select("name", "t", "raw_neuron_ind", F.last("raw_neuron_ind", ignorenulls=True).over(w).alias("prev_ind"))
 
 
-def template_match(queries: DataFrame, template: DataFrame) -> DataFrame:
+def template_match(queries: DataFrame, template: DataFrame, block: int = 2048) -> DataFrame:
     """linear_ind, template_ind, conf, agree: the nearest template, its softmax over -distance, and
-    whether the labels agree (noise never does). The template is one frame's objects: it is counted
-    before it is broadcast, and more than TEMPLATE_ROWS are an error."""
-    t = within(
-        template.select(F.col("linear_ind").alias("template_ind"), F.col("x").alias("tx"), F.col("label").alias("tlabel")), TEMPLATE_ROWS, "objects of a template"
-    )
-    each = queries.crossJoin(F.broadcast(t))
-    dist = F.sqrt(F.aggregate(F.zip_with("x", "tx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    rows = each.withColumn("d", dist).groupBy("linear_ind", "label").agg(
-        F.min(F.struct("d", "template_ind", "tlabel")).alias("b"), F.sum(F.exp(-F.col("d"))).alias("z")
-    )
+    whether the labels agree (noise never does).
+
+    Both sides are dealt into blocks; of two blocks only each query's best and its sum go on.
+    """
+    kind = template.schema["label"].dataType.simpleString()
+    n_q, n_t = (max(1, -(-df.count() // block)) for df in (queries, template))
+    place = lambda n: F.pmod(F.xxhash64("linear_ind"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    one = queries.select("linear_ind", "x", F.lit(None).cast(kind).alias("label"), F.lit(0).alias("side"), place(n_q).alias("i"), every(n_t).alias("j"))
+    two = template.select("linear_ind", "x", "label", F.lit(1).alias("side"), place(n_t).alias("j"), every(n_q).alias("i"))
+
+    def nearest(pdf):
+        import numpy as np
+        import pandas as pd
+
+        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("linear_ind")
+        names = ["linear_ind", "d", "template_ind", "tlabel", "z"]
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in names})
+        x, y = np.stack(a.x.to_list()), np.stack(b.x.to_list())
+        d, at = nearest_in_block(x, y, np.arange(len(b)), 1)
+        square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T
+        z = np.exp(-np.sqrt(np.maximum(square, 0))).sum(axis=1)
+        at = at[:, 0]
+        return pd.DataFrame(dict(zip(names, (a.linear_ind.to_numpy(), d[:, 0], b.linear_ind.to_numpy()[at], b.label.to_numpy()[at], z))))
+
+    cells = one.unionByName(two).groupBy("i", "j").applyInPandas(nearest, f"linear_ind bigint, d double, template_ind bigint, tlabel {kind}, z double")
+    best = cells.groupBy("linear_ind").agg(F.min(F.struct("d", "template_ind", "tlabel")).alias("b"), F.sum("z").alias("z"))
+    rows = best.join(queries.select("linear_ind", "label"), "linear_ind")
     agree = (F.col("label") == F.col("b.tlabel")) & (F.col("label") != -1)
     return rows.select("linear_ind", "b.template_ind", (F.exp(-F.col("b.d")) / F.col("z")).alias("conf"), agree.alias("agree"))
 

@@ -7,10 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions.distances import nearest_in_block
-from trackloom.operators.checkpoints import cut, within
+from trackloom.operators.checkpoints import cut
 
-#: Edges that seed_shares sends through the driver, at most.
-MOST_EDGES = 20_000_000
 #: Points of a block of the exact neighbour search.
 BLOCK = 4096
 
@@ -45,6 +43,108 @@ def knn(points: DataFrame, k: int, targets: DataFrame | None = None, block: int
     return cells.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
+#: Points up to which neighbours() searches all pairs; beyond, it searches among neighbours' neighbours.
+EXACT_POINTS = 50_000
+
+
+def neighbours(points: DataFrame, k: int) -> DataFrame:
+    """knn of few points, knn_descent of many."""
+    return knn(points, k) if points.count() <= EXACT_POINTS else knn_descent(points, k)
+
+
+def _runs(batches):
+    """Arrow batches of whole runs of equal first columns; a run that is cut by a batch's end waits for the next."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        first = held.column(0).to_numpy()
+        if len(first) and (cut_at := int((first != first[-1]).nonzero()[0][-1] + 1 if (first != first[-1]).any() else 0)):
+            yield held.slice(0, cut_at)
+            held = held.slice(cut_at)
+    if held is not None and len(held):
+        yield held
+
+
+_PAIR = "src bigint, dst bigint, dist double"
+
+
+def _local_pairs(rows: DataFrame) -> DataFrame:
+    """src, dst, dist of the pairs within each group that are nearer than what src has.
+
+    rows: grp, node, fresh (a pair needs a fresh end), far (node's farthest neighbour so far), x. A
+    group is bounded by its maker; distances are measured coordinate by coordinate.
+    """
+    import pyarrow as pa
+
+    def pairs(batches):
+        import numpy as np
+
+        for batch in _runs(batches):
+            grp, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fresh, far = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            x = np.stack([v.values.to_numpy() for v in batch.column(4)])
+            at = np.flatnonzero(np.append(True, grp[1:] != grp[:-1])).tolist() + [len(grp)]
+            out = [], [], []
+            for lo, hi in zip(at, at[1:]):
+                p, f, w, new = x[lo:hi], node[lo:hi], far[lo:hi], fresh[lo:hi]
+                d = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
+                i, j = np.nonzero((d < w[:, None]) & (new[:, None] | new[None, :]) & (f[:, None] != f[None, :]))
+                for column, values in zip(out, (f[i], f[j], d[i, j])):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["src", "dst", "dist"])
+
+    return rows.repartition("grp").sortWithinPartitions("grp", "node").select("grp", "node", "fresh", "far", "x").mapInArrow(pairs, _PAIR)
+
+
+def knn_descent(points: DataFrame, k: int, held: int | None = None, sample: int | None = None, rounds: int = 12, least: float = 0.001, cells: int = 3, seed: int = 0) -> DataFrame:
+    """src, dst, dist, rk as knn's, nearly: a neighbour's neighbours are likely neighbours (NN-Descent).
+
+    It begins with the nearest within random cells. In each round a point's `sample` newest neighbours,
+    as many of those that have it as a neighbour, and as many of either that are not new, are compared
+    with one another; each keeps the k nearest it has met. It ends when fewer than `least` of all
+    neighbours are new. Work is rounds * n * sample^2, whatever the data; a point that
+    very many have as neighbour gives a sample by hash, cut before it shuffles.
+    """
+    held = held or 3 * k
+    sample = sample or 2 * k
+    points = cut(points.select(F.col("linear_ind").cast("bigint").alias("node"), "x"))
+    n = points.count()
+    size = 2 * held
+    own = points.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("dist"), F.lit(False).alias("fresh"))
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        one = pairs.groupBy("src", "dst", "dist").agg(F.min("fresh").alias("fresh"))  # what was there is not new
+        w = W.partitionBy("src").orderBy("dist", "dst")
+        return cut(one.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= held))
+
+    first = None
+    for c in range(cells):
+        grp = F.pmod(F.xxhash64(F.lit(seed + c), "node"), F.lit(max(1, n // size))).alias("grp")
+        part = points.select(grp, "node", F.lit(True).alias("fresh"), F.lit(float("inf")).alias("far"), "x")
+        some = _local_pairs(part)
+        first = some if first is None else first.unionByName(some)
+    state = nearest(first.withColumn("fresh", F.lit(True)).unionByName(own))
+    for turn in range(rounds):
+        links = state.where("src <> dst").select("src", "dst", "fresh")
+        both = links.select(F.col("src").alias("grp"), F.col("dst").alias("node"), "fresh", F.lit(0).alias("side")).unionByName(
+            links.select(F.col("dst").alias("grp"), F.col("src").alias("node"), "fresh", F.lit(1).alias("side"))
+        )
+        w = W.partitionBy("grp", "side", "fresh").orderBy(F.xxhash64(F.lit(seed + turn), "node"), "node")
+        chosen = both.withColumn("place", F.row_number().over(w)).where(F.col("place") <= sample)
+        chosen = cut(chosen.groupBy("grp", "node").agg(F.max("fresh").alias("fresh")))
+        far = state.groupBy(F.col("src").alias("node")).agg(F.when(F.count(F.lit(1)) >= held, F.max("dist")).otherwise(F.lit(float("inf"))).alias("far"))
+        met = _local_pairs(chosen.join(points.join(far, "node"), "node")).distinct()
+        # a fresh link that was in a sample is not fresh in the next round
+        used = chosen.where("fresh").select(F.col("grp").alias("src"), F.col("node").alias("dst"), F.lit(False).alias("left"))
+        aged = state.drop("rk").join(used, ["src", "dst"], "left").withColumn("fresh", F.coalesce("left", "fresh")).drop("left")
+        state = nearest(aged.unionByName(met.withColumn("fresh", F.lit(True)).select(*aged.columns)))
+        if state.where("fresh").count() <= least * n * held:
+            break
+    return state.where(F.col("rk") <= k).select("src", "dst", "dist", "rk")
+
+
 def knn_lsh(points: DataFrame, k: int, radius: float, tables: int = 4, width: float = 1.0, seed: int = 7) -> DataFrame:
     """The same within a radius and approximately, by random projections; for very many points."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -94,50 +194,150 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int, least: float = 1e-
     return state
 
 
-def seed_shares(edges: DataFrame, seeds: DataFrame, steps: int) -> DataFrame:
+#: Nodes of a block of the graph and labels of a chunk of the state: what a task holds, 8 bytes a cell, with a block's edges.
+NODE_BLOCK, LABEL_CHUNK = 65_536, 32
+
+
+def _product(out, weights, matrix) -> None:
+    """Adds a sparse block (rows in order, columns, weights) times a matrix to out, column by column."""
+    import numpy as np
+
+    rows, columns, w = weights
+    if not len(rows):
+        return
+    at, starts = np.unique(rows, return_index=True)
+    for label in range(matrix.shape[1]):
+        out[at, label] += np.add.reduceat(matrix[columns, label] * w, starts)
+
+
+_CELL = "run int, chunk int, i int, size int, width int, p binary"
+
+
+def seed_shares(edges: DataFrame, seeds: DataFrame, steps: int, node_block: int | None = None, label_chunk: int | None = None) -> DataFrame:
     """run, node, label, p: each node's likeliest label after so many steps, and its part of the node's sum.
 
-    The same spread as propagate's, for many steps and runs: labels do not meet, so a run is one task's
-    work, label by label, and holds a few numbers per node and one per edge. The edges, counted first
-    (MOST_EDGES), go through the driver to each worker. Nothing is dropped; a node no label reaches has no row; equals go to the first label.
+    The same spread as propagate's, for many steps and runs. Nodes are dealt into blocks and edges into
+    blocks of source and target; the state is a matrix for each run, chunk of labels and block.
+    A step multiplies each matrix by the blocks of edges into it and adds up what meets at a
+    block. While one block holds all nodes, labels do not meet, so that a task makes all steps of its
+    matrix. Nothing is dropped; a node no label reaches has no row; equals go to the first label.
+    Edges (src, dst), seeds (run, node, label) with labels from 1; a seed without edges keeps its label.
     """
-    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-    table = within(with_self_loops(edges), MOST_EDGES, "edges").toArrow()
-    src, dst, w = (table[c].to_numpy() for c in ("src", "dst", "w"))
-    nodes = np.unique(np.concatenate([src, dst]))
-    order = np.argsort(src, kind="stable")
-    targets, heads = np.searchsorted(nodes, dst[order]).astype("int32"), np.searchsorted(nodes, src[order]).astype("int32")
-    at, starts = np.unique(heads, return_index=True)
-    weight = w[order]
+    node_block, label_chunk = node_block or NODE_BLOCK, label_chunk or LABEL_CHUNK
+    weighted = cut(with_self_loops(edges))
+    every = weighted.select(F.col("src").alias("node")).union(weighted.select("dst")).union(seeds.select("node")).distinct()
+    blocks = max(1, -(-every.count() // node_block))
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block")
+    place = F.row_number().over(W.partitionBy("block").orderBy("node")) - 1
+    nodes = cut(every.select("node", block).withColumn("at", place))
+    of = lambda node, i, at: nodes.select(F.col("node").alias(node), F.col("block").alias(i), F.col("at").alias(at))
+    placed = weighted.join(of("src", "i", "r"), "src").join(of("dst", "j", "c"), "dst")
+    cells = F.sort_array(F.collect_list(F.struct("r", "c", "w")))
+    graph = cut(placed.groupBy("i", "j").agg(cells.alias("e")).select("i", "j", *(F.col("e")[c].alias(c) for c in "rcw")))
+    sizes = nodes.groupBy(F.col("block").alias("i")).agg(F.count(F.lit(1)).cast("int").alias("size"))
+    # each seed as a cell of its matrix; labels of a chunk stand side by side
+    chunk = F.floor((F.col("label") - 1) / label_chunk).cast("int")
+    held = seeds.join(of("node", "i", "at"), "node").select("run", chunk.alias("chunk"), "i", "at", ((F.col("label") - 1) % label_chunk).alias("l"))
+    fixed = held.groupBy("run", "i").agg(F.collect_list("at").alias("clamped"))  # all labels' seeds: their rows stay
+    ones = held.groupBy("run", "chunk", "i").agg(F.collect_list(F.struct("at", "l")).alias("ones"))
+    widths = seeds.groupBy("run", chunk.alias("chunk")).agg((F.max((F.col("label") - 1) % label_chunk) + 1).alias("width"))
+    widths = widths.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))  # the state is dense
+    cells = cut(widths.join(sizes, "i").join(fixed, ["run", "i"], "left").join(ones, ["run", "chunk", "i"], "left"))
+
+    arrow = to_arrow_schema(_parse_datatype_string(_CELL))
+
+    def out(row, i, matrix):
+        return pa.RecordBatch.from_pylist([{k: row[k] for k in ("run", "chunk", "size", "width")} | {"i": i, "p": matrix.tobytes()}], schema=arrow)
+
+    def seeded(row):
+        import numpy as np
 
-    def spread(pdf):
-        import pandas as pd
+        return np.array(row["clamped"] or [], dtype=np.int64), np.array([(o["at"], o["l"]) for o in row["ones"] or []], dtype=np.int64).reshape(-1, 2)
+
+    def clamp(matrix, row):
+        clamped, ones = seeded(row)
+        matrix[clamped] = 0
+        matrix[ones[:, 0], ones[:, 1]] = 1
+        return matrix
+
+    def in_one(batches):
+        """All steps of a matrix whose block holds every node."""
+        import numpy as np
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                weights = tuple(np.array(row[c] or [], dtype=t) for c, t in (("r", np.int64), ("c", np.int64), ("w", float)))
+                now = clamp(np.zeros((row["size"], row["width"])), row)
+                for _ in range(steps if len(weights[0]) else 0):
+                    after = np.zeros_like(now)
+                    _product(after, weights, now)
+                    now = clamp(after, row)
+                yield out(row, row["i"], now)
+
+    def first(batches):
+        import numpy as np
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield out(row, row["i"], clamp(np.zeros((row["size"], row["width"])), row))
+
+    part = to_arrow_schema(_parse_datatype_string("run int, chunk int, i int, rows binary, part binary"))
+
+    def multiplied(batches):
+        """A matrix by a block of edges: the rows that the block touches."""
+        import numpy as np
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                matrix = np.frombuffer(row["p"]).reshape(-1, row["width"])
+                at, local = np.unique(np.array(row["r"], dtype=np.int64), return_inverse=True)
+                product = np.zeros((len(at), row["width"]))
+                _product(product, (local, np.array(row["c"], dtype=np.int64), np.array(row["w"])), matrix)
+                yield pa.RecordBatch.from_pylist([{"run": row["run"], "chunk": row["chunk"], "i": row["to"], "rows": at.tobytes(), "part": product.tobytes()}], schema=part)
+
+    def summed(key, table):
+        """The parts that meet at a matrix; each brings the matrix' cell along."""
+        import numpy as np
+
+        matrix = None
+        for batch in table.to_batches(max_chunksize=1):
+            (row,) = batch.to_pylist()
+            matrix = np.zeros((row["size"], row["width"])) if matrix is None else matrix
+            if row["rows"] is not None:
+                matrix[np.frombuffer(row["rows"], dtype=np.int64)] += np.frombuffer(row["part"]).reshape(-1, row["width"])
+        return pa.Table.from_batches([out(row, row["i"], clamp(matrix, row))])
+
+    if blocks == 1:
+        whole = cells.join(F.broadcast(graph.drop("i", "j")), how="left")  # one row: a block
+        state = whole.repartition(max(1, cells.count())).mapInArrow(in_one, _CELL)
+    else:
+        state = cut(cells.mapInArrow(first, _CELL))
+        for turn in range(steps):
+            met = state.withColumnRenamed("i", "j").join(graph.withColumnRenamed("i", "to"), "j")
+            parts = met.select("run", "chunk", "to", "width", "p", "r", "c", "w").mapInArrow(multiplied, "run int, chunk int, i int, rows binary, part binary")
+            state = cells.join(parts, ["run", "chunk", "i"], "left").groupBy("run", "chunk", "i").applyInArrow(summed, _CELL)
+            state = cut(state) if turn % 5 == 4 or turn == steps - 1 else state
+
+    def best(batches):
+        import numpy as np
 
-        place = np.searchsorted(nodes, pdf.node.to_numpy())
-        inside = place < len(nodes)
-        inside[inside] = nodes[place[inside]] == pdf.node.to_numpy()[inside]
-        total, most, best = np.zeros(len(nodes)), np.zeros(len(nodes)), np.zeros(len(nodes), dtype="int32")
-        for label in sorted(pdf.label.unique()):
-            clamped = (pdf.label.to_numpy() == label)[inside].astype(float)
-            p = np.zeros(len(nodes))
-            p[place[inside]] = clamped
-            for _ in range(steps if len(at) else 0):
-                after = np.zeros(len(nodes))
-                after[at] = np.add.reduceat(p[targets] * weight, starts)
-                after[place[inside]] = clamped
-                p = after
-            total += p
-            more = p > most
-            most[more], best[more] = p[more], label
-        met = total > 0
-        out = pd.DataFrame({"node": nodes[met], "label": best[met], "p": most[met] / total[met]})
-        alone = pdf[~inside][["node", "label"]].assign(p=1.0)  # seeds without edges keep their label
-        out = pd.concat([out, alone]) if len(alone) else out
-        return out.assign(run=pdf.run.iloc[0])[["run", "node", "label", "p"]]
-
-    runs = max(1, seeds.select("run").distinct().count())
-    return seeds.repartition(runs, "run").groupBy("run").applyInPandas(spread, "run int, node bigint, label int, p double")
+        for batch in batches:
+            for row in batch.to_pylist():
+                matrix = np.frombuffer(row["p"]).reshape(-1, row["width"])
+                total = matrix.sum(axis=1)
+                at = np.flatnonzero(total > 0)
+                label = matrix[at].argmax(axis=1)
+                n = len(at)
+                columns = [pa.array(np.full(n, row["run"], dtype=np.int32)), pa.array(np.full(n, row["i"], dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array((label + row["chunk"] * label_chunk + 1).astype(np.int32)), pa.array(matrix[at, label]), pa.array(total[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=["run", "block", "at", "label", "most", "total"])
+
+    found = state.mapInArrow(best, "run int, block int, at int, label int, most double, total double").join(nodes, ["block", "at"])
+    one = found.groupBy("run", "node").agg(F.min(F.struct((-F.col("most")).alias("m"), "label")).alias("b"), F.sum("total").alias("total"))
+    return one.select("run", "node", F.col("b.label").alias("label"), (-F.col("b.m") / F.col("total")).alias("p"))
 
 
 def label_topk(state: DataFrame, k: int) -> DataFrame:

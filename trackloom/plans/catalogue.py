@@ -113,7 +113,7 @@ def rename_by(spark, d):
 @query
 def class_embeddings(spark, d):
     found = evaluate.class_embeddings(_noisy_vectors(spark, d))
-    return found.select("label", "place", "linear_ind", r6(F.get("x", 0)).alias("x1"), r6(F.element_at("x", -1)).alias("xd"))
+    return found.select("label", "place", "linear_ind", F.posexplode("x").alias("i", "v")).withColumn("v", r6("v"))
 
 
 @query
@@ -589,14 +589,41 @@ def knn_graph(spark, d):
     return graph.knn(fx.vectors(spark, d), 10).select("src", "dst", "rk")
 
 
+def _recall(exact, found, least=0.9):
+    """block, wanted, enough: of five blocks of points, their exact neighbours and whether `least` of them were found."""
+    hits = found.select("src", "dst", F.lit(True).alias("hit"))
+    rows = exact.join(hits, ["src", "dst"], "left").groupBy((F.col("src") % 5).alias("block"))
+    return rows.agg(F.count(F.lit(1)).alias("wanted"), (F.count("hit") >= least * F.count(F.lit(1))).alias("enough"))
+
+
 @query
 def knn_lsh(spark, d):
-    """One row: whether the approximate search finds 0.9 of the nearest neighbours within its radius."""
+    """The approximate search within a radius against the exact one."""
     points = fx.vectors(spark, d)
     exact = graph.knn(points, 5).where("dist <= 0.9").select("src", "dst")
-    found = graph.knn_lsh(points, 5, 0.9, tables=12, width=1.0).select("src", "dst")
-    hits = exact.join(found, ["src", "dst"]).agg(F.count(F.lit(1)).alias("hits"))
-    return exact.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(hits)).select((F.col("hits") >= 0.9 * F.col("n")).alias("enough"))  # one row each
+    return _recall(exact, graph.knn_lsh(points, 5, 0.9, tables=12, width=1.0))
+
+
+@query
+def knn_descent(spark, d):
+    """The search among neighbours' neighbours against the exact one."""
+    points = fx.vectors(spark, d)
+    return _recall(graph.knn(points, 10), graph.knn_descent(points, 10))
+
+
+@query
+def seed_shares(spark, d):
+    """The share of the likeliest label after three steps, by blocks of 128 nodes and 4 labels."""
+    seeds = graph.seed_labels(fx.det(spark, d), SEED_FRAMES)
+    found = graph.seed_shares(graph.knn(fx.vectors(spark, d), 10), seeds, 3, node_block=128, label_chunk=4)
+    return found.select("run", "node", r6("p").alias("p"))
+
+
+@query
+def labelings_of(spark, d):
+    """Labels by softmax with the class of none, where they are sure enough."""
+    state = _state(spark, d, 3).withColumn("p", F.round("p", 9))
+    return graph.labelings_of(state, fx.det(spark, d), threshold=1.1 / 10).select("run", "linear_ind", "t", "label", r6("prob").alias("prob"))
 
 
 @query
@@ -770,6 +797,16 @@ def svd_embed(spark, d):
     return corr.svd_embed(fx.vectors(spark, d), 10)
 
 
+@query
+def svd_products(spark, d):
+    """Products of a frame's embeddings of all dimensions: those of the vectors themselves."""
+    points = fx.vectors(spark, d)
+    held = corr.svd_embed(points, 64).join(points.select("linear_ind", "t"), "linear_ind")
+    i, j = held.select("t", F.col("linear_ind").alias("i"), F.col("embedding").alias("a")), held.select("t", F.col("linear_ind").alias("j"), F.col("embedding").alias("b"))
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return i.join(j, "t").where("i <= j").select("i", "j", r6(product).alias("p"))
+
+
 # cluster
 
 
@@ -821,7 +858,7 @@ def noise_count(spark, d):
 @query
 def cluster_centroids(spark, d):
     rows = fx.vectors(spark, d).join(fx.det(spark, d).select("linear_ind", F.col("gt_label").alias("label")), "linear_ind")
-    return cluster.cluster_centroids(rows).select("label", r6("cx").alias("cx"), r6("cy").alias("cy"))
+    return cluster.cluster_centroids(rows).withColumn("mean", r6("mean"))
 
 
 @query

@@ -162,7 +162,8 @@ BODIES = {
         WHERE t IN (1, 2, 4, 7, 8) AND p.name = 1 + ((g.name - 1) * 3) % 10 GROUP BY ALL""",
     "finished_only": "SELECT name, t, true AS finished FROM gt WHERE name % 2 = 0 UNION ALL SELECT name, t, false FROM gt",
     "rename_by": "SELECT g.gt_name AS name, p.t, p.raw_seg_id FROM pred p JOIN (SELECT DISTINCT name AS gt_name, 1 + ((name - 1) * 3) % 10 AS pred_name FROM gt) g ON g.pred_name = p.name WHERE gt_name > 2",
-    "class_embeddings": f"""SELECT label, row_number() OVER (PARTITION BY label ORDER BY linear_ind) - 1 AS place, linear_ind, {_r('x[1]', 'x1')}, {_r('x[64]', 'xd')} FROM noisy WHERE label <> -1""",
+    "class_embeddings": """SELECT label, place, linear_ind, CAST(i - 1 AS INT) AS i, round(x[i], 6) + 0.0 AS v FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY linear_ind) - 1 AS place, linear_ind, x
+        FROM noisy WHERE label <> -1) q, (SELECT unnest(range(1, 65)) AS i) r""",
     "pad_rows": """SELECT t, count(*) AS n FROM gt WHERE t < 5 GROUP BY t UNION ALL SELECT CAST(unnest(range(last + 1, last + 13 - n)) AS INT), NULL
         FROM (SELECT max(t) AS last, count(DISTINCT t) AS n FROM gt WHERE t < 5) q""",
     "drop_last_frame": "SELECT name, t FROM gt, n_frames WHERE t < n_frames - 1",
@@ -188,7 +189,12 @@ BODIES = {
     "repeated_trials": "SELECT DISTINCT user_id AS trial, CAST(repetition AS INT) AS repetition FROM events, (SELECT unnest(range(3)) AS repetition) q",
     "trial_accuracy": f"""SELECT s.trial, CAST(k AS BIGINT) AS k, {_r('val_loss')}, n, accuracy FROM second_last s JOIN cfg USING (trial) LEFT JOIN (SELECT trial, count(*) AS n FROM stats GROUP BY trial) m USING (trial)
         LEFT JOIN (SELECT name, round(CAST(count_if(correct) AS DOUBLE) / nullif(count_if(gt_valid), 0), 6) AS accuracy FROM cells GROUP BY name) a ON name = s.trial""",
-    "knn_lsh": "SELECT true AS enough",
+    "knn_lsh": "SELECT src % 5 AS block, count(*) AS wanted, true AS enough FROM near WHERE rk <= 5 AND dist <= 0.9 GROUP BY 1",
+    "knn_descent": "SELECT src % 5 AS block, count(*) AS wanted, true AS enough FROM near GROUP BY 1",
+    "seed_shares": "SELECT run, node, round(max(p) / sum(p), 6) AS p FROM h3 GROUP BY run, node",
+    "labelings_of": """SELECT run, linear_ind, t, label, round(p, 6) AS prob FROM (SELECT *, e / sum(e) OVER (PARTITION BY run, node) AS p, row_number() OVER (PARTITION BY run, node ORDER BY e DESC, label) AS rn FROM
+        (SELECT run, node, label, exp((p - max(p) OVER (PARTITION BY run, node)) / 0.02::DOUBLE) AS e FROM (SELECT run, node, label, round(p, 9) AS p FROM h3 UNION ALL SELECT DISTINCT run, node, 0, 0.0::DOUBLE FROM h3) a) b) c
+        JOIN det ON det.linear_ind = node WHERE rn = 1 AND label > 0 AND p >= 0.11::DOUBLE""",
     "node_goodness": f"""SELECT node, total, kept, {_r('CAST(kept AS DOUBLE) / total', 'purity')}, {_r('0.1::DOUBLE * kept / total + 0.9::DOUBLE * kept / n_frames', 'goodness')} FROM
         (SELECT c.anc AS node, count(*) AS total, count(DISTINCT t) AS kept FROM closure c JOIN leaf l ON l.child = c.node JOIN det d ON d.linear_ind = l.point GROUP BY c.anc) q, n_frames WHERE total <= 2 * n_frames""",
     "fuse_labels_votes": "SELECT t, max(v) AS votes FROM s10 GROUP BY t",
@@ -304,7 +310,8 @@ BODIES = {
         row_number() OVER (PARTITION BY a.linear_ind ORDER BY sqrt(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (b.x[i] - a.x[i]) * (b.x[i] - a.x[i])))), b.linear_ind) rn
         FROM vec a, vec b WHERE a.t NOT IN (SELECT t FROM chosen) AND b.t IN (SELECT t FROM chosen)) q WHERE rn = 1""",
     "cluster_counts": "SELECT t, count(DISTINCT gt_label) AS n FROM det GROUP BY t",
-    "cluster_centroids": f"SELECT CAST(label AS INT) AS label, {_r('avg(x[1])', 'cx')}, {_r('avg(x[2])', 'cy')} FROM vec GROUP BY label",
+    "cluster_centroids": f"SELECT CAST(label AS INT) AS label, CAST(i - 1 AS INT) AS i, {_r('avg(x[i])', 'mean')} FROM vec, (SELECT unnest(range(1, 65)) AS i) r GROUP BY label, i",
+    "svd_products": f"SELECT a.linear_ind AS i, b.linear_ind AS j, {_r('list_dot_product(a.x, b.x)', 'p')} FROM vec a JOIN vec b ON a.t = b.t AND a.linear_ind <= b.linear_ind",
 }
 
 
