@@ -122,9 +122,6 @@ def test_sizes_are_checked_before_anything_is_collected(spark, monkeypatch):
     monkeypatch.setattr(sync, "MATCH_CELLS", 3)
     with pytest.raises(ValueError):
         sync.align_pair(labelings.where("run = 0"), labelings.where("run = 1"))
-    monkeypatch.setattr(evaluate, "MATCH_CELLS", 3)
-    with pytest.raises(ValueError):
-        evaluate.match_tracks(fixtures.gt(spark, SF), fixtures.pred(spark, SF))
 
 
 def test_align_all_recovers_planted_names(spark):

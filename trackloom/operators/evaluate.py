@@ -7,13 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions.distances import nearest_in_block
-from trackloom.functions.hungarian import assign
 from trackloom.functions.rounding import long_count
-from trackloom.operators.checkpoints import within
-
-#: Pairs of names with cells in common that one task matches, at most.
-MATCH_CELLS = 4_000_000
-
+from trackloom.operators import matching
 
 def align(truth: DataFrame, predicted: DataFrame, mapping: DataFrame) -> DataFrame:
     """name, t, gt_seg, pred_seg for each cell of the truth; predicted cells of no other use are left out.
@@ -41,27 +36,11 @@ def contingency(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def solve_matching(counts: DataFrame, by: str | None = None) -> DataFrame:
     """(by,) gt_name, pred_name, n of the one-to-one matching with most cells in common, of each group of
-    by; pairs without any are unmatched, and equals go in order of the names.
-
-    counts (gt_name, pred_name, n) is bounded by the names and not by the frames; it is counted before
-    groups of it go to tasks.
+    by; pairs without any are unmatched. Equals go in order of the names where a task has them as a table; see matching.
     """
-    kind = [counts.schema[c].dataType.simpleString() for c in ("gt_name", "pred_name", *([by] if by else []))]
-
-    def solve(pdf):
-        import numpy as np
-        import pandas as pd
-
-        rows, columns = np.unique(pdf.gt_name), np.unique(pdf.pred_name)
-        table = np.zeros((len(rows), len(columns)))
-        table[np.searchsorted(rows, pdf.gt_name), np.searchsorted(columns, pdf.pred_name)] = pdf.n
-        found = [(rows[r], columns[c], int(table[r, c])) for r, c in assign(-table) if table[r, c] > 0]
-        out = pd.DataFrame(found, columns=["gt_name", "pred_name", "n"])
-        return out.assign(**{by: pdf[by].iloc[0]}) if by else out
-
-    key = F.col(by) if by else F.lit(1).alias("all")
-    named = f"gt_name {kind[0]}, pred_name {kind[1]}, n bigint" + (f", {by} {kind[2]}" if by else "")
-    return within(counts, MATCH_CELLS, "pairs of names to match").groupBy(key).applyInPandas(solve, named)
+    group = F.col(by) if by else F.lit(1)
+    found = matching.matched(counts.select(group.alias("grp"), F.col("gt_name").alias("gt"), F.col("pred_name").alias("pred"), F.col("n").cast("bigint").alias("n")))
+    return found.select(*([F.col("grp").alias(by)] if by else []), F.col("gt").alias("gt_name"), F.col("pred").alias("pred_name"), "n")
 
 
 def match_tracks(truth: DataFrame, predicted: DataFrame) -> DataFrame:

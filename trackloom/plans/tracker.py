@@ -12,6 +12,8 @@ from trackloom.functions.hdbscan import sizes_for
 from trackloom.operators import assign, cluster, evaluate, frames, graph, sync
 from trackloom.operators.checkpoints import cut, within
 
+#: Tracks of all windows that one task names, at most.
+WINDOW_TRACKS = 4_000_000
 MODES = ("global", "overlapping_windows", "streaming", "label_propagation")
 
 
@@ -117,4 +119,4 @@ def window_names(cells: DataFrame) -> DataFrame:
         name = {c: i + 1 for i, c in enumerate(order)}
         return pd.DataFrame([(s, a, name[c]) for (s, a), c in chain_of.items()], columns=["start", "label", "name"])
 
-    return within(rows, evaluate.MATCH_CELLS, "tracks of windows").groupBy(F.lit(1).alias("all")).applyInPandas(solve, "start int, label int, name int")
+    return within(rows, WINDOW_TRACKS, "tracks of windows").groupBy(F.lit(1).alias("all")).applyInPandas(solve, "start int, label int, name int")
