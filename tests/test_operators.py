@@ -348,7 +348,7 @@ def test_clone_and_yaml(spark, tmp_path):
     assert clone(one, two, ["tracks", "trials", "none"]) == ["tracks"]
     assert two.read("tracks").count() == 3 and two.read("trials").count() == 9
     (tmp_path / "c.yaml").write_text('# top\nname: "a: b"\nlist:\n  - 1\nnest:\n  name: x\nsteps: 5 # five\nsteps: 6\nempty:\npath: /a#b\n')
-    assert configs.read_yaml(spark, str(tmp_path / "c.yaml")).first()["config"] == {"name": "a: b", "steps": "6", "path": "/a#b"}
+    assert configs.read_yaml(spark, str(tmp_path / "c.yaml")).first()["config"] == {"name": "a: b", "list.0": "1", "nest.name": "x", "steps": "6", "empty": None, "path": "/a#b"}
     (tmp_path / "d.yaml").write_text("- only a list\n")
     (tmp_path / "e.yaml").write_text("")
     assert configs.read_yaml(spark, str(tmp_path / "d.yaml")).first()["config"] == {}

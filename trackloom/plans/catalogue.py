@@ -502,14 +502,28 @@ def config_changes(spark, d):
     return configs.changes(before, "config", configs.moved(configs.rewritten(F.col("config"), updates), "/old/", "/new/"), "trial")
 
 
-@query
-def read_yaml(spark, d):
-    """Configurations written as files, one of a trial, and read again."""
+def _yaml_folder(spark, d):
+    """Configurations with blocks, lists, quotes and comments as files, one of a trial."""
     path = f"{ensure_checkpoint_dir(spark)}/yaml-{uuid.uuid4().hex}"
-    lines = ["# run", "lr: 0.5", F.concat(F.lit("k: '"), F.col("config")["k"], F.lit("'  # of the run")), "nest:", "  k: 3", "lr: 0.25", F.concat(F.lit("folder: "), F.col("config")["folder"])]
+    lines = ["# run", "lr: 0.5", F.concat(F.lit("k: '"), F.col("config")["k"], F.lit("'  # of the run")), "nest:", "  k: 3", "  deep: {a: 1, b: [x, y]}", "sizes:", "- 1", "- 2", "lr: 0.25", F.concat(F.lit("folder: "), F.col("config")["folder"])]
     text = F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
-    _configs(spark, d).select("trial", text.alias("value")).write.partitionBy("trial").text(path)
-    return configs.read_yaml(spark, f"{path}/*").select(*configs.known_keys(F.col("config"), ["folder", "k", "lr", "nest"]))
+    _configs(spark, d).select("trial", text.alias("value")).coalesce(2).write.partitionBy("trial").text(path)
+    return path
+
+
+@query
+def read_yaml(spark, d):
+    held = configs.read_yaml(spark, _yaml_folder(spark, d))
+    return held.select(*configs.known_keys(F.col("config"), ["folder", "k", "lr", "nest"]), *[F.try_element_at("config", F.lit(k)).alias(n) for k, n in (("nest.k", "nest_k"), ("nest.deep.b.1", "b"), ("sizes.1", "size"))])
+
+
+@query
+def rewrite_yaml(spark, d):
+    """Overrides below the top level merged into every file, written, read again and listed by key."""
+    path = _yaml_folder(spark, d)
+    override = F.create_map(*map(F.lit, ("nest.deep.b.0", "z", "nest.new", "1", "lr", "7")))
+    configs.rewrite_yaml(spark, path, f"{path}-after", override, dry_run=False).collect()
+    return configs.read_yaml(spark, f"{path}-after").select(F.explode("config").alias("name", "value")).groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

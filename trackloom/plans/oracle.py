@@ -185,7 +185,9 @@ BODIES = {
     "config_merge": "SELECT trial, k, '0.1' AS lr, CAST(NULL AS VARCHAR) AS dim FROM cfg",
     "config_changes": """SELECT trial, 'k' AS name, k AS was, '7' AS becomes FROM cfg WHERE k IS DISTINCT FROM '7' UNION ALL
         SELECT trial, 'folder', folder, replace(folder, '/old/', '/new/') FROM cfg""",
-    "read_yaml": "SELECT folder, k, '0.25' AS lr, CAST(NULL AS VARCHAR) AS nest FROM cfg",
+    "read_yaml": "SELECT folder, k, '0.25' AS lr, CAST(NULL AS VARCHAR) AS nest, '3' AS nest_k, 'y' AS b, '2' AS size FROM cfg",
+    "rewrite_yaml": """SELECT name, value, count(*) AS n FROM (SELECT 'folder' AS name, folder AS value FROM cfg UNION ALL SELECT 'k', k FROM cfg UNION ALL
+        SELECT p.name, p.value FROM cfg, (SELECT unnest(['nest.k', 'nest.deep.a', 'nest.deep.b.0', 'nest.new', 'sizes.0', 'sizes.1', 'lr']) AS name, unnest(['3', '1', 'z', '1', '1', '2', '7']) AS value) p) q GROUP BY ALL""",
     "repeated_trials": "SELECT DISTINCT user_id AS trial, CAST(repetition AS INT) AS repetition FROM events, (SELECT unnest(range(3)) AS repetition) q",
     "trial_accuracy": f"""SELECT s.trial, CAST(k AS BIGINT) AS k, {_r('val_loss')}, n, accuracy FROM second_last s JOIN cfg USING (trial) LEFT JOIN (SELECT trial, count(*) AS n FROM stats GROUP BY trial) m USING (trial)
         LEFT JOIN (SELECT name, round(CAST(count_if(correct) AS DOUBLE) / nullif(count_if(gt_valid), 0), 6) AS accuracy FROM cells GROUP BY name) a ON name = s.trial""",

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.functions import yaml_text
+
 STATS_RECORD = "array<struct<epoch:int,step:int,loss:double,val_loss:double,test_loss:double,time:bigint>>"
 
 
 def merged(baseline: Column, override: Column) -> Column:
-    """Two maps as one; the override wins. Works whatever the session's rule for equal keys."""
-    kept = F.map_filter(baseline, lambda k, _: ~F.map_contains_key(override, k))
+    """Two maps with dotted keys as one, below the top level too; the override wins.
+
+    A block keeps the keys that the override lacks; where one side has a block or a list and the
+    other a value, and where both have a list, the override's stands alone. Works whatever the session's rule for
+    equal keys.
+    """
+    below = lambda k, o: F.startswith(k, F.concat(o, F.lit(".")))
+    items = lambda k: F.regexp_extract(k, r"^(.*?)\.[0-9]+(?:\.|$)", 1)
+    replaced = lambda k, o: (k == o) | below(k, o) | below(o, k) | ((items(k) != "") & ((items(k) == items(o)) | below(items(k), o)))
+    kept = F.map_filter(baseline, lambda k, _: ~F.exists(F.map_keys(override), lambda o: replaced(k, o)))
     return F.map_concat(kept, override)
 
 
@@ -37,15 +47,47 @@ def changes(before: DataFrame, config: str, after: Column, key: str) -> DataFram
 
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """path and config, the top-level `key: value` lines of each YAML file as a map of texts. Quotes and
-    comments go, a key that repeats has its last value; nested blocks and lists are left out. An empty
-    file has no row."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("lines"))
-    entry = r"^([A-Za-z_][\w\-]*):[ \t]+([^#\s].*?)[ \t]*(?:[ \t]#.*)?$"
-    some = F.filter("lines", lambda x: x.rlike(entry))
-    pairs = F.transform(some, lambda x: F.struct(F.regexp_extract(x, entry, 1).alias("k"), F.regexp_replace(F.regexp_extract(x, entry, 2), r"""^(['"])(.*)\1$""", "$2").alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
-    return lines.select("path", F.map_from_entries(last).alias("config"))
+    """path and config of each YAML file under a folder: every scalar by its dotted key, see yaml_text.
+
+    An empty file has no row. The folder is listed once, however many folders are in it.
+    """
+    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+    def parsed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            held = [list(yaml_text.flat(text).items()) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.map_(pa.string(), pa.string()))], names=["path", "config"])
+
+    return texts.mapInArrow(parsed, "path string, config map<string,string>")
+
+
+def yaml_texts(configs: DataFrame, key: str, config: str = "config") -> DataFrame:
+    """key and value, the YAML text of each map with dotted keys."""
+    kind = configs.schema[key].dataType.simpleString()
+
+    def written(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [yaml_text.nested_text(dict(c or [])) for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "value"])
+
+    return configs.select(key, config).mapInArrow(written, f"{key} {kind}, value string")
+
+
+def rewrite_yaml(spark: SparkSession, source: str, target: str, override: Column, dry_run: bool = True) -> DataFrame:
+    """Every YAML file under source with an override merged in, written to target in folders file=<its path
+    under source>, unless dry_run. What changes is returned: file, name, was, becomes."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(source).toUri().getPath().rstrip("/")
+    held = read_yaml(spark, source).select(F.element_at(F.split("path", root.replace(".", r"\.") + "/"), -1).alias("file"), "config")
+    after = held.withColumn("after", merged(F.col("config"), override))
+    if not dry_run:
+        yaml_texts(after, "file", "after").write.partitionBy("file").mode("overwrite").text(target)
+    was, becomes = (after.select("file", F.explode(c).alias("name", n)) for c, n in (("config", "was"), ("after", "becomes")))
+    rows = was.withColumn("a", F.lit(True)).join(becomes.withColumn("b", F.lit(True)), ["file", "name"], "full")
+    return rows.where(F.col("a").isNull() | F.col("b").isNull() | ~F.col("was").eqNullSafe(F.col("becomes"))).select("file", "name", "was", "becomes")
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
