@@ -846,16 +846,20 @@ def nn_label_assign(spark, d):
     return cluster.nn_label_assign(rows.join(chosen, "t", "left_anti"), rows.join(chosen, "t", "left_semi"))
 
 
-@query
-def approximate_predict(spark, d):
-    """Fitted points of the sampled frames, with clusters that begin and end at densities of their own; the other frames' points."""
-    det = fx.det(spark, d)
-    chosen = frames.evenly_spaced(det, SAMPLED)
+def _fitted_some(spark, d):
+    chosen = frames.evenly_spaced(fx.det(spark, d), SAMPLED)
     points = _noisy_vectors(spark, d)
     some = points.join(chosen, "t", "left_semi")
     core = cluster.core_distance(graph.knn(some, 3), 3)
     model = cut(some.join(core, "linear_ind").withColumns({"birth": 1.0 + F.col("label") / 50, "top": 2.0 + F.col("label") / 10}))
-    return cluster.approximate_predict(points.join(chosen, "t", "left_anti"), model, 3).withColumn("prob", r6("prob"))
+    return model, points.join(chosen, "t", "left_anti")
+
+
+@query
+def approximate_predict(spark, d):
+    """Fitted points of the sampled frames, with clusters that begin and end at densities of their own; the other frames' points."""
+    model, rest = _fitted_some(spark, d)
+    return cluster.approximate_predict(rest, model, 3).withColumn("prob", r6("prob"))
 
 
 @query
@@ -925,6 +929,18 @@ def stream_labels(spark, d):
     return tracks.best_so_far(spark.read.parquet(f"{root}/out/*")).select(F.col("name").cast("int").alias("name"), "t", "raw_neuron_ind")
 
 
+@query
+def stream_predict(spark, d):
+    """Frames that arrive as files, labelled by density and mutual reachability as in a batch."""
+    root = f"{ensure_checkpoint_dir(spark)}/predict-{uuid.uuid4().hex}"
+    det = fx.det(spark, d)
+    model, rest = _fitted_some(spark, d)
+    arriving = rest.join(det.select("linear_ind", "raw_neuron_ind", "likelihood"), "linear_ind").select("linear_ind", F.col("t").cast("int").alias("t"), "raw_neuron_ind", "likelihood", "x")
+    arriving.repartition(3, "t").write.parquet(f"{root}/in")
+    tracks.assign_labels(tracks.detections(spark, f"{root}/in"), model, f"{root}/out", f"{root}/state", 3).awaitTermination()
+    return spark.read.parquet(f"{root}/out/*").select("linear_ind", "label", r6("likelihood").alias("prob"))
+
+
 @query
 def agglomerate_prior(spark, d):
     points = fx.vectors(spark, d)
