@@ -260,8 +260,8 @@ def frame_size_filter(spark, d):
 
 @query
 def pad_rows(spark, d):
-    early = fx.gt(spark, d).where("t < 5").groupBy("t").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    return frames.pad_rows(early, 12)
+    every = fx.gt(spark, d).groupBy("t").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return frames.pad_rows(every, frames.frame_count(fx.det(spark, d)).first()[0] + 7)
 
 
 @query
@@ -557,12 +557,13 @@ def trial_project_join(spark, d):
 
 @query
 def param_grid(spark, d):
-    return trials.param_grid(spark, GRID)
+    """The grid for every trial that is logged."""
+    return _trials(spark, d).crossJoin(F.broadcast(trials.param_grid(spark, GRID)))  # a grid of a few values
 
 
 @query
 def one_at_a_time(spark, d):
-    return trials.one_at_a_time(spark, GRID)
+    return _trials(spark, d).crossJoin(F.broadcast(trials.one_at_a_time(spark, GRID)))
 
 
 @query
@@ -585,14 +586,18 @@ def trial_summary(spark, d):
 
 @query
 def lr_schedule(spark, d):
-    steps = spark.range(200).select(F.col("id").cast("int").alias("step"))
-    return steps.withColumn("lr", F.round(trials.learning_rate(F.col("step"), 40, 200, 1 / 256), 9))
+    """The rate at every logged record, twenty steps apart."""
+    steps = fx.stats(spark, d).select("trial", "pos", (F.col("pos") * 20).alias("step"))
+    return steps.select("trial", "pos", F.round(trials.learning_rate(F.col("step"), 400, 2000, 1 / 256), 9).alias("lr"))
 
 
 @query
 def split_model_name(spark, d):
-    names = spark.createDataFrame([("net_v2_north",), ("net_small_south",), ("single",), ("a_b_lab",)], "model string")
-    return trials.split_model_name(names)
+    """Names of one to four parts, of every user and kind of event."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    user = F.col("user_id").cast("string")
+    name = F.when(F.col("user_id") % 3 == 0, user).when(F.col("user_id") % 3 == 1, F.concat_ws("_", F.lit("net"), user, "event_type")).otherwise(F.concat_ws("_", F.lit("a"), F.lit("b"), user, F.lit("lab")))
+    return trials.split_model_name(events.select(name.alias("model")).where("model is not null").distinct())
 
 
 # graph
@@ -642,10 +647,11 @@ def labelings_of(spark, d):
 
 @query
 def node_goodness(spark, d):
-    """Leaves of the tree are the detections of the first ids."""
-    nodes = fx.tree(spark)
-    inner = nodes.select(F.col("parent").alias("node")).where("node is not null").distinct().withColumn("inner", F.lit(True))
-    tree = nodes.join(inner, "node", "left").select("parent", F.col("node").alias("child"), F.when(F.col("inner").isNull(), F.col("node") - fx.TREE_NODES // 2).cast("bigint").alias("point"))
+    """Leaves of the tree are the detections, in order."""
+    nodes = fx.tree(spark, d)
+    n = fx.det(spark, d).agg(F.count(F.lit(1)).alias("n"))
+    point = F.when(F.col("node") >= F.col("n") - 1, F.col("node") - F.col("n") + 1)
+    tree = nodes.crossJoin(F.broadcast(n)).select("parent", F.col("node").alias("child"), point.cast("bigint").alias("point"))  # one row
     return cluster.node_goodness(tree, fx.det(spark, d)).withColumns({c: r6(c) for c in ("purity", "goodness")})
 
 
@@ -683,12 +689,12 @@ def label_rownorm(spark, d):
 
 @query
 def tree_closure(spark, d):
-    return graph.tree_closure(fx.tree(spark))
+    return graph.tree_closure(fx.tree(spark, d))
 
 
 @query
 def tree_ancestors(spark, d):
-    return graph.tree_ancestors(fx.tree(spark))
+    return graph.tree_ancestors(fx.tree(spark, d))
 
 
 # sync

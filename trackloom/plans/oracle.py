@@ -25,7 +25,8 @@ VIEWS = {
         FROM det CROSS JOIN (SELECT CAST(unnest([0, 1, 2, 3, 4]) AS INT) AS r) q WHERE (linear_ind + r) % 7 <> 0""",
     "votes": "SELECT run, linear_ind, t, CAST(1 + (label - 1 - run + 10) % 10 AS INT) AS label FROM labelings",
     "stats": """SELECT user_id AS trial, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS pos, value AS loss FROM events""",
-    "tree": "SELECT CAST(range AS INT) AS node, CAST(CASE WHEN range = 0 THEN NULL ELSE (range - 1) // 2 END AS INT) AS parent FROM range(200)",
+    "tree": """SELECT CAST(node AS INT) AS node, CAST(CASE WHEN node > 0 THEN (node - 1) // 2 END AS INT) AS parent FROM (SELECT vec_id AS node FROM embeddings
+        UNION ALL SELECT vec_id + n FROM embeddings, (SELECT count(*) AS n FROM embeddings) c WHERE vec_id < n - 1) q""",
     "n_frames": "SELECT max(t) + 1 AS n_frames FROM det",
     "aligned": """SELECT g.name, g.t, g.raw_seg_id AS gt_seg, p.raw_seg_id AS pred_seg FROM gt g
         LEFT JOIN pred p ON p.t = g.t AND p.name = 1 + ((g.name - 1) * 3) % 10""",
@@ -95,7 +96,7 @@ VIEWS = {
     "fit": "SELECT * FROM noisy WHERE t IN (SELECT t FROM chosen)",
     "fitcore": f"""SELECT linear_ind, d AS core FROM (SELECT a.linear_ind, {_euclid()} AS d, row_number() OVER (PARTITION BY a.linear_ind ORDER BY {_euclid()}, b.linear_ind) AS rk
         FROM fit a, fit b) q WHERE rk = 3""",
-    "leaf": "SELECT node AS child, parent, CASE WHEN node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL) THEN node - 100 END AS point FROM tree",
+    "leaf": "SELECT node AS child, parent, CASE WHEN node >= n - 1 THEN node - n + 1 END AS point FROM tree, (SELECT count(*) AS n FROM embeddings) c",
     "cfg": """SELECT user_id AS trial, CAST(max(CAST(json_extract(props, '$.k') AS BIGINT)) AS VARCHAR) AS k, '/old/run' || user_id AS folder FROM events GROUP BY user_id""",
     "unrot": "SELECT t, linear_ind, label, count(*) AS n FROM votes GROUP BY ALL",
     # the most votes of an assignment: objects one by one, over sets of labels taken
@@ -164,8 +165,8 @@ BODIES = {
     "rename_by": "SELECT g.gt_name AS name, p.t, p.raw_seg_id FROM pred p JOIN (SELECT DISTINCT name AS gt_name, 1 + ((name - 1) * 3) % 10 AS pred_name FROM gt) g ON g.pred_name = p.name WHERE gt_name > 2",
     "class_embeddings": """SELECT label, place, linear_ind, CAST(i - 1 AS INT) AS i, round(x[i], 6) + 0.0 AS v FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY linear_ind) - 1 AS place, linear_ind, x
         FROM noisy WHERE label <> -1) q, (SELECT unnest(range(1, 65)) AS i) r""",
-    "pad_rows": """SELECT t, count(*) AS n FROM gt WHERE t < 5 GROUP BY t UNION ALL SELECT CAST(unnest(range(last + 1, last + 13 - n)) AS INT), NULL
-        FROM (SELECT max(t) AS last, count(DISTINCT t) AS n FROM gt WHERE t < 5) q""",
+    "pad_rows": """SELECT t, count(*) AS n FROM gt GROUP BY t UNION ALL SELECT CAST(unnest(range(last + 1, last + 1 + n_frames + 7 - n)) AS INT), NULL
+        FROM (SELECT max(t) AS last, count(DISTINCT t) AS n, any_value(n_frames) AS n_frames FROM gt, n_frames) q""",
     "drop_last_frame": "SELECT name, t FROM gt, n_frames WHERE t < n_frames - 1",
     "valid_sample": "SELECT t FROM (SELECT t FROM gt GROUP BY t HAVING count(*) > 5 AND count(*) <= 200) q ORDER BY (t * 7919) % 1009, t LIMIT 7",
     "base_window": """SELECT CAST(start AS INT) AS start, count(DISTINCT name) AS n FROM (SELECT *, max(t + 1) OVER () AS last FROM gt) g JOIN (SELECT DISTINCT unnest(range(0, m - 4, 2) || [m - 5]) AS start
@@ -269,15 +270,16 @@ BODIES = {
     "discover_trials": r"SELECT DISTINCT CAST(regexp_extract('runs/trial_' || user_id || '/log', 'trial_(\d+)', 1) AS INT) AS trial FROM events",
     "training_finished": "SELECT trial, max(pos) = 69 AS finished FROM stats GROUP BY trial",
     "trial_project_join": "SELECT DISTINCT user_id AS trial, 'project_' || user_id AS project FROM events WHERE user_id % 2 = 0",
-    "param_grid": "SELECT CAST(lr AS DOUBLE) AS lr, CAST(dim AS INT) AS dim, CAST(z AS INT) AS z FROM (VALUES (0.1), (0.01)) a(lr), (VALUES (32), (64)) b(dim), (VALUES (4), (8)) c(z)",
-    "one_at_a_time": "SELECT * FROM (VALUES ('lr', '0.1'), ('lr', '0.01'), ('dim', '32'), ('dim', '64'), ('z', '4'), ('z', '8')) v(param, value)",
+    "param_grid": "SELECT trial, CAST(lr AS DOUBLE) AS lr, CAST(dim AS INT) AS dim, CAST(z AS INT) AS z FROM (VALUES (0.1), (0.01)) a(lr), (VALUES (32), (64)) b(dim), (VALUES (4), (8)) c(z), (SELECT DISTINCT user_id AS trial FROM events) d",
+    "one_at_a_time": "SELECT * FROM (VALUES ('lr', '0.1'), ('lr', '0.01'), ('dim', '32'), ('dim', '64'), ('z', '4'), ('z', '8')) v(param, value), (SELECT DISTINCT user_id AS trial FROM events) d",
     "loss_by_epoch": f"SELECT trial, CAST(pos // 10 AS INT) AS epoch, {_r('sum(loss)', 'loss')} FROM stats GROUP BY ALL",
     "best_trial": "SELECT trial, round(coalesce(val_loss, 1e6), 6) AS val_loss FROM second_last ORDER BY coalesce(val_loss, 1e6), trial LIMIT 1",
     "trial_summary": f"""SELECT s.trial, k, {_r('val_loss')}, n FROM second_last s LEFT JOIN (SELECT user_id AS trial, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS k
         FROM events GROUP BY user_id) c USING (trial) LEFT JOIN (SELECT trial, count(*) AS n FROM stats GROUP BY trial) m USING (trial)""",
-    "lr_schedule": """SELECT CAST(i AS INT) AS step, round(CASE WHEN i < 40 THEN i / 256.0::DOUBLE / 40 ELSE q / 256.0::DOUBLE + 0.001::DOUBLE / 256 * (1 - q) END, 9) AS lr
-        FROM (SELECT i, 0.5::DOUBLE * (1 + cos(pi() * (i - 40) / 160)) AS q FROM (SELECT unnest(range(200)) AS i) a) b""",
-    "split_model_name": "SELECT * FROM (VALUES ('net_v2_north', 'north', 'net_v2'), ('net_small_south', 'south', 'net_small'), ('single', 'single', ''), ('a_b_lab', 'lab', 'a_b')) v(model, lab, prefix)",
+    "lr_schedule": """SELECT trial, pos, round(CASE WHEN i < 400 THEN i / 256.0::DOUBLE / 400 ELSE q / 256.0::DOUBLE + 0.001::DOUBLE / 256 * (1 - q) END, 9) AS lr
+        FROM (SELECT trial, pos, pos * 20 AS i, 0.5::DOUBLE * (1 + cos(pi() * (pos * 20 - 400) / 1600)) AS q FROM stats) a""",
+    "split_model_name": """SELECT model, parts[len(parts)] AS lab, array_to_string(parts[:len(parts) - 1], '_') AS prefix FROM (SELECT model, string_split(model, '_') AS parts FROM
+        (SELECT DISTINCT CASE user_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN concat_ws('_', 'net', user_id, event_type) ELSE concat_ws('_', 'a', 'b', user_id, 'lab') END AS model FROM events) a WHERE model IS NOT NULL) b""",
     "knn_graph": "SELECT src, dst, CAST(rk AS INT) AS rk FROM near",
     "seed_labels": "SELECT run, node, label FROM seeds",
     "label_prop_step": f"SELECT run, node, label, {_r('p')} FROM h1",

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RUNS = 5
-TREE_NODES = 200
 
 
 def _dim(i: int):
@@ -77,7 +76,11 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tree(spark: SparkSession, nodes: int = TREE_NODES) -> DataFrame:
-    return spark.range(nodes).select(
-        F.col("id").cast("int").alias("node"), F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 2)).cast("int").alias("parent")
-    )
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node and parent (null at the root) of a binary tree whose leaves, in order, are the points: of n
+    points the nodes are 0 to 2 n - 2 and the leaves the last n."""
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("node"))
+    n = ids.agg(F.count(F.lit(1)).alias("n"))
+    inner = ids.crossJoin(F.broadcast(n)).where("node < n - 1").select((F.col("node") + F.col("n")).alias("node"))  # one row
+    parent = F.when(F.col("node") > 0, F.floor((F.col("node") - 1) / 2)).cast("int")
+    return ids.union(inner).select(F.col("node").cast("int").alias("node"), parent.alias("parent"))
