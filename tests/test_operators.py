@@ -70,7 +70,7 @@ def test_crop_voxels_pads_at_the_start(spark):
     bounds = crops.crop_bounds(det, shape, target).withColumn("t", F.lit(0))
     video = np.arange(18, dtype=float)
     volumes = spark.createDataFrame([(0, video.tolist())], "t int, voxels array<double>").withColumn("voxels", F.col("voxels").cast("array<float>"))
-    (got,) = crops.crop_voxels(bounds, volumes, shape, target).collect()
+    (got,) = crops.crop_voxels(bounds, crops.chunked(volumes, shape, (1, 2, 2)), shape, (1, 2, 2), target).collect()
     v = video.reshape(shape)[0:1, 0:2, 1:3]
     want = np.zeros(target)
     want[1:, :, :] = v

@@ -68,3 +68,24 @@ def test_template_in_blocks(spark):
             i = r["linear_ind"]
             assert r["template_ind"] == d[i].argmin() and r["conf"] == pytest.approx(np.exp(-d[i].min()) / np.exp(-d[i]).sum())
             assert r["agree"] == (i % 3 == d[i].argmin() % 3 and i % 3 != 0)
+
+
+def test_crops_of_chunks(spark):
+    """Crops at every place, edges and far outside too, whatever the chunks."""
+    shape, target = (5, 7, 6), (3, 4, 4)
+    rng = np.random.default_rng(6)
+    volume = rng.normal(size=shape).astype("float32")
+    centres = [(i, 0, *(float(v) for v in rng.uniform(-3, 10, 3))) for i in range(40)]
+    det = spark.createDataFrame(centres, "linear_ind bigint, t int, z double, x double, y double")
+    bounds = crops.crop_bounds(det, shape, target).withColumn("t", F.lit(0))
+    volumes = spark.createDataFrame([(0, volume.ravel().tolist())], "t int, voxels array<float>")
+    wanted = {}
+    for r in bounds.collect():
+        part = volume[r["z0"] : r["z1"], r["x0"] : r["x1"], r["y0"] : r["y1"]]
+        full = np.zeros([r[f"pad{a}"] + n for a, n in zip("zxy", part.shape, strict=True)], dtype="float32")
+        full[r["padz"] :, r["padx"] :, r["pady"] :] = part
+        assert full.shape == target
+        wanted[r["linear_ind"]] = full.ravel().tolist()
+    for chunk in ((2, 3, 4), (5, 7, 6)):
+        found = {r["linear_ind"]: r["voxels"] for r in crops.crop_voxels(bounds, crops.chunked(volumes, shape, chunk), shape, chunk, target).collect()}
+        assert found == wanted

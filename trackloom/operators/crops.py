@@ -41,25 +41,90 @@ def crop_bounds_bbox(boxes: DataFrame, shape: tuple[int, int, int], target: tupl
     return boxes.select("linear_ind", *_crop(centres, shape, target))
 
 
-def crop_voxels(bounds: DataFrame, volumes: DataFrame, shape: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
+_CHUNK = "t int, cz int, cx int, cy int, voxels array<float>"
+
+
+def chunked(volumes: DataFrame, shape: tuple[int, int, int], chunk: tuple[int, int, int]) -> DataFrame:
+    """t, cz, cx, cy, voxels: volumes (t, voxels flat by z, x, y) as chunks by their place in the grid,
+    flat too; the last ones of an axis may be smaller."""
+    import pyarrow as pa
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for t, flat in zip(batch.column(0).to_pylist(), batch.column(1)):
+                volume = flat.values.to_numpy(zero_copy_only=False).reshape(shape)
+                out = [], [], [], [], []
+                for at in np.ndindex(*(-(-n // c) for n, c in zip(shape, chunk, strict=True))):
+                    part = volume[tuple(slice(i * c, (i + 1) * c) for i, c in zip(at, chunk, strict=True))]
+                    for column, value in zip(out, (t, *at, part.ravel().astype("float32")), strict=True):
+                        column.append(value)
+                kinds = (*[pa.int32()] * 4, pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["t", "cz", "cx", "cy", "voxels"])
+
+    return volumes.select(F.col("t").cast("int").alias("t"), F.col("voxels").cast("array<float>").alias("voxels")).mapInArrow(run, _CHUNK)
+
+
+def crop_voxels(bounds: DataFrame, chunks: DataFrame, shape: tuple[int, int, int], chunk: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
     """linear_ind and voxels, the crop of a frame's volume with zeros at the start of each axis, flat.
 
-    volumes has t and voxels (array<float>, flat by z, x, y); bounds has t too. A voxel outside the
-    padded crop is 0.
+    chunks: chunked's table of volumes of a shape. bounds has t too. A crop meets the chunks that it
+    touches by their place, its part of each is cut out there, and only the parts travel to the crop:
+    no row holds a volume. A voxel outside the padded crop, and of a chunk that is missing, is 0.
     """
-    nz, nx, ny = target
-    rows = bounds.join(volumes, "t")
-
-    def voxel(i: Column) -> Column:
-        at = {"z": F.floor(i / (nx * ny)), "x": F.floor(i / ny) % nx, "y": i % ny}
-        place = {a: at[a] - F.col(f"pad{a}") + F.col(f"{a}0") for a in AXES}
-        inside = F.lit(True)
-        for a in AXES:
-            inside = inside & (at[a] >= F.col(f"pad{a}")) & (place[a] < F.col(f"{a}1"))
-        index = (place["z"] * shape[1] + place["x"]) * shape[2] + place["y"]
-        return F.when(inside, F.get("voxels", index.cast("int"))).otherwise(F.lit(0.0).cast("float"))
-
-    return rows.select("linear_ind", F.transform(F.sequence(F.lit(0), F.lit(nz * nx * ny - 1)), voxel).alias("voxels"))
+    import pyarrow as pa
+
+    size = target[0] * target[1] * target[2]
+    need = bounds
+    for a, c in zip(AXES, chunk, strict=True):
+        first, last = F.floor(F.col(f"{a}0") / c).cast("int"), F.floor((F.col(f"{a}1") - 1) / c).cast("int")
+        # an empty range meets no chunk, and leaves its crop without parts
+        need = need.withColumn(f"c{a}", F.explode_outer(F.when(F.col(f"{a}1") > F.col(f"{a}0"), F.sequence(first, last))))
+    edges = [f"{a}{e}" for a in AXES for e in (0, 1)]
+    met = need.join(chunks, ["t", "cz", "cx", "cy"], "left").select("linear_ind", *edges, *(f"pad{a}" for a in AXES), "cz", "cx", "cy", "voxels")
+
+    def part(batches):
+        """Places within the crop and voxels of what a crop and a chunk share."""
+        import numpy as np
+
+        for batch in batches:
+            rows = batch.drop_columns(["voxels"]).to_pylist()
+            places, held = [], []
+            for row, flat in zip(rows, batch.column(batch.num_columns - 1)):
+                if not flat.is_valid:
+                    places.append([])
+                    held.append([])
+                    continue
+                start = [row[f"c{a}"] * c for a, c in zip(AXES, chunk, strict=True)]
+                extent = [min(c, n - s) for c, n, s in zip(chunk, shape, start, strict=True)]
+                values = flat.values.to_numpy(zero_copy_only=False).reshape(extent)
+                lo = [max(row[f"{a}0"], s) for a, s in zip(AXES, start, strict=True)]
+                hi = [min(row[f"{a}1"], s + e) for a, s, e in zip(AXES, start, extent, strict=True)]
+                to = [np.arange(x, y) - row[f"{a}0"] + row[f"pad{a}"] for a, x, y in zip(AXES, lo, hi, strict=True)]
+                inside = [t < n for t, n in zip(to, target, strict=True)]
+                grid = np.ix_(*(t[i] for t, i in zip(to, inside, strict=True)))
+                cut_out = values[np.ix_(*(np.arange(x, y)[i] - s for x, y, s, i in zip(lo, hi, start, inside, strict=True)))]
+                places.append(((grid[0] * target[1] + grid[1]) * target[2] + grid[2]).ravel())
+                held.append(cut_out.ravel())
+            columns = [batch.column(0).cast(pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["linear_ind", "place", "v"])
+
+    def whole(batches):
+        import numpy as np
+
+        for batch in batches:
+            out = []
+            for parts in batch.column(1).to_pylist():
+                crop = np.zeros(size, dtype="float32")
+                for p in parts:
+                    crop[np.array(p["place"], dtype=np.int64)] = p["v"]
+                out.append(crop)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], names=["linear_ind", "voxels"])
+
+    parts = met.mapInArrow(part, "linear_ind bigint, place array<int>, v array<float>")
+    gathered = parts.groupBy("linear_ind").agg(F.collect_list(F.struct("place", "v")).alias("parts"))  # a crop's voxels at most
+    return gathered.mapInArrow(whole, "linear_ind bigint, voxels array<float>")
 
 
 def detection_names(detections: DataFrame, tracks: DataFrame, include_untracked: bool = True) -> DataFrame:

@@ -342,12 +342,12 @@ def tracked_names(spark, d):
 
 @query
 def crop_voxels(spark, d):
-    """Crops of a small volume per frame, whose voxels count up."""
-    shape, target = (4, 6, 5), (2, 4, 3)
+    """Crops of a small volume per frame, whose voxels count up, in chunks that divide no axis evenly but one."""
+    shape, target, chunk = (4, 6, 5), (2, 4, 3), (2, 4, 2)
     small = fx.det(spark, d).select("linear_ind", "t", (F.col("z") / 4).alias("z"), (F.col("x") / 20).alias("x"), (F.col("y") / 25).alias("y"))
     bounds = crops.crop_bounds(small, shape, target).join(small.select("linear_ind", "t"), "linear_ind")
     volumes = small.select("t").distinct().withColumn("voxels", F.transform(F.sequence(F.lit(0), F.lit(119)), lambda i: (i + F.col("t") * 1000 + 1).cast("float")))
-    found = crops.crop_voxels(bounds, volumes, shape, target)
+    found = crops.crop_voxels(bounds, crops.chunked(volumes, shape, chunk), shape, chunk, target)
     return found.select("linear_ind", F.posexplode("voxels").alias("pos", "v")).select("linear_ind", "pos", F.col("v").cast("double").alias("v"))
 
 
