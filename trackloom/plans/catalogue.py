@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.rounding import r6
-from trackloom.operators import assign, cluster, corr, crops, density, evaluate, frames, graph, sync, trials
+from trackloom.operators import assign, cluster, corr, crops, density, evaluate, frames, graph, layout, sync, trials
 from trackloom.operators.checkpoints import cut, ensure_checkpoint_dir
 from trackloom.plans import oracle
 from trackloom.plans.tracker import Tracker
@@ -630,6 +630,11 @@ def knn_descent(spark, d):
     return _recall(graph.knn(points, 10), graph.knn_descent(points, 10))
 
 
+@query
+def fuzzy_graph(spark, d):
+    return layout.fuzzy_graph(graph.knn(fx.vectors(spark, d), 10)).select("src", "dst", r6("w").alias("w"))
+
+
 @query
 def seed_shares(spark, d):
     """The share of the likeliest label after three steps, by blocks of 128 nodes and 4 labels."""

@@ -9,7 +9,7 @@ def _euclid(a: str = "a", b: str = "b") -> str:
 
 
 #: Views that several others or a query read more than once, and that are dear.
-WRITTEN = {"near", "vec", "fit", "fitcore", "unrot", "place", "mr3", *(f"{x}{i}" for x in "sce" for i in range(11)), *(f"h{i}" for i in range(4))}
+WRITTEN = {"near", "fars", "fuzz", "vec", "fit", "fitcore", "unrot", "place", "mr3", *(f"{x}{i}" for x in "sce" for i in range(11)), *(f"h{i}" for i in range(4))}
 
 VIEWS = {
     "det": """SELECT vec_id AS linear_ind, CAST(floor(vec_id / 10.0) AS INT) AS t, CAST(vec_id % 10 AS INT) AS raw_neuron_ind,
@@ -47,6 +47,13 @@ VIEWS = {
     "vec": "SELECT vec_id AS linear_ind, CAST(floor(vec_id / 10.0) AS INT) AS t, label + 1 AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings",
     "near": """SELECT src, dst, dist, rk FROM (SELECT a.linear_ind AS src, b.linear_ind AS dst, list_distance(a.x, b.x) AS dist,
         row_number() OVER (PARTITION BY a.linear_ind ORDER BY dist, b.linear_ind) AS rk FROM vec a, vec b) q WHERE rk <= 10""",
+    "fars": """SELECT src, far, mean, coalesce(list_filter(far, lambda d: d > 0)[1], 0) AS rho FROM
+        (SELECT src, list_sort(list(dist)) AS far, avg(dist) AS mean FROM near WHERE src <> dst GROUP BY src) q""",
+    "fuzz": """SELECT n.src, n.dst, CASE WHEN dist <= rho OR sigma = 0 THEN 1 ELSE exp(-(dist - rho) / sigma) END AS w FROM near n JOIN (SELECT src, rho, greatest(mid, mean / 1000) AS sigma FROM
+        (WITH RECURSIVE b(src, i, lo, hi, mid) AS (SELECT src, 0, 0.0::DOUBLE, 'inf'::DOUBLE, 1.0::DOUBLE FROM fars UNION ALL
+        SELECT src, i + 1, lo, hi, CASE WHEN hi = 'inf'::DOUBLE THEN mid * 2 ELSE (lo + hi) / 2 END FROM (SELECT b.src, i, CASE WHEN s > goal THEN lo ELSE mid END AS lo, CASE WHEN s > goal THEN mid ELSE hi END AS hi, mid FROM
+            (SELECT b.*, log2(len(far) + 1) AS goal, list_sum(list_transform(far, lambda d: exp(-greatest(d - rho, 0) / mid))) AS s FROM b JOIN fars USING (src) WHERE i < 64) b) c)
+        SELECT src, mid FROM b WHERE i = 64) m JOIN fars USING (src)) z ON z.src = n.src WHERE n.src <> n.dst""",
     "seeds": "SELECT t AS run, linear_ind AS node, CAST(row_number() OVER (PARTITION BY t ORDER BY linear_ind) AS INT) AS label FROM det WHERE t IN (0, 3, 6)",
     "loops": "SELECT src, dst FROM near UNION ALL SELECT DISTINCT src, src FROM near",
     "h0": "SELECT run, node, label, CAST(1 AS DOUBLE) AS p FROM seeds",
@@ -194,6 +201,7 @@ BODIES = {
         LEFT JOIN (SELECT name, round(CAST(count_if(correct) AS DOUBLE) / nullif(count_if(gt_valid), 0), 6) AS accuracy FROM cells GROUP BY name) a ON name = s.trial""",
     "knn_lsh": "SELECT src % 5 AS block, count(*) AS wanted, true AS enough FROM near WHERE rk <= 5 AND dist <= 0.9 GROUP BY 1",
     "knn_descent": "SELECT src % 5 AS block, count(*) AS wanted, true AS enough FROM near GROUP BY 1",
+    "fuzzy_graph": f"SELECT src, dst, {_r('max(w) + max(back) - max(w) * max(back)', 'w')} FROM (SELECT src, dst, w, 0.0::DOUBLE AS back FROM fuzz UNION ALL SELECT dst, src, 0.0, w FROM fuzz) q GROUP BY ALL",
     "seed_shares": "SELECT run, node, round(max(p) / sum(p), 6) AS p FROM h3 GROUP BY run, node",
     "labelings_of": """SELECT run, linear_ind, t, label, round(p, 6) AS prob FROM (SELECT *, e / sum(e) OVER (PARTITION BY run, node) AS p, row_number() OVER (PARTITION BY run, node ORDER BY e DESC, label) AS rn FROM
         (SELECT run, node, label, exp((p - max(p) OVER (PARTITION BY run, node)) / 0.02::DOUBLE) AS e FROM (SELECT run, node, label, round(p, 9) AS p FROM h3 UNION ALL SELECT DISTINCT run, node, 0, 0.0::DOUBLE FROM h3) a) b) c

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions.hdbscan import sizes_for
-from trackloom.operators import assign, cluster, evaluate, frames, graph, sync
+from trackloom.operators import assign, cluster, evaluate, frames, graph, layout, sync
 from trackloom.operators.checkpoints import cut, within
 
 #: Tracks of all windows that one task names, at most.
@@ -32,6 +32,9 @@ class Tracker:
     fitted_frames: int = 120
     least_share: float = 0.1
     over_chance: float = 1.1
+    #: Dimensions of a layout by the fuzzy neighbour graph that the global mode clusters, 0 for the points themselves.
+    layout_dimensions: int = 0
+    layout_neighbours: int = 10
 
     def track(self, mode: str) -> DataFrame:
         if mode not in MODES:
@@ -43,7 +46,11 @@ class Tracker:
         return assign.best_per_cell(rows).withColumn("name", F.col("name") + 1)
 
     def _global(self) -> DataFrame:
-        return self._tracks(cluster.hdbscan_labels(self.points, *sizes_for(self.n_frames, self.cluster_size, self.samples)))
+        points = self.points
+        if self.layout_dimensions:
+            fuzzy = layout.fuzzy_graph(graph.neighbours(points, self.layout_neighbours))
+            points = layout.spectral_layout(fuzzy, self.layout_dimensions).withColumnRenamed("node", "linear_ind")
+        return self._tracks(cluster.hdbscan_labels(points, *sizes_for(self.n_frames, self.cluster_size, self.samples)))
 
     def _streaming(self) -> DataFrame:
         """Fitted on evenly spaced frames; the objects of other frames are predicted from that fit."""
