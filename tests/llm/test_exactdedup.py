@@ -111,3 +111,13 @@ def test_odd_rows(odd, none, index):
     kept = exactdedup.keep(odd, decisions)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 9]
     assert exactdedup.dedup(none, index, "c").count() == 0
+
+
+def test_an_index_needs_a_warehouse_that_is_shared():
+    for master in ("local[4]", "local"):
+        exactdedup.ensure_shared_warehouse(master, "file:/work/spark-warehouse", "/work")
+    for master in ("local-cluster[3,2,1000]", "spark://host:7077", "yarn"):
+        exactdedup.ensure_shared_warehouse(master, "hdfs://host/warehouse", "/work")
+        exactdedup.ensure_shared_warehouse(master, "file:/shared/spark-warehouse", "/work")
+        with pytest.raises(RuntimeError):
+            exactdedup.ensure_shared_warehouse(master, "file:/work/spark-warehouse/", "/work")

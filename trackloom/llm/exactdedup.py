@@ -11,6 +11,7 @@ file; compact() makes it one again, so that a batch needs no sort of the index.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,14 @@ from trackloom.llm.common import cut, keep_rows, text_digest
 ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
+def ensure_shared_warehouse(master: str, warehouse: str, folder: str) -> None:
+    """An index is of no use in a folder of one machine: on a cluster the warehouse must not be Spark's default
+    one, under the driver's working folder."""
+    clustered = master.startswith("local-cluster") or not master.startswith("local")
+    if clustered and warehouse.removeprefix("file:").rstrip("/") == f"{folder.rstrip('/')}/spark-warehouse":
+        raise RuntimeError("spark.sql.warehouse.dir must name a folder that the driver and all executors share")
+
+
 @dataclass(frozen=True)
 class DigestIndex:
     """A table of digests already seen: digest, keep_id (the document that stays for it), batch.
@@ -38,6 +47,7 @@ class DigestIndex:
 
     def create(self) -> "DigestIndex":
         """The table, made if it isn't there; a compaction that was broken off is brought to its end."""
+        ensure_shared_warehouse(self.spark.sparkContext.master, self.spark.conf.get("spark.sql.warehouse.dir"), os.getcwd())
         if not self.spark.catalog.tableExists(self.table):
             if self.spark.catalog.tableExists(self._next):
                 self.spark.sql(f"ALTER TABLE {self._next} RENAME TO {self.table}")
