@@ -351,7 +351,7 @@ def test_clone_and_yaml(spark, tmp_path):
     assert configs.read_yaml(spark, str(tmp_path / "c.yaml")).first()["config"] == {"name": "a: b", "list.0": "1", "nest.name": "x", "steps": "6", "empty": None, "path": "/a#b"}
     (tmp_path / "d.yaml").write_text("- only a list\n")
     (tmp_path / "e.yaml").write_text("")
-    assert configs.read_yaml(spark, str(tmp_path / "d.yaml")).first()["config"] == {}
+    assert configs.read_yaml(spark, str(tmp_path / "d.yaml")).first()["config"] == {"0": "only a list"}
     assert configs.read_yaml(spark, str(tmp_path / "e.yaml")).count() == 0
 
 
