@@ -1,4 +1,4 @@
-"""Density clustering over detections, and agglomeration of its tree by time purity."""
+"""Density clustering over detections, and the goodness of its tree's nodes."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from trackloom.functions import hdbscan
 from trackloom.functions.rounding import long_count
 from trackloom.operators import density, graph
-from trackloom.operators.checkpoints import cut, within
+from trackloom.operators.agglomeration import agglomerate  # noqa: F401
+from trackloom.operators.checkpoints import cut
 
 
 def core_distance(neighbours: DataFrame, k: int | None) -> DataFrame:
@@ -157,105 +158,3 @@ def node_goodness(tree: DataFrame, detections: DataFrame, alpha: float = 0.9) ->
     rated = with_frame_count(counts, detections).where(F.col("total") <= 2 * F.col("n_frames"))
     purity = F.col("kept") / F.col("total")
     return rated.select("node", "total", "kept", purity.alias("purity"), goodness(purity, F.col("kept") / F.col("n_frames"), alpha).alias("goodness"))
-
-
-#: A fitted cluster is where seeds start unless it is larger than this many times the frames, or less pure.
-PRIOR_SIZE, PRIOR_PURITY = 1.2, 0.8
-
-
-def agglomerate(tree: DataFrame, detections: DataFrame, min_kept: int = 2, min_goodness: float = 0.5, patience: int = 5, alpha: float = 0.9, seed: int = 0) -> DataFrame:
-    """cluster, node, linear_ind, kept: clusters accepted greedily from frames in hashed order.
-
-    From each point of the frame that no cluster has yet, the node above it of greatest goodness whose
-    kept points are free is accepted if its goodness is over min_goodness. A cluster keeps one point
-    per frame, a free one first, then by score and index. Frames without a new cluster use up patience.
-
-    detections has score, and may have label, of a fit (above 0: clustered; others are leaves). Such a
-    fit is a prior: a point of a cluster that is small and pure enough and not yet used starts from
-    the cluster, which is accepted as it is unless a node above it is better; only clusters that
-    differ from the fit's count as new. The tree of one fit is one task's work; its points are counted first.
-    """
-    label = F.col("label").cast("int") if "label" in detections.columns else F.lit(None).cast("int")
-    rows = detections.select(F.lit(None).cast("bigint").alias("parent"), F.lit(None).cast("bigint").alias("child"), F.col("linear_ind").alias("point"), "t", "score", F.xxhash64(F.lit(seed), "t").alias("order"), label.alias("label"))
-    edges = tree.select("parent", "child", "point", *[F.lit(None).cast(k).alias(n) for n, k in (("t", "int"), ("score", "double"), ("order", "bigint"), ("label", "int"))])
-    goodness = lambda kept, total, frames: (1 - alpha) * kept / total + alpha * kept / frames
-
-    def solve(pdf):
-        import pandas as pd
-
-        points = pdf[pdf.parent.isna()]
-        frame, score = dict(zip(points.point, points.t, strict=True)), dict(zip(points.point, points.score, strict=True))
-        fitted = {p: int(k) for p, k in zip(points.point, points.label, strict=True) if not pd.isna(k) and k > 0}
-        clusters: dict = {}
-        for p, k in fitted.items():
-            clusters.setdefault(k, []).append(p)
-        above, below, leaf = {}, {}, {}
-        for parent, child, point in pdf.loc[pdf.parent.notna(), ["parent", "child", "point"]].itertuples(index=False):
-            above[child] = parent
-            if not pd.isna(point):
-                leaf[point] = child
-        for point, child in leaf.items():
-            node = child
-            while node is not None:
-                below.setdefault(node, []).append(point)
-                node = above.get(node)
-        by_frame: dict = {}
-        for p in sorted(leaf):
-            by_frame.setdefault(frame[p], []).append(p)
-        frames = sorted(set(points.t), key=dict(zip(points.t, points.order, strict=True)).get)
-        rated = {}
-        for node, members in below.items():
-            if min_kept <= len(members) <= 2 * len(frames):
-                kept = len({frame[p] for p in members})
-                if kept >= min_kept:
-                    rated[node] = goodness(kept, len(members), len(frames))
-        taken: set = set()
-        used: set = set()
-        out, left = [], patience
-
-        def keep(members):
-            best: dict = {}
-            for p in members:
-                key = (p not in taken, score[p], p)
-                if frame[p] not in best or key > best[frame[p]]:
-                    best[frame[p]] = key
-            return {key[2] for key in best.values()}
-
-        def prior(p):
-            """The node, members and kept points of p's fitted cluster, if it is one to start from."""
-            members = clusters.get(fitted.get(p), ())
-            if not members or len(members) > PRIOR_SIZE * len(frames):
-                return None
-            kept = keep(members)
-            return (above[leaf[p]], members, kept) if len(kept) >= PRIOR_PURITY * len(members) else None
-
-        accepted = 0
-        for t in frames:
-            new = 0
-            for p in by_frame.get(t, ()):
-                if p in taken:
-                    continue
-                start, name, best, changed = prior(p), None, None, False
-                node = start[0] if start else leaf[p]
-                if start and fitted[p] not in used:
-                    name = fitted[p]
-                    best = goodness(len(start[2]), len(start[1]), len(frames)), node, start[1], start[2]
-                while node is not None:
-                    bar = best[0] + 1e-6 if best else min_goodness
-                    if rated.get(node, 0) > bar and not (kept := keep(below[node])) & taken:
-                        best, changed = (rated[node], node, below[node], kept), True
-                    node = above.get(node)
-                if best and best[0] > min_goodness and not best[3] & taken:
-                    accepted += 1
-                    new += changed
-                    used.add(name)
-                    taken |= best[3]
-                    out += [(accepted, best[1], q, q in best[3]) for q in best[2]]
-            if not new:
-                if not left:
-                    break
-                left -= 1
-        return pd.DataFrame(out, columns=["cluster", "node", "linear_ind", "kept"])
-
-    both = within(rows.unionByName(edges), 4 * hdbscan.MOST_POINTS, "rows of a tree and its points")
-    return both.groupBy(F.lit(1).alias("all")).applyInPandas(solve, "cluster int, node bigint, linear_ind bigint, kept boolean")
