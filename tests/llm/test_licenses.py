@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from trackloom.llm import licenses
 from trackloom.llm.licenses import TEMPLATES, TOKEN
 
@@ -111,6 +113,26 @@ def test_measured_recall(spark):
     assert len(want) > 500 and right >= 0.99 * len(want), (right, len(want))
 
 
+def test_windows_do_not_depend_on_other_texts():
+    """A text's stretches are the same alone, among others and after a different text."""
+    rng = np.random.default_rng(4)
+    index = licenses.Templates(TEMPLATES + list(licenses.TEXTS))
+    texts = [np.concatenate([rng.integers(0, 2**63, n, dtype=np.uint64), part, rng.integers(0, 2**63, n, dtype=np.uint64)])
+             for n in (0, 1, 2, 37, 700) for part in (index.sets[3], index.sets[-1], index.sets[-4][::2], index.sets[0][:1])]
+    texts.append(np.concatenate([rng.integers(0, 2**63, licenses.STRETCH + 5, dtype=np.uint64), index.sets[-1]]))
+    texts.insert(2, texts[0][:0])
+    counts = np.array([len(t) for t in texts])
+    together = index.retrieve(np.concatenate(texts), 5, counts)
+    first, seen = 0, 0
+    for t in texts:
+        alone = index.retrieve(t, 5, np.array([len(t)]))
+        within = {k: {(a - first, b - first) for a, b in v if first <= a < first + len(t)} for k, v in together.items()}
+        assert {k: set(v) for k, v in alone.items()} == {k: v for k, v in within.items() if v}
+        assert all(0 <= a < b <= len(t) for v in alone.values() for a, b in v)
+        first, seen = first + len(t), seen + len(alone)
+    assert seen > 10
+
+
 def test_bands_guarantee_retrieval():
     assert (1 - 1 / 5) ** licenses.BANDS < 1e-4
     assert re.fullmatch(r"[\w.\-']+", "BY-NC")

@@ -80,13 +80,15 @@ TEMPLATES = [
 ]
 
 
-def _halved(least):
-    """The least of each two rows."""
+def _pairs(counts):
+    """Of texts with so many blocks each, in a row: the places of both halves of each block of the next
+    length, and the texts' numbers of those. A last block without a second half is paired with itself."""
     import numpy as np
 
-    if len(least) % 2:
-        least = np.concatenate([least, least[-1:]])
-    return np.minimum(least[0::2], least[1::2])
+    ends, halves = np.cumsum(counts), (counts + 1) // 2
+    within = np.arange(halves.sum()) - np.repeat(np.cumsum(halves) - halves, halves)
+    first = np.repeat(ends - counts, halves) + 2 * within
+    return first, np.minimum(first + 1, np.repeat(ends - 1, halves)), halves
 
 
 class Templates:
@@ -133,40 +135,70 @@ class Templates:
 
         return ((shingles[:, None] * self.a + self.b) >> np.uint64(32)).astype(np.uint32)
 
-    def retrieve(self, shingles, k: int) -> dict[int, list[tuple[int, int]]]:
-        """Template to the stretches of shingles (from, to) of windows that share a band with it."""
+    def retrieve(self, shingles, k: int, counts) -> dict[int, list[tuple[int, int]]]:
+        """Template to the stretches of shingles (from, to) of windows that share a band with it.
+
+        counts: the texts' numbers of shingles. Windows begin at multiples of their step from their text's
+        start and end with it, so a text's do not depend on what other texts there are.
+        """
         import numpy as np
 
         found: dict[int, list[tuple[int, int]]] = {}
+        widest = max(self.classes[k])
+        parts, held = [], 0  # (from, shingles, first and one past the last of the text)
+        at = 0
+        for n in counts.tolist():
+            for a in range(0, n, STRETCH):
+                part = min(STRETCH + widest, n - a)  # a window may reach over the end of its stretch
+                parts.append((at + a, part, at, at + n))
+                held += part
+                if held >= STRETCH:
+                    self._retrieve(shingles, k, np.array(parts), found)
+                    parts, held = [], 0
+            at += n
+        if parts:
+            self._retrieve(shingles, k, np.array(parts), found)
+        return found
+
+    def _retrieve(self, shingles, k: int, parts, found) -> None:
+        import numpy as np
+
         classes = self.classes[k]
-        widest = max(classes)
-        for at in range(0, len(shingles), STRETCH):
-            part = shingles[at : at + STRETCH + widest]  # a window may reach over the end of its stretch
-            least = np.concatenate([_halved(self.least(part[i : i + HASHED])) for i in range(0, len(part), HASHED)])
-            c = 1
-            while c < widest:
-                c *= 2
-                least = least if c == 2 else _halved(least)  # of blocks of c shingles
-                if c not in classes:
-                    continue
-                windows = np.minimum(least, np.concatenate([least[1:], least[-1:]]))
+        counts = parts[:, 1]
+        places = np.repeat(parts[:, 0] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        values = shingles[places]
+        first, second, counts = _pairs(counts)
+        step = HASHED // 2
+        least = np.concatenate([np.minimum(self.least(values[first[i : i + step]]), self.least(values[second[i : i + step]])) for i in range(0, len(first), step)])
+        c, widest = 2, max(classes)
+        while c <= widest:
+            if c > 2:
+                first, second, counts = _pairs(counts)
+                least = np.minimum(least[first], least[second])  # of blocks of c shingles
+            if c in classes:
+                ends = np.cumsum(counts)
+                part_of = np.repeat(np.arange(len(counts)), counts)
+                windows = np.minimum(least, least[np.minimum(np.arange(len(least)) + 1, ends[part_of] - 1)])
                 wanted, near, keys = self.index[k, c]
                 at_window, at_band = np.nonzero(near[windows & np.uint32(0xFFFF)])
                 met = np.isin(self.keys(at_band, windows[at_window, at_band]), keys)
                 for w, band in zip(at_window[met].tolist(), at_band[met].tolist(), strict=True):
+                    start, _, low, high = parts[part_of[w]].tolist()
+                    place = start + (w - int(ends[part_of[w]] - counts[part_of[w]])) * c
                     for t in np.flatnonzero(wanted[:, band] == windows[w, band]):
-                        found.setdefault(classes[c][t], []).append((max(0, at + w * c - c), at + w * c + 3 * c))
-        return found
+                        found.setdefault(classes[c][t], []).append((max(low, place - c), min(high, place + 3 * c)))
+            c *= 2
 
-    def matches(self, shingles, k: int, doc_of) -> list[tuple[int, int, int, float]]:
-        """(template, first shingle, last shingle, containment): least stretches within one document
+    def matches(self, shingles, k: int, counts) -> list[tuple[int, int, int, float]]:
+        """(template, first shingle, last shingle, containment): least stretches within one text
         that hold enough of the template, left to right and disjoint."""
         import numpy as np
 
         out = []
-        for t, stretches in self.retrieve(shingles, k).items():
+        doc_of = np.repeat(np.arange(len(counts)), counts)
+        for t, stretches in self.retrieve(shingles, k, counts).items():
             wanted = self.sets[t]
-            places = np.unique(np.concatenate([np.arange(a, min(b, len(shingles))) for a, b in sorted(set(stretches))]))
+            places = np.unique(np.concatenate([np.arange(a, b) for a, b in sorted(set(stretches))]))
             places = places[np.isin(shingles[places], wanted)]
             out += [(t, *m) for m in _least_stretches(places.tolist(), shingles[places].tolist(), doc_of[places].tolist(), len(wanted))]
         return out
@@ -236,10 +268,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col:
         doc_of = np.repeat(np.arange(len(words)), [len(w) for w in words])
         found = []
         for k in index.classes:
-            shingles = shingle_hashes(stream, k)
-            for t, a, b, held in index.matches(shingles, k, doc_of[: len(shingles)]):
-                if doc_of[a] == doc_of[b + k - 1]:
-                    found.append((int(doc_of[a]), t, int(a - starts[doc_of[a]]), int(b + k - 1 - starts[doc_of[a]]), held))
+            every = shingle_hashes(stream, k)
+            at = np.flatnonzero(doc_of[: len(every)] == doc_of[k - 1 :])  # shingles within one text, by their first word
+            for t, a, b, held in index.matches(every[at], k, np.bincount(doc_of[at], minlength=len(words))):
+                d = int(doc_of[at[a]])
+                found.append((d, t, int(at[a] - starts[d]), int(at[b] + k - 1 - starts[d]), held))
         out = [[], [], [], [], [], []]
         spans: dict[int, list] = {}
         for d, t, a, b, held in _best(found, index):
