@@ -3,7 +3,7 @@ import public_tokenizers
 import pytest
 
 from trackloom.llm import tokencounts as tc
-from trackloom.llm.queries import op6_token_counts
+from trackloom.llm.queries import op6_token_counts, token_fields
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RAW = open(PATH, "rb").read()
@@ -103,6 +103,43 @@ def test_fields(spark):
         tc.allocate(np.array([0]), np.array([1]), [(0, 1)], "other")
 
 
+def fields_plain(values, rule, separator="\n\n"):
+    """Tokens of the whole and of each field, by the brute-force allocation over the library's tokens."""
+    text, bounds, at = separator.join(values), [], 0
+    for v in values:
+        bounds.append((at, at + len(v)))
+        at += len(v) + len(separator)
+    starts, ends = tc.token_spans(text, RAW, public_tokenizers.PATTERN)
+    return len(starts), plain(starts.tolist(), ends.tolist(), bounds, rule)[0]
+
+
+@pytest.mark.parametrize("rule", tc.RULES)
+def test_fields_equal_brute_force(spark, rule):
+    long = "words and more, 😀 caf\u00e9 " * 4000
+    data = [(1, "web", "One text.\n\nAnd more"), (None, None, "no id"), (None, "", None), (3, "a", "a"), (3, "a", "a"), (4, "\u4e2d\u6587", "\n\n \n x")]
+    df = spark.createDataFrame([(i, s, t, "text", "bounds") for i, s, t in data], "doc_id bigint, source string, body string, text string, bounds string")
+    got = [(r["doc_id"], r["doc_tokens"], r["field_tokens"]) for r in tc.count_fields(df, ["source", "body"], PATH, public_tokenizers.PATTERN, rule, " ").collect()]
+    assert len(got) == len(data)
+    for i, s, t in data:
+        n, counts = fields_plain([s or "", t or ""], rule, " ")
+        assert any(g[0] == i and g[1] == n and g[2] == pytest.approx(counts) for g in got), (i, s, t)
+    big = tc.count_fields(spark.createDataFrame([(9, long, "end")], "doc_id bigint, a string, b string"), ["a", "b"], PATH, public_tokenizers.PATTERN, rule).first()
+    whole = tc.token_spans(long + "\n\nend", RAW, public_tokenizers.PATTERN)[0]
+    assert big["doc_tokens"] == len(whole) and big["field_tokens"][0] > len(whole) - 6
+    assert tc.count_fields(df.limit(0), ["source"], PATH, public_tokenizers.PATTERN, rule).count() == 0
+
+
+def test_fields_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in token_fields(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len({r["doc_id"] for r in rows})
+    for r in rows:
+        n, (source, text) = fields_plain([r["source"] or "", r["text"] or ""], "share")
+        g = got[r["doc_id"]]
+        assert (g["doc_tokens"], g["source_tokens"], g["text_tokens"]) == (n, pytest.approx(source, abs=1e-6), pytest.approx(text, abs=1e-6))
+
+
 def test_odd_rows(odd, none):
     rows = tc.count_sections(odd, PATH, public_tokenizers.PATTERN).collect()
     assert len({(r["doc_id"], r["section"]) for r in rows}) == len(rows) - 1  # document 3 is there twice

@@ -64,6 +64,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_sections(documents(spark, sf_dir), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def token_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a document by its fields, source and text; a token of both is shared by its characters."""
+    counted = tokencounts.count_fields(documents(spark, sf_dir), ["source", "text"], VOCABULARY, public_tokenizers.PATTERN, "share")
+    of = lambda i: F.round(F.col("field_tokens")[i], 6)
+    return counted.select("doc_id", "doc_tokens", of(0).alias("source_tokens"), of(1).alias("text_tokens"))
+
+
 def _fold(folds: int) -> Column:
     """crc32 of doc_id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
@@ -125,9 +132,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    """Queries by name: the operators, the pipeline, and operator 4 in batches."""
+    """Queries by name: the operators, the pipeline, operator 4 in batches and operator 6 by fields."""
     ten = (op1_secrets, op2_licenses, op3_rules, op4_exact_dedup, op5_bpe, op6_token_counts, op7_language, op8_ngram_join, op9_mix, op10_quality)
-    return {f.__name__: f for f in (pipeline, *ten, op11_divergence, op12_quantiles, op13_packing, digest_index_batches)}
+    return {f.__name__: f for f in (pipeline, *ten, op11_divergence, op12_quantiles, op13_packing, digest_index_batches, token_fields)}
 
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

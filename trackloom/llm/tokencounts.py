@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import map_texts
+from trackloom.llm.common import map_texts, small_batches
 
 RULES = ("start", "end", "largest", "share")
 _encodings: dict = {}
@@ -100,7 +100,10 @@ def line_bounds(text: str) -> list[tuple[int, int]]:
 
 
 def joined_fields(docs: DataFrame, fields: list[str], separator: str = "\n\n") -> DataFrame:
-    """doc_id, text (the fields joined, null ones empty) and bounds (their character spans, in order)."""
+    """doc_id, text (the fields joined, null ones empty) and bounds (their character spans, in order).
+
+    Fields of other types count as their text. Repeated rows, rows without an id and those without any field
+    stay rows; docs' own columns text and bounds, if any, are not returned."""
     values = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
     at, bounds = F.lit(0), []
     for v in values:
@@ -138,8 +141,12 @@ def count_sections(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "
 
 def count_fields(docs: DataFrame, fields: list[str], vocabulary: str, pattern: str, rule: str = "start", separator: str = "\n\n") -> DataFrame:
     """doc_id, doc_tokens and field_tokens (array<double>, in the order of fields): the fields joined
-    by separator are encoded as one text. Tokens of the separator alone go to no field. Null fields are
-    empty ones and have no tokens; repeated rows are counted one by one; an empty table gives no rows."""
+    by separator are encoded as one text. Tokens of the separator alone go to no field.
+
+    Null fields are empty ones and have no tokens, and rows without an id are counted as others are; repeated
+    rows are counted one by one; other columns are not read, whatever their names; an empty table gives
+    no rows. A document is encoded whole, whatever its length, and a worker holds one's tokens at a time."""
+    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:
         ranks = f.read()
 
