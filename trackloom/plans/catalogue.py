@@ -22,6 +22,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SHAPE, TARGET = (16, 128, 128), (8, 64, 64)
 WINDOW, STRIDE, SAMPLED = 20, 10, 12
 SEED_FRAMES, TEMPLATE_FRAMES = [0, 3, 6], [1, 2, 4, 7, 8]
+#: Buckets of stages by frame; a large project takes about one for each 128 MB of its largest stage.
+STAGE_BUCKETS = 8
 GRID = {"lr": [0.1, 0.01], "dim": [32, 64], "z": [4, 8]}
 
 
@@ -920,6 +922,25 @@ def catalog_tables(spark, d):
     return early.join(two.read("embeddings"), "linear_ind").select("linear_ind", F.col("t").cast("int").alias("t"), F.size("x").cast("bigint").alias("n"))
 
 
+def _bucketed(spark, name, df):
+    """A stage of a new project in buckets by frame, written, and read as a later run does."""
+    project = tables.Catalog(spark, f"{ensure_checkpoint_dir(spark)}/project-{uuid.uuid4().hex}")
+    project.stage_bucketed(name, lambda: df, STAGE_BUCKETS)
+    return project.stage_bucketed(name, lambda: df, STAGE_BUCKETS)
+
+
+@query
+def bucketed_votes(spark, d):
+    """Votes from a stage in buckets by frame: counted without a shuffle."""
+    return sync.vote_counts(_bucketed(spark, "labelings", _unrotated(spark, d)))
+
+
+@query
+def bucketed_accuracy(spark, d):
+    """Accuracy of each frame from a stage in buckets by frame."""
+    return _rated(evaluate.accuracy(_bucketed(spark, "aligned", _aligned(spark, d)), "t"))
+
+
 @query
 def nan_to_null(spark, d):
     holes = fx.det(spark, d).select("linear_ind", F.when(F.col("linear_ind") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("z")).alias("z"))

@@ -151,6 +151,7 @@ BODIES = {
     "enrich_tracks": f"SELECT p.name, p.t, d.raw_neuron_ind, {_r('d.z', 'z')}, {_r('d.x', 'x')}, {_r('d.y', 'y')} FROM pred p LEFT JOIN det d USING (t, raw_seg_id)",
     "accuracy_total": f"SELECT {ACCURACY} FROM cells",
     "accuracy_per_neuron": f"SELECT name, {ACCURACY} FROM cells GROUP BY name",
+    "bucketed_accuracy": f"SELECT t, {ACCURACY} FROM cells GROUP BY t",
     "accuracy_per_timepoint": f"SELECT t, {ACCURACY} FROM cells GROUP BY t",
     "accuracy_grouping_sets": f"SELECT name, t, {COUNTS} FROM cells GROUP BY GROUPING SETS ((), (name), (t))",
     "accuracy_cells": "SELECT name, t, gt_valid, miss, mismatch, correct FROM cells",
@@ -299,6 +300,7 @@ BODIES = {
     "label_rownorm": "SELECT run, node, label, round(p / sum(p) OVER (PARTITION BY run, node), 6) AS p FROM h3",
     "tree_closure": "SELECT anc, node FROM closure",
     "tree_ancestors": "SELECT node, count(*) AS n_anc FROM closure WHERE node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL) GROUP BY node",
+    "bucketed_votes": "SELECT t, linear_ind, label, count(*) AS n FROM votes GROUP BY ALL",
     "vote_counts": "SELECT t, linear_ind, label, count(*) AS n FROM votes GROUP BY ALL",
     "label_confusion": "SELECT ref, new, n FROM confusion",
     "column_weights": "SELECT run, label, round(1 / sqrt(sum(prob) + 1e-8), 6) AS w FROM top1 GROUP BY ALL",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -28,8 +29,7 @@ class Catalog:
         return df if frame is None else df.where(F.col("t") == frame)
 
     def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self._written(self.path(name))
 
     def write(self, name: str, df: DataFrame, by_frame: bool = False) -> DataFrame:
         """df written over the table of that name, in partitions by t if by_frame, and read again."""
@@ -42,6 +42,37 @@ class Catalog:
         df.repartitionByRange("linear_ind").sortWithinPartitions("linear_ind").write.mode("overwrite").option("maxRecordsPerFile", EMBEDDING_FILE_ROWS).parquet(self.path(name))
         return self.read(name)
 
+    def _bucket_table(self, name: str, buckets: int) -> tuple[str, str]:
+        """Name and folder of a table in so many buckets; the number is in both, as it fixes the layout."""
+        path = f"{self.root}/{name}.by_t_{buckets}.parquet"
+        return f"bucketed_{hashlib.md5(path.encode()).hexdigest()}", path
+
+    def write_bucketed(self, name: str, df: DataFrame, buckets: int) -> DataFrame:
+        """df in buckets by t, each one file, in order of t, so that what is done by frame needs no shuffle. A table
+        of that name and number of buckets is replaced; df must not read it."""
+        table, path = self._bucket_table(name, buckets)
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        writer = df.repartition(buckets, "t").write.format("parquet").mode("overwrite")
+        writer.bucketBy(buckets, "t").sortBy("t").option("path", path).saveAsTable(table)
+        return self.spark.read.table(table)
+
+    def read_bucketed(self, name: str, buckets: int) -> DataFrame:
+        """A table of write_bucketed, also by a session whose catalogue does not know it: the files tell their buckets."""
+        table, path = self._bucket_table(name, buckets)
+        if not self.spark.catalog.tableExists(table):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(path).schema)
+            self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (t) SORTED BY (t) INTO {buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.read.table(table)
+
+    def stage_bucketed(self, name: str, make: Callable[[], DataFrame], buckets: int) -> DataFrame:
+        """As stage, in buckets by t: a run that starts again finds what was written whole, and its layout."""
+        _, path = self._bucket_table(name, buckets)
+        return self.read_bucketed(name, buckets) if self._written(f"{path}/_SUCCESS") else self.write_bucketed(name, make(), buckets)
+
+    def _written(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
     def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The table if an earlier run has written it, else made, written and read."""
         return self.read(name) if self.exists(name) else self.write(name, make())
