@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackloom.functions.distances import CELLS
 from trackloom.operators import graph
 from trackloom.operators.checkpoints import cut
 from trackloom.operators.components import components
@@ -27,7 +28,7 @@ TASK_NODES = 200_000
 NEAR = 16
 
 
-def _bests(a, b, k_block: int = 256):
+def _bests(a, b):
     """(comp, w, lo, hi) of the least edge from each component of a to points of b in other components."""
     import numpy as np
 
@@ -38,8 +39,9 @@ def _bests(a, b, k_block: int = 256):
     names, at = np.unique(comp_a, return_inverse=True)
     best = np.full(len(names), np.inf)
     found: dict[int, tuple] = {}
-    for lo in range(0, len(ids_a), k_block):
-        rows = slice(lo, lo + k_block)
+    step = min(256, max(16, CELLS // max(1, len(ids_b))))
+    for lo in range(0, len(ids_a), step):
+        rows = slice(lo, lo + step)
         # squared, so that rounding is the same everywhere; a product gives distances but for rounding
         d = np.maximum(np.maximum(a2[rows, None] + b2 - 2 * xa[rows] @ xb.T, core_a[rows, None] ** 2), core_b**2)
         d[comp_a[rows, None] == comp_b] = np.inf
@@ -60,11 +62,10 @@ def _bests(a, b, k_block: int = 256):
 
 def _searched(asking: DataFrame, points: DataFrame, n: int, block: int) -> DataFrame:
     """comp, w, a, b: the least edge of each component, by block, from asking points to all points (linear_ind, x, core, comp)."""
-    blocks = max(1, -(-n // block))
-    place = F.pmod(F.xxhash64("linear_ind"), F.lit(blocks))
-    kept = ("linear_ind", "x", "core", "comp")
-    one = asking.select(*kept, place.alias("i"), F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j")).withColumn("j", F.col("j").cast("bigint"))
-    two = points.select(*kept, place.alias("j"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i")).withColumn("i", F.col("i").cast("bigint"))
+    few, many = graph.blocks_of(asking.count(), block), graph.blocks_of(n, block)
+    kept, place = ("linear_ind", "x", "core", "comp"), lambda blocks: F.pmod(F.xxhash64("linear_ind"), F.lit(blocks))
+    one = asking.select(*kept, place(few).alias("i"), F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("j")).withColumn("j", F.col("j").cast("bigint"))
+    two = points.select(*kept, place(many).alias("j"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("i")).withColumn("i", F.col("i").cast("bigint"))
 
     def nearest(pdf):
         import numpy as np
@@ -107,7 +108,7 @@ def spanning_edges(points: DataFrame, min_samples: int, block: int = graph.BLOCK
         known = edges.select(F.col("comp_a").alias("comp"), edge).unionByName(edges.select(F.col("comp_b").alias("comp"), edge))
         best = cut(known.groupBy("comp").agg(F.min("e").alias("e")))
         now = points.join(comps, "linear_ind")
-        asking = now.join(best, "comp", "left").where(F.col("e").isNull() | (F.col("least") <= F.col("e.w"))).select(*now.columns)
+        asking = cut(now.join(best, "comp", "left").where(F.col("e").isNull() | (F.col("least") <= F.col("e.w"))).select(*now.columns))
         more = _searched(asking, now, n, block).select("comp", edge)
         chosen = cut(best.unionByName(more).groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.*"))
         fresh = chosen.select("a", "b", "w").distinct()
