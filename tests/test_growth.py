@@ -30,3 +30,27 @@ def test_knn_of_many_small_blocks_is_that_of_one(spark):
     points = spark.createDataFrame([(i, r.normal(size=3).tolist()) for i in range(120)], "linear_ind bigint, x array<double>")
     rows = lambda block: {tuple(x) for x in graph.knn(points, 4, block=block).select("src", "dst", "rk").collect()}
     assert rows(3) == rows(4096)
+
+
+def _chain(spark):
+    edges = spark.createDataFrame([(a, b) for a in range(40) for b in (a - 1, a, a + 1, (a * 7) % 40) if 0 <= b < 40], "src bigint, dst bigint")
+    seeds = spark.createDataFrame([(r, n, k + 1) for r, ns in ((0, (0, 13, 39)), (4, (5, 20))) for k, n in enumerate(ns)], "run int, node bigint, label int")
+    return edges, seeds
+
+
+def test_blocks_of_shares_are_few_however_small(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_BLOCKS", 3)
+    assert graph.blocks_of(40, 2) == 3
+    edges, seeds = _chain(spark)
+    rows = lambda df: {(r.run, r.node): (r.label, round(r.p, 9)) for r in df.collect()}
+    assert rows(graph.seed_shares(edges, seeds, 4, node_block=2, label_chunk=2)) == rows(graph.seed_shares(edges, seeds, 4))
+
+
+def test_shares_of_more_nodes_than_a_block_need_no_shuffle_per_step(spark, monkeypatch):
+    edges, seeds = _chain(spark)
+    want = {tuple(r) for r in graph.seed_shares(edges, seeds, 3).select("run", "node", "label").collect()}
+    monkeypatch.setattr(graph, "NODE_BLOCK", 10)
+    monkeypatch.setattr(graph, "BAND", 7)
+    monkeypatch.setattr(graph, "COLUMN_CELLS", 80)  # two labels a task: a run's labels meet after
+    monkeypatch.setattr(graph, "blocks_of", None)
+    assert {tuple(r) for r in graph.seed_shares(edges, seeds, 3).select("run", "node", "label").collect()} == want
