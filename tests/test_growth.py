@@ -54,3 +54,14 @@ def test_shares_of_more_nodes_than_a_block_need_no_shuffle_per_step(spark, monke
     monkeypatch.setattr(graph, "COLUMN_CELLS", 80)  # two labels a task: a run's labels meet after
     monkeypatch.setattr(graph, "blocks_of", None)
     assert {tuple(r) for r in graph.seed_shares(edges, seeds, 3).select("run", "node", "label").collect()} == want
+
+
+def test_buckets_of_nearly_all_points_are_not_joined(spark, monkeypatch):
+    """Twelve tables whose buckets hold all points: every pair would be a row, twelve times."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSHModel
+
+    r = np.random.default_rng(6)
+    points = spark.createDataFrame([(i, (r.normal(size=8) / 8).tolist()) for i in range(90)], "linear_ind bigint, x array<double>")
+    want = {tuple(x) for x in graph.knn(points, 4).where("dist <= 0.4").select("src", "dst").collect()}
+    monkeypatch.setattr(BucketedRandomProjectionLSHModel, "approxSimilarityJoin", None)
+    assert {tuple(x) for x in graph.knn_lsh(points, 4, 0.4, tables=12, width=1.0).select("src", "dst").collect()} == want
