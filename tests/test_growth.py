@@ -65,3 +65,18 @@ def test_buckets_of_nearly_all_points_are_not_joined(spark, monkeypatch):
     want = {tuple(x) for x in graph.knn(points, 4).where("dist <= 0.4").select("src", "dst").collect()}
     monkeypatch.setattr(BucketedRandomProjectionLSHModel, "approxSimilarityJoin", None)
     assert {tuple(x) for x in graph.knn_lsh(points, 4, 0.4, tables=12, width=1.0).select("src", "dst").collect()} == want
+
+
+def test_windows_of_a_frame_are_found_without_the_list_of_all(spark):
+    from pyspark.sql import functions as F
+
+    from trackloom.operators import frames
+
+    for n_frames, width, stride in ((11, 4, 2), (11, 4, 3), (12, 5, 7), (5, 5, 2), (4, 6, None), (1, 1, 1), (6, 5, 2), (9, 3, 1)):
+        rows = spark.range(n_frames).select(F.col("id").cast("int").alias("t"))
+        every = spark.range(1).select(F.explode(F.array_distinct(frames.window_starts(F.lit(n_frames), width, stride))).alias("start")).collect()
+        want = sorted((s, t) for s, in every for t in range(n_frames) if s <= t < s + width)
+        found = frames.overlapping_windows(rows, width, stride)
+        assert sorted(tuple(r) for r in found.collect()) == want and found.schema["start"].dataType.simpleString() == "int"
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "filter(" not in plan.lower().replace("filter (", "")  # no row goes through all starts

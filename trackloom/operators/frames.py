@@ -63,11 +63,18 @@ def window_starts(n_frames: Column, width: int, stride: int | None = None) -> Co
 def overlapping_windows(detections: DataFrame, width: int, stride: int | None = None) -> DataFrame:
     """start and the columns of detections, for every window that a detection is in.
 
-    A detection knows its own windows from its frame, so there is no join with the list of windows.
+    A detection knows its own windows from its frame, so there is no join with the list of windows, nor is
+    that list made: only the starts around the frame are. They are those of window_starts.
     """
+    stride = stride or max(1, width // 2)
     rows = with_frame_count(detections, detections)
-    starts = F.filter(F.array_distinct(window_starts(F.col("n_frames"), width, stride)), lambda s: (s <= F.col("t")) & (F.col("t") <= s + width - 1))
-    return rows.select(F.explode(starts).alias("start"), *detections.columns)
+    last = F.col("n_frames") - width - 1
+    least = F.greatest(F.lit(0), F.ceil((F.col("t") - width + 1) / stride) * stride).cast("int")
+    most = (F.floor(F.least(F.col("t"), last) / stride) * stride).cast("int")
+    none = F.array().cast("array<int>")
+    regular = F.when((last >= 0) & (least <= most), F.sequence(least, most, F.lit(stride))).otherwise(none)
+    end = F.when((last <= F.col("t")) & (F.col("t") <= last + width - 1), F.array(last)).otherwise(none)
+    return rows.select(F.explode(F.array_distinct(F.concat(regular, end))).alias("start"), *detections.columns)
 
 
 def evenly_spaced(detections: DataFrame, n: int) -> DataFrame:
