@@ -80,3 +80,17 @@ def test_windows_of_a_frame_are_found_without_the_list_of_all(spark):
         assert sorted(tuple(r) for r in found.collect()) == want and found.schema["start"].dataType.simpleString() == "int"
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "filter(" not in plan.lower().replace("filter (", "")  # no row goes through all starts
+
+
+def test_votes_of_a_frame_are_fused_as_the_assignment_of_most_votes(spark):
+    from itertools import permutations
+
+    from trackloom.operators import sync
+
+    votes = {5: {(1, 2): 3, (1, 4): 1, (2, 2): 2, (3, 4): 5}, 6: {(9, 1): 1}}
+    rows = [(t, o, lab, n) for t, of in votes.items() for (o, lab), n in of.items()]
+    found = sync.fuse_votes(spark.createDataFrame(rows, "t int, linear_ind bigint, label int, n bigint"), 5).collect()
+    assert {r.t: round(sum(x.confidence for x in found if x.t == r.t) * 5) for r in found} == {
+        t: max(sum(of.get(p, 0) for p in zip(os, sorted({lab for _, lab in of}))) for os in permutations(sorted({o for o, _ in of}), len({lab for _, lab in of}))) for t, of in votes.items()
+    }
+    assert sorted((r.t, r.linear_ind, r.label) for r in found) == [(5, 1, 2), (5, 3, 4), (6, 9, 1)]

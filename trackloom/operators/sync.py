@@ -77,11 +77,17 @@ def fuse_votes(votes: DataFrame, runs: int) -> DataFrame:
     confidence 0. A frame is one task's matrix."""
 
     def solve(pdf):
+        import numpy as np
         import pandas as pd
 
-        table = pdf.pivot_table(index="linear_ind", columns="label", values="n", aggfunc="sum", fill_value=0).sort_index().sort_index(axis=1)
-        found = [(int(table.index[r]), int(pdf.t.iloc[0]), int(table.columns[c]), float(table.iat[r, c]) / runs) for r, c in assign(-table.to_numpy())]
-        return pd.DataFrame(found, columns=["linear_ind", "t", "label", "confidence"])
+        pdf = pdf if pdf.label.notna().all() else pdf[pdf.label.notna()]
+        objects, row = np.unique(pdf.linear_ind.to_numpy(), return_inverse=True)
+        labels, column = np.unique(pdf.label.to_numpy(), return_inverse=True)
+        table = np.zeros((len(objects), len(labels)))
+        np.add.at(table, (row, column), pdf.n.to_numpy())
+        r, c = np.array(assign(-table), dtype=int).reshape(-1, 2).T
+        frame = int(pdf.t.iloc[0]) if len(pdf) else 0
+        return pd.DataFrame({"linear_ind": objects[r], "t": frame, "label": labels[c], "confidence": table[r, c] / runs})
 
     return votes.groupBy("t").applyInPandas(solve, "linear_ind bigint, t int, label int, confidence double")
 
