@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from trackloom.functions.distances import nearest_in_block
-from trackloom.operators import graph
+from trackloom.operators import agglomeration, density, graph
 
 
 def test_copies_of_points_do_not_grow_with_their_number():
@@ -94,3 +94,31 @@ def test_votes_of_a_frame_are_fused_as_the_assignment_of_most_votes(spark):
         t: max(sum(of.get(p, 0) for p in zip(os, sorted({lab for _, lab in of}))) for os in permutations(sorted({o for o, _ in of}), len({lab for _, lab in of}))) for t, of in votes.items()
     }
     assert sorted((r.t, r.linear_ind, r.label) for r in found) == [(5, 1, 2), (5, 3, 4), (6, 9, 1)]
+
+
+def test_size_estimates_do_not_multiply_over_rounds(spark):
+    """A checkpoint keeps its plan's estimate, and a join's is a product: in six rounds it had a hundred thousand digits."""
+    r = np.random.default_rng(2)
+    points = spark.createDataFrame([(i, r.normal(size=2).tolist()) for i in range(250)], "linear_ind bigint, x array<double>")
+    edges = density.spanning_edges(points, 2)
+    assert edges.count() == 249
+    bits = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+    assert bits(edges) < 500
+    assert bits(density.condensed_tree(points, edges, 4, task_nodes=40)) < 500
+
+
+def test_a_deep_tree_takes_memory_by_its_rows():
+    import tracemalloc
+
+    import pandas as pd
+
+    n = 3000  # a caterpillar: a point falls out at each node
+    inner = [(-1 - i, -i if i else -1, False, 0) for i in range(n)]
+    rows = pd.DataFrame([*inner, *((n + i, -1 - i, True, i) for i in range(n))], columns=["node", "parent", "is_point", "point"])
+    rows = rows.assign(t=rows.point, score=1.0, order=rows.point, label=0)
+    tracemalloc.start()
+    found = list(agglomeration._accept(rows, n, 2, 0.5, 0.9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == n and all(x[4] for x in found)
+    assert peak < 12e6

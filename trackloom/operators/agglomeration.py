@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.operators import graph
-from trackloom.operators.checkpoints import cut
+from trackloom.operators.checkpoints import cut, cut_round
 from trackloom.operators.components import components
 from trackloom.operators.frames import hashed_order
 
@@ -52,10 +52,10 @@ def pieces(tree: DataFrame, most: int) -> DataFrame:
     small = cut(_sized(tree).where(F.col("size") <= most).drop("size"))
     inner = small.where("point is null")
     among = inner.select(F.col("node").alias("parent"), F.lit(True).alias("within"))
-    top = cut(inner.join(among, "parent", "left").select("node", F.when(F.col("within"), F.col("parent")).otherwise(F.col("node")).alias("piece")))
+    top = cut_round(inner.join(among, "parent", "left").select("node", F.when(F.col("within"), F.col("parent")).otherwise(F.col("node")).alias("piece")))
     while True:
         on = top.select(F.col("node").alias("piece"), F.col("piece").alias("further"))
-        step = cut(top.join(on, "piece").select("node", F.col("further").alias("piece"), (F.col("further") != F.col("piece")).alias("moved")))
+        step = cut_round(top.join(on, "piece").select("node", F.col("further").alias("piece"), (F.col("further") != F.col("piece")).alias("moved")))
         top = step.select("node", "piece")
         if step.where("moved").isEmpty():
             break
@@ -83,26 +83,75 @@ def _together(held: DataFrame, most: float) -> DataFrame:
 
 
 def _accept(pdf, n_frames: int, min_kept: int, min_goodness: float, alpha: float):
-    """(seed, new, node, point, kept) of the clusters that a piece's seeds are given, in order."""
-    above, leaf, below = dict(zip(pdf.node, pdf.parent, strict=True)), {}, {}
+    """(seed, new, node, point, kept) of the clusters that a piece's seeds are given, in order.
+
+    A node's points stand side by side in the order of the tree, so that memory grows with the piece and not with its
+    depth. A node is blocked for good once all its points of a frame are taken: a point that is taken
+    blocks nodes above it up to the first that holds a free one of its frame. Blocked nodes are passed over by jumps.
+    """
+    above = dict(zip(pdf.node.tolist(), pdf.parent.tolist(), strict=True))
+    names = list(above)
+    number = {node: i for i, node in enumerate(names)}
+    up = [number.get(parent, -1) if parent != node else -1 for node, parent in above.items()]
     points = pdf[pdf.is_point]
-    frame, score, fitted, clusters = {}, {}, {}, {}
-    for p, node, t, s, label in zip(points.point, points.node, points.t, points.score, points.label, strict=True):
-        leaf[p], frame[p], score[p] = node, t, s
+    at, frame, score, fitted, clusters = {}, {}, {}, {}, {}
+    children, held = [[] for _ in up], [[] for _ in up]
+    for p, node, t, s, label in zip(*(points[c].tolist() for c in ("point", "node", "t", "score", "label")), strict=True):
+        at[p], frame[p], score[p] = number[node], t, s
+        held[number[node]].append(p)
         if label > 0:
             fitted[p] = label
             clusters.setdefault(label, []).append(p)
-        while node in above:
-            below.setdefault(node, []).append(p)
-            node = above[node] if above[node] != node else None
+    roots = []
+    for i, parent in enumerate(up):
+        (children[parent] if parent >= 0 else roots).append(i)
+    order, row, low, waiting = [], [], [0] * len(up), roots[::-1]
+    while waiting:
+        i = waiting.pop()
+        low[i] = len(row)
+        order.append(i)
+        row += held[i]
+        waiting += children[i]
+    # frames of a node: the smaller set goes into the larger
+    high, rated, seen = low[:], [0.0] * len(up), [{frame[p] for p in ps} for ps in held]
     goodness = lambda kept, total: (1 - alpha) * kept / total + alpha * kept / n_frames
-    rated = {}
-    for node, members in below.items():
-        if min_kept <= len(members) <= 2 * n_frames:
-            kept = len({frame[p] for p in members})
-            if kept >= min_kept:
-                rated[node] = goodness(kept, len(members))
-    taken, used = set(), set()
+    for i in reversed(order):
+        high[i] = max(high[i], low[i] + len(held[i]))
+        kept, total = len(seen[i]), high[i] - low[i]
+        if min_kept <= total <= 2 * n_frames and kept >= min_kept:
+            rated[i] = goodness(kept, total)
+        if (parent := up[i]) >= 0:
+            high[parent] = max(high[parent], high[i])
+            one, two = sorted((seen[i], seen[parent]), key=len)
+            two |= one
+            seen[parent] = two
+        seen[i] = None
+    floor = min(min_goodness, 0.0) if fitted else min_goodness  # no bar is under it
+    jump = [i if rated[i] > floor else up[i] for i in range(len(up))]
+
+    def find(i):
+        """The first node from i upwards that is neither blocked nor too bad."""
+        passed = []
+        while i >= 0 and jump[i] != i:
+            passed.append(i)
+            i = jump[i]
+        for k in passed:
+            jump[k] = i
+        return i
+
+    place = {p: k for k, p in enumerate(row)}
+    before, after, last = {}, {}, {}  # the free points of a frame as a chain, by place
+    for p, k in place.items():
+        before[k], after[k] = last.get(frame[p], -1), len(row)
+        if before[k] >= 0:
+            after[before[k]] = k
+        last[frame[p]] = k
+    free: dict = {}
+    for p, label in fitted.items():
+        free[label, frame[p]] = free.get((label, frame[p]), 0) + 1
+    wide = {label: len({frame[p] for p in members}) for label, members in clusters.items()}
+    prior = {label for label, members in clusters.items() if len(members) <= PRIOR_SIZE * n_frames and wide[label] >= PRIOR_PURITY * len(members)}
+    taken, used, blocked = set(), set(), set()
 
     def keep(members):
         best: dict = {}
@@ -112,31 +161,41 @@ def _accept(pdf, n_frames: int, min_kept: int, min_goodness: float, alpha: float
                 best[frame[p]] = key
         return {key[2] for key in best.values()}
 
-    def prior(p):
-        """The node, members and kept points of p's fitted cluster, if it is one to start from."""
-        members = clusters.get(fitted.get(p), ())
-        if not members or len(members) > PRIOR_SIZE * n_frames:
-            return None
-        kept = keep(members)
-        return (above[leaf[p]], members, kept) if len(kept) >= PRIOR_PURITY * len(members) else None
+    def take(p):
+        taken.add(p)
+        lo, hi = before[place[p]], after[place[p]]
+        if lo >= 0:
+            after[lo] = hi
+        if hi < len(row):
+            before[hi] = lo
+        i = find(at[p])
+        while i >= 0 and lo < low[i] and high[i] <= hi:
+            jump[i] = up[i]
+            i = find(i)
+        if label := fitted.get(p):
+            free[label, frame[p]] -= 1
+            if not free[label, frame[p]]:
+                blocked.add(label)
 
-    for seed in points.sort_values(["order", "t", "point"]).point:
+    for seed in points.sort_values(["order", "t", "point"]).point.tolist():
         if seed in taken:
             continue
-        start, name, best, changed = prior(seed), None, None, False
-        node = start[0] if start else leaf[seed]
-        if start and fitted[seed] not in used:
-            name = fitted[seed]
-            best = goodness(len(start[2]), len(start[1])), node, start[1], start[2]
-        while node in above:
-            bar = best[0] + 1e-6 if best else min_goodness
-            if rated.get(node, 0) > bar and not (kept := keep(below[node])) & taken:
-                best, changed = (rated[node], node, below[node], kept), True
-            node = above[node] if above[node] != node else None
-        if best and best[0] > min_goodness and not best[3] & taken:
+        label, name, best, changed = fitted.get(seed), None, None, -1
+        start = above[names[at[seed]]] if label in prior else names[at[seed]]
+        if label in prior and label not in used:
+            name, best = label, goodness(wide[label], len(clusters[label]))
+        i = find(number.get(start, -1))
+        while i >= 0:
+            if rated[i] > (min_goodness if best is None else best + 1e-6):
+                best, changed = rated[i], i
+            i = find(up[i])
+        if best is not None and best > min_goodness and (changed >= 0 or label not in blocked):
+            members = row[low[changed] : high[changed]] if changed >= 0 else clusters[label]
+            kept = keep(members)
             used.add(name)
-            taken |= best[3]
-            yield from ((seed, changed, best[1], p, p in best[3]) for p in best[2])
+            for p in kept:
+                take(p)
+            yield from ((seed, changed >= 0, names[changed] if changed >= 0 else start, p, p in kept) for p in members)
 
 
 def agglomerate(tree: DataFrame, detections: DataFrame, min_kept: int = 2, min_goodness: float = 0.5, patience: int = 5, alpha: float = 0.9, seed: int = 0, task_rows: int = TASK_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.checkpoints import cut
+from trackloom.operators.checkpoints import cut, cut_round
 
 #: Edges that one task joins in memory, about 200 bytes each; more are contracted in rounds first.
 TASK_EDGES = 200_000
@@ -40,19 +40,19 @@ def components(edges: DataFrame) -> DataFrame:
     steps = []
     while now.count() > TASK_EDGES:
         both = now.union(now.select("v", "u"))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = cut_round(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         while True:  # along chains of ever lesser neighbours to their ends
             on = least.select(F.col("u").alias("m"), F.col("m").alias("end"))
-            further = cut(least.join(on, "m", "left").select("u", F.coalesce("end", "m").alias("m"), (F.coalesce("end", "m") < F.col("m")).alias("moved")))
+            further = cut_round(least.join(on, "m", "left").select("u", F.coalesce("end", "m").alias("m"), (F.coalesce("end", "m") < F.col("m")).alias("moved")))
             least = further.select("u", "m")
             if further.where("moved").isEmpty():
                 break
         steps.append(least)
         of = lambda side: least.select(F.col("u").alias(side), F.col("m").alias(f"m_{side}"))
         moved = now.join(of("u"), "u").join(of("v"), "v").where("m_u <> m_v")
-        now = cut(moved.select(F.least("m_u", "m_v").alias("u"), F.greatest("m_u", "m_v").alias("v")).distinct())
+        now = cut_round(moved.select(F.least("m_u", "m_v").alias("u"), F.greatest("m_u", "m_v").alias("v")).distinct())
     found = now.coalesce(1).mapInArrow(_joined, "node bigint, root bigint")
     for least in reversed(steps):
         later = found.select(F.col("node").alias("m"), "root")
-        found = cut(least.join(later, "m", "left").select(F.col("u").alias("node"), F.coalesce("root", "m").alias("root")))
+        found = cut_round(least.join(later, "m", "left").select(F.col("u").alias("node"), F.coalesce("root", "m").alias("root")))
     return found

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.distances import CELLS
 from trackloom.operators import graph
-from trackloom.operators.checkpoints import cut
+from trackloom.operators.checkpoints import cut, cut_round
 from trackloom.operators.components import components
 
 #: Nodes of a piece of a level, which is one task's work, at most.
@@ -103,19 +103,19 @@ def spanning_edges(points: DataFrame, min_samples: int, block: int = graph.BLOCK
     while left > 1:
         to = lambda side: comps.select(F.col("linear_ind").alias(side), F.col("comp").alias(f"comp_{side}"))
         # edges within a component never come back
-        edges = cut(edges.drop("comp_a", "comp_b").join(to("a"), "a").join(to("b"), "b").where("comp_a <> comp_b"))
+        edges = cut_round(edges.drop("comp_a", "comp_b").join(to("a"), "a").join(to("b"), "b").where("comp_a <> comp_b"))
         edge = F.struct("w", "a", "b").alias("e")
         known = edges.select(F.col("comp_a").alias("comp"), edge).unionByName(edges.select(F.col("comp_b").alias("comp"), edge))
-        best = cut(known.groupBy("comp").agg(F.min("e").alias("e")))
+        best = cut_round(known.groupBy("comp").agg(F.min("e").alias("e")))
         now = points.join(comps, "linear_ind")
         asking = cut(now.join(best, "comp", "left").where(F.col("e").isNull() | (F.col("least") <= F.col("e.w"))).select(*now.columns))
         more = _searched(asking, now, n, block).select("comp", edge)
-        chosen = cut(best.unionByName(more).groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.*"))
+        chosen = cut_round(best.unionByName(more).groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.*"))
         fresh = chosen.select("a", "b", "w").distinct()
         tree = fresh if tree is None else tree.unionByName(fresh)
         met = chosen.select("a", "b").distinct().join(to("a"), "a").join(to("b"), "b")
         roots = components(met.select(F.col("comp_a").alias("u"), F.col("comp_b").alias("v"))).withColumnRenamed("node", "comp")
-        comps = cut(comps.join(roots, "comp").select("linear_ind", F.col("root").alias("comp")))
+        comps = cut_round(comps.join(roots, "comp").select("linear_ind", F.col("root").alias("comp")))
         left = comps.agg(F.count_distinct("comp")).first()[0]
     return tree if tree is not None else points.select(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0.0).alias("w")).where("false")
 
@@ -193,7 +193,7 @@ def condensed_tree(points: DataFrame, edges: DataFrame, min_cluster_size: int, t
         while taken is None:
             most = edges.agg(F.max("number")).first()[0] if share == 1.0 else edges.approxQuantile("number", [share], 0.0)[0]
             part = edges.where(F.col("number") <= int(most))
-            roots = cut(components(part.select("u", "v")))
+            roots = cut_round(components(part.select("u", "v")))
             largest = roots.groupBy("root").count().agg(F.max("count")).first()[0]
             if largest <= task_nodes + 1 or part.count() <= task_nodes:
                 taken = part
@@ -202,20 +202,20 @@ def condensed_tree(points: DataFrame, edges: DataFrame, min_cluster_size: int, t
         empty = {c: F.lit(None).cast(t) for c, t in (("number", "bigint"), ("u", "bigint"), ("v", "bigint"), ("a", "bigint"), ("b", "bigint"), ("w", "double"))}
         held = nodes.join(roots, "node").withColumns(empty)
         joins = taken.join(roots.withColumnRenamed("node", "u"), "u").withColumns({"node": F.lit(None).cast("bigint"), "size": F.lit(None).cast("bigint"), "cluster": F.lit(None).cast("bigint")})
-        events = cut(held.unionByName(joins).groupBy("root").applyInPandas(_merged(least), _EVENT))
+        events = cut_round(held.unionByName(joins).groupBy("root").applyInPandas(_merged(least), _EVENT))
         fallen = events.where("kind = 1").select("node", F.col("cluster").alias("parent"), "w")
         single = at.join(fallen, "node").select("parent", (-1 - F.col("linear_ind")).alias("child"), "w", F.lit(1).cast("bigint").alias("size"), F.col("linear_ind").alias("point"))
         split = events.where("kind = 2").select(F.col("into").alias("parent"), F.col("cluster").alias("child"), "w", "size", F.lit(None).cast("bigint").alias("point"))
-        rows = cut(single.unionByName(split) if rows is None else rows.unionByName(single).unionByName(split))
+        rows = cut_round(single.unionByName(split) if rows is None else rows.unionByName(single).unionByName(split))
         moved = events.where("kind = 0").select("node", "into", "size", "cluster")
         into = moved.select("node", "into")
-        at = cut(at.join(fallen.select("node"), "node", "left_anti").join(into, "node", "left").select("linear_ind", F.coalesce("into", "node").alias("node")))
+        at = cut_round(at.join(fallen.select("node"), "node", "left_anti").join(into, "node", "left").select("linear_ind", F.coalesce("into", "node").alias("node")))
         fresh = moved.select(F.col("into").alias("node"), "size", "cluster").distinct()
-        nodes = cut(nodes.join(into, "node", "left_anti").unionByName(fresh))
+        nodes = cut_round(nodes.join(into, "node", "left_anti").unionByName(fresh))
         rest = edges.where(F.col("number") > int(most))
         for side in "uv":
             rest = rest.join(into.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("into", side)).drop("into")
-        edges = cut(rest)
+        edges = cut_round(rest)
     if rows is None:
         return points.select(*(F.lit(None).cast("bigint").alias(c) for c in ("parent", "child")), F.lit(0.0).alias("lambda"), F.lit(0).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("point")).where("false")
     density = F.when(F.col("w") > 0, 1 / F.col("w")).otherwise(F.lit(float("inf")))

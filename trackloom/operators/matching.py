@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import auction
 from trackloom.functions.hungarian import assign
-from trackloom.operators.checkpoints import cut
+from trackloom.operators.checkpoints import cut, cut_round
 from trackloom.operators.components import components
 
 #: Rows times columns of a dense assignment, about three seconds' work, and pairs of a task's auction.
@@ -92,7 +92,7 @@ def auction_rounds(pairs: DataFrame) -> DataFrame:
             two = best.groupBy("p").agg(F.max(F.when(F.col("rk") == 1, F.struct("o", "price", "value"))).alias("a"), F.max(F.when(F.col("rk") == 2, F.col("value"))).alias("second"))
             bid = F.col("a.price") + step + F.coalesce(F.col("a.value") - F.col("second"), F.lit(0))
             bids = two.groupBy(F.col("a.o").alias("o")).agg(F.max(F.struct(bid.alias("bid"), "p")).alias("b"))
-            after = cut(goods.join(bids, "o", "left").select("o", F.coalesce("b.bid", "price").alias("price"), F.coalesce("b.p", "owner").alias("owner"), F.col("b").isNotNull().alias("sold")))
+            after = cut_round(goods.join(bids, "o", "left").select("o", F.coalesce("b.bid", "price").alias("price"), F.coalesce("b.p", "owner").alias("owner"), F.col("b").isNotNull().alias("sold")))
             goods = after.drop("sold")
             if after.where("sold").isEmpty():
                 break
