@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trackloom.plans import catalogue
 from trackloom.functions.yaml_text import flat, nested_text
 from trackloom.sources import configs
 
@@ -72,3 +73,24 @@ def test_rewriting_files(spark, tmp_path):
     assert {tuple(r) for r in done.collect()} == change
     held = sorted(sorted(r["config"].items()) for r in configs.read_yaml(spark, str(tmp_path / "out")).collect())
     assert held == [[("lr", "1"), ("net.depth", "9")], [("net.depth", "9"), ("net.width", "3")]]
+
+
+def test_documents_of_a_file_are_read_and_rewritten_apart(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "all.yaml").write_text("# head\n---\nlr: 1\ntext: |\n  a\n  ---\n  b\n--- # second\nlr: 2\n...\n---\n")
+    held = [r["config"] for r in configs.read_yaml(spark, str(tmp_path / "in")).collect()]
+    assert held == [{"lr": "1", "text": "a\n---\nb"}, {"lr": "2"}]
+    done = configs.rewrite_yaml(spark, str(tmp_path / "in"), str(tmp_path / "out"), F.create_map(F.lit("lr"), F.lit("2")), dry_run=False)
+    assert [tuple(r) for r in done.collect()] == [("all.yaml", "lr", "1", "2")]
+    held = [r["config"] for r in configs.read_yaml(spark, str(tmp_path / "out")).collect()]
+    assert held == [{"lr": "2", "text": "a\n---\nb"}, {"lr": "2"}]
+
+
+def test_trials_do_not_each_have_a_file(spark, tmp_path):
+    from pathlib import Path
+
+    rows = spark.range(3000).select(F.col("id").alias("user_id"), F.lit('{"k": 5}').alias("props"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    files = list(Path(catalogue._yaml_folder(spark, str(tmp_path)).removeprefix("file:")).rglob("*.txt"))
+    assert len(files) <= 12
+    assert catalogue.queries()["read_yaml"](spark, str(tmp_path)).count() == 3000

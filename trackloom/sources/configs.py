@@ -46,48 +46,56 @@ def changes(before: DataFrame, config: str, after: Column, key: str) -> DataFram
     return rows.where(~F.col("was").eqNullSafe(F.col("becomes")))
 
 
-def read_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """path and config of each YAML file under a folder: every scalar by its dotted key, see yaml_text.
-
-    An empty file has no row. The folder is listed once, however many folders are in it.
-    """
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """path and configs of each YAML file under a folder: a map for each document, in order."""
     texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def parsed(batches):
         import pyarrow as pa
 
         for batch in batches:
-            held = [list(yaml_text.flat(text).items()) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.map_(pa.string(), pa.string()))], names=["path", "config"])
+            held = [[list(yaml_text.flat(one).items()) for one in yaml_text.documents(text)] for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.map_(pa.string(), pa.string())))], names=["path", "configs"])
+
+    return texts.mapInArrow(parsed, "path string, configs array<map<string,string>>")
 
-    return texts.mapInArrow(parsed, "path string, config map<string,string>")
+
+def read_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """path and config of each document of the YAML files under a folder: every scalar by its dotted key, see yaml_text.
+
+    An empty file has no row. The folder is listed once, however many folders are in it.
+    """
+    return _documents(spark, path).select("path", F.explode("configs").alias("config"))
 
 
-def yaml_texts(configs: DataFrame, key: str, config: str = "config") -> DataFrame:
-    """key and value, the YAML text of each map with dotted keys."""
+def yaml_texts(configs: DataFrame, key: str, config: str = "configs") -> DataFrame:
+    """key and value, the YAML text of each list of maps with dotted keys: a document for each map."""
     kind = configs.schema[key].dataType.simpleString()
 
     def written(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = [yaml_text.nested_text(dict(c or [])) for c in batch.column(1).to_pylist()]
+            texts = ["---\n".join(yaml_text.nested_text(dict(c or [])) for c in held or []) for held in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "value"])
 
     return configs.select(key, config).mapInArrow(written, f"{key} {kind}, value string")
 
 
 def rewrite_yaml(spark: SparkSession, source: str, target: str, override: Column, dry_run: bool = True) -> DataFrame:
-    """Every YAML file under source with an override merged in, written to target in folders file=<its path
+    """Every YAML file under source with an override merged into each document, written to target in folders file=<its path
     under source>, unless dry_run. What changes is returned: file, name, was, becomes."""
     root = spark._jvm.org.apache.hadoop.fs.Path(source).toUri().getPath().rstrip("/")
-    held = read_yaml(spark, source).select(F.element_at(F.split("path", root.replace(".", r"\.") + "/"), -1).alias("file"), "config")
-    after = held.withColumn("after", merged(F.col("config"), override))
+    held = _documents(spark, source).select(F.element_at(F.split("path", root.replace(".", r"\.") + "/"), -1).alias("file"), "configs")
+    after = held.withColumn("after", F.transform("configs", lambda c: merged(c, override)))
     if not dry_run:
         yaml_texts(after, "file", "after").write.partitionBy("file").mode("overwrite").text(target)
-    was, becomes = (after.select("file", F.explode(c).alias("name", n)) for c, n in (("config", "was"), ("after", "becomes")))
-    rows = was.withColumn("a", F.lit(True)).join(becomes.withColumn("b", F.lit(True)), ["file", "name"], "full")
-    return rows.where(F.col("a").isNull() | F.col("b").isNull() | ~F.col("was").eqNullSafe(F.col("becomes"))).select("file", "name", "was", "becomes")
+    each = after.select("file", F.explode(F.arrays_zip(F.col("configs").alias("config"), F.col("after").alias("after"))).alias("d"))
+    names = F.array_union(F.map_keys("d.config"), F.map_keys("d.after"))
+    rows = each.select("file", "d", F.explode(names).alias("name"))
+    was, becomes = (F.try_element_at(F.col(f"d.{c}"), F.col("name")).alias(n) for c, n in (("config", "was"), ("after", "becomes")))
+    kept = F.array_contains(F.map_keys("d.config"), F.col("name")) & F.array_contains(F.map_keys("d.after"), F.col("name"))
+    return rows.select("file", "name", was, becomes, kept.alias("kept")).where(~F.col("kept") | ~F.col("was").eqNullSafe(F.col("becomes"))).drop("kept")
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
