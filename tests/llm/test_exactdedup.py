@@ -1,5 +1,9 @@
 import hashlib
+import os
+import pathlib
 import re
+import subprocess
+import sys
 import uuid
 from collections import Counter, defaultdict
 
@@ -121,3 +125,43 @@ def test_an_index_needs_a_warehouse_that_is_shared():
         exactdedup.ensure_shared_warehouse(master, "file:/shared/spark-warehouse", "/work")
         with pytest.raises(RuntimeError):
             exactdedup.ensure_shared_warehouse(master, "file:/work/spark-warehouse/", "/work")
+
+
+def test_an_index_goes_to_the_checkpoints_where_the_warehouse_is_not_shared(spark, monkeypatch):
+    def refused(*_):
+        raise RuntimeError
+
+    monkeypatch.setattr(exactdedup, "ensure_shared_warehouse", refused)
+    made = exactdedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", 3).create()
+    try:
+        kind = "doc_id bigint, text string"
+        for k in range(3):
+            exactdedup.dedup(spark.createDataFrame([(i, f"text {i}") for i in range(40 * k, 40 * k + 60)], kind), made, f"b{k}")
+            made.compact()
+        assert made.rows().count() == 140 and files_of_a_bucket(spark, made) == 1
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+        folders = lambda: [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.getPath().getName().startswith(made.table)]
+        assert len(folders()) == 1  # of the tables before compaction nothing is left
+    finally:
+        made.drop()
+    assert folders() == []
+
+
+_CLUSTER = """
+import os, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+import __spark_entry__
+s = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
+s = s.config("spark.checkpoint.dir", os.getcwd() + "/shared").getOrCreate()
+print("rows", __spark_entry__.queries()["digest_index_batches"](s, "/root/testdata/sf0.001").count())
+s.stop()
+"""
+
+
+def test_batches_run_on_a_cluster_with_a_default_warehouse(tmp_path):
+    (tmp_path / "run.py").write_text(_CLUSTER)
+    root = str(pathlib.Path(__file__).parents[2])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "run.py", root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 200" in done.stdout, done.stderr[-2000:]
