@@ -145,3 +145,12 @@ def test_odd_rows(odd, none):
     assert len({(r["doc_id"], r["section"]) for r in rows}) == len(rows) - 1  # document 3 is there twice
     assert [(r["char_end"], r["n_tokens"]) for r in rows if r["doc_id"] in (1, 2)] == [(0, 0.0), (0, 0.0)]
     assert tc.count_sections(none, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_the_rank_file_is_looked_up_once_for_many_texts(monkeypatch):
+    made, calls, real = {}, [], tc._encoding
+    monkeypatch.setattr(tc, "map_texts", lambda docs, rate, schema: made.update(rate=rate))
+    monkeypatch.setattr(tc, "_encoding", lambda *file: calls.append(1) or real(*file))
+    tc.count_sections(None, PATH, public_tokenizers.PATTERN)
+    out = made["rate"](list(range(40)), ["a line\nand café", None] * 20)
+    assert len(calls) == 1 and len(out[0]) == 60

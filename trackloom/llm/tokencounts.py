@@ -16,7 +16,6 @@ separator between fields) give their tokens to no section; these are counted as
 from __future__ import annotations
 
 import base64
-import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +32,7 @@ def _encoding(rank_file: bytes, pattern: str):
     import numpy as np
     import tiktoken
 
-    key = (hashlib.sha256(rank_file).digest(), pattern)
+    key = (rank_file, pattern)  # its hash is made once for a task's file
     if key not in _encodings:
         ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in rank_file.splitlines() if x)}
         lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
@@ -45,11 +44,17 @@ def _encoding(rank_file: bytes, pattern: str):
 
 def token_spans(text: str, rank_file: bytes, pattern: str):
     """First and one past the last character of each token, as arrays."""
+    return _spans(text, *_encoding(rank_file, pattern))
+
+
+def _spans(text: str, coder, lengths):
     import numpy as np
 
-    coder, lengths = _encoding(rank_file, pattern)
-    ends = np.cumsum(lengths[np.array(coder.encode_ordinary(text), dtype=np.int64)])
-    starts = ends - np.diff(ends, prepend=0)
+    sizes = lengths[np.array(coder.encode_ordinary(text), dtype=np.int64)]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    if text.isascii():
+        return starts, ends
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     char = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
     return char[starts], char[ends - 1] + 1
@@ -65,9 +70,9 @@ def allocate(starts, ends, bounds, rule: str):
     first = np.searchsorted(hi, starts, side="right")  # first section that ends after the token's start
     last = np.searchsorted(lo, ends, side="left") - 1  # last section that starts before the token's end
     n = len(bounds)
-    counts, crossing = np.zeros(n), np.zeros(n, dtype=np.int64)
+    crossing = np.zeros(n, dtype=np.int64)
     inside = (first == last) & (starts >= lo[np.minimum(first, n - 1)]) & (ends <= hi[np.minimum(first, n - 1)])
-    np.add.at(counts, first[inside], 1)
+    counts = np.bincount(first[inside], minlength=n).astype(float)
     for i in np.flatnonzero(~inside):
         sections = range(first[i], last[i] + 1)
         parts = [min(ends[i], hi[s]) - max(starts[i], lo[s]) for s in sections]
@@ -127,9 +132,10 @@ def count_sections(docs: DataFrame, vocabulary: str, pattern: str, rule: str = "
 
     def rate(ids, texts):
         out = [[], [], [], [], [], [], []]
+        coder, lengths = _encoding(ranks, pattern)
         for i, text in zip(ids, texts, strict=True):
             bounds = line_bounds(text := text or "")
-            starts, ends = token_spans(text, ranks, pattern)
+            starts, ends = _spans(text, coder, lengths)
             counts, crossing = allocate(starts, ends, bounds, rule)
             for column, values in zip(out, ([i] * len(bounds), range(len(bounds)), [b[0] for b in bounds], [b[1] for b in bounds], counts, crossing, [len(starts)] * len(bounds)), strict=True):
                 column.extend(values)
@@ -155,8 +161,9 @@ def count_fields(docs: DataFrame, fields: list[str], vocabulary: str, pattern: s
     @F.arrow_udf("struct<doc_tokens:bigint, field_tokens:array<double>>")
     def rate(texts: pa.Array, bounds: pa.Array) -> pa.Array:
         rows = []
+        coder, lengths = _encoding(ranks, pattern)
         for text, b in zip(texts, bounds, strict=True):
-            starts, ends = token_spans(text.as_py(), ranks, pattern)
+            starts, ends = _spans(text.as_py(), coder, lengths)
             rows.append({"doc_tokens": len(starts), "field_tokens": allocate(starts, ends, [(x["lo"], x["hi"]) for x in b.as_py()], rule)[0]})
         return pa.array(rows, kind)
 
