@@ -165,3 +165,17 @@ def test_reruns_agree(spark):
     pieces = spark.range(600).select("id", (F.pmod(F.xxhash64("id"), F.lit(500)) + 250).alias("length")).coalesce(2)
     one, two = (sorted(map(tuple, packing.pack(pieces, 1000, shard_pieces=100).collect())) for _ in range(2))
     assert one == two
+
+
+def test_new_words_of_many_texts_are_encoded_together(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        coder = packing.WordIds(f.read())
+    assert "_encode_plain" not in vars(coder)  # the lean way agrees with the whole tokenizer
+    odd = ["It's THE end.", "café CAFÉ", "naïve Straße ΣΑΣ", "a1b2 x.y z!!", "", "it'll don't", "ﬁne ǅ ªb", "zzzzqqqq " * 3, "a<|endoftext|>b end.", "end. end . .", "straße ŉ ñandú, łódź. żółć\u0301 ǆ"]
+    texts = odd + [f"word{'abcdefghij'[i % 10] * (i // 10 + 1)} and {chr(97 + i % 26)}thing{chr(97 + i // 26)}." for i in range(200)]
+    calls, real = [], coder._encode
+    monkeypatch.setattr(coder, "_encode", lambda some, *tokenizer: calls.append(1) or real(some, *tokenizer))
+    found = coder.many(texts)
+    assert len(calls) < 10
+    want = [e.ids for e in coder.coder.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(raw, dtype="<u4").tolist() for raw in found] == want and coder.many(texts) == found

@@ -15,6 +15,7 @@ shard and island, so that a lost task gives the same packing again.
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import unicodedata
@@ -34,13 +35,26 @@ ISLANDS, EPOCHS = 2, 2
 POPULATION, GENERATIONS = 6, 12
 #: At most this part of a shard's bins is dissolved for the next round, those with over LOOSE of a sequence free.
 DISSOLVED, LOOSE = 0.125, 0.01
-#: Words whose ids a worker remembers, at most; then it forgets half of them.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers, at most; then it forgets half of them. Words of the texts that are dealt with at once.
+REMEMBERED, TOGETHER = 600_000, 100_000
 
 _MARK = re.compile("[\u0300-\u036f]")
 _PUNCTUATION = b".,;:!?"
 
 
+def _plain(word: bytes) -> bool:
+    """Of lower-case Latin letters, without marks of their own: composition and lower case leave them as they are."""
+    if word.isascii():
+        return word.isalpha() and word.islower()
+    letters = word.decode()
+    return letters.isalpha() and max(letters) < "\u0250" and letters == letters.lower()
+
+
+#: The characters that stand for bytes in the vocabulary of a byte-level tokenizer; a space stays one.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)} | {32: " "}
+
+
 class WordIds:
     """Ids of texts by a tokenizers file of words with word ends, as bytes of little-endian 32-bit numbers.
 
@@ -58,13 +72,30 @@ class WordIds:
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
         self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
+        # lower-case Latin letters stay as they are, so that their words need no expressions, if the file is as others are
+        lean = json.loads(file) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.lean = Tokenizer.from_str(json.dumps(lean))
+        letters = [t for t in (t.removesuffix("</w>") for t in sorted(vocabulary)) if t.isascii() and _plain(t.encode())]
+        letters += [c for c in map(chr, range(128, 0x250)) if _plain(c.encode())] * (1 + len(letters) // 2000)
+        if not self._agree(letters[:: 1 + len(letters) // 2000]):
+            self._encode_plain = lambda words: self._encode([words.decode()])[0]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _agree(self, words: list[str]) -> bool:
+        """The lean tokenizer gives words, and what two and two of them make, the ids that the whole one gives."""
+        text = [" ".join(words), " ".join(a + b for a, b in zip(words, words[::-1]))]
+        return self._encode(text) == [self._encode_plain(t.encode()) for t in text]
+
+    def _encode_plain(self, words: bytes) -> bytes:
+        return self._encode([words.decode("ascii") if words.isascii() else words.decode("latin-1").translate(_BYTES)], self.lean)[0]
+
+    def _encode(self, texts: list[str], coder=None) -> list[bytes]:
         import numpy as np
 
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in (coder or self.coder).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words. Words of letters are one pre-token each, which one word end closes, so that
@@ -72,34 +103,45 @@ class WordIds:
         import numpy as np
 
         new: dict[bytes, bytes] = {}
-        stems, plain, other = {}, {}, []
+        stems, lower, plain, other = {}, {}, {}, []
+        older, known = self.older.get, self.known.get
         for w in words:
-            if (ids := self.older.get(w)) is not None:
+            if (ids := older(w)) is not None:
                 new[w] = ids
                 continue
+            if _plain(w):
+                lower[w] = None
+                continue
             stem = w.rstrip(_PUNCTUATION)
-            letters = stem.decode()
-            # as letters that stay letters: composition and lower case can set marks free
-            if not (letters if letters.isascii() else unicodedata.normalize("NFC", letters).lower()).isalpha():
-                other.append(w)
-            elif stem == w:
-                plain[w] = letters
-            else:
+            if not (is_plain := _plain(stem)):
+                letters = stem.decode()
+                # as letters that stay letters: composition and lower case can set marks free
+                if not (letters if letters.isascii() else unicodedata.normalize("NFC", letters).lower()).isalpha():
+                    other.append(w)
+                    continue
+            if stem != w:
                 stems[w] = stem
-                if (ids := self.known.get(stem) or self.older.get(stem)) is not None:
+                if (ids := known(stem) or older(stem)) is not None:
                     new[stem] = ids
-                else:
-                    plain[stem] = letters
-        keys = list(plain)
-        for lo in range(0, len(keys), 256):
-            some = keys[lo : lo + 256]
-            (raw,) = self._encode([" ".join(map(plain.get, some))])
-            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1)).tolist()
-            if len(stops) == len(some):
-                new.update((w, raw[a:b]) for w, a, b in zip(some, [0, *stops], stops))
-            else:  # what is a letter here is none to the tokenizer
-                other += some
-        other += {w[len(stem) :] for w, stem in stems.items()}.difference(new)
+                    continue
+            if is_plain:
+                lower[stem] = None
+            else:
+                plain[stem] = None
+        for words in (list(lower), list(plain)):
+            for lo in range(0, len(words), 256):
+                some = words[lo : lo + 256]
+                raw = self._encode_plain(b" ".join(some)) if some[0] in lower else self._encode([b" ".join(some).decode()])[0]
+                stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1)).tolist()
+                if len(stops) == len(some):
+                    new.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops))))
+                else:  # what is a letter here is none to the tokenizer
+                    other += some
+        for tail in {w[len(stem) :] for w, stem in stems.items()}.difference(new):
+            if (ids := known(tail) or older(tail)) is not None:
+                new[tail] = ids
+            else:
+                other.append(tail)
         new.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
         for w, stem in stems.items():
             new[w] = new[stem] + new[w[len(stem) :]]
@@ -109,20 +151,38 @@ class WordIds:
         return new
 
     def __call__(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return self._encode([text])[0]
-        raw = text.encode()
+        return self.many([text])[0]
+
+    def _words(self, text: str) -> list[bytes]:
         # the tokenizer composes marks before it lowers case; without marks after ASCII letters the order is all one
-        words = (raw if _MARK.search(text) else raw.lower()).split()
-        out = []
-        for lo in range(0, len(words), 500_000):
-            some = words[lo : lo + 500_000]
-            found = list(map(self.known.get, some))
-            if None in found:
-                new = self._learn(list(dict.fromkeys(w for w, ids in zip(some, found) if ids is None)))
-                found = [new[w] if ids is None else ids for w, ids in zip(some, found)]
-            out.append(b"".join(found))
-        return b"".join(out)
+        raw = text.encode()
+        return (raw if _MARK.search(text) else raw.lower()).split()
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the new words of up to TOGETHER words are encoded together."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held, n = [], 0
+        for i, text in enumerate(texts):
+            if any(a in text for a in self.added):
+                out[i].append(self._encode([text])[0])
+                continue
+            words = self._words(text)
+            for lo in range(0, len(words), TOGETHER):
+                part = words[lo : lo + TOGETHER] if len(words) > TOGETHER else words
+                held.append((i, part))
+                if (n := n + len(part)) >= TOGETHER:
+                    self._join(held, out)
+                    held, n = [], 0
+        self._join(held, out)
+        return [parts[0] if len(parts) == 1 else b"".join(parts) for parts in out]
+
+    def _join(self, held: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
+        get = self.known.get
+        found = [list(map(get, words)) for _, words in held]
+        unknown = dict.fromkeys(w for (_, words), some in zip(held, found) if None in some for w, ids in zip(words, some) if ids is None)
+        new = self._learn(list(unknown)) if unknown else {}
+        for (i, words), some in zip(held, found):
+            out[i].append(b"".join([new[w] if ids is None else ids for w, ids in zip(words, some)] if None in some else some))
 
 
 def encoded_pieces(docs: DataFrame, tokenizer: bytes, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -148,8 +208,8 @@ def encoded_pieces(docs: DataFrame, tokenizer: bytes, end_id: int, capacity: int
         coders[zlib.crc32(tokenizer)] = coder
         for batch in batches:
             ids, rows = batch.column(0), ([], [], [], [], [], [])
-            for i, text in enumerate(batch.column(1)):
-                raw = coder(text.as_py() or "") + mark
+            for i, raw in enumerate(coder.many([text or "" for text in batch.column(1).to_pylist()])):
+                raw += mark
                 for piece, lo in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[lo : lo + 4 * capacity]
                     for column, value in zip(rows, (i, piece, lo // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)):
