@@ -122,3 +122,29 @@ def test_a_deep_tree_takes_memory_by_its_rows():
     tracemalloc.stop()
     assert len(found) == n and all(x[4] for x in found)
     assert peak < 12e6
+
+
+def test_neighbours_neighbours_are_measured_by_pairs_of_blocks(spark):
+    """A point is in very many groups: of each pair of blocks its nearest alone go on, whatever the blocks."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(8)
+    x, held, member = r.normal(size=(30, 3)), 3, [(g, int(n), bool(r.random() < 0.5)) for g in range(80) for n in r.choice(30, 9, replace=False)]
+    chosen = spark.createDataFrame(member, "grp bigint, node bigint, fresh boolean")
+    far = spark.createDataFrame([(i, 1.5) for i in range(30)], "node bigint, far double")
+    of = {}
+    for g, n, f in member:
+        of.setdefault(g, []).append((n, f))
+    pairs = {(a, b) for ms in of.values() for a, f in ms for b, h in ms if a != b and (f or h)}
+    near = lambda rows: {s: sorted((d, t) for a, t, d in rows if a == s)[:held] for s in {a for a, _, _ in rows}}
+    want = near([(a, b, d) for a, b in pairs if (d := float(np.sqrt(((x[a] - x[b]) ** 2).sum()))) < 1.5])
+    for blocks in (1, 3):
+        rows = [(i, i % blocks, i // blocks, x[i].tolist()) for i in range(30)]
+        points = spark.createDataFrame(rows, "node bigint, block int, at int, x array<double>")
+        found = [tuple(row) for row in graph._met(chosen, points, far, blocks, held).collect()]
+        assert near(found) == want and len(found) <= 30 * held * blocks < len(pairs)
+    assert graph._met(chosen.where("false"), points, far, 3, held).count() == 0
+    assert 600_000 / graph.blocks_of(600_000, 4096, graph.DESCENT_BLOCKS, graph.DESCENT_POINTS) >= 100_000  # few copies
+    plain = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(90, 3)))], "linear_ind bigint, x array<double>")
+    all_rows = lambda block: sorted(map(tuple, graph.knn_descent(plain, 4, rounds=2, block=block).select(F.col("src"), "dst", "rk").collect()))
+    assert all_rows(20) == all_rows(4096)
