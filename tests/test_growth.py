@@ -25,6 +25,46 @@ def test_nearest_by_groups_of_columns_is_exact_with_ties():
     assert (got_i == ids[order]).all() and (got_d == np.take_along_axis(d, order, axis=1)).all()
 
 
+def test_large_blocks_are_searched_in_single_precision_exactly():
+    from trackloom.functions import distances
+
+    r = np.random.default_rng(4)
+    plain = r.normal(size=(6000, 8))
+    outlier, copies = plain.copy(), plain.copy()
+    outlier[7] *= 1e6
+    copies[::9] = copies[0]
+    for b in (plain, plain + 1000, outlier, copies, plain * 1e-9, plain * 1e15, plain[:, :1], np.round(plain)):
+        ids, a = r.permutation(len(b)), b[:60]
+        d = np.sqrt(((a[:, None] - b) ** 2).sum(axis=2))
+        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :5]
+        got_d, got_i = nearest_in_block(a, b, ids, 5)
+        assert (got_i == ids[order]).all() and (got_d == np.take_along_axis(d, order, axis=1)).all()
+    looked = sum(len(at) for _, _, at, _ in distances._by_groups(outlier[100:400], outlier, np.zeros(8), 5))
+    assert looked < 300 * (5 * 2 + distances.GROUP)  # a far point widens what is measured anew by its own group alone
+
+
+def test_a_point_moves_as_often_whatever_their_number(spark, monkeypatch):
+    """Copies that pairs of blocks take: they grew from 6 to 16 a point between a tenth of a GB and one."""
+    points = spark.range(300).selectExpr("id as linear_ind", "array(double(id % 17), double(id % 5)) as x").cache()
+    dealt, group = [], type(points).groupBy
+    monkeypatch.setattr(type(points), "groupBy", lambda df, *by: (dealt.append(df) if by == ("i", "j") else None, group(df, *by))[1])
+    copies = []
+    for n in (30, 300):
+        some = points.where(f"linear_ind < {n}")
+        rows = graph.knn(some, 3, block=10).collect()
+        assert len(rows) == 3 * n and all(r.rk != 1 or r.dist == 0 for r in rows)
+        copies.append(dealt.pop().count() / n)
+    assert copies == [8, 8]
+
+
+def test_vectors_of_unequal_length_are_no_points(spark):
+    import pytest
+
+    for rows in ([(1, [1.0, 2.0]), (2, [1.0])], [(1, [1.0]), (2, None)]):
+        with pytest.raises(Exception, match="one length"):
+            graph.knn(spark.createDataFrame(rows, "linear_ind bigint, x array<double>"), 1).collect()
+
+
 def test_knn_of_many_small_blocks_is_that_of_one(spark):
     r = np.random.default_rng(5)
     points = spark.createDataFrame([(i, r.normal(size=3).tolist()) for i in range(120)], "linear_ind bigint, x array<double>")
