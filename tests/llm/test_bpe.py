@@ -39,6 +39,23 @@ def test_ranks_that_are_not_monotone():
         assert own.encode([text]) == [lib.encode_ordinary(text)], text
 
 
+def test_a_merge_looks_up_its_two_new_pairs_alone():
+    """Whether an entry is stale is known from its place; it was a third look-up for each entry."""
+    looked = []
+
+    class Counted(dict):
+        def get(self, key):
+            looked.append(key)
+            return dict.get(self, key)
+
+    own = bpe.Encoder(RAW, public_tokenizers.PATTERN)
+    own.pairs = Counted(own.pairs)
+    words = [b" internationalisation", b"qwrtzpsdf", b" Donaudampfschiff", "naïveté".encode()] * 3
+    merged = own.merge(words)
+    assert merged == [tuple(THEIRS.encode_ordinary(w.decode())) for w in words]
+    assert 0 < len(looked) <= 2 * (sum(map(len, words)) - sum(map(len, merged)))
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 2)
     monkeypatch.setattr(bpe, "SHARED", 2)

@@ -56,8 +56,10 @@ class Encoder:
                     self.pairs[a << self.shift | b] = rank
         get = self.pairs.get
         self.first = np.array([get(int(a) << self.shift | int(b), -1) for a in self.single for b in self.single])  # of two bytes
-        self.own = list(range(max(self.tokens) + 1))  # one object per id, for all who hold it
+        self.most = max(self.tokens)
+        self.own = list(range(self.most + 1))  # one object per id, for all who hold it
         self.decimal = list(map(str, self.own))
+        self.bytes = list(map(self.tokens.get, self.own))
         self.held = 0
         self.name = f"ids {hashlib.sha256(rank_file + pattern.encode()).hexdigest()}"
 
@@ -84,8 +86,12 @@ class Encoder:
         ranks, starts = np.unique(first[at], return_index=True)
         flat, bounds = listed(at), [*starts.tolist(), len(at)]
         buckets = {r: flat[lo:hi] for r, lo, hi in zip(ranks.tolist(), bounds, bounds[1:])}
+        # of each position, the rank of its pair with the next as it is now, or -1: an entry of another rank is stale
+        now = np.full(length, -1, dtype=np.int32)
+        now[at] = first[at]
+        now = listed(now)
         del places, first, at, flat
-        words = [0] * (max(self.tokens) // FAN + 1)
+        words = [0] * (self.most // FAN + 1)
         summary = 0
         for r in buckets:
             words[r // FAN] |= 1 << r % FAN
@@ -97,18 +103,21 @@ class Encoder:
             words[w] = bits = bits & (bits - 1)
             if not bits:
                 summary &= summary - 1
-            entries = sorted(buckets.pop(r))
+            entries = buckets.pop(r)
+            if len(entries) > 1:
+                entries = sorted(entries)
             for k, p in enumerate(entries):
-                q = after[p]
-                a = ids[p]
-                if a < 0 or q < 0 or pairs(a << shift | ids[q]) != r:
+                if now[p] != r:
                     continue  # stale
+                q = after[p]
                 ids[p], ids[q] = r, -1
                 after[p] = n = after[q]
+                now[p] = now[q] = -1
                 lower = False
                 if n >= 0:
                     before[n] = p
                     if (s := pairs(r << shift | ids[n])) is not None:
+                        now[p] = s
                         lower = s < r
                         if s in buckets:
                             buckets[s].append(p)
@@ -116,14 +125,18 @@ class Encoder:
                             buckets[s] = [p]
                             words[s // FAN] |= 1 << s % FAN
                             summary |= 1 << s // FAN
-                if (m := before[p]) >= 0 and (s := pairs(ids[m] << shift | r)) is not None:
-                    lower |= s < r
-                    if s in buckets:
-                        buckets[s].append(m)
+                if (m := before[p]) >= 0:
+                    if (s := pairs(ids[m] << shift | r)) is None:
+                        now[m] = -1
                     else:
-                        buckets[s] = [m]
-                        words[s // FAN] |= 1 << s % FAN
-                        summary |= 1 << s // FAN
+                        now[m] = s
+                        lower |= s < r
+                        if s in buckets:
+                            buckets[s].append(m)
+                        else:
+                            buckets[s] = [m]
+                            words[s // FAN] |= 1 << s % FAN
+                            summary |= 1 << s // FAN
                 if lower and k + 1 < len(entries):  # a lower rank comes first; the rest waits in its bucket
                     buckets[r] = entries[k + 1 :]
                     words[w] |= 1 << r % FAN
@@ -164,24 +177,24 @@ class Encoder:
         self.held += sum(200 + 2 * len(w) + 8 * len(young[w]) for w in new if len(w) <= LONGEST)
         return young, once
 
-    def _parts(self, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-        """(text, its pre-tokens) in order; those of a long text in parts."""
+    def _parts(self, texts: list[str]) -> Iterator[tuple[int, list[str], int]]:
+        """(text, its pre-tokens, their characters or a few more) in order; those of a long text in parts."""
         for i, text in enumerate(texts):
             if len(text) <= TOGETHER:
-                yield i, self.split.findall(text)
+                yield i, self.split.findall(text), len(text)
             else:
                 found = (m[0] for m in self.split.finditer(text))
                 while part := list(islice(found, PIECES)):
-                    yield i, part
+                    yield i, part, sum(map(len, part))
 
     def parts(self, texts: list[str]) -> Iterator[tuple[int, list[int]]]:
         """(text, ids) in order, a text's ids in one part or more. Parts are made together up to a bound
         of characters, so that memory follows neither the number of texts nor their length, but for a
         single pre-token. Cyclic garbage isn't looked for meanwhile: what is made here has no cycles."""
         held, chars = [], 0
-        for i, pieces in chain(self._parts(texts), [(-1, [])]):
+        for i, pieces, n in chain(self._parts(texts), [(-1, [], 0)]):
             held.append((i, pieces))
-            chars += sum(map(len, pieces))
+            chars += n
             if i < 0 or chars > TOGETHER:
                 gc.disable()
                 try:
@@ -262,12 +275,12 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
     def rate(ids, texts):
         coder = encoder(ranks, pattern)
-        decimal = coder.decimal.__getitem__
+        decimal, raw = coder.decimal.__getitem__, coder.bytes.__getitem__
         counts, named, decoded = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
         for i, part in coder.parts([t or "" for t in texts]):
             if part:
                 named[i].update(((counts[i] and ",") or "").encode() + ",".join(map(decimal, part)).encode())
-                decoded[i].update(coder.decode(part))
+                decoded[i].update(b"".join(map(raw, part)))
                 counts[i] += len(part)
         return [ids, counts, [h.hexdigest() for h in named], [h.hexdigest() for h in decoded]]
 
