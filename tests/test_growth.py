@@ -188,3 +188,16 @@ def test_neighbours_neighbours_are_measured_by_pairs_of_blocks(spark):
     plain = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(90, 3)))], "linear_ind bigint, x array<double>")
     all_rows = lambda block: sorted(map(tuple, graph.knn_descent(plain, 4, rounds=2, block=block).select(F.col("src"), "dst", "rk").collect()))
     assert all_rows(20) == all_rows(4096)
+
+
+def test_the_tracker_searches_the_same_way_whatever_the_number_of_points(spark, monkeypatch):
+    """Beyond a number of points the graph was that of the search among neighbours' neighbours, which is not exact."""
+    from trackloom.plans.tracker import Tracker
+
+    r = np.random.default_rng(12)
+    data = [(t * 3 + k, t, k, 0.5, (np.eye(4)[k] * 9 + r.normal(0, 0.2, 4)).tolist()) for t in range(8) for k in range(3)]
+    points = spark.createDataFrame(data, "linear_ind bigint, t int, raw_neuron_ind int, likelihood double, x array<double>")
+    monkeypatch.setattr(graph, "EXACT_POINTS", 1, raising=False)
+    monkeypatch.setattr(graph, "knn_descent", None)
+    assert Tracker(points, 8, neighbours=5, steps=3).track("label_propagation").count() > 12
+    assert Tracker(points, 8, cluster_size=0.7, layout_dimensions=2, layout_neighbours=5).track("global").count() >= 0

@@ -48,7 +48,7 @@ class Tracker:
     def _global(self) -> DataFrame:
         points = self.points
         if self.layout_dimensions:
-            fuzzy = layout.fuzzy_graph(graph.neighbours(points, self.layout_neighbours))
+            fuzzy = layout.fuzzy_graph(graph.knn(points, self.layout_neighbours))
             points = layout.spectral_layout(fuzzy, self.layout_dimensions).withColumnRenamed("node", "linear_ind")
         return self._tracks(cluster.hdbscan_labels(points, *sizes_for(self.n_frames, self.cluster_size, self.samples)))
 
@@ -68,7 +68,7 @@ class Tracker:
         where its share is least_share or more and over_chance times that of chance among its frame's objects."""
         n = min(self.seeds, self.n_frames // 2)
         chosen = [r["t"] for r in frames.hashed_sample(self.points.select("t").distinct(), "t", n).collect()]
-        edges = graph.neighbours(self.points, self.neighbours)
+        edges = graph.knn(self.points, self.neighbours)
         seeds = cut(graph.seed_labels(self.points, chosen))
         least = seeds.groupBy("run").agg(F.greatest(F.lit(self.least_share), self.over_chance / F.count(F.lit(1))).alias("least"))
         sure = graph.seed_shares(edges, seeds, self.steps).join(F.broadcast(least), "run").where("p >= least")  # one row per run
