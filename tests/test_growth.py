@@ -201,3 +201,35 @@ def test_the_tracker_searches_the_same_way_whatever_the_number_of_points(spark,
     monkeypatch.setattr(graph, "knn_descent", None)
     assert Tracker(points, 8, neighbours=5, steps=3).track("label_propagation").count() > 12
     assert Tracker(points, 8, cluster_size=0.7, layout_dimensions=2, layout_neighbours=5).track("global").count() >= 0
+
+
+def test_products_of_columns_take_no_row_for_each_pair_of_runs(spark, monkeypatch):
+    """An object of 100 runs made 10,000 rows; 2,000 columns went 30 times through all objects instead."""
+    from trackloom.operators import sync
+
+    r = np.random.default_rng(11)
+    full = np.zeros((40, 15))  # objects by 5 runs of 3 labels
+    for o in range(40):
+        for run in range(5):
+            if r.random() < 0.8:
+                full[o, run * 3 + r.integers(3)] = r.random() + 0.1
+    rows = [(10 + int(c) // 3, int(o), int(c) % 3 + 1, float(full[o, c])) for o, c in zip(*np.nonzero(full))]
+    entries = spark.createDataFrame(rows, "run int, linear_ind bigint, label int, val double")
+    for name, value in (("gram_matrix", None), ("GATHERED", 7), ("GRAM_CELLS", 40)):
+        monkeypatch.setattr(sync, name, value, raising=False)
+    values, vectors = sync._leading_dense(entries, {10 + i: i for i in range(5)}, 3)
+    want, directions = np.linalg.eigh(full.T @ full)
+    assert np.allclose(values, want[::-1][:3]) and np.allclose(abs((vectors * directions[:, ::-1][:, :3]).sum(axis=0)), 1)
+    assert sync.DENSE_COLUMNS >= 100 * (10 + 10)  # the tracker's runs of ten labels and ten spare
+
+
+def test_edges_of_unequal_numbers_are_summed_side_by_side(spark, monkeypatch):
+    r = np.random.default_rng(13)
+    pairs = sorted({(a, int(b)) for a in range(50) for b in r.integers(0, 50, a % 7)})
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    seeds = spark.createDataFrame([(run, 7 * run + k, k + 1) for run in range(3) for k in range(5)], "run int, node bigint, label int")
+    monkeypatch.setattr(graph, "BAND", 11)
+    table = lambda df: {(x.run, x.node): (x.label, round(x.p, 12)) for x in df.collect()}
+    want = table(graph.label_topk(graph.label_rownorm(graph.propagate(edges, seeds, 3, least=0.0).where("p > 0")), 1))
+    got = table(graph.seed_shares(edges, seeds, 3))
+    assert got.keys() == want.keys() and all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)

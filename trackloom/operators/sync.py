@@ -10,8 +10,9 @@ from trackloom.functions.hungarian import assign
 from trackloom.functions.rounding import long_count
 from trackloom.operators.checkpoints import cut, within
 
-#: Runs times labels up to which the spectral step makes its matrix of products, which is dense.
-DENSE_COLUMNS = 1_000
+#: Runs times labels up to which the spectral step makes its matrix of products, which is dense, and cells of a
+#: task's matrix of objects by such columns.
+DENSE_COLUMNS, GRAM_CELLS = 4_096, 1 << 23
 #: Numbers that the spectral step holds on the driver, and cells of labels by labels that one task matches.
 DRIVER_CELLS, MATCH_CELLS = 50_000_000, 4_000_000
 #: Share of runs under which a label is dropped, and the cost of none.
@@ -182,17 +183,70 @@ def steady_basis(vectors):
     return turned
 
 
+def _numbered(weighted: DataFrame, place: dict[int, int], labels: int) -> DataFrame:
+    """linear_ind, c (a column's number), val: an object's rows stand together."""
+    names = F.create_map(*[F.lit(x) for run, i in place.items() for x in (run, i)])
+    columns = weighted.select("linear_ind", (names[F.col("run")] * labels + F.col("label") - 1).cast("int").alias("c"), "val")
+    return columns.repartition("linear_ind").sortWithinPartitions("linear_ind")
+
+
+#: Rows that are gathered before they are multiplied.
+GATHERED = 1 << 18
+
+
+def _whole_objects(batches):
+    """(ids, c, values) of batches of linear_ind, c and val, many rows at once; an object that is cut by an end waits for the next."""
+    import numpy as np
+
+    def joined(parts):
+        return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+    waiting, n = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32), np.empty(0))], 0
+    for batch in batches:
+        waiting.append(tuple(x.to_numpy(zero_copy_only=False) for x in batch.columns))
+        n += batch.num_rows
+        if n >= GATHERED:
+            rows = joined(waiting)
+            whole = np.searchsorted(rows[0], rows[0][-1])
+            yield tuple(column[:whole] for column in rows)
+            waiting, n = [tuple(column[whole:] for column in rows)], len(rows[0]) - whole
+    yield joined(waiting)
+
+
 def _leading_dense(weighted: DataFrame, place: dict[int, int], labels: int):
-    """Leading eigenvectors of the products of all columns, and how strong they are."""
+    """Leading eigenvectors of the products of all columns, and how strong they are.
+
+    A task multiplies its objects' rows as matrices and adds up one matrix of columns by columns, a row of which goes on at a time.
+    """
     import numpy as np
 
-    cells = gram_matrix(weighted).toArrow()
-    at = np.vectorize(place.__getitem__, otypes=[np.int64])
-    gram = np.zeros((len(place) * labels,) * 2)
-    if len(cells):
-        column = lambda k: at(cells[f"run{k}"].to_numpy()) * labels + cells[f"label{k}"].to_numpy() - 1
-        gram[column(1), column(2)] = cells["g"].to_numpy()
-    values, vectors = np.linalg.eigh(gram)
+    size = len(place) * labels
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros((size, size))
+        for ids, c, v in _whole_objects(batches):
+            _, at = np.unique(ids, return_inverse=True)
+            n, step = at[-1] + 1 if len(at) else 0, max(1, GRAM_CELLS // size)
+            for lo in range(0, n, step):
+                part, high = slice(*np.searchsorted(at, (lo, lo + step))), min(n, lo + step)
+                rows = np.bincount((at[part] - lo) * size + c[part], weights=v[part], minlength=(high - lo) * size).reshape(-1, size)
+                total += rows.T @ rows
+        for lo in range(0, size, 256):  # a few at a time
+            used = lo + np.flatnonzero(total[lo : lo + 256].any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype("int32")), pa.array([r.tobytes() for r in total[used]], pa.binary())], names=["c", "row"])
+
+    def added(key, table):
+        import pyarrow as pa
+
+        return pa.table({"c": pa.array([key[0].as_py()], pa.int32()), "row": pa.array([sum(np.frombuffer(r.as_buffer()) for r in table.column("row")).tobytes()], pa.binary())})
+
+    found = _numbered(weighted, place, labels).mapInArrow(run, "c int, row binary").groupBy("c").applyInArrow(added, "c int, row binary").toArrow()
+    gram = np.zeros((size, size))
+    for c, row in zip(found["c"].to_pylist(), found["row"], strict=True):
+        gram[c] = np.frombuffer(row.as_buffer())
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     return values[::-1][:labels], vectors[:, ::-1][:, :labels]
 
 
@@ -205,10 +259,7 @@ def _leading_free(weighted: DataFrame, place: dict[int, int], labels: int, round
     import numpy as np
 
     size, wide = len(place) * labels, min(len(place) * labels, labels + spare)
-    names = F.create_map(*[F.lit(x) for run, i in place.items() for x in (run, i)])
-    rows = cut(
-        weighted.select("linear_ind", (names[F.col("run")] * labels + F.col("label") - 1).cast("int").alias("c"), "val").repartition("linear_ind").sortWithinPartitions("linear_ind")
-    )
+    rows = cut(_numbered(weighted, place, labels))
 
     def product(q):
         sent, shape = rows.sparkSession.sparkContext.broadcast(q), q.shape  # size by wide, checked by the caller
@@ -216,20 +267,12 @@ def _leading_free(weighted: DataFrame, place: dict[int, int], labels: int, round
         def run(batches):
             import pyarrow as pa
 
-            total, held = np.zeros(shape), (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
-
-            def add(ids, c, v):
+            total = np.zeros(shape)
+            for ids, c, v in _whole_objects(batches):
                 _, at = np.unique(ids, return_inverse=True)
                 y = np.zeros((at.max() + 1 if len(at) else 0, shape[1]))
                 np.add.at(y, at, v[:, None] * sent.value[c])
                 np.add.at(total, c, v[:, None] * y[at])
-
-            for batch in batches:
-                ids, c, v = (np.concatenate([h, x.to_numpy(zero_copy_only=False)]) for h, x in zip(held, batch.columns, strict=True))
-                whole = np.searchsorted(ids, ids[-1]) if len(ids) else 0  # the last object may go on
-                add(ids[:whole], c[:whole], v[:whole])
-                held = ids[whole:], c[whole:], v[whole:]
-            add(*held)
             used = np.flatnonzero(np.abs(total).sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype("int32")), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["c", "row"])
 
@@ -278,29 +321,25 @@ def unique_per_frame(consensus: DataFrame, detections: DataFrame, labels: int, r
     object and shares of the runs under least have none."""
     votes = detections.select("linear_ind", "t").join(consensus, "linear_ind", "left")
 
-    def solve(pdf):
+    def solve(table):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        objects = sorted(pdf.linear_ind.unique())
-        out = []
+        objects, at = np.unique(table.column("linear_ind").to_numpy(), return_inverse=True)
+        found, share = [], np.zeros((len(objects), labels))
         if len(objects) > 1:
-            at = {o: i for i, o in enumerate(objects)}
-            share = np.zeros((len(objects), labels))
-            for o, label, v in zip(pdf.linear_ind, pdf.label, pdf.votes, strict=True):
-                if not np.isnan(label):
-                    share[at[o], int(label) - 1] = v
+            label, v = table.column("label").to_numpy(), table.column("votes").to_numpy()
+            some = ~np.isnan(label.astype(float))
+            share[at[some], label[some].astype(int) - 1] = v[some]
             side = max(share.shape)
             cost = np.full((side, side), -least)
             cost[: len(objects), :labels] = -share
-            out = [
-                (int(objects[r]), int(pdf.t.iloc[0]), c + 1, share[r, c] / runs)
-                for r, c in assign(cost)
-                if r < len(objects) and c < labels and share[r, c] / runs >= least
-            ]
-        return pd.DataFrame(out, columns=["linear_ind", "t", "label", "prob"])
-
-    return votes.groupBy("t").applyInPandas(solve, "linear_ind bigint, t int, label int, prob double")
+            found = [(r, c) for r, c in assign(cost) if r < len(objects) and c < labels and share[r, c] / runs >= least]
+        r, c = np.array(found, dtype=int).reshape(-1, 2).T
+        t = np.full(len(r), table.column("t")[0].as_py() if len(r) else 0, dtype=np.int32)
+        return pa.table({"linear_ind": objects[r], "t": t, "label": (c + 1).astype(np.int32), "prob": share[r, c] / runs})
+
+    return votes.groupBy("t").applyInArrow(solve, "linear_ind bigint, t int, label int, prob double")
 
 
 def spectral_sync(labelings: DataFrame, detections: DataFrame, spare: int = 10) -> DataFrame:
