@@ -233,3 +233,58 @@ def test_edges_of_unequal_numbers_are_summed_side_by_side(spark, monkeypatch):
     want = table(graph.label_topk(graph.label_rownorm(graph.propagate(edges, seeds, 3, least=0.0).where("p > 0")), 1))
     got = table(graph.seed_shares(edges, seeds, 3))
     assert got.keys() == want.keys() and all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+def test_neighbours_that_are_a_share_of_the_points_are_no_rows(spark, monkeypatch):
+    """2 % of the frames as neighbours were as many rows for each point and block: the square of the points."""
+    from trackloom.functions import hdbscan
+
+    r = np.random.default_rng(14)
+    x = np.concatenate([r.normal(c, 1.0, (50, 3)) for c in (0, 3, 9)] + [np.repeat(r.normal(5, 1, (5, 3)), 4, axis=0)])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "linear_ind bigint, x array<double>")
+    knn = graph.knn
+    monkeypatch.setattr(graph, "knn", lambda points, k, *a, **b: knn(points, k, *a, **b) if k <= 20 else None)
+    for name, value in (("MOST_ROWS", 20), ("KEPT", 30 * 40), ("PACKED", 9), ("MOST_BLOCKS", 3)):
+        monkeypatch.setattr(graph, name, value, raising=False)
+    want = hdbscan.spanning_tree(x, hdbscan.core_distances(x, 40))
+    edges = density.spanning_edges(points, 40, block=60)
+    assert sorted((e.w, e.a, e.b) for e in edges.collect()) == want
+    held = density.cores(points, 40, block=60).collect()
+    assert {h.linear_ind: h.core for h in held} == dict(enumerate(hdbscan.core_distances(x, 40).tolist()))
+    near = {(n.src, n.dst, n.dist) for n in knn(points, density.NEAR).collect()}
+    assert {(h.linear_ind, e.dst, e.dist) for h in held for e in h.near} == near
+    far = density.cores(points.where("linear_ind < 12"), 40).collect()  # fewer points than neighbours: the farthest
+    assert {h.linear_ind: h.core for h in far} == dict(enumerate(hdbscan.core_distances(x[:12], 40).tolist()))
+    assert density.cores(points.where("false"), 40).count() == 0
+
+
+def test_nearest_of_rows_that_come_by_blocks_are_those_of_all():
+    from trackloom.functions.distances import Nearest
+
+    r = np.random.default_rng(15)
+    for x in (r.normal(size=(500, 5)), np.round(r.normal(size=(500, 2))), np.ones((400, 3)), r.normal(size=(400, 4)) * 1e15, r.normal(size=(300, 64)) + 100):
+        ids = r.permutation(len(x))
+        for k, few in ((40, 16), (5, 5), (len(x), 3)):
+            state = Nearest(x[:270], k, few)
+            for lo in range(0, len(x), 130):
+                state.add(ids[lo : lo + 130], x[lo : lo + 130])
+            d, i = nearest_in_block(x[:270], x, ids, k)
+            assert (state.last() == d[:, -1]).all() and (state.near == d[:, :few]).all() and (state.ids == i[:, :few]).all()
+
+
+def test_least_edges_are_found_in_single_precision_exactly(monkeypatch):
+    r = np.random.default_rng(16)
+    monkeypatch.setattr(density, "TILE", 100)
+    monkeypatch.setattr(density, "WAITING", 50)
+    for x in (r.normal(size=(300, 5)), np.round(r.normal(size=(300, 2))), np.ones((300, 3)), r.normal(size=(300, 4)) * 1e15):
+        ids, core, comp = r.permutation(300), r.random(300) * abs(x).max(), r.integers(0, 9, 300)
+        a, b = slice(0, 290), slice(100, 300)
+        w = np.maximum(np.maximum(np.sqrt(((x[a][:, None] - x[b]) ** 2).sum(axis=2)), core[a][:, None]), core[b])
+        low, high = np.minimum(ids[a][:, None], ids[b]), np.maximum(ids[a][:, None], ids[b])
+        want = {}
+        for c in range(9):
+            at = (comp[a][:, None] == c) & (comp[b] != c)
+            want[c] = min(zip(w[at].tolist(), low[at].tolist(), high[at].tolist()))
+        for most in (np.full(290, np.inf), np.array([want[c][0] for c in comp[a]])):
+            found = density._bests((ids[a], x[a], core[a], comp[a], most), (ids[b], x[b], core[b], comp[b]))
+            assert {int(c): (float(v), int(lo), int(hi)) for c, v, lo, hi in zip(*found)} == want

@@ -3,7 +3,8 @@
 The minimum spanning tree under mutual reachability grows in rounds (Boruvka): each component takes
 its least edge to another one, in the order of (weight, ends), so that ties close no circle. A
 point's nearest neighbours settle most rounds: what is not among them is farther than the last of
-them. Only points whose neighbours can't settle the round meet all others, block by block.
+them. Only points whose neighbours can't settle the round meet all others, block by block; those of the
+largest component need not, as each other one is joined by its own edge.
 
 The tree's edges, by weight, make the condensed tree in levels. A level is the lightest part of the
 edges: the pieces that it joins are tasks of their own, as merges under a weight do not meet between
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackloom.functions.distances import CELLS
+from trackloom.functions.distances import _measured, squares_about
 from trackloom.operators import graph
 from trackloom.operators.checkpoints import cut, cut_round
 from trackloom.operators.components import components
@@ -28,95 +29,154 @@ TASK_NODES = 200_000
 NEAR = 16
 
 
+#: Columns of a tile of distances, and pairs that may wait to be measured.
+TILE, WAITING = 4096, 1 << 20
+
+
 def _bests(a, b):
-    """(comp, w, lo, hi) of the least edge from each component of a to points of b in other components."""
+    """(comp, w, lo, hi): arrays of the least edge from each component of a to points of b in other components.
+
+    a: ids, x, core, comp and a weight that the component has an edge of already, infinite if it has none: heavier edges
+    may be left out. Products give squares but for rounding; what may be the least is measured coordinate by coordinate.
+    """
     import numpy as np
 
-    ids_a, xa, core_a, comp_a = a
-    ids_b, xb, core_b, comp_b = b
-    a2, b2 = (xa * xa).sum(axis=1), (xb * xb).sum(axis=1)
-    slack = 1e-9 * (1 + a2.max(initial=0) + b2.max(initial=0))
-    names, at = np.unique(comp_a, return_inverse=True)
-    best = np.full(len(names), np.inf)
-    found: dict[int, tuple] = {}
-    step = min(256, max(16, CELLS // max(1, len(ids_b))))
-    for lo in range(0, len(ids_a), step):
-        rows = slice(lo, lo + step)
-        # squared, so that rounding is the same everywhere; a product gives distances but for rounding
-        d = np.maximum(np.maximum(a2[rows, None] + b2 - 2 * xa[rows] @ xb.T, core_a[rows, None] ** 2), core_b**2)
-        d[comp_a[rows, None] == comp_b] = np.inf
-        np.minimum.at(best, at[rows], d.min(axis=1))
-        i, j = np.nonzero(d <= best[at[rows], None] + slack)
-        if not len(i):
-            continue
-        i, c = i + lo, at[rows][i]
-        exact = np.maximum(np.maximum(np.sqrt(((xa[i] - xb[j]) ** 2).sum(axis=1)), core_a[i]), core_b[j])
-        low, high = np.minimum(ids_a[i], ids_b[j]), np.maximum(ids_a[i], ids_b[j])
+    ids_a, xa, core_a, comp_a, most_a = (v[np.argsort(a[3], kind="stable")] for v in a)
+    ids_b, xb, core_b, comp_b = (v[np.argsort(b[3], kind="stable")] for v in b)
+    left, a2, right, b2, unit, least = squares_about(xa, xb, np.median(xb[:: -(-len(xb) // 1024)], axis=0), max(core_a.max(), core_b.max()))
+    kind = left.dtype.type
+    off, own2 = unit * (2 * a2 + 2 * b2.max() + core_b.max() ** 2) + least, core_a**2
+    a2, core2 = a2.astype(kind)[:, None], (core_b**2).astype(kind)
+    names, first, at = np.unique(comp_a, return_index=True, return_inverse=True)
+    begin, end = np.searchsorted(comp_b, names), np.searchsorted(comp_b, names, side="right")  # same component: a span
+    up = most_a[first] ** 2 * (1 + 1e-12)  # at least the least edge's square
+    best = np.full(len(names), np.inf), np.full(len(names), -1), np.full(len(names), -1)
+
+    def settle(waiting):
+        i, j, d = (np.concatenate(column) for column in zip(*waiting, strict=True))
+        some = d <= up[at[i]] + off[i]
+        i, j = i[some], j[some]
+        exact = np.maximum(np.maximum(_measured(xa, xb, i, j), core_a[i]), core_b[j])
+        low, high, c = np.minimum(ids_a[i], ids_b[j]), np.maximum(ids_a[i], ids_b[j]), at[i]
+        met = np.unique(c)
+        c, exact, low, high = (np.concatenate(column) for column in zip((c, exact, low, high), (met, *(v[met] for v in best)), strict=True))
         order = np.lexsort((high, low, exact, c))
-        first = order[np.unique(c[order], return_index=True)[1]]
-        for k, w, u, v in zip(c[first].tolist(), exact[first].tolist(), low[first].tolist(), high[first].tolist(), strict=True):
-            if np.isfinite(w):
-                found[k] = min(found.get(k, (w, u, v)), (w, u, v))
-    return [(int(names[k]), *edge) for k, edge in found.items()]
+        order = order[np.unique(c[order], return_index=True)[1]]
+        for v, of in zip(best, (exact, low, high), strict=True):
+            v[c[order]] = of[order]
+        up[c[order]] = np.minimum(up[c[order]], exact[order] ** 2 * (1 + 1e-12))
+
+    for lo in range(0, len(ids_a), 256):
+        rows = lo + np.flatnonzero(own2[lo : lo + 256] <= up[at[lo : lo + 256]])
+        if not len(rows):
+            continue
+        comps, starts = np.unique(at[rows], return_index=True)
+        spans = list(zip(starts, np.append(starts[1:], len(rows)), begin[comps], end[comps]))
+        waiting, n = [], 0
+        for to in range(0, len(ids_b), TILE):
+            d = left[rows] @ right[to : to + TILE].T
+            d += a2[rows]
+            np.maximum(d, core2[to : to + TILE], out=d)
+            for r0, r1, c0, c1 in spans:
+                if c0 < to + TILE and c1 > to:
+                    d[r0:r1, max(c0 - to, 0) : c1 - to] = np.inf
+            np.minimum.at(up, at[rows], np.maximum(d.min(axis=1) + off[rows], own2[rows]))
+            bound = up[at[rows]] + off[rows]
+            bound[np.isinf(bound)] = -1
+            i, j = np.divmod(np.flatnonzero(d <= np.nextafter(bound.astype(kind), kind(np.inf))[:, None]), d.shape[1])
+            waiting.append((rows[i], to + j, d[i, j].astype(float)))
+            if (n := n + len(i)) > WAITING:
+                settle(waiting)
+                waiting, n = [], 0
+        if n:
+            settle(waiting)
+    found = np.isfinite(best[0])
+    return names[found], *(v[found] for v in best)
 
 
 def _searched(asking: DataFrame, points: DataFrame, n: int, block: int) -> DataFrame:
-    """comp, w, a, b: the least edge of each component, by block, from asking points to all points (linear_ind, x, core, comp)."""
+    """comp, w, a, b: the least edge of each component, by block, from asking points (linear_ind, x, core, comp, most) to all
+    points (the same without most)."""
     few, many = graph.blocks_of(asking.count(), block), graph.blocks_of(n, block)
     kept, place = ("linear_ind", "x", "core", "comp"), lambda blocks: F.pmod(F.xxhash64("linear_ind"), F.lit(blocks))
-    one = asking.select(*kept, place(few).alias("i"), F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("j")).withColumn("j", F.col("j").cast("bigint"))
-    two = points.select(*kept, place(many).alias("j"), F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("i")).withColumn("i", F.col("i").cast("bigint"))
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    one = asking.select(*kept, "most", place(few).alias("i"), every(many).alias("j"))
+    two = points.select(*kept, F.lit(None).cast("double").alias("most"), every(few).alias("i"), place(many).alias("j"))
 
-    def nearest(pdf):
-        import numpy as np
-        import pandas as pd
+    def nearest(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        other = pc.is_null(table.column("most"))
+        sides = [table.filter(pc.invert(other)), table.filter(other)]
+        if not len(sides[0]) or not len(sides[1]):
+            return pa.table({"comp": pa.array([], pa.int64()), "w": pa.array([], pa.float64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        a, b = ((*graph._vectors(side), *(side.column(c).to_numpy() for c in ("core", "comp"))) for side in sides)
+        return pa.table(dict(zip(("comp", "w", "a", "b"), _bests((*a, sides[0].column("most").to_numpy()), b))))
+
+    return one.unionByName(two).groupBy("i", "j").applyInArrow(nearest, "comp bigint, w double, a bigint, b bigint")
 
-        part = lambda p: (p.linear_ind.to_numpy(), np.stack(p.x.to_list()), p.core.to_numpy(), p.comp.to_numpy())
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        out = _bests(part(a), part(b)) if len(a) and len(b) else []
-        return pd.DataFrame(out, columns=["comp", "w", "a", "b"]).astype({"comp": "int64", "w": "float64", "a": "int64", "b": "int64"})
 
-    return one.unionByName(two).groupBy("i", "j").applyInPandas(nearest, "comp bigint, w double, a bigint, b bigint")
+def cores(points: DataFrame, min_samples: int, block: int = graph.BLOCK) -> DataFrame:
+    """linear_ind, core, near (array of dst, dist) of each point: see spanning_edges; near are its NEAR nearest at least.
+
+    Many min_samples, a share of the frames, would make rows in the square of the points: then only NEAR of them are kept.
+    """
+    min_samples = max(1, min_samples)
+    if max(min_samples, NEAR) > graph.MOST_ROWS:
+        return cut(graph.kth_distances(points, min_samples, NEAR, block))
+    near = graph.knn(points, max(min_samples, NEAR), block=block)
+    core = F.max(F.when(F.col("rk") <= min_samples, F.col("dist"))).alias("core")
+    return cut(near.groupBy(F.col("src").alias("linear_ind")).agg(core, F.collect_list(F.struct("dst", "dist")).alias("near")))
 
 
-def spanning_edges(points: DataFrame, min_samples: int, block: int = graph.BLOCK) -> DataFrame:
+def spanning_edges(points: DataFrame, min_samples: int, block: int = graph.BLOCK, held: DataFrame | None = None) -> DataFrame:
     """a, b, w: the n - 1 edges (a < b) of the minimum spanning tree under mutual reachability.
 
     points: linear_ind, x. The core distance of a point is that to its min_samples-th neighbour, itself
     being the first (the farthest point, if there are fewer). Of trees of equal weight it is the
-    one of least edges by (weight, ends). Equal points count each; fewer than two give no edges.
+    one of least edges by (weight, ends). Equal points count each; fewer than two give no edges. held: cores' rows, if they are there.
+
+    The component of most points does not search in its round: the others' edges lead on to it.
     """
     points = cut(points.select(F.col("linear_ind").cast("bigint").alias("linear_ind"), "x"))
-    n, min_samples = points.count(), max(1, min_samples)
-    near = cut(graph.knn(points, max(min_samples, NEAR), block=block))
-    core = near.groupBy(F.col("src").alias("linear_ind")).agg(
-        F.max(F.when(F.col("rk") <= min_samples, F.col("dist"))).alias("core"), F.max("dist").alias("reach")
-    )
+    n = points.count()
+    held = cores(points, min_samples, block) if held is None else held
     # what is not among its neighbours is at least so far from a point
-    points = cut(points.join(core, "linear_ind").withColumn("least", F.greatest("core", "reach")))
+    least = F.greatest("core", F.array_max(F.col("near.dist"))).alias("least")
+    points = cut(points.join(held.select("linear_ind", "core", least), "linear_ind"))
     of = lambda side: points.select(F.col("linear_ind").alias(side), F.col("core").alias(f"core_{side}"))
+    near = held.select(F.col("linear_ind").alias("src"), F.explode("near").alias("e")).select("src", "e.dst", "e.dist")
     edges = near.where("src <> dst").join(of("src"), "src").join(of("dst"), "dst")
     w = F.greatest("dist", "core_src", "core_dst").alias("w")
     edges = cut(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w).distinct())
     comps = points.select("linear_ind", F.col("linear_ind").alias("comp"))
-    tree, left = None, n
+    tree, left, largest = None, n, None
     while left > 1:
         to = lambda side: comps.select(F.col("linear_ind").alias(side), F.col("comp").alias(f"comp_{side}"))
         # edges within a component never come back
         edges = cut_round(edges.drop("comp_a", "comp_b").join(to("a"), "a").join(to("b"), "b").where("comp_a <> comp_b"))
         edge = F.struct("w", "a", "b").alias("e")
         known = edges.select(F.col("comp_a").alias("comp"), edge).unionByName(edges.select(F.col("comp_b").alias("comp"), edge))
-        best = cut_round(known.groupBy("comp").agg(F.min("e").alias("e")))
+        best = cut_round(known.where(F.col("comp") != F.lit(largest)).groupBy("comp").agg(F.min("e").alias("e")) if largest is not None else known.groupBy("comp").agg(F.min("e").alias("e")))
         now = points.join(comps, "linear_ind")
-        asking = cut(now.join(best, "comp", "left").where(F.col("e").isNull() | (F.col("least") <= F.col("e.w"))).select(*now.columns))
-        more = _searched(asking, now, n, block).select("comp", edge)
-        chosen = cut_round(best.unionByName(more).groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.*"))
+        most = F.coalesce("e.w", F.lit(float("inf")))
+        asks = F.col("least") <= most if largest is None else (F.col("comp") != F.lit(largest)) & (F.col("least") <= most)
+        asking = cut(now.join(best, "comp", "left").withColumn("most", most).where(asks).select(*now.columns, "most"))
+        reach = asking.agg(F.max("most")).first()[0]
+        chosen = best
+        if reach is not None:  # an edge to a point weighs its core distance at least
+            more = _searched(asking, now.where(F.col("core") <= F.lit(reach)), n, block).select("comp", edge)
+            chosen = best.unionByName(more)
+        chosen = cut_round(chosen.groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.*"))
         fresh = chosen.select("a", "b", "w").distinct()
         tree = fresh if tree is None else tree.unionByName(fresh)
         met = chosen.select("a", "b").distinct().join(to("a"), "a").join(to("b"), "b")
         roots = components(met.select(F.col("comp_a").alias("u"), F.col("comp_b").alias("v"))).withColumnRenamed("node", "comp")
-        comps = cut_round(comps.join(roots, "comp").select("linear_ind", F.col("root").alias("comp")))
-        left = comps.agg(F.count_distinct("comp")).first()[0]
+        # the one that did not search may be met by none
+        comps = cut_round(comps.join(roots, "comp", "left").select("linear_ind", F.coalesce("root", "comp").alias("comp")))
+        sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+        left, largest = (lambda r: (r["left"], r["top"]["comp"]))(sizes.agg(F.count(F.lit(1)).alias("left"), F.max(F.struct("n", "comp")).alias("top")).first())
     return tree if tree is not None else points.select(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0.0).alias("w")).where("false")
 
 
