@@ -288,3 +288,29 @@ def test_least_edges_are_found_in_single_precision_exactly(monkeypatch):
         for most in (np.full(290, np.inf), np.array([want[c][0] for c in comp[a]])):
             found = density._bests((ids[a], x[a], core[a], comp[a], most), (ids[b], x[b], core[b], comp[b]))
             assert {int(c): (float(v), int(lo), int(hi)) for c, v, lo, hi in zip(*found)} == want
+
+
+def test_the_search_among_neighbours_neighbours_begins_near_its_end(spark, monkeypatch):
+    """From random cells of 6 k points it went through nearly all points' pairs, round by round."""
+    r = np.random.default_rng(17)
+    x = r.normal(size=(900, 12))
+    x[700:] = x[700]  # points that no plane parts
+    points = spark.createDataFrame([(i * 7, v.tolist()) for i, v in enumerate(x)], "linear_ind bigint, x array<double>")
+    met, rounds = graph._met, []
+    monkeypatch.setattr(graph, "CELL", 150, raising=False)
+    monkeypatch.setattr(graph, "_met", lambda *a: (rounds.append(1), met(*a))[1])
+    found = {(a.src, a.dst): a.dist for a in graph.knn_descent(points, 5).collect()}
+    want = {(a.src, a.dst): a.dist for a in graph.knn(points.where("linear_ind < 4900"), 5).collect()}
+    assert len(found) == 5 * 900 and sum(pair in found for pair in want) >= 0.95 * len(want)
+    assert all(d == 0 for (a, _), d in found.items() if a >= 4900) and len(rounds) <= 3
+
+
+def test_planes_halve_a_sample_and_leaves_of_equal_points_are_dealt():
+    r = np.random.default_rng(18)
+    x = r.normal(size=(512, 6))
+    levels, pieces = graph._planes(x, 5120, 640, 3)
+    at = np.zeros(512, dtype=np.int64)
+    for level in levels:
+        at = graph._beyond(x, at, *level)
+    assert np.bincount(at).tolist() == [64] * 8 and pieces.tolist() == [1] * 8
+    assert graph._planes(np.ones((512, 6)), 5120, 640, 3)[1].tolist() == [6] + [1] * 7
